@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.rolling import BY_SYMBOL
-from tickerloom.functions.scalars import first_code, to_number
+from tickerloom.functions.scalars import extend, first_code, to_number
 
 PRICES = ["open", "high", "low", "close"]
 NUMBERS = [*PRICES, "volume", "amount"]
@@ -91,12 +90,8 @@ def selected_rows(df: DataFrame, positive: bool = False) -> DataFrame:
 def enough_history(df: DataFrame, horizons: Sequence[int], least: int = 80) -> DataFrame:
     """Drop symbols with fewer than max(80, longest horizon + 30) bars."""
     need = max(least, max(horizons) + 30)
-    everything = BY_SYMBOL.rowsBetween(-(1 << 31), (1 << 31) - 1)
-    return (
-        df.withColumn("_bars", F.count(F.lit(1)).over(everything))
-        .filter(F.col("_bars") >= need)
-        .drop("_bars")
-    )
+    counted = extend(df, {"_bars": "count(1) OVER (PARTITION BY symbol)"})
+    return counted.filter(F.col("_bars") >= need).drop("_bars")
 
 
 def universe(

@@ -15,8 +15,8 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.functions.rolling import BY_SYMBOL, BY_SYMBOL_SQL
-from tickerloom.functions.scalars import extend, safe_div
+from tickerloom.functions.rolling import BY_SYMBOL_SQL
+from tickerloom.functions.scalars import change_pct, extend, ratio
 
 HORIZON_MAX = 20
 
@@ -77,25 +77,22 @@ def forward_labels(bars: DataFrame, horizons: int = HORIZON_MAX, with_range: boo
 
 def market_labels(bars: DataFrame) -> DataFrame:
     """T+1 open to T+2 and T+3 close for every bar that has a next open."""
-    df = bars.select(
+    df = bars.selectExpr(
         "symbol",
         "date",
-        F.lead("open", 1).over(BY_SYMBOL).alias("t1_open"),
-        F.lead("close", 2).over(BY_SYMBOL).alias("t2_close"),
-        F.lead("close", 3).over(BY_SYMBOL).alias("t3_close"),
-    ).filter(F.col("t1_open").isNotNull())
-    return df.withColumns({
-        "t2_return_pct": (safe_div("t2_close", "t1_open") - 1.0) * 100.0,
-        "t3_return_pct": (safe_div("t3_close", "t1_open") - 1.0) * 100.0,
-    })
+        f"lead(open, 1) OVER ({BY_SYMBOL_SQL}) AS t1_open",
+        f"lead(close, 2) OVER ({BY_SYMBOL_SQL}) AS t2_close",
+        f"lead(close, 3) OVER ({BY_SYMBOL_SQL}) AS t3_close",
+    ).filter("t1_open IS NOT NULL")
+    return extend(df, {f"t{h}_return_pct": change_pct(f"t{h}_close", "t1_open") for h in (2, 3)})
 
 
 def close_labels(bars: DataFrame, horizons: Iterable[int]) -> DataFrame:
     """Close-to-close forward returns; a missing return is not up."""
-    ahead = {h: F.lead("close", h).over(BY_SYMBOL) for h in horizons}
-    df = bars.withColumns({f"future_close_T{h}": c for h, c in ahead.items()})
-    df = df.withColumns({f"ret_T{h}": safe_div(f"future_close_T{h}", "close") - 1.0 for h in ahead})
-    return df.withColumns({
-        **{f"ret_T{h}_pct": F.col(f"ret_T{h}") * 100.0 for h in ahead},
-        **{f"up_T{h}": F.coalesce(F.col(f"ret_T{h}") > 0, F.lit(False)) for h in ahead},
+    hs = list(horizons)
+    df = extend(bars, {f"future_close_T{h}": f"lead(close, {h}) OVER ({BY_SYMBOL_SQL})" for h in hs})
+    df = extend(df, {f"ret_T{h}": f"{ratio(f'future_close_T{h}', 'close')} - 1.0D" for h in hs})
+    return extend(df, {
+        **{f"ret_T{h}_pct": f"ret_T{h} * 100.0D" for h in hs},
+        **{f"up_T{h}": f"coalesce(ret_T{h} > 0, false)" for h in hs},
     })
