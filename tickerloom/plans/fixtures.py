@@ -10,8 +10,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.operators.cleaning import date_range
-
 PRICE_SQL = {
     "wide": "l_extendedprice / 997.0",
     "narrow": "50.0 + l_extendedprice / 9973.0",
@@ -26,9 +24,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def bars(spark: SparkSession, sf_dir: str, price: str = "wide") -> DataFrame:
-    """Weekly bars; first and last trade are decided by the full row key."""
-    trades = table(spark, sf_dir, "lineitem").select(
+def trades(spark: SparkSession, sf_dir: str, price: str = "wide") -> DataFrame:
+    """Single trades with the key ``k`` that orders them within a week."""
+    return table(spark, sf_dir, "lineitem").select(
         F.expr(SYMBOL_SQL.format(text="STRING")).alias("symbol"),
         F.date_trunc("week", "l_shipdate").cast("date").alias("date"),
         F.expr(PRICE_SQL[price]).cast("double").alias("px"),
@@ -36,7 +34,11 @@ def bars(spark: SparkSession, sf_dir: str, price: str = "wide") -> DataFrame:
         F.col("l_extendedprice").alias("a"),
         F.struct("l_shipdate", "l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice").alias("k"),
     )
-    return trades.groupBy("symbol", "date").agg(
+
+
+def bars(spark: SparkSession, sf_dir: str, price: str = "wide") -> DataFrame:
+    """Weekly bars; first and last trade are decided by the full row key."""
+    return trades(spark, sf_dir, price).groupBy("symbol", "date").agg(
         F.min_by("px", "k").alias("open"),
         F.max("px").alias("high"),
         F.min("px").alias("low"),
@@ -71,6 +73,3 @@ def tidy(df: DataFrame) -> DataFrame:
             c = c.cast("bigint")
         out.append(c.alias(name))
     return df.select(*out)
-
-
-__all__ = ["bars", "date_range", "index_bars", "round4", "table", "tidy"]
