@@ -67,6 +67,16 @@ def attach(df: DataFrame, wanted: list[Need]) -> DataFrame:
     return df.select("*", *project(new)) if new else df
 
 
+def by_symbol(df: DataFrame) -> DataFrame:
+    """Hash-partition bars by symbol for a long chain of symbol windows.
+
+    This is the exchange the windows need anyway, with a fixed partition count:
+    a chain widens rows tenfold, and partitions coalesced by input size would
+    leave too few tasks for it.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), "symbol")
+
+
 def detach(df: DataFrame, like: DataFrame | None = None) -> DataFrame:
     """Drop window columns, except those already in ``like``."""
     keep = set(like.columns) if like is not None else set()

@@ -69,7 +69,7 @@ def market_panel(bars: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -> DataFr
 
     The daily mean has one row per calendar day, which bounds the broadcast.
     """
-    df = symbol_features(enough_history(bars, horizons), horizons)
+    df = symbol_features(enough_history(R.by_symbol(bars), horizons), horizons)
     market = df.groupBy("date").agg(F.avg("ret_1d_pct").alias("market_ret_1d_pct"))
     df = df.join(F.broadcast(market), "date")
     df = extend(df, {"excess_1d_pct": "ret_1d_pct - market_ret_1d_pct"})
@@ -186,15 +186,21 @@ def random_benchmark(rows: DataFrame, top_n: int = 10, trials: int = 200, seed:
         "numbered",
     )
     sizes = numbered.groupBy(*keys).agg(F.max("n").alias("n"))
-    text = f"concat('{seed}|', CAST(date AS STRING), '|', horizon, '|', trial, '|', k)"
-    pick = f"CAST(conv(substr(md5({text}), 1, 12), 16, 10) AS BIGINT)"
-    draws = sizes.select(
+    # The hashes are made before an exchange, so that they are compiled code and
+    # the interpreted fold after it reads them instead of recomputing them.
+    text = "concat('{seed}|', CAST(date AS STRING), '|', horizon, '|', trial, '|', {k})"
+    hashes = ", ".join(
+        f"CAST(conv(substr(md5({text.format(seed=seed, k=k)}), 1, 12), 16, 10) AS BIGINT)" for k in range(1, top_n + 1)
+    )
+    slices = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    draws = sizes.repartition(slices, *keys).select(
         *keys, F.least(F.lit(top_n), F.col("n")).alias("size"), "n", F.explode(F.sequence(F.lit(1), F.lit(trials))).alias("trial")
     )
-    last = "(n - size + k)"
+    draws = draws.select("*", F.expr(f"array({hashes}) AS picks")).repartition(slices, *keys, "trial")
+    last, pick = "(n - size + k)", "(picks[CAST(k AS INT) - 1] % (n - size + k) + 1)"
     draws = draws.select(*keys, "trial", "size", F.expr(
         f"aggregate(sequence(1L, CAST(size AS BIGINT)), CAST(array() AS ARRAY<BIGINT>), (got, k) ->"
-        f" array_append(got, CASE WHEN array_contains(got, {pick} % {last} + 1) THEN {last} ELSE {pick} % {last} + 1 END))"
+        f" array_append(got, CASE WHEN array_contains(got, {pick}) THEN {last} ELSE {pick} END))"
     ).alias("nos"))
     drawn = draws.select(*keys, "trial", "size", F.explode("nos").alias("no")).join(numbered.drop("n"), [*keys, "no"])
     means = drawn.groupBy(*keys, "trial").agg(F.avg("ret").alias("m"), F.max("size").alias("size"))

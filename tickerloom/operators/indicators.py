@@ -354,7 +354,7 @@ def indicator_table(
     afterwards so that early rows still see their full history.
     """
     df = bars if end_date is None else bars.filter(F.col("date") <= F.lit(end_date).cast("date"))
-    df = run(df, indicator_block(ma_windows, volume_windows, macd_params, brick))
+    df = run(R.by_symbol(df), indicator_block(ma_windows, volume_windows, macd_params, brick))
     for fn in (INDICATORS if extra is None else extra).values():
         df = df.transform(fn)
     if start_date is not None:

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickerloom.functions import rolling as R
 from tickerloom.functions.scalars import change_pct, extend, normalize_symbol, safe_div, to_number
 from tickerloom.operators import indicators as I
 from tickerloom.operators.cleaning import date_range, keep_last
@@ -155,7 +156,9 @@ def build_pool(
     All of it rides on one exchange by symbol.
     """
     rule = get_strategy(strategy_name)
-    df = rule.prepare(date_range(bars, None, end_date), **params)
+    df = date_range(bars, None, end_date)
+    # The pool-driven rule partitions by symbol itself, after it has dropped symbols.
+    df = rule.prepare(df if strategy_name == B2_FROM_B1 else R.by_symbol(df), **params)
     block = I.Block(columns=next_bars(with_range=with_range))
     if strategy_name != B2_FROM_B1:
         block = block + I.indicator_block()

@@ -21,7 +21,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.scratch import materialize
+from tickerloom.scratch import materialize, materialize_counted
+
+# A table of at most this many rows may be ranked with plain windows.
+ONE_TASK_ROWS = 1_000_000
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -30,19 +33,27 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(counted.alias("_n"))
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None, one_task_rows: int | None = None) -> DataFrame:
     """Append ``_before``, ``_dense``, ``_total`` and ``_distinct`` to every row.
 
     ``_before`` is the weight of the rows ahead in the group (rows themselves
     when no weight is given), ``_dense`` the 1-based row number, ``_total`` the
     weight of the whole group and ``_distinct`` its number of rows.  ``order``
     must be unique within a group.
+
+    The input is stored once and counted on the way.  Only when the whole table
+    has at most ``one_task_rows`` rows, and therefore every group too, do groups
+    rank in one task each; larger tables take the sliced way.
     """
+    one_task_rows = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
+    w = F.lit(1).cast("long") if weight is None else F.col(weight)
+    stored, rows = materialize_counted(df, "ranked")
+    if rows <= one_task_rows:
+        return _positions_in_one_task(stored, keys, order, w)
     spark = df.sparkSession
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    w = F.lit(1).cast("long") if weight is None else F.col(weight)
     sliced = materialize(
-        df.repartitionByRange(slices, *[F.col(c) for c in (*keys, *order)]).withColumn("_slice", F.spark_partition_id()),
+        stored.repartitionByRange(slices, *[F.col(c) for c in (*keys, *order)]).withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
     ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -69,6 +80,18 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight:
     )
 
 
+def _positions_in_one_task(df: DataFrame, keys: Sequence[str], order: Sequence[str], w: Column) -> DataFrame:
+    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    group = Window.partitionBy(*keys)
+    return df.select(
+        "*",
+        (F.sum(w).over(inside) - w).alias("_before"),
+        F.count(F.lit(1)).over(inside).alias("_dense"),
+        F.sum(w).over(group).alias("_total"),
+        F.count(F.lit(1)).over(group).alias("_distinct"),
+    )
+
+
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """Distinct values of each group with ``_n``, ``_before``, ``_dense``, ``_total``, ``_distinct``."""
     return positions(value_counts(df, keys, value, weight), keys, [value], "_n")

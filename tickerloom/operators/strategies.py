@@ -252,7 +252,7 @@ def mark_rows(bars: DataFrame, marks: DataFrame, name: str) -> DataFrame:
         marks.select("symbol", "date", F.lit(True).alias(name)), allowMissingColumns=True
     )
     hit = F.max(name).over(Window.partitionBy("symbol", "date"))
-    return both.withColumn(name, F.coalesce(hit, F.lit(False))).filter(F.col("close").isNotNull())
+    return R.by_symbol(both).withColumn(name, F.coalesce(hit, F.lit(False))).filter(F.col("close").isNotNull())
 
 
 def _confirm_finish(df: DataFrame, **params) -> DataFrame:
