@@ -202,7 +202,8 @@ def random_benchmark(rows: DataFrame, top_n: int = 10, trials: int = 200, seed:
         f"aggregate(sequence(1L, CAST(size AS BIGINT)), CAST(array() AS ARRAY<BIGINT>), (got, k) ->"
         f" array_append(got, CASE WHEN array_contains(got, {pick}) THEN {last} ELSE {pick} END))"
     ).alias("nos"))
-    drawn = draws.select(*keys, "trial", "size", F.explode("nos").alias("no")).join(numbered.drop("n"), [*keys, "no"])
+    # The outer form keeps the optimizer from pushing a size(nos) filter, and with it the fold, below the exchange.
+    drawn = draws.select(*keys, "trial", "size", F.explode_outer("nos").alias("no")).join(numbered.drop("n"), [*keys, "no"])
     means = drawn.groupBy(*keys, "trial").agg(F.avg("ret").alias("m"), F.max("size").alias("size"))
     return means.groupBy(*keys).agg(
         F.max("size").cast("bigint").alias("random_count"),

@@ -13,9 +13,11 @@ only add zero bytes, which are dropped).
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,6 +33,9 @@ FIELDS = ["date", "open", "high", "low", "close", "volume", "amount"]
 DATE_FIELD = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{8})$"
 SOURCE_MARK = "数据来源"
 
+# Worker code travels with the job, so executors need no installed copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def decode(raw: bytes, encodings: Sequence[str] = ENCODINGS) -> tuple[str, str]:
     """Text and the encoding that worked; the last resort skips bad bytes."""
@@ -56,13 +61,24 @@ def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
     )
 
 
-def encoding_of(spark: SparkSession, path: str, encodings: Sequence[str]) -> str:
-    """Encoding of a table file, judged on its first megabyte of complete lines."""
+def encoding_of(spark: SparkSession, path: str, encodings: Sequence[str]) -> tuple[str, str]:
+    """(encoding, header line) of a table file, judged on its first megabyte of complete lines."""
     head = _files(spark, path, "*").select(F.substring("content", 1, 1 << 20).alias("c")).first()
     raw = bytes(head["c"]) if head else b""
-    cut = raw[: raw.rfind(b"\n") + 1] or raw
-    name = decode(cut, encodings)[1]
-    return {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "gb18030_ignore": "GB18030"}.get(name, name.upper())
+    text, name = decode(raw[: raw.rfind(b"\n") + 1] or raw, encodings)
+    header = text.split("\n", 1)[0].rstrip("\r")
+    return ("utf-8" if name.startswith("utf-8") else name.removesuffix("_ignore")), header
+
+
+def decoded_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
+    """Lines of a text file in an ASCII-compatible encoding; the file is split as usual."""
+
+    def to_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            yield pd.DataFrame({"line": [bytes(v).decode(encoding, errors="ignore").rstrip("\r") for v in batch["raw"]]})
+
+    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"))
+    return raw.mapInPandas(to_text, "line string")
 
 
 def read_lines(
@@ -95,7 +111,8 @@ def read_lines(
         return whole
     text = spark.read.text(big)
     split = text.select(
-        F.col("_metadata.file_path").alias("file"),
+        # Metadata paths are URL-encoded ("#" as %23), unlike those of the whole-file reader.
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
         F.col("_metadata.file_block_start").alias("part"),
         F.monotonically_increasing_id().alias("line_no"),
         F.regexp_replace(F.translate("value", "\x00", ""), "^[﻿�]+", "").alias("line"),
@@ -107,7 +124,7 @@ def read_lines(
 def data_fields(line: Column) -> Column:
     """A line as seven text fields, or NULL when it is not a data line."""
     text = F.trim(F.regexp_replace(line, "[﻿\r\t]", " "))
-    parts = F.when(text.contains(","), F.transform(F.split(text, ","), F.trim)).otherwise(F.split(text, r"\s+"))
+    parts = F.when(text.contains(","), F.transform(F.split(text, ","), lambda p: F.trim(p))).otherwise(F.split(text, r"\s+"))
     padded = F.slice(F.concat(parts, F.array(F.lit(""))), 1, 7)
     is_data = (F.size(parts) >= 6) & parts[0].rlike(DATE_FIELD) & ~text.contains(SOURCE_MARK)
     return F.when(is_data, padded)

@@ -77,10 +77,16 @@ def read_table(spark: SparkSession, path: str) -> DataFrame:
     """Parquet, or csv/txt with a header in the first encoding that decodes it."""
     low = path.lower().rstrip("/")
     if low.endswith((".csv", ".txt")):
-        from tickerloom.sources.bar_text import encoding_of
-
-        encoding = encoding_of(spark, path, CSV_ENCODINGS)
-        return spark.read.option("header", True).option("encoding", encoding).option("inferSchema", True).csv(path)
+        from tickerloom.sources.bar_text import decoded_lines, encoding_of
+
+        encoding, header = encoding_of(spark, path, CSV_ENCODINGS)
+        if encoding == "utf-8":
+            return spark.read.option("header", True).option("encoding", "UTF-8").option("inferSchema", True).csv(path)
+        # Spark's csv reader knows no Chinese charset: decode lines, then parse them as csv text columns.
+        names = [h.strip().strip('"') for h in header.split(",")]
+        schema = ", ".join(f"`{n}` STRING" for n in names)
+        lines = decoded_lines(spark, path, encoding).filter((F.col("line") != header) & (F.trim("line") != ""))
+        return lines.select(F.from_csv("line", schema).alias("r")).select("r.*")
     if low.endswith(".parquet") or "." not in low.rsplit("/", 1)[-1]:
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported table type: {path}")
