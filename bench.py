@@ -14,9 +14,8 @@ from pyspark.sql import SparkSession
 from tickerloom.plans.queries import QUERIES
 
 HEADLINE = [
-    "bars_weekly", "kline", "ma", "volume_ratios", "macd", "renko", "kdj_b1", "indicator_table", "forward_labels", "b1_v0_pool",
-    "b1_v1_pool", "b2_tdx_pool", "b2_from_b1_pool", "forward_curve", "bucket_detail", "ic", "direction_summary", "extreme_refinement",
-    "multi_factor_combo", "market_panel", "alpha_score", "alpha_top_n", "alpha_daily", "rank_ic",
+    "kline", "indicator_table", "forward_labels", "b1_v0_pool", "b2_tdx_pool", "forward_curve", "bucket_detail",
+    "direction_summary", "market_panel", "alpha_score", "alpha_top_n", "rank_ic",
 ]
 
 
@@ -41,6 +40,7 @@ def main() -> None:
         start = time.perf_counter()
         QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
         seconds[name] = round(time.perf_counter() - start, 3)
+        print(name, seconds[name], file=sys.stderr, flush=True)
     print(json.dumps({
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
