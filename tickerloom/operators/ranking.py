@@ -21,10 +21,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tickerloom.scratch import materialize, materialize_counted
-
-# A table of at most this many rows may be ranked with plain windows.
-ONE_TASK_ROWS = 1_000_000
+from tickerloom.scratch import materialize
 
 
 def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
@@ -33,27 +30,19 @@ def value_counts(df: DataFrame, keys: Sequence[str], value: str, weight: Column
     return df.filter(F.col(value).isNotNull()).groupBy(*keys, value).agg(counted.alias("_n"))
 
 
-def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None, one_task_rows: int | None = None) -> DataFrame:
+def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight: str | None = None) -> DataFrame:
     """Append ``_before``, ``_dense``, ``_total`` and ``_distinct`` to every row.
 
     ``_before`` is the weight of the rows ahead in the group (rows themselves
     when no weight is given), ``_dense`` the 1-based row number, ``_total`` the
     weight of the whole group and ``_distinct`` its number of rows.  ``order``
-    must be unique within a group.
-
-    The input is stored once and counted on the way.  Only when the whole table
-    has at most ``one_task_rows`` rows, and therefore every group too, do groups
-    rank in one task each; larger tables take the sliced way.
+    must be unique within a group.  NULL is a group like any other.
     """
-    one_task_rows = ONE_TASK_ROWS if one_task_rows is None else one_task_rows
     w = F.lit(1).cast("long") if weight is None else F.col(weight)
-    stored, rows = materialize_counted(df, "ranked")
-    if rows <= one_task_rows:
-        return _positions_in_one_task(stored, keys, order, w)
-    spark = df.sparkSession
-    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    columns = df.columns
+    slices = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sliced = materialize(
-        stored.repartitionByRange(slices, *[F.col(c) for c in (*keys, *order)]).withColumn("_slice", F.spark_partition_id()),
+        df.repartitionByRange(slices, *[F.col(c) for c in (*keys, *order)]).withColumn("_slice", F.spark_partition_id()),
         "slices",
     )
     ahead = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
@@ -63,8 +52,8 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight:
         sliced.groupBy(*keys, "_slice")
         .agg(F.sum(w).alias("_w"), F.count(F.lit(1)).alias("_r"))
         .select(
-            *keys,
-            "_slice",
+            *[F.col(k).alias(f"_key_{k}") for k in keys],
+            F.col("_slice").alias("_of"),
             F.coalesce(F.sum("_w").over(ahead), F.lit(0)).alias("_w0"),
             F.coalesce(F.sum("_r").over(ahead), F.lit(0)).alias("_r0"),
             F.sum("_w").over(group).alias("_total"),
@@ -72,23 +61,13 @@ def positions(df: DataFrame, keys: Sequence[str], order: Sequence[str], weight:
         )
     )
     inside = Window.partitionBy(*keys, "_slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    same = F.col("_slice") == F.col("_of")
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_key_{k}"))
     return (
         sliced.withColumns({"_w": F.sum(w).over(inside), "_r": F.count(F.lit(1)).over(inside)})
-        .join(offsets, [*keys, "_slice"])
-        .withColumns({"_before": F.col("_w0") + F.col("_w") - w, "_dense": F.col("_r0") + F.col("_r")})
-        .drop("_slice", "_w", "_r", "_w0", "_r0")
-    )
-
-
-def _positions_in_one_task(df: DataFrame, keys: Sequence[str], order: Sequence[str], w: Column) -> DataFrame:
-    inside = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    group = Window.partitionBy(*keys)
-    return df.select(
-        "*",
-        (F.sum(w).over(inside) - w).alias("_before"),
-        F.count(F.lit(1)).over(inside).alias("_dense"),
-        F.sum(w).over(group).alias("_total"),
-        F.count(F.lit(1)).over(group).alias("_distinct"),
+        .join(offsets, same)
+        .select(*columns, (F.col("_w0") + F.col("_w") - w).alias("_before"), (F.col("_r0") + F.col("_r")).alias("_dense"), "_total", "_distinct")
     )
 
 

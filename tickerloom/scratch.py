@@ -2,32 +2,21 @@
 
 Some operators need the same intermediate rows twice and must see identical
 rows both times, even if executors are lost in between.  Those rows are
-written to the shared folder named by ``spark.checkpoint.dir``.  Only a local
-session without that setting (tests) falls back to a temporary folder.
+written to the shared folder named by ``spark.checkpoint.dir``; a session
+without that setting uses a folder inside its warehouse, which executors
+share as well.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, Observation, SparkSession
-from pyspark.sql import functions as F
-
-_LOCAL_ROOTS: dict[str, str] = {}
+from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    master = spark.conf.get("spark.master", "")
-    if not master.startswith("local"):
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL_ROOTS:
-        _LOCAL_ROOTS[app] = tempfile.mkdtemp(prefix="tickerloom-")
-    return _LOCAL_ROOTS[app]
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
@@ -43,7 +32,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def materialize_counted(df: DataFrame, label: str) -> tuple[DataFrame, int]:
-    """As :func:`materialize`, with the number of rows counted while writing."""
-    rows = Observation(f"{label}-{uuid.uuid4().hex}")
-    return materialize(df.observe(rows, F.count(F.lit(1)).alias("rows")), label), rows.get["rows"]
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored; for the end of a session, when no result is read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tickerloom/{spark.sparkContext.applicationId}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
