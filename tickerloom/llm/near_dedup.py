@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.graph import components
-from tickerloom.llm.text import shingle_sets
+from tickerloom.llm.text import column_bytes, mix, shingle_sets
 from tickerloom.scratch import materialize
 
 SKETCH = 64
@@ -49,11 +49,6 @@ DIGEST_BITS = 18
 ESTIMATE_SLACK = 0.2
 
 
-def column_bytes(column: pa.Array) -> list[bytes]:
-    """UTF-8 bytes of a string column, null as empty."""
-    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
-
-
 def positive(values: np.ndarray) -> np.ndarray:
     return (values >> np.uint64(1)).view(np.int64)
 
@@ -70,8 +65,6 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
     schema = "d long, n long, f long, g long, s array<bigint>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from tickerloom.llm.text import mix
-
         for batch in batches:
             sizes, prints, digests, sketches = [], [], [], []
             for values in shingle_sets(column_bytes(batch.column(1)), words):

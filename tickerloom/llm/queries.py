@@ -4,22 +4,44 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tickerloom.llm import quality, toxicity
 from tickerloom.llm.near_dedup import near_duplicates
 from tickerloom.llm.packing import packed_documents
 
+#: Labels are learnt from these rows only; ``d`` is the document's id.
+TOXIC_FOLD = "crc32(CAST(d AS string)) % 5 <> 0"
+QUALITY_FOLD = "crc32(CAST(d AS string)) % 4 <> 2"
+RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _judged(scores: DataFrame, held_out: str, least: float) -> DataFrame:
+    return scores.select("doc_id", F.expr(held_out).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
+
+
+def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), TOXIC_FOLD)
+    return _judged(toxicity.score(docs, model), "crc32(CAST(doc_id AS string)) % 5 = 0", 0.5)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packed_documents(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return packed_documents(_table(spark, sf_dir, "documents"), RANKS)
+
+
+def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = quality.quality(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"), QUALITY_FOLD)
+    return _judged(scores, "crc32(CAST(doc_id AS string)) % 4 = 2", 0.7)
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op4_best_fit_packing, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (op2_toxic_passages, op4_best_fit_packing, op5_quality_classifier, op10_minhash_near_dedup)}
 ORACLES: dict[str, str] = {}
