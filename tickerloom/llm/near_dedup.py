@@ -16,10 +16,12 @@ Lossless narrowing
 
 Hot lists
     Equal sets are one class from the start.  A list is first compared with
-    its smallest member only (a star), twice with different hubs; the pairs
-    of a list that are left are those of members in different components, so
-    a list of a third of all rows that hangs together costs one comparison per
-    row.  No list, bucket or partner count is capped.
+    its smallest member only (a star).  In ``HUB_ROUNDS`` more rounds members
+    outside the list's largest component meet a hub inside and one outside it,
+    other hubs in every list.  The pairs of a list that are left are those of
+    members in different components, so a list of a third of all rows that
+    hangs together costs a few comparisons per row.  No list, bucket or
+    partner count is capped.
 
 Defined cases: rows without id are left out; rows that share an id are one
 document; null, empty and blank texts have no shingle and are linked with
@@ -43,6 +45,7 @@ from tickerloom.scratch import materialize
 SKETCH = 64
 LEAST_SHARED = 36
 RARITY_BUCKETS = 1 << 18
+HUB_ROUNDS = 3
 #: Of 64 one-bit bins, similar sets differ in 6.4 on average (standard deviation 2.4), unrelated ones in 32.
 DIGEST_BITS = 18
 #: The union sketch must show at least this share: the threshold less four standard deviations.
@@ -175,10 +178,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         return named, named.where("c <> main")
 
     found = links(shared.where("d <> hd").where(_alike("n", "hn", "g", "hg", percent)).selectExpr("hd AS a", "d AS b"), "star")
-    _, rest = placed(found)
-    hubs = rest.groupBy("v").agg(F.min(F.struct("d", "n", "g", "c")).alias("h")).selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg", "h.c AS hc")
-    second = rest.join(hubs, "v").where("c <> hc").where(_alike("n", "hn", "g", "hg", percent)).selectExpr("least(hd, d) AS a", "greatest(hd, d) AS b")
-    found = found.union(links(second, "second"))
+    for turn in range(HUB_ROUNDS):
+        members, rest = placed(found)
+        # In every list another hub, drawn from the largest component and from outside it.
+        drawn = F.min_by(F.struct("d", "n", "g", "c"), F.struct(F.xxhash64("v", "d", F.lit(turn)), "d")).alias("h")
+        hubs = members.groupBy("v", F.expr("c = main").alias("inner")).agg(drawn).selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg", "h.c AS hc")
+        star = rest.join(hubs, "v").where("c <> hc").where(_alike("n", "hn", "g", "hg", percent))
+        found = found.union(links(star.selectExpr("least(hd, d) AS a", "greatest(hd, d) AS b"), f"hubs-{turn}"))
     members, rest = placed(found)
     left = rest.select("v", *[F.col(x).alias(f"{x}2") for x in ("d", "n", "g", "c")])
     # Of two members outside the main component, only the smaller meets the larger.
