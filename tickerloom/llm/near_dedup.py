@@ -31,7 +31,7 @@ no rows; other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.graph import components
-from tickerloom.llm.text import column_bytes, mix, shingle_sets
+from tickerloom.llm.text import column_bytes, mix, positive, shingle_sets
 from tickerloom.scratch import materialize
 
 SKETCH = 64
@@ -52,10 +52,6 @@ DIGEST_BITS = 18
 ESTIMATE_SLACK = 0.2
 
 
-def positive(values: np.ndarray) -> np.ndarray:
-    return (values >> np.uint64(1)).view(np.int64)
-
-
 def digest_of(values: np.ndarray) -> int:
     """One bit of the smallest hash in each of 64 bins."""
     least = np.zeros(64, dtype=np.uint64)
@@ -155,19 +151,18 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept): one row per document."""
-    table = materialize(sketch_table(docs, id_col, text_col, words), "sketches")
-    classes = table.where("n > 0").groupBy("f", "n").agg(F.min("d").alias("r"))
-    reps = materialize(table.where("n > 0").join(classes, ["f", "n"]).where("d = r").select("d", "n", "g", "s").dropDuplicates(["d"]), "classes")
+def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) that connect what the pairs of each list connect.
 
-    postings = materialize(_postings(reps, percent), "postings")
+    ``postings`` (v, d, n, g) is a stored table of lists v of members d with
+    set size n and digest g; ``confirm`` keeps the similar ones of distinct
+    pairs (a, b), a < b.
+    """
     lists = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "n", "g")).alias("h")).where("c > 1")
     shared = materialize(postings.join(lists.selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg"), "v"), "shared")
 
     def links(pairs: DataFrame, label: str) -> DataFrame:
-        candidates = materialize(pairs.distinct(), f"candidates-{label}")
-        return materialize(confirmed(estimated(candidates, reps, percent), docs, id_col, text_col, words, percent), f"links-{label}")
+        return materialize(confirm(materialize(pairs.distinct(), f"candidates-{label}")), f"links-{label}")
 
     def placed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members of each list with their component so far; those outside the list's largest component."""
@@ -189,8 +184,21 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     left = rest.select("v", *[F.col(x).alias(f"{x}2") for x in ("d", "n", "g", "c")])
     # Of two members outside the main component, only the smaller meets the larger.
     last = members.join(left, "v").where("c <> c2 AND (c = main OR d < d2)").where(_alike("n", "n2", "g", "g2", percent))
-    found = found.union(links(last.selectExpr("least(d, d2) AS a", "greatest(d, d2) AS b"), "rest"))
+    return found.union(links(last.selectExpr("least(d, d2) AS a", "greatest(d, d2) AS b"), "rest"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept): one row per document."""
+    table = materialize(sketch_table(docs, id_col, text_col, words), "sketches")
+    classes = table.where("n > 0").groupBy("f", "n").agg(F.min("d").alias("r"))
+    reps = materialize(table.where("n > 0").join(classes, ["f", "n"]).where("d = r").select("d", "n", "g", "s").dropDuplicates(["d"]), "classes")
+
+    postings = materialize(_postings(reps, percent), "postings")
+
+    def confirm(pairs: DataFrame) -> DataFrame:
+        return confirmed(estimated(pairs, reps, percent), docs, id_col, text_col, words, percent)
 
+    found = link_lists(postings, percent, confirm)
     owner = classes.join(components(found).withColumnRenamed("node", "r"), "r", "left").selectExpr("f", "n", "coalesce(component, r) AS c")
     named = table.select("d", "n", "f").join(owner, ["f", "n"], "left")
     return (

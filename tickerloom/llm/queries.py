@@ -6,9 +6,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import quality, toxicity
+from tickerloom.llm import neighbours, quality, toxicity
 from tickerloom.llm.near_dedup import near_duplicates
 from tickerloom.llm.packing import packed_documents
+from tickerloom.llm.paragraph_dedup import repeated_paragraphs
 
 #: Labels are learnt from these rows only; ``d`` is the document's id.
 TOXIC_FOLD = "crc32(CAST(d AS string)) % 5 <> 0"
@@ -30,6 +31,11 @@ def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(toxicity.score(docs, model), "crc32(CAST(doc_id AS string)) % 5 = 0", 0.5)
 
 
+def op3_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, vectors.where("vec_id % 100 = 0"), k=10)
+
+
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"), RANKS)
 
@@ -39,9 +45,15 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(scores, "crc32(CAST(doc_id AS string)) % 4 = 2", 0.7)
 
 
+def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(_table(spark, sf_dir, "documents")).drop("class")
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
-QUERIES = {f.__name__: f for f in (op2_toxic_passages, op4_best_fit_packing, op5_quality_classifier, op10_minhash_near_dedup)}
+QUERIES = {f.__name__: f for f in (
+    op2_toxic_passages, op3_multiprobe_neighbours, op4_best_fit_packing, op5_quality_classifier, op6_paragraph_dedup, op10_minhash_near_dedup,
+)}
 ORACLES: dict[str, str] = {}

@@ -49,9 +49,9 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def signed(x: np.ndarray) -> np.ndarray:
-    """As Spark longs."""
-    return x.view(np.int64)
+def positive(values: np.ndarray) -> np.ndarray:
+    """The upper 63 bits, as Spark longs."""
+    return (values >> np.uint64(1)).view(np.int64)
 
 
 def chunks(texts: list[bytes], limit: int = CHUNK_BYTES) -> Iterator[tuple[int, int]]:
@@ -133,3 +133,25 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
                 yield np.array([words.whole(i)], dtype=np.uint64)
             else:
                 yield np.zeros(0, dtype=np.uint64)
+
+
+def paragraphs(words: Words, least: int) -> np.ndarray:
+    """Numbers of the last words of content-defined paragraphs.
+
+    A sentence ends with ``.``, ``!`` or ``?``, before a line break or with its
+    text.  A paragraph ends with each sentence of at least ``least`` words, so
+    shorter ones join what follows; sentences of over 40 words are also cut where
+    a word's hash says so.  Text around a repeated passage can thus change its
+    first and last paragraph only.
+    """
+    n = len(words.hash)
+    if not n:
+        return np.zeros(0, dtype=np.int64)
+    lines = np.cumsum(words.buffer == 10)
+    over = np.append(words.start[1:], len(words.buffer) - 1)
+    final = np.append(words.text[1:] != words.text[:-1], True)
+    stop = np.isin(words.buffer[words.end - 1], np.frombuffer(b".!?", dtype=np.uint8)) | (lines[over - 1] > lines[words.end - 1]) | final
+    begin = np.concatenate(([0], np.flatnonzero(stop)[:-1] + 1))
+    place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
+    cut = (stop & (place + 1 >= least)) | final | ((place >= 40) & (words.hash % np.uint64(16) == 0))
+    return np.flatnonzero(cut)
