@@ -142,7 +142,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
     units = materialize(_occurrences(docs), "paragraphs")
     by_key = Window.partitionBy("v")
     met = _bands(docs, percent).withColumns({"lo": F.min("d").over(by_key), "hi": F.max("d").over(by_key)}).where("lo <> hi")
-    lists = materialize(met.select("v", "d", "n", F.lit(0).cast("long").alias("g")).distinct(), "lists")
+    lists = materialize(met.select("v", "d", "n", F.expr("named_struct('x', 0L, 'y', 0L)").alias("g")).distinct(), "lists")
     colliding = lists.select(F.col("d").alias("k")).distinct()
     wanted = units.join(colliding, "k").groupBy("k").agg(F.min("d").alias("d"))
     sets = materialize(_shingle_sets(docs, wanted), "shingle-sets")
