@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import neighbours, quality, toxicity
+from tickerloom.llm import chat, licences, neighbours, quality, toxicity
+from tickerloom.llm.decontaminate import benchmark_matches
 from tickerloom.llm.near_dedup import near_duplicates
 from tickerloom.llm.packing import packed_documents
 from tickerloom.llm.paragraph_dedup import repeated_paragraphs
@@ -25,6 +26,10 @@ def _judged(scores: DataFrame, held_out: str, least: float) -> DataFrame:
     return scores.select("doc_id", F.expr(held_out).alias("held_out"), "score", (F.col("score") >= least).cast("int").alias("predicted"))
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(_table(spark, sf_dir, "documents"))
+
+
 def op2_toxic_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     model = toxicity.fit(docs, _table(spark, sf_dir, "labels"), TOXIC_FOLD)
@@ -49,11 +54,20 @@ def op6_paragraph_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(_table(spark, sf_dir, "documents")).drop("class")
 
 
+def op7_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.chat_segments(_table(spark, sf_dir, "conversations"))
+
+
+def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_toxic_passages, op3_multiprobe_neighbours, op4_best_fit_packing, op5_quality_classifier, op6_paragraph_dedup, op10_minhash_near_dedup,
+    op1_license_scan, op2_toxic_passages, op3_multiprobe_neighbours, op4_best_fit_packing, op5_quality_classifier, op6_paragraph_dedup,
+    op7_chat_formatting, op8_benchmark_decontamination, op10_minhash_near_dedup,
 )}
-ORACLES: dict[str, str] = {}
+ORACLES = {"op1_license_scan": licences.licences_sql(), "op7_chat_formatting": chat.CHAT_SQL}
