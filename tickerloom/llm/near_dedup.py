@@ -211,3 +211,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         named.groupBy("d").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("c", "d")).alias("component_id"))
         .selectExpr("d AS doc_id", "n_shingles", "component_id", "d = component_id AS kept")
     )
+
+
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
+    """``docs`` with one document of each group, that with the smallest id; rows without id stay."""
+    dropped = near_duplicates(docs, id_col, text_col, words, percent).where("NOT kept").select(F.col("doc_id").alias("_d"))
+    key = F.col(id_col).cast("long")
+    kept = docs.join(materialize(dropped, "dropped"), key == F.col("_d"), "left_anti")
+    repeated = materialize(docs.groupBy(key.alias("_d")).count().where("_d IS NOT NULL AND count > 1").select("_d"), "repeated")
+    once = kept.join(repeated, key == F.col("_d"), "left_semi").dropDuplicates([id_col])
+    return kept.join(repeated, key == F.col("_d"), "left_anti").union(once)

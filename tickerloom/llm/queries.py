@@ -11,6 +11,7 @@ from tickerloom.llm.decontaminate import benchmark_matches
 from tickerloom.llm.near_dedup import near_duplicates
 from tickerloom.llm.packing import packed_documents
 from tickerloom.llm.paragraph_dedup import repeated_paragraphs
+from tickerloom.llm.suffix_dedup import repeated_bytes
 
 #: Labels are learnt from these rows only; ``d`` is the document's id.
 TOXIC_FOLD = "crc32(CAST(d AS string)) % 5 <> 0"
@@ -62,12 +63,16 @@ def op8_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return benchmark_matches(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op9_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_bytes(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_toxic_passages, op3_multiprobe_neighbours, op4_best_fit_packing, op5_quality_classifier, op6_paragraph_dedup,
-    op7_chat_formatting, op8_benchmark_decontamination, op10_minhash_near_dedup,
+    op7_chat_formatting, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_minhash_near_dedup,
 )}
 ORACLES = {"op1_license_scan": licences.licences_sql(), "op7_chat_formatting": chat.CHAT_SQL}

@@ -155,3 +155,22 @@ def paragraphs(words: Words, least: int) -> np.ndarray:
     place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
     cut = (stop & (place + 1 >= least)) | final | ((place >= 40) & (words.hash % np.uint64(16) == 0))
     return np.flatnonzero(cut)
+
+
+def byte_hashes(raw: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
+    """For each size the hash of every window of so many bytes, by doubling."""
+    sums, width = {1: _BYTE[raw]}, 1
+    while width * 2 <= max(sizes):
+        step = np.uint64(pow(_BASE, width, 1 << 64))
+        sums[width * 2] = sums[width][:-width] + step * sums[width][width:]
+        width *= 2
+    out = []
+    for size in sizes:
+        count = max(len(raw) - size + 1, 0)
+        total, at = np.zeros(count, dtype=np.uint64), 0
+        for width in sorted(sums, reverse=True):
+            if size - at >= width:
+                total += np.uint64(pow(_BASE, at, 1 << 64)) * sums[width][at:at + count]
+                at += width
+        out.append(mix(total, size))
+    return out

@@ -253,3 +253,20 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
                 [batch.column(0), pa.array(values, pa.float64()), pa.array(passages, pa.list_(passage))], names=["doc_id", "score", "passages"])
 
     return docs.selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL").mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
+    """``docs`` without those whose score reaches ``least``; rows without id are scored too."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        scores = WordScores(model.toxic, model.clean, model.base) if model else None
+        for batch in batches:
+            if model:
+                keep = [model.probability(model.evidence(found, len(own))) < least for own, found in _scored(column_bytes(batch.column(at)), scores)]
+                batch = batch.filter(pa.array(keep, pa.bool_()))
+            yield batch
+
+    return docs.mapInArrow(run, docs.schema)
