@@ -6,9 +6,7 @@ per component, so a component may hold any share of the rows.
 
 from __future__ import annotations
 
-import uuid
-
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.scratch import materialize
@@ -27,11 +25,10 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def _stored(edges: DataFrame) -> tuple[DataFrame, tuple]:
-    seen = Observation(f"edges-{uuid.uuid4().hex}")
-    marked = edges.distinct().observe(
-        seen, F.count(F.lit(1)).alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x"), F.bit_xor(F.hash("u", "v")).alias("y")
-    )
-    return materialize(marked, "edges"), tuple(sorted(seen.get.items(), key=str))
+    """The stored distinct edges and a fingerprint of their set."""
+    stored = materialize(edges.distinct(), "edges")
+    mark = stored.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v")), F.bit_xor(F.xxhash64("v", "u"))).first()
+    return stored, tuple(mark)
 
 
 def components(links: DataFrame) -> DataFrame:

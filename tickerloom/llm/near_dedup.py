@@ -7,7 +7,7 @@ similarity of each candidate pair, and the full sets confirm it.
 
 Lossless narrowing
     Two sets of the threshold similarity share at least ``LEAST_SHARED`` of 64
-    retained values (expected 51, standard deviation 3; for sets that fit into
+    retained values (expected 55, standard deviation 3; for sets that fit into
     the sketch the bound is exact).  So each text enters only the lists of its
     ``len - LEAST_SHARED + 1`` rarest retained values: two similar texts still
     meet in one.  Rarity comes from counts in ``RARITY_BUCKETS`` hashed
@@ -43,7 +43,7 @@ from tickerloom.llm.text import column_bytes, mix, positive, shingle_sets
 from tickerloom.scratch import materialize
 
 SKETCH = 64
-LEAST_SHARED = 36
+LEAST_SHARED = 42
 RARITY_BUCKETS = 1 << 18
 HUB_ROUNDS = 1
 #: Of 128 one-bit bins, sets of similarity 0.8 differ in 12.8 on average (standard deviation 3.4), unrelated ones in 64.
@@ -123,11 +123,11 @@ def _postings(sets: DataFrame, percent: int) -> DataFrame:
     return sets.select("d", "n", "g", "s").mapInArrow(run, "v long, d long, n long, g struct<x: long, y: long>")
 
 
-def _alike(n1: str, n2: str, g1: str, g2: str, percent: int) -> str:
+def _alike(n1: str, n2: str, g1: str, g2: str, percent: int, bits: int) -> str:
     """Whether sizes and digests leave the threshold possible; a digest differs in no more bits than the sets in elements."""
     differ = f"bit_count({g1}.x ^ {g2}.x) + bit_count({g1}.y ^ {g2}.y)"
     return (
-        f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND {differ} <= {DIGEST_BITS} "
+        f"100 * least({n1}, {n2}) >= {percent} * greatest({n1}, {n2}) AND {differ} <= {bits} "
         f"AND {100 + percent} * ({differ}) <= {100 - percent} * ({n1} + {n2})"
     )
 
@@ -157,12 +157,13 @@ def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, wor
     return both.mapInArrow(run, "a long, b long").distinct()
 
 
-def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame], bits: int = DIGEST_BITS) -> DataFrame:
     """Links (a, b) that connect what the pairs of each list connect.
 
     ``postings`` (v, d, n, g) is a stored table of lists v of members d with
-    set size n and digest g; ``confirm`` keeps the similar ones of distinct
-    pairs (a, b), a < b.
+    set size n and digest g, which differs in no more bits than the sets in
+    elements and for similar sets in no more than ``bits``; ``confirm`` keeps the
+    similar ones of distinct pairs (a, b), a < b.
     """
     lists = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "n", "g")).alias("h")).where("c > 1")
     shared = materialize(postings.join(lists.selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg"), "v"), "shared")
@@ -178,18 +179,18 @@ def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame],
         named = materialize(named.join(main.where("k > 1"), "v"), "placed")
         return named, named.where("c <> main")
 
-    found = links(shared.where("d <> hd").where(_alike("n", "hn", "g", "hg", percent)).selectExpr("hd AS a", "d AS b"), "star")
+    found = links(shared.where("d <> hd").where(_alike("n", "hn", "g", "hg", percent, bits)).selectExpr("hd AS a", "d AS b"), "star")
     for turn in range(HUB_ROUNDS):
         members, rest = placed(found)
         # In every list another hub, drawn from the largest component and from outside it.
         drawn = F.min_by(F.struct("d", "n", "g", "c"), F.struct(F.xxhash64("v", "d", F.lit(turn)), "d")).alias("h")
         hubs = members.groupBy("v", F.expr("c = main").alias("inner")).agg(drawn).selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg", "h.c AS hc")
-        star = rest.join(hubs, "v").where("c <> hc").where(_alike("n", "hn", "g", "hg", percent))
+        star = rest.join(hubs, "v").where("c <> hc").where(_alike("n", "hn", "g", "hg", percent, bits))
         found = found.union(links(star.selectExpr("least(hd, d) AS a", "greatest(hd, d) AS b"), f"hubs-{turn}"))
     members, rest = placed(found)
     left = rest.select("v", *[F.col(x).alias(f"{x}2") for x in ("d", "n", "g", "c")])
     # Of two members outside the main component, only the smaller meets the larger.
-    last = members.join(left, "v").where("c <> c2 AND (c = main OR d < d2)").where(_alike("n", "n2", "g", "g2", percent))
+    last = members.join(left, "v").where("c <> c2 AND (c = main OR d < d2)").where(_alike("n", "n2", "g", "g2", percent, bits))
     return found.union(links(last.selectExpr("least(d, d2) AS a", "greatest(d, d2) AS b"), "rest"))
 
 

@@ -69,6 +69,14 @@ class Cut:
         return values[inside], unit[at[inside]]
 
 
+def _first_of_each(values: np.ndarray, unit: np.ndarray) -> np.ndarray:
+    """Marks one of equal values in each unit."""
+    order = np.lexsort((values, unit))
+    out = np.ones(len(values), dtype=bool)
+    out[order[1:]] = (values[order[1:]] != values[order[:-1]]) | (unit[order[1:]] != unit[order[:-1]])
+    return out
+
+
 def _source(docs: DataFrame) -> DataFrame:
     return docs.selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL AND t IS NOT NULL")
 
@@ -89,7 +97,11 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _bands(docs: DataFrame, percent: int) -> DataFrame:
-    """(v, d, n): band key, class, number of shingles; each once per batch."""
+    """(v, d, n, x, y): band key, class, number of shingles and odd sketch; each once per batch.
+
+    The odd sketch has one bit flipped per shingle, so two differ in no more bits
+    than their sets in elements.
+    """
     bands, rows = tuned(percent)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,17 +114,21 @@ def _bands(docs: DataFrame, percent: int) -> DataFrame:
                     continue
                 begin = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
                 own = unit[begin]
-                number = np.diff(np.append(begin, len(unit)))
+                fresh = _first_of_each(values, unit)
+                flip = np.where(fresh, np.uint64(1) << (values & np.uint64(63)), np.uint64(0))
+                upper = (values & np.uint64(64)) > 0
+                odd = [np.bitwise_xor.reduceat(np.where(side, flip, np.uint64(0)), begin).view(np.int64) for side in (upper, ~upper)]
+                number = np.add.reduceat(fresh.astype(np.int64), begin)
                 for band in range(bands):
                     key = np.full(len(own), band, dtype=np.uint64)
                     for row in range(rows):
                         key = mix(key ^ np.minimum.reduceat(mix(values, 20 + band * rows + row), begin))
-                    parts.append(np.column_stack((positive(key), cut.key[own], number)))
+                    parts.append(np.column_stack((positive(key), cut.key[own], number, *odd)))
             if parts:
                 found = np.unique(np.concatenate(parts), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(3)], names=["v", "d", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], names=["v", "d", "n", "x", "y"])
 
-    return _source(docs).mapInArrow(run, "v long, d long, n long")
+    return _source(docs).mapInArrow(run, "v long, d long, n long, x long, y long")
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -142,7 +158,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
     units = materialize(_occurrences(docs), "paragraphs")
     by_key = Window.partitionBy("v")
     met = _bands(docs, percent).withColumns({"lo": F.min("d").over(by_key), "hi": F.max("d").over(by_key)}).where("lo <> hi")
-    lists = materialize(met.select("v", "d", "n", F.expr("named_struct('x', 0L, 'y', 0L)").alias("g")).distinct(), "lists")
+    lists = materialize(met.select("v", "d", "n", F.struct("x", "y").alias("g")).distinct(), "lists")
     colliding = lists.select(F.col("d").alias("k")).distinct()
     wanted = units.join(colliding, "k").groupBy("k").agg(F.min("d").alias("d"))
     sets = materialize(_shingle_sets(docs, wanted), "shingle-sets")
@@ -152,7 +168,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
         common = "size(array_intersect(s1, s2))"
         return both.where(f"100 * {common} >= {percent} * (size(s1) + size(s2) - {common})").select("a", "b")
 
-    linked = components(link_lists(lists, percent, confirm)).selectExpr("node AS k", "component AS c")
+    linked = components(link_lists(lists, percent, confirm, bits=128)).selectExpr("node AS k", "component AS c")
     placed = units.join(linked, "k", "left").selectExpr("d", "p", "k", "coalesce(c, k) AS c")
     first = placed.groupBy("c").agg(F.min(F.struct("d", "p")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return placed.join(first, "c").where("d <> f.d OR p <> f.p").selectExpr(
