@@ -161,7 +161,7 @@ def _count(rows: DataFrame) -> DataFrame:
 
 def _root(values: np.ndarray, weights: np.ndarray) -> float:
     """The positive lambda with sum weights exp(lambda values) = sum weights."""
-    if not (values > 0).any() or (values * weights).sum() >= 0:
+    if not weights[values > 0].any() or (values * weights).sum() >= 0:
         return 1.0
     low, high = 1e-6, 1.0
     moment = lambda x: float((weights * (np.exp(np.minimum(x * values, 600.0)) - 1)).sum())
