@@ -3,12 +3,14 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
+from tickerloom.operators import cleaning as C
 from tickerloom.operators import contract as CT
 from tickerloom.operators import labels as L
 from tickerloom.operators import pool as P
+from tickerloom.operators import reports as RP
 from tickerloom.operators import strategies as ST
 from tickerloom.sources import sinks
-from tickerloom.streaming.daily import start_daily_refresh
+from tickerloom.streaming.daily import first_affected_day, merge_months, start_daily_refresh
 
 
 @pytest.fixture(scope="module")
@@ -38,7 +40,7 @@ def test_contract_lists_all_violations(pool):
     })
     with pytest.raises(ValueError) as e:
         CT.validate_pool(bad, ST.B1_V0)
-    for word in ("'open'", "score", "fwd_secret", "t21_high", "unexpected values", "t5_date", "not numeric-like: volume"):
+    for word in ("'open'", "score", "fwd_secret", "t21_high", "other strategies", "t5_date", "no numbers in volume"):
         assert word in str(e.value)
 
 
@@ -66,7 +68,7 @@ def test_windows_and_calendar_errors(bars, pool):
         P.resolve_window(bars, end_date="2030-01-01")
     with pytest.raises(RuntimeError, match="nearest_before"):
         P.resolve_window(bars.filter("date != '2022-02-02'"), end_date="2022-02-02")
-    with pytest.raises(RuntimeError, match="missing required columns"):
+    with pytest.raises(RuntimeError, match="lacks"):
         P.preflight(bars, bars, w, ST.B1_V0)
 
 
@@ -95,11 +97,61 @@ def test_stored_pool_is_refreshed_in_place(spark, bars, tmp_path):
 def test_stream_lands_bars_and_refreshes(spark, bars, tmp_path):
     early, late = bars.filter("date <= '2022-08-31'"), bars.filter("date > '2022-08-31'")
     paths = {k: str(tmp_path / k) for k in ("landing", "bars", "pool", "ckpt")}
-    early.write.parquet(paths["bars"])
+    merge_months(spark, early, paths["bars"], str(tmp_path / "first"))
     sinks.write_pool(P.build_pool(early, ST.B1_V0, validate=False), paths["pool"], ST.B1_V0)
     late.write.parquet(paths["landing"])
     start_daily_refresh(spark, paths["landing"], paths["bars"], paths["pool"], ST.B1_V0, paths["ckpt"]).awaitTermination()
-    spark.catalog.clearCache()
     full = P.build_pool(bars, ST.B1_V0, validate=False).select("symbol", "date", "forward_data_status")
     got = spark.read.parquet(paths["pool"]).select("symbol", "date", "forward_data_status")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
+
+
+def test_months_survive_a_crash_between_the_two_writes(spark, bars, tmp_path):
+    early, late = bars.filter("date <= '2022-08-31'"), bars.filter("date > '2022-08-20'").withColumn("close", F.col("close") * 1.5)
+    table, staged = str(tmp_path / "bars"), str(tmp_path / "staged")
+    merge_months(spark, early, table, str(tmp_path / "first"))
+    merge_months(spark, late, table, staged)
+    exact = sorted(map(tuple, spark.read.parquet(table).select("symbol", "date", "close").collect()))
+    # The crash: a touched month is gone; the batch is replayed without its old rows.
+    lost = spark._jvm.org.apache.hadoop.fs.Path(f"{table}/month=2022-08")
+    lost.getFileSystem(spark._jsc.hadoopConfiguration()).delete(lost, True)
+    merge_months(spark, late, table, staged)
+    assert sorted(map(tuple, spark.read.parquet(table).select("symbol", "date", "close").collect())) == exact
+
+
+def test_changed_bars_reach_twenty_bars_back(spark):
+    days = [dt.date(2022, 1, 3) + dt.timedelta(days=7 * i) for i in range(60)]
+    table = spark.createDataFrame([(s, d) for s in ("a", "b") for d in days], "symbol string, date date")
+    changed = spark.createDataFrame([("a", days[45])], "symbol string, date date")
+    assert first_affected_day(table, changed) == days[25]
+
+
+def test_exchange_symbols_confirm_and_enrich(spark, bars, pool):
+    b1 = pool.select("symbol", "date")
+    loose = {"return_threshold_pct": -50.0, "min_volume_ratio_prev1": 0.0, "j_max": 1e9}
+    plain = P.build_pool(bars, ST.B2_FROM_B1, b1_pool=b1, with_range=True, **loose)
+    marked = bars.withColumn("symbol", F.concat(F.lit("SH#"), "symbol"))
+    exchange = P.build_pool(marked, ST.B2_FROM_B1, b1_pool=b1, with_range=True, **loose)
+    keys = lambda df: sorted(map(tuple, df.select("symbol", "date", "b1_date").collect()))
+    assert keys(exchange) == keys(plain) and len(keys(plain)) > 0
+    flag = "b1_structure_downtrend_40"
+    assert sorted(map(tuple, P.enrich_downtrend(b1, marked).collect())) == sorted(map(tuple, P.enrich_downtrend(b1, bars).collect()))
+    assert P.enrich_downtrend(b1, marked).columns == [*b1.columns, flag]
+
+
+def test_selected_text_without_numbers_is_read_by_truth(spark):
+    rows = [("1", 1), ("0", 2), ("", 3), (None, 4)]
+    df = spark.createDataFrame(rows, "selected string, id int")
+    assert [r["id"] for r in C.selected_rows(df).collect()] == [1]
+    words = spark.createDataFrame([("yes", 1), ("", 2), (None, 3)], "selected string, id int")
+    assert [r["id"] for r in C.selected_rows(words).collect()] == [1]
+
+
+def test_combination_cuts_follow_distinct_values(spark):
+    rows = [(v, 1.0, 10.0, 11.0) for v, n in ((0.0, 70), (1.0, 10), (2.0, 10), (3.0, 10)) for _ in range(n)]
+    df = spark.createDataFrame(rows, "f double, fwd_return_pct_T1 double, close double, t1_open double")
+    sizes = [RP.combination_rows(df, {"f": [b]}, 10).count() for b in (1, 2, 3)]
+    assert sizes == [80, 20, 0]
+    detail = spark.createDataFrame([("f", 1), ("f", 4), ("g", 1)], "factor string, bucket int")
+    assert RP.bucket_counts(detail) == {"f": 4, "g": 2}
+    assert "t1_open_gap_pct" in RP.combination_rows(df.withColumn("t1_open", F.rand(3)), {"t1_open_gap_pct": [1]}, 4).columns

@@ -13,19 +13,29 @@ def frame(spark, seed=1, n=400):
     })
 
 
-def test_sliced_and_single_task_positions_agree(spark):
-    df = spark.createDataFrame(frame(spark))
-    cols = ["g", "x", "id", "_before", "_dense", "_total", "_distinct"]
-    one = RK.positions(df, ["g"], ["x", "id"]).select(*cols).orderBy("id").collect()
-    many = RK.positions(df, ["g"], ["x", "id"], one_task_rows=0).select(*cols).orderBy("id").collect()
-    assert one == many
-
-
-def test_weighted_positions_agree(spark, monkeypatch):
-    df = spark.createDataFrame(frame(spark))
-    one = RK.value_positions(df, ["g"], "x").orderBy("g", "x").collect()
-    monkeypatch.setattr(RK, "ONE_TASK_ROWS", 0)
-    assert RK.value_positions(df, ["g"], "x").select(*one[0].__fields__).orderBy("g", "x").collect() == one
+def test_positions_count_rows_ahead(spark):
+    pdf = frame(spark)
+    got = RK.positions(spark.createDataFrame(pdf), ["g"], ["x", "id"]).toPandas().set_index("id")
+    for _, s in pdf.sort_values(["x", "id"]).groupby("g"):
+        mine = got.loc[s.id]
+        assert (mine._before.to_numpy() == np.arange(len(s))).all() and (mine._dense.to_numpy() == np.arange(len(s)) + 1).all()
+        assert (mine._total == len(s)).all() and (mine._distinct == len(s)).all()
+
+
+def test_weighted_positions_count_ties_once(spark):
+    pdf = frame(spark)
+    got = RK.value_positions(spark.createDataFrame(pdf), ["g"], "x").toPandas().set_index(["g", "x"])
+    for g, s in pdf.groupby("g"):
+        for x in s.x.unique():
+            row = got.loc[(g, x)]
+            assert row._before == (s.x < x).sum() and row._n == (s.x == x).sum()
+            assert row._total == len(s) and row._distinct == s.x.nunique()
+
+
+def test_missing_group_keys_are_a_group(spark):
+    rows = [("a", None, 1.0, 1), (None, 1, 5.0, 2), (None, 1, 4.0, 3), (None, None, 2.0, 4)]
+    got = RK.positions(spark.createDataFrame(rows, "g string, h int, x double, id int"), ["g", "h"], ["x", "id"]).collect()
+    assert {r["id"]: (r["_before"], r["_total"]) for r in got} == {1: (0, 1), 2: (1, 2), 3: (0, 2), 4: (0, 1)}
 
 
 def test_quantiles_are_exact(spark):

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions import rolling as R
@@ -28,6 +28,7 @@ SCORED = {
 }
 PROBED = {"cooldown_3d": "-ret_3d_pct", "cooldown_5d": "-ret_5d_pct"}
 RANKS = ["rank_volatility_contract", "rank_pullback_ma20", "rank_cooldown_10d", "rank_cooldown_3d", "rank_cooldown_5d"]
+# Columns of the daily top table.
 TOP_COLUMNS = [
     "date", "symbol", "alpha_rank", "alpha_score", "close", "ret_1d_pct", "ret_3d_pct", "ret_5d_pct", "ret_10d_pct",
     "ret_20d_pct", "excess_20d_pct", "close_to_ma20", "volatility20", "rank_volatility_contract", "rank_cooldown_10d",
@@ -64,12 +65,16 @@ def symbol_features(bars: DataFrame, horizons: Sequence[int]) -> DataFrame:
     return close_labels(df, horizons)
 
 
-def market_panel(bars: DataFrame, horizons: Sequence[int] = (1, 2, 3)) -> DataFrame:
+def market_panel(bars: DataFrame, horizons: Sequence[int] = (1, 2, 3), only_main_board: bool = False) -> DataFrame:
     """Features of symbols with enough history, and excess returns over the daily mean.
 
-    The daily mean has one row per calendar day, which bounds the broadcast.
+    ``only_main_board`` drops other symbols first, so means and later ranks do not see
+    them.  Features are stored once for the mean and for the rows.  The daily mean
+    has one row per calendar day, which bounds the broadcast.
     """
-    df = symbol_features(enough_history(R.by_symbol(bars), horizons), horizons)
+    if only_main_board:
+        bars = bars.filter(F.substring(first_code("symbol"), 1, 2).isin("00", "60"))
+    df = materialize(symbol_features(enough_history(R.by_symbol(bars), horizons), horizons), "features")
     market = df.groupBy("date").agg(F.avg("ret_1d_pct").alias("market_ret_1d_pct"))
     df = df.join(F.broadcast(market), "date")
     df = extend(df, {"excess_1d_pct": "ret_1d_pct - market_ret_1d_pct"})
@@ -145,7 +150,7 @@ def formal_union(pools: dict[str, DataFrame], start_date=None, end_date=None) ->
         ).filter("date IS NOT NULL AND symbol != ''")
         out = part if out is None else out.unionByName(part)
     if out is None:
-        raise ValueError("no usable formal pool")
+        return SparkSession.active().createDataFrame([], "date date, symbol string, formal_pool_name string")
     return out.distinct()
 
 

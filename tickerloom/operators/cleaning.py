@@ -82,8 +82,10 @@ def selected_rows(df: DataFrame, positive: bool = False) -> DataFrame:
     number = to_number("selected")
     if positive:
         return df.filter(number > 0)
-    if kind == "string" and df.filter(number.isNotNull()).isEmpty():
-        return df.filter(F.coalesce(F.length("selected") > 0, F.lit(False)))
+    if kind == "string":
+        any_number = df.agg((F.count(number) > 0).alias("any")).scalar()
+        keep = F.when(any_number, number.cast("int") == 1).otherwise(F.length("selected") > 0)
+        return df.filter(F.coalesce(keep, F.lit(False)))
     return df.filter(number.cast("int") == 1)
 
 

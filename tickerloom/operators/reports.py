@@ -8,9 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalars import code_in_parts, extend, parse_boolean
-from tickerloom.operators.factors import bucket_of, cut_points, number_sql, rank_buckets
-from tickerloom.operators.pool import unpivot_targets
-from tickerloom.operators.ranking import medians, quantiles
+from tickerloom.operators.factors import bucket_of, cuts_of, number_sql, rank_buckets
+from tickerloom.operators.pool import entry_gap, unpivot_targets
+from tickerloom.operators.ranking import medians, quantiles, value_positions
 from tickerloom.scratch import materialize
 
 RETURNS = {"t2": "t2_return_pct", "t3": "t3_return_pct"}
@@ -41,36 +41,44 @@ def combination_rows(
 ) -> DataFrame:
     """Pool rows whose bucket is among the chosen ones for every factor.
 
-    Buckets are cut on the whole pool, all factors in one pass; the cut points
-    (one row per factor) are joined back as constants of the plan.
+    Buckets are cut on the whole pool, all factors in one pass.  A factor of two values has
+    one bucket per value; others have quantile cuts, no more than distinct values.
+    ``buckets`` may come from an earlier bucket table (:func:`bucket_counts`).
     """
     for factor, picked in chosen.items():
         if not picked:
             raise ValueError(f"select at least one bucket for {factor}")
+    pool = entry_gap(pool) if "t1_open_gap_pct" in chosen else pool
     kinds = {f.name: f.dataType for f in pool.schema.fields}
     count = (lambda f: buckets) if isinstance(buckets, int) else (lambda f: buckets.get(f, 10))
+    xs = ", ".join(f"struct('{f}' AS factor, {number_sql(f, kinds[f])} AS x)" for f in chosen)
+    spots = materialize(value_positions(pool.select(F.expr(f"inline(array({xs}))")).filter("x IS NOT NULL"), ["factor"], "x"), "combination")
+    # One row per factor.
+    distinct = {r["factor"]: r["d"] for r in spots.groupBy("factor").agg(F.max("_distinct").alias("d")).collect()}
     out = pool
-    for q in sorted({max(2, count(f)) for f in chosen}):
-        names = [f for f in chosen if max(2, count(f)) == q]
-        xs = ", ".join(f"struct('{f}' AS factor, {number_sql(f, kinds[f])} AS x)" for f in names)
-        rows = pool.select(F.expr(f"inline(array({xs}))")).filter("x IS NOT NULL")
-        # One row per factor; each lands in the plan as two short literal arrays.
-        cuts = {r["factor"]: r for r in cut_points(rows, ["factor"], q).collect()}
-        for f in names:
-            if f not in cuts or cuts[f]["distinct_count"] < 2:
-                raise ValueError(f"No T0 bucket definition can be built for factor: {f}")
-            edges, levels = cuts[f]["edges"], cuts[f]["levels"]
-            value = f"_x_{f}"
-            out = out.withColumn(value, F.expr(number_sql(f, kinds[f])))
-            out = out.withColumns({
-                "edges": F.lit(None).cast("array<double>") if edges is None else F.array(*[F.lit(e) for e in edges]),
-                "levels": F.lit(None).cast("array<double>") if levels is None else F.array(*[F.lit(e) for e in levels]),
-            })
-            out = out.withColumn(f"{f}__bucket", F.when(F.col(value).isNotNull(), bucket_of(value))).drop("edges", "levels", value)
-            out = out.filter(F.col(f"{f}__bucket").isin([int(b) for b in chosen[f]]))
+    for f, picked in chosen.items():
+        if distinct.get(f, 0) < 2:
+            raise ValueError(f"factor {f} has fewer than two values to cut")
+        q = min(max(2, count(f)), distinct[f])
+        cuts = cuts_of(spots.filter(F.col("factor") == f), ["factor"], q, few_values=2).first()
+        edges, levels = cuts["edges"], cuts["levels"]
+        value = f"_x_{f}"
+        out = out.withColumn(value, F.expr(number_sql(f, kinds[f])))
+        # The cut points land in the plan as two short literal arrays.
+        out = out.withColumns({
+            "edges": F.lit(None).cast("array<double>") if edges is None else F.array(*[F.lit(e) for e in edges]),
+            "levels": F.lit(None).cast("array<double>") if levels is None else F.array(*[F.lit(e) for e in levels]),
+        })
+        out = out.withColumn(f"{f}__bucket", F.when(F.col(value).isNotNull(), bucket_of(value))).drop("edges", "levels", value)
+        out = out.filter(F.col(f"{f}__bucket").isin([int(b) for b in picked]))
     return out
 
 
+def bucket_counts(detail: DataFrame) -> dict[str, int]:
+    """Number of buckets per factor of an earlier bucket table, at least two: one row per factor."""
+    return {r["factor"]: max(2, int(r["q"])) for r in detail.groupBy("factor").agg(F.max("bucket").alias("q")).filter("q IS NOT NULL").collect()}
+
+
 def _performance(df: DataFrame, targets: Sequence[str], prefix: str) -> DataFrame:
     long = unpivot_targets(df, targets)
     y = F.col("target_value")

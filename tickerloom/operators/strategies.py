@@ -15,9 +15,10 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import rolling as R
 from tickerloom.functions.recursive import Previous, ema
-from tickerloom.functions.scalars import as_flag, change_pct, extend, is_true, ratio, ratio_or
+from tickerloom.functions.scalars import as_flag, change_pct, extend, first_code, is_true, ratio, ratio_or
 from tickerloom.operators import indicators as I
 from tickerloom.operators.cleaning import selected_rows
+from tickerloom.scratch import materialize
 
 B1_V0 = "b1_stage_low_select_strategy_v0"
 B1_V1 = "b1_stage_low_select_strategy_v1"
@@ -274,8 +275,11 @@ confirm_inline = register(Strategy(
 def _from_pool_prepare(df: DataFrame, *, b1_pool: DataFrame, **_) -> DataFrame:
     """Bars of symbols with a B1 row, with the last B1 date before each bar."""
     marks = selected_rows(b1_pool).select(
-        F.trim("symbol").alias("symbol"), F.col("date").cast("date").alias("date")
-    ).filter(F.col("symbol").isNotNull() & F.col("date").isNotNull()).distinct()
+        first_code("symbol").alias("symbol"), F.col("date").cast("date").alias("date")
+    ).filter((F.col("symbol") != "") & F.col("date").isNotNull()).distinct()
+    # Used twice, and the pool behind it may be a whole build.
+    marks = materialize(marks, "b1-marks")
+    df = df.withColumn("symbol", F.coalesce(F.nullif(first_code("symbol"), F.lit("")), F.col("symbol")))
     # Symbols without a B1 row cannot confirm one: drop their bars before any window.
     df = df.join(marks.select("symbol").distinct(), "symbol", "left_semi")
     df = mark_rows(df, marks, "_b1")

@@ -16,7 +16,7 @@ PRICE_SQL = {
 }
 SYMBOL_SQL = (
     "CASE l_suppkey % 4 WHEN 0 THEN '00' WHEN 1 THEN '60' WHEN 2 THEN '30' ELSE '68' END"
-    " || CASE WHEN l_suppkey < 10000 THEN lpad(CAST(l_suppkey AS {text}), 4, '0') ELSE CAST(l_suppkey AS {text}) END"
+    " || lpad(CAST(l_suppkey % 10000 AS {text}), 4, '0')"
 )
 
 

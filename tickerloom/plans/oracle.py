@@ -336,6 +336,9 @@ def pct_rank(x: str, name: str) -> str:
     )
 
 
+# Other boards are cut before means and ranks.
+MAIN_PANEL = PANEL.replace("AS bars_n FROM bars)", "AS bars_n FROM bars WHERE substr(symbol, 1, 2) IN ('00', '60'))", 1)
+
 SCORE = f"""sc0 AS (SELECT *, -volatility20 AS r1, -abs(close_to_ma20 - 1.03) AS r2, -ret_10d_pct AS r3, -ret_3d_pct AS r4, -ret_5d_pct AS r5 FROM panel),
 sc1 AS (SELECT *, {pct_rank('r1', 'rank_volatility_contract')}, {pct_rank('r2', 'rank_pullback_ma20')}, {pct_rank('r3', 'rank_cooldown_10d')},
         {pct_rank('r4', 'rank_cooldown_3d')}, {pct_rank('r5', 'rank_cooldown_5d')} FROM sc0),

@@ -183,6 +183,16 @@ def b1_v0_pool(spark, sf):
     return b1_pool(spark, sf).select(*names(POOL_OUT))
 
 
+@query("pool_dirty_bars", O.pool_query(O.rounded(POOL_OUT, "b1v0")))
+def pool_dirty_bars(spark, sf):
+    """Exchange-qualified symbols, older duplicates and rows without a price give the clean pool."""
+    bars = X.bars(spark, sf, "narrow").withColumn("age", F.lit(1))
+    older = bars.withColumns({"close": F.col("close") * 2.0, "age": F.lit(0)})
+    broken = bars.withColumns({"close": F.lit(None).cast("double"), "age": F.lit(2)})
+    dirty = bars.unionByName(older).unionByName(broken).withColumn("symbol", F.concat(F.lit("SH#"), "symbol"))
+    return P.build_pool(dirty, ST.B1_V0, validate=False, order=["age"]).select(*names(POOL_OUT))
+
+
 @query("b1_v1_pool", O.pool_query(O.rounded(POOL_OUT + " b1_structure_downtrend_20", "b1v1"), price="wide"))
 def b1_v1_pool(spark, sf):
     return b1_pool(spark, sf, ST.B1_V1, "wide").select(*names(POOL_OUT), "b1_structure_downtrend_20")
@@ -520,9 +530,9 @@ def alpha_score(spark, sf):
     return scored(spark, sf).select("symbol", "date", "close", "alpha_score")
 
 
-@query("universe", O.query(O.rounded("symbol date close~ alpha_score~", "uni", "WHERE substr(symbol, 1, 2) IN ('00', '60')"), O.PANEL, O.SCORE))
+@query("universe", O.query(O.rounded("symbol date close~ alpha_score~", "uni"), O.MAIN_PANEL, O.SCORE))
 def universe(spark, sf):
-    panel = A.market_panel(X.bars(spark, sf))
+    panel = A.market_panel(X.bars(spark, sf), only_main_board=True)
     return C.universe(A.alpha_score(panel), only_main_board=True).select("symbol", "date", "close", "alpha_score")
 
 

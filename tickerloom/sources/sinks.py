@@ -64,7 +64,7 @@ def refresh_pool(new: DataFrame, path: str, strategy_name: str, window: BuildWin
     old = spark.read.parquet(path).filter(touched).drop("month")
     fresh = materialize(new, "refresh-new")
     merged = materialize(merge_window(old, fresh, window.start, window.end), "refresh-merged")
-    validate_pool(merged, strategy_name)
+    validate_pool(merged, strategy_name, whole=False)
     inside = F.col("date").between(F.lit(window.start), F.lit(window.end))
     counts = materialize(
         old.select(F.lit("old").alias("src"), inside.alias("hit"))
