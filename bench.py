@@ -12,6 +12,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from pyspark.sql import SparkSession
 
 from tickerloom.plans.queries import QUERIES
+from tickerloom.scratch import clear_scratch
 
 HEADLINE = [
     "kline", "indicator_table", "forward_labels", "b1_v0_pool", "b2_tdx_pool", "forward_curve", "bucket_detail",
@@ -27,6 +28,7 @@ def main() -> None:
         .config("spark.sql.shuffle.partitions", cpus if cpus.isdigit() else "8")
         .config("spark.driver.memory", "16g")
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", os.path.join(os.getcwd(), "spark-warehouse", "bench"))
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
         # Building expressions is several times faster without per-call source locations.
@@ -45,6 +47,7 @@ def main() -> None:
         "metric": "headline_queries_total", "value": round(sum(seconds.values()), 3), "unit": "sec",
         "queries": seconds, "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
     }))
+    clear_scratch(spark)
     spark.stop()
 
 

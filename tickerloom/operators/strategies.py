@@ -279,7 +279,6 @@ def _from_pool_prepare(df: DataFrame, *, b1_pool: DataFrame, **_) -> DataFrame:
     ).filter((F.col("symbol") != "") & F.col("date").isNotNull()).distinct()
     # Used twice, and the pool behind it may be a whole build.
     marks = materialize(marks, "b1-marks")
-    df = df.withColumn("symbol", F.coalesce(F.nullif(first_code("symbol"), F.lit("")), F.col("symbol")))
     # Symbols without a B1 row cannot confirm one: drop their bars before any window.
     df = df.join(marks.select("symbol").distinct(), "symbol", "left_semi")
     df = mark_rows(df, marks, "_b1")

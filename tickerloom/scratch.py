@@ -9,6 +9,7 @@ share as well.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,10 +30,31 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, label)
     df.write.mode("errorifexists").option("compression", "lz4").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    stored = spark.read.schema(df.schema).parquet(path)
+    stored._scratch_path = path
+    return stored
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def discard(stored: DataFrame) -> None:
+    """Delete a table that :func:`materialize` returned and nothing reads any more."""
+    _delete(stored.sparkSession, stored._scratch_path)
+
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps now.
+
+    Its cleaner drops them when the driver collects the garbage, which may else
+    happen only after several large steps.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has stored; for the end of a session, when no result is read any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tickerloom/{spark.sparkContext.applicationId}")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, f"{scratch_root(spark)}/tickerloom/{spark.sparkContext.applicationId}")
