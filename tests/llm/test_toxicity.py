@@ -33,8 +33,9 @@ def documents(sentence, n=400):
     r, rows, labels = random.Random(3), [], []
     for i in range(n):
         words, toxic = sentence(i, r.randint(20, 120)).split(), int(r.random() < 0.2)
-        for _ in range(4 if toxic else 0):
-            words[r.randrange(len(words))] = r.choice(("vilescum", "vilerat", "nastyfoo", "vile" + r.choice("abcdefgh")))
+        if toxic:
+            at = r.randrange(len(words))
+            words[at:at] = [r.choice(("vilescum", "vilerat", "nastyfoo", "vile" + r.choice("abcdefgh"))) for _ in range(5)]
         rows.append((i, " ".join(words)))
         labels.append((i, 1, toxic))
     return rows, labels
