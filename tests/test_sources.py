@@ -25,9 +25,16 @@ def folder(tmp_path_factory):
     return str(root)
 
 
-@pytest.mark.parametrize("limit", [B.WHOLE_FILE_LIMIT, 0])
-def test_mixed_encodings_and_layouts(spark, folder, limit):
-    got = B.import_bars(spark, folder, whole_file_limit=limit).orderBy("symbol", "date").collect()
+@pytest.mark.parametrize("block", ["128m", "64b"])
+def test_mixed_encodings_and_layouts(spark, folder, block):
+    """Files read as one block, and split into many in the middle of lines."""
+    spark.conf.set("spark.sql.files.maxPartitionBytes", block)
+    try:
+        got = B.import_bars(spark, folder).orderBy("symbol", "date").collect()
+        titles = {r["file"][-13:]: r["line"] for r in B.read_lines(spark, folder).filter("part = 0 AND line_no = 0").collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert sum("浦发银行" in t for t in titles.values()) == 4
     symbols = {r["symbol"] for r in got}
     assert symbols == {"SH#600000", "SZ#000002", "SZ#300003"}
     for s in ("SH#600000", "SZ#300003"):
@@ -38,7 +45,7 @@ def test_mixed_encodings_and_layouts(spark, folder, limit):
 
 def test_import_report_and_rejects(spark, folder):
     r = B.import_report(spark, folder).first().asDict()
-    assert r == {"total_txt_files": 5, "imported_files": 3, "skipped_files": 2, "empty_raw_files": 1, "empty_normalized_files": 0}
+    assert r == {"total_txt_files": 5, "imported_files": 3, "skipped_files": 2, "failed_files": 0, "empty_raw_files": 1, "empty_normalized_files": 0}
     assert B.rejected_lines(B.read_lines(spark, folder)).filter("line LIKE '%x%1%'").count() == 3
 
 
@@ -88,3 +95,22 @@ def test_csv_encoding_index_and_codes(spark, tmp_path):
     out = TB.code_list(codes, order="i")
     sinks.write_codes(out, str(tmp_path / "codes"))
     assert [r["value"] for r in spark.read.text(str(tmp_path / "codes")).collect()] == ["600000", "000012"]
+
+
+def test_late_bytes_decide_the_encoding_of_each_file(spark, tmp_path):
+    """A file of ASCII lines with one Chinese line at its very end, next to files in other encodings."""
+    folder = tmp_path / "many.csv"
+    folder.mkdir()
+    plain = "code,name\n" + "".join(f"{i},plain{i}\n" for i in range(90_000))
+    (folder / "a.csv").write_bytes((plain + "7,浦发银行\ncode,name\n").encode("gb18030"))
+    (folder / "b.csv").write_bytes("code,name\n8,万科\n".encode("utf-8-sig"))
+    (folder / "c.csv").write_bytes("code,name\n9,平安\n".encode("utf-16"))
+    got = {r["code"]: r["name"] for r in TB.read_table(spark, str(folder)).filter("name NOT LIKE 'plain%'").collect()}
+    assert got == {"7": "浦发银行", "8": "万科", "9": "平安", "code": "name"}
+
+
+def test_indicator_subset_keeps_the_last_row_and_known_columns(spark, tmp_path):
+    rows = [("2024-01-02", "SH#600000", 1.0, 5), ("2024-01-02", "600000", 2.0, 6), (None, "600001", 1.0, 7), ("2024-01-03", "", 1.0, 8)]
+    spark.createDataFrame(rows, "date string, symbol string, daily_return_pct double, other int").coalesce(1).write.parquet(str(tmp_path / "i"))
+    got = [tuple(r) for r in TB.read_indicator_subset(spark, str(tmp_path / "i")).collect()]
+    assert got == [(dt.date(2024, 1, 2), "600000", 2.0)]

@@ -4,11 +4,9 @@ A data line is recognised by itself: its first field is a date.  Titles,
 headers, footers and blank lines are simply lines that are not data, so no
 per-file state is needed and lines can be parsed anywhere.
 
-Small files are decoded whole, trying each encoding in order.  A file above
-``whole_file_limit`` is never loaded into one task: it is read by the splittable
-line reader instead.  That works for every listed encoding, because dates,
-numbers and separators are plain ASCII bytes in all of them (two-byte encodings
-only add zero bytes, which are dropped).
+Every file, whatever its size, is split by Spark into blocks of raw lines.  A line's
+place is the start of its block and its number in it.  One pass over all lines
+says, per file, which encodings read every line; the first of them decodes the file.
 """
 
 from __future__ import annotations
@@ -27,7 +25,6 @@ from tickerloom.operators.cleaning import clean_bars, date_range, keep_last
 # Encodings tried in order.
 ENCODINGS = ("utf-8-sig", "utf-8", "gb18030", "gbk", "gb2312", "utf-16", "utf-16-le", "utf-16-be", "big5")
 LAST_RESORT = "gb18030"
-WHOLE_FILE_LIMIT = 64 * 1024 * 1024
 FIELDS = ["date", "open", "high", "low", "close", "volume", "amount"]
 # The three date layouts of a data line.
 DATE_FIELD = r"^(\d{4}[-/]\d{1,2}[-/]\d{1,2}|\d{1,2}/\d{1,2}/\d{4}|\d{8})$"
@@ -37,88 +34,97 @@ SOURCE_MARK = "数据来源"
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
-def decode(raw: bytes, encodings: Sequence[str] = ENCODINGS) -> tuple[str, str]:
-    """Text and the encoding that worked; the last resort skips bad bytes."""
-    for name in encodings:
-        try:
-            text = raw.decode(name)
-        except (UnicodeDecodeError, UnicodeError):
-            continue
+def decode_line(raw: bytes, encoding: str, errors: str = "strict") -> str:
+    """Text of one raw line.  In two-byte encodings half of the line break stays with a neighbour."""
+    if encoding.startswith("utf-16"):
+        if raw[:2] in (b"\xff\xfe", b"\xfe\xff"):
+            raw = raw[2:]
+        little = encoding != "utf-16-be"
+        raw = raw.removeprefix(b"\x00") if little and len(raw) % 2 else raw
+        raw = raw.removesuffix(b"\x00") if not little and len(raw) % 2 else raw
+        return raw.decode("utf-16-le" if little else "utf-16-be", errors).rstrip("\r\n").lstrip("\ufeff")
+    text = raw.decode(encoding, errors)
+    if "\x00" in text:
         # A two-byte text also passes as single bytes; zero bytes give it away.
-        if "\x00" not in text:
-            return text, name
-    for name in ("utf-16", "utf-16-le", "utf-16-be"):
-        try:
-            return raw.decode(name), name
-        except (UnicodeDecodeError, UnicodeError):
-            continue
-    return raw.decode(LAST_RESORT, errors="ignore"), f"{LAST_RESORT}_ignore"
+        raise UnicodeError("zero bytes")
+    return text.rstrip("\r").lstrip("\ufeff")
+
+
+def _reads(raw: bytes, encoding: str) -> bool:
+    try:
+        decode_line(raw, encoding)
+    except UnicodeError:
+        return False
+    return True
 
 
 def _files(spark: SparkSession, path: str, pattern: str) -> DataFrame:
-    return (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    """Paths of the files, without their content."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
+    return files.select("path")
+
+
+def raw_lines(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """(file, part, line_no, raw): every line with its block's start and its number in the block, from 0."""
+    reader = spark.read.option("recursiveFileLookup", True).option("lineSep", "\n")
+    text = (reader.option("pathGlobFilter", pattern) if pattern else reader).text(path)
+    source = text.select(
+        # Metadata paths are URL-encoded ("#" as %23), unlike those of file listings.
+        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
+        F.col("_metadata.file_block_start").alias("part"), F.col("value").cast("binary").alias("raw"),
     )
 
+    def number(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, count = None, 0
+        for batch in batches:
+            numbers = []
+            for key in zip(batch["file"], batch["part"]):
+                count = count + 1 if key == last else 0
+                last = key
+                numbers.append(count)
+            yield batch.assign(line_no=numbers)[["file", "part", "line_no", "raw"]]
 
-def encoding_of(spark: SparkSession, path: str, encodings: Sequence[str]) -> tuple[str, str]:
-    """(encoding, header line) of a table file, judged on its first megabyte of complete lines."""
-    head = _files(spark, path, "*").select(F.substring("content", 1, 1 << 20).alias("c")).first()
-    raw = bytes(head["c"]) if head else b""
-    text, name = decode(raw[: raw.rfind(b"\n") + 1] or raw, encodings)
-    header = text.split("\n", 1)[0].rstrip("\r")
-    return ("utf-8" if name.startswith("utf-8") else name.removesuffix("_ignore")), header
+    return source.mapInPandas(number, "file string, part long, line_no long, raw binary")
 
 
-def decoded_lines(spark: SparkSession, path: str, encoding: str) -> DataFrame:
-    """Lines of a text file in an ASCII-compatible encoding; the file is split as usual."""
+def file_encodings(lines: DataFrame, encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """(file, encoding): the first encoding that reads every line of a file, else the last resort."""
+    names = tuple(encodings)
 
-    def to_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"line": [bytes(v).decode(encoding, errors="ignore").rstrip("\r") for v in batch["raw"]]})
+            for file, part in batch.groupby("file"):
+                raws = [bytes(v) for v in part["raw"]]
+                plain = all(v.isascii() and b"\x00" not in v for v in raws)
+                fits = [plain or all(_reads(v, name) for v in raws) for name in names]
+                yield pd.DataFrame({"file": [file], "fits": [fits], "zeros": [any(b"\x00" in v for v in raws)],
+                                    "big": [any(v[:2] == b"\xfe\xff" or v[:1] == b"\x00" for v, n, at in zip(raws, part["line_no"], part["part"]) if n == at == 0)]})
 
-    raw = spark.read.text(path).select(F.col("value").cast("binary").alias("raw"))
-    return raw.mapInPandas(to_text, "line string")
+    seen = lines.mapInPandas(judge, "file string, fits array<boolean>, zeros boolean, big boolean")
+    fit = [F.bool_and(F.col("fits")[i]).alias(f"f{i}") for i in range(len(names))]
+    two_bytes = F.when(F.col("big"), "utf-16-be").otherwise("utf-16-le")
+    first = F.coalesce(*[F.when(F.col(f"f{i}"), F.lit(n)) for i, n in enumerate(names) if not n.startswith("utf-16")], F.lit(f"{LAST_RESORT}_ignore"))
+    per_file = seen.groupBy("file").agg(*fit, F.bool_or("zeros").alias("zeros"), F.bool_or("big").alias("big"))
+    return per_file.select("file", F.when(F.col("zeros"), two_bytes).otherwise(first).alias("encoding"))
 
 
-def read_lines(
-    spark: SparkSession,
-    path: str,
-    pattern: str = "*.{txt,TXT}",
-    encodings: Sequence[str] = ENCODINGS,
-    whole_file_limit: int = WHOLE_FILE_LIMIT,
-) -> DataFrame:
-    """(file, part, line_no, line, encoding) of every line; (part, line_no) orders a file's lines."""
-    files = _files(spark, path, pattern)
-    names = tuple(encodings)
+def decoded(lines: DataFrame, encodings: DataFrame) -> DataFrame:
+    """(file, part, line_no, line, encoding) from raw lines and their files' encodings."""
 
-    def explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def to_text(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for file, content in zip(batch["file"], batch["content"]):
-                text, used = decode(bytes(content), names)
-                lines = text.replace("\r\n", "\n").replace("\r", "\n").split("\n")
-                for start in range(0, len(lines), 50_000):
-                    part = lines[start : start + 50_000]
-                    yield pd.DataFrame({
-                        "file": file, "part": 0, "line_no": range(start, start + len(part)), "line": part, "encoding": used,
-                    })
-
-    schema = "file string, part long, line_no long, line string, encoding string"
-    small = files.filter(F.col("length") <= whole_file_limit).select(F.col("path").alias("file"), "content")
-    whole = small.mapInPandas(explode, schema)
-    big = [r["path"] for r in files.filter(F.col("length") > whole_file_limit).select("path").toLocalIterator()]
-    if not big:
-        return whole
-    text = spark.read.text(big)
-    split = text.select(
-        # Metadata paths are URL-encoded ("#" as %23), unlike those of the whole-file reader.
-        F.url_decode(F.replace(F.col("_metadata.file_path"), F.lit("+"), F.lit("%2B"))).alias("file"),
-        F.col("_metadata.file_block_start").alias("part"),
-        F.monotonically_increasing_id().alias("line_no"),
-        F.regexp_replace(F.translate("value", "\x00", ""), "^[﻿�]+", "").alias("line"),
-        F.lit("by-line").alias("encoding"),
-    )
-    return whole.unionByName(split)
+            text = [decode_line(bytes(v), e.removesuffix("_ignore"), "strict" if e == "utf-8" else "ignore") if b"\x00" not in bytes(v) or e.startswith("utf-16")
+                    else bytes(v).replace(b"\x00", b"").decode(LAST_RESORT, "ignore") for v, e in zip(batch["raw"], batch["encoding"])]
+            yield batch.assign(line=text)[["file", "part", "line_no", "line", "encoding"]]
+
+    joined = lines.join(encodings, "file").select("file", "part", "line_no", "raw", "encoding")
+    return joined.mapInPandas(to_text, "file string, part long, line_no long, line string, encoding string")
+
+
+def read_lines(spark: SparkSession, path: str, pattern: str | None = "*.{txt,TXT}", encodings: Sequence[str] = ENCODINGS) -> DataFrame:
+    """(file, part, line_no, line, encoding) of every line; (part, line_no) orders a file's lines."""
+    lines = raw_lines(spark, path, pattern)
+    return decoded(lines, file_encodings(lines, encodings))
 
 
 def data_fields(line: Column) -> Column:
@@ -153,9 +159,12 @@ def import_bars(spark: SparkSession, path: str, start_date=None, end_date=None,
 
 
 def import_report(spark: SparkSession, path: str, start_date=None, end_date=None, **options) -> DataFrame:
-    """File counts of an import: total, imported, skipped, without data lines, without usable rows."""
+    """File counts of an import: total, imported, skipped, failed (no encoding reads them and no row came), without data lines, without usable rows."""
     lines = read_lines(spark, path, **options)
-    files = _files(spark, path, options.get("pattern", "*.{txt,TXT}")).select(F.col("path").alias("file"))
+    pattern = options.get("pattern", "*.{txt,TXT}")
+    files = _files(spark, path, pattern).select(F.col("path").alias("file"))
+    raw = raw_lines(spark, path, pattern)
+    unread = file_encodings(raw, options.get("encodings", ENCODINGS)).filter(F.col("encoding").endswith("_ignore")).select("file", F.lit(True).alias("unread"))
     parsed = parse_lines(lines)
     usable = F.col("date").isNotNull() & (F.col("close") > 0)
     for c in ("open", "high", "low"):
@@ -166,13 +175,14 @@ def import_report(spark: SparkSession, path: str, start_date=None, end_date=None
         usable = usable & (F.col("date") <= F.lit(end_date).cast("date"))
     per_file = parsed.groupBy(F.col("_path").alias("file")).agg(
         F.count(F.lit(1)).alias("lines"), F.count_if(usable).alias("rows"))
-    df = files.join(per_file, "file", "left").fillna(0, ["lines", "rows"])
+    df = files.join(per_file, "file", "left").join(unread, "file", "left").fillna(0, ["lines", "rows"]).fillna(False, ["unread"])
     named = exchange_symbol("file").isNotNull()
     ok = named & (F.col("rows") > 0)
     return df.agg(
         F.count(F.lit(1)).alias("total_txt_files"),
         F.count_if(ok).alias("imported_files"),
         F.count_if(~ok).alias("skipped_files"),
+        F.count_if(named & F.col("unread") & (F.col("rows") == 0)).alias("failed_files"),
         F.count_if(named & (F.col("lines") == 0)).alias("empty_raw_files"),
         F.count_if(named & (F.col("lines") > 0) & (F.col("rows") == 0)).alias("empty_normalized_files"),
     )
@@ -198,11 +208,9 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
         raise FileNotFoundError(f"no index file in {path}")
     preferred = [p for p in listed if "999999" in p and p.lower().endswith(".txt")] or [p for p in listed if "999999" in p]
     chosen = (preferred or [p for p in listed if p.lower().endswith(".txt")] or listed)[0]
-    rows = parse_lines(read_lines(spark, chosen, pattern="*"))
+    rows = parse_lines(read_lines(spark, chosen, pattern=None))
     rows = rows.withColumnsRenamed({"file": "source_file"}).drop("symbol")
     return index_series(rows.drop("_path"), order=["_part", "_line"])
 
 
-__all__ = [
-    "decode", "encoding_of", "import_bars", "import_report", "keep_last", "parse_lines", "read_index", "read_lines", "rejected_lines",
-]
+__all__ = ["decode_line", "file_encodings", "import_bars", "import_report", "keep_last", "parse_lines", "raw_lines", "read_index", "read_lines", "rejected_lines"]

@@ -74,19 +74,27 @@ def read_bars(spark: SparkSession, path: str, rule: str = "cache") -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Parquet, or csv/txt with a header in the first encoding that decodes it."""
+    """Parquet, or csv/txt files with a header, each in the first encoding that reads all of its lines.
+
+    Files in UTF-8 go to Spark's own csv reader.  Lines of others are decoded
+    first and give text columns; a file's header is its first line, by place.
+    """
     low = path.lower().rstrip("/")
     if low.endswith((".csv", ".txt")):
-        from tickerloom.sources.bar_text import decoded_lines, encoding_of
+        from tickerloom.sources.bar_text import decoded, file_encodings, raw_lines
 
-        encoding, header = encoding_of(spark, path, CSV_ENCODINGS)
-        if encoding == "utf-8":
+        lines = raw_lines(spark, path)
+        encodings = file_encodings(lines, CSV_ENCODINGS)
+        others = encodings.filter(~F.col("encoding").startswith("utf-8")).limit(1).count()
+        if not others:
             return spark.read.option("header", True).option("encoding", "UTF-8").option("inferSchema", True).csv(path)
-        # Spark's csv reader knows no Chinese charset: decode lines, then parse them as csv text columns.
+        text = decoded(lines, encodings)
+        first = (F.col("part") == 0) & (F.col("line_no") == 0)
+        header = text.filter(first).orderBy("file").select("line").first()["line"]
         names = [h.strip().strip('"') for h in header.split(",")]
         schema = ", ".join(f"`{n}` STRING" for n in names)
-        lines = decoded_lines(spark, path, encoding).filter((F.col("line") != header) & (F.trim("line") != ""))
-        return lines.select(F.from_csv("line", schema).alias("r")).select("r.*")
+        rows = text.filter(~first & (F.trim("line") != ""))
+        return rows.select(F.from_csv("line", schema).alias("r")).select("r.*")
     if low.endswith(".parquet") or "." not in low.rsplit("/", 1)[-1]:
         return spark.read.parquet(path)
     raise ValueError(f"Unsupported table type: {path}")
