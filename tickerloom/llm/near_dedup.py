@@ -19,9 +19,9 @@ Hot lists
     its smallest member only (a star).  In ``HUB_ROUNDS`` more rounds members
     outside the list's largest component meet a hub inside and one outside it,
     other hubs in every list.  The pairs of a list that are left are those of
-    members in different components, so a list of a third of all rows that
-    hangs together costs a few comparisons per row.  No list, bucket or
-    partner count is capped.
+    members in different components whose distances to the list's first hub leave
+    similarity possible, so a list of a third of all rows that hangs together
+    costs a few comparisons per row.  No list, bucket or partner count is capped.
 
 Defined cases: rows without id are left out; rows that share an id are one
 document; null, empty and blank texts have no shingle and are linked with
@@ -132,29 +132,34 @@ def _alike(n1: str, n2: str, g1: str, g2: str, percent: int, bits: int) -> str:
     )
 
 
-def estimated(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose union sketch does not rule the threshold out."""
+def estimated(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, e): the share of common values in the sketch of each pair's union."""
     one, two = sets.selectExpr("d AS a", "s AS s1"), sets.selectExpr("d AS b", "s AS s2")
     union = f"slice(array_sort(array_union(s1, s2)), 1, {SKETCH})"
     share = f"size(array_intersect({union}, array_intersect(s1, s2))) / size({union})"
-    return pairs.join(one, "a").join(two, "b").where(f"{share} >= {percent / 100 - ESTIMATE_SLACK}").select("a", "b")
+    return pairs.join(one, "a").join(two, "b").selectExpr("a", "b", f"{share} AS e")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full shingle sets reach the threshold."""
+def similarities(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """(a, b, common, total): sizes of intersection and union of the full shingle sets."""
     texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
     both = pairs.join(texts.selectExpr("d AS a", "t AS t1"), "a").join(texts.selectExpr("d AS b", "t AS t2"), "b").select("a", "b", "t1", "t2")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            common, total = [], []
             one, two = column_bytes(batch.column(2)), column_bytes(batch.column(3))
             for x, y in zip(shingle_sets(one, words), shingle_sets(two, words), strict=True):
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                common.append(len(np.intersect1d(x, y, assume_unique=True)))
+                total.append(len(x) + len(y) - common[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(common, pa.int64()), pa.array(total, pa.int64())], names=["a", "b", "common", "total"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long, common long, total long")
+
+
+def measured(rows: DataFrame, percent: int) -> DataFrame:
+    """(a, b, lo, hi, ok) of (a, b, common, total): the distance as bounds, and whether the pair is similar."""
+    return rows.selectExpr("a", "b", "1 - common / greatest(total, 1) AS lo", "1 - common / greatest(total, 1) AS hi", f"common > 0 AND 100 * common >= {percent} * total AS ok")
 
 
 def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame], bits: int = DIGEST_BITS) -> DataFrame:
@@ -162,8 +167,9 @@ def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame],
 
     ``postings`` (v, d, n, g) is a stored table of lists v of members d with
     set size n and digest g, which differs in no more bits than the sets in
-    elements and for similar sets in no more than ``bits``; ``confirm`` keeps the
-    similar ones of distinct pairs (a, b), a < b.
+    elements and for similar sets in no more than ``bits``; ``confirm`` gives, for
+    distinct pairs (a, b), bounds ``lo`` and ``hi`` of their Jaccard distance and ``ok`` where
+    they are similar.
     """
     lists = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "n", "g")).alias("h")).where("c > 1")
     shared = materialize(postings.join(lists.selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg"), "v"), "shared")
@@ -171,27 +177,38 @@ def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame],
     def links(pairs: DataFrame, label: str) -> DataFrame:
         return materialize(confirm(materialize(pairs.distinct(), f"candidates-{label}")), f"links-{label}")
 
+    def linked(rows: DataFrame) -> DataFrame:
+        return rows.where("ok").select("a", "b")
+
     def placed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members of each list with their component so far; those outside the list's largest component."""
-        named = shared.select("v", "d", "n", "g").join(components(found).withColumnRenamed("node", "d"), "d", "left")
-        named = named.selectExpr("v", "d", "n", "g", "coalesce(component, d) AS c")
+        named = bounded.join(components(found).withColumnRenamed("node", "d"), "d", "left").drop("hd")
+        named = named.withColumn("c", F.expr("coalesce(component, d)")).drop("component")
         main = named.groupBy("v", "c").count().groupBy("v").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("k"))
         named = materialize(named.join(main.where("k > 1"), "v"), "placed")
         return named, named.where("c <> main")
 
-    found = links(shared.where("d <> hd").where(_alike("n", "hn", "g", "hg", percent, bits)).selectExpr("hd AS a", "d AS b"), "star")
+    star = links(shared.where("d <> hd").where(_alike("n", "hn", "g", "hg", percent, bits)).selectExpr("hd AS a", "d AS b"), "star")
+    found = linked(star)
+    # Jaccard distance obeys the triangle inequality: two members whose distances to their list's
+    # hub differ by more than the threshold distance cannot be similar.
+    least, most = (100 - percent) / 100, (100 - percent) / 100 + 1e-6
+    bounds = star.selectExpr("a AS hd", "b AS d", "CAST(lo AS float) AS lo", "CAST(hi AS float) AS hi")
+    bounded = shared.select("v", "d", "n", "g", "hd").join(bounds, ["hd", "d"], "left").selectExpr(
+        "v", "d", "n", "g", "hd", f"coalesce(lo, IF(d = hd, 0, {least})) AS lo", "coalesce(hi, IF(d = hd, 0, 1)) AS hi")
+    near_hub = f"lo - hi2 <= {most} AND lo2 - hi <= {most}"
     for turn in range(HUB_ROUNDS):
         members, rest = placed(found)
         # In every list another hub, drawn from the largest component and from outside it.
         drawn = F.min_by(F.struct("d", "n", "g", "c"), F.struct(F.xxhash64("v", "d", F.lit(turn)), "d")).alias("h")
-        hubs = members.groupBy("v", F.expr("c = main").alias("inner")).agg(drawn).selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg", "h.c AS hc")
-        star = rest.join(hubs, "v").where("c <> hc").where(_alike("n", "hn", "g", "hg", percent, bits))
-        found = found.union(links(star.selectExpr("least(hd, d) AS a", "greatest(hd, d) AS b"), f"hubs-{turn}"))
+        hubs = members.groupBy("v", F.expr("c = main").alias("inner")).agg(drawn).selectExpr("v", "h.d AS d2", "h.n AS n2", "h.g AS g2", "h.c AS c2")
+        met = rest.join(hubs, "v").where("c <> c2").where(_alike("n", "n2", "g", "g2", percent, bits))
+        found = found.union(linked(links(met.selectExpr("least(d2, d) AS a", "greatest(d2, d) AS b"), f"hubs-{turn}")))
     members, rest = placed(found)
-    left = rest.select("v", *[F.col(x).alias(f"{x}2") for x in ("d", "n", "g", "c")])
+    left = rest.select("v", *[F.col(x).alias(f"{x}2") for x in ("d", "n", "g", "c", "lo", "hi")])
     # Of two members outside the main component, only the smaller meets the larger.
-    last = members.join(left, "v").where("c <> c2 AND (c = main OR d < d2)").where(_alike("n", "n2", "g", "g2", percent, bits))
-    return found.union(links(last.selectExpr("least(d, d2) AS a", "greatest(d, d2) AS b"), "rest"))
+    last = members.join(left, "v").where("c <> c2 AND (c = main OR d < d2)").where(near_hub).where(_alike("n", "n2", "g", "g2", percent, bits))
+    return found.union(linked(links(last.selectExpr("least(d, d2) AS a", "greatest(d, d2) AS b"), "rest")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -203,7 +220,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     postings = materialize(_postings(reps, percent), "postings")
 
     def confirm(pairs: DataFrame) -> DataFrame:
-        return confirmed(estimated(pairs, reps, percent), docs, id_col, text_col, words, percent)
+        guess = materialize(estimated(pairs, reps), "estimates")
+        close = guess.where(f"e >= {percent / 100 - ESTIMATE_SLACK}").select("a", "b")
+        # The estimate lies within five standard deviations of the similarity.
+        far = guess.where(f"e < {percent / 100 - ESTIMATE_SLACK}").selectExpr("a", "b", "greatest(1 - e - 0.3125D, 0D) AS lo", "1D AS hi", "false AS ok")
+        return measured(similarities(close, docs, id_col, text_col, words).distinct(), percent).union(far)
 
     found = link_lists(postings, percent, confirm)
     owner = classes.join(components(found).withColumnRenamed("node", "r"), "r", "left").selectExpr("f", "n", "coalesce(component, r) AS c")

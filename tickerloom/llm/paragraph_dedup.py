@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.llm.graph import components
-from tickerloom.llm.near_dedup import link_lists
+from tickerloom.llm.near_dedup import link_lists, measured
 from tickerloom.llm.text import Words, chunks, column_bytes, mix, paragraphs, positive, powers
 from tickerloom.scratch import materialize
 
@@ -165,8 +165,8 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.selectExpr("k AS a", "s AS s1"), "a").join(sets.selectExpr("k AS b", "s AS s2"), "b")
-        common = "size(array_intersect(s1, s2))"
-        return both.where(f"100 * {common} >= {percent} * (size(s1) + size(s2) - {common})").select("a", "b")
+        sizes = both.selectExpr("a", "b", "size(s1) + size(s2) AS n", "size(array_intersect(s1, s2)) AS common")
+        return measured(sizes.selectExpr("a", "b", "common", "n - common AS total"), percent)
 
     linked = components(link_lists(lists, percent, confirm, bits=128)).selectExpr("node AS k", "component AS c")
     placed = units.join(linked, "k", "left").selectExpr("d", "p", "k", "coalesce(c, k) AS c")
