@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.text import Words, chunks, column_bytes
+from tickerloom.llm.text import Words, bounded_batches, chunks, column_bytes
 from tickerloom.scratch import materialize
 
 SHINGLE = 5
@@ -149,7 +149,7 @@ def _regions(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], percent: int
             kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["d", "a", "n", "w"])
 
-    source = docs.selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL AND t IS NOT NULL")
+    source = bounded_batches(docs).selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL AND t IS NOT NULL")
     return source.mapInArrow(run, "d long, a long, n long, w binary")
 
 

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.graph import components
-from tickerloom.llm.text import column_bytes, mix, positive, shingle_sets
+from tickerloom.llm.text import bounded_batches, column_bytes, mix, positive, shingle_sets
 from tickerloom.scratch import materialize
 
 SKETCH = 64
@@ -80,7 +80,7 @@ def sketch_table(docs: DataFrame, id_col: str, text_col: str, words: int) -> Dat
                 names=["d", "n", "f", "g", "s"],
             )
 
-    source = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).where("d IS NOT NULL")
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t")).where("d IS NOT NULL")
     return source.mapInArrow(run, schema)
 
 

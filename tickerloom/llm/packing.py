@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickerloom.llm.text import bounded_batches
 from tickerloom.scratch import materialize
 
 CAPACITY = 1024
@@ -82,7 +83,7 @@ def pieces_of(docs: DataFrame, ranks_path: str, id_col: str = "doc_id", text_col
             columns = list(zip(*rows, strict=True)) or [()] * 6
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
-    source = docs.select(F.col(id_col).cast("long").alias("d"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
+    source = bounded_batches(docs).select(F.col(id_col).cast("long").alias("d"), F.xxhash64(F.col(text_col).cast("string")).alias("h"), F.col(text_col).cast("string").alias("t"))
     return source.where("d IS NOT NULL").mapInArrow(run, schema)
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.graph import components
 from tickerloom.llm.near_dedup import link_lists, measured
-from tickerloom.llm.text import Words, chunks, column_bytes, mix, paragraphs, positive, powers
+from tickerloom.llm.text import Words, bounded_batches, chunks, column_bytes, mix, paragraphs, positive, powers
 from tickerloom.scratch import materialize
 
 LEAST_WORDS = 6
@@ -78,7 +78,7 @@ def _first_of_each(values: np.ndarray, unit: np.ndarray) -> np.ndarray:
 
 
 def _source(docs: DataFrame) -> DataFrame:
-    return docs.selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL AND t IS NOT NULL")
+    return bounded_batches(docs).selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL AND t IS NOT NULL")
 
 
 def _occurrences(docs: DataFrame) -> DataFrame:

@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.text import Words, chunks, column_bytes
+from tickerloom.llm.text import Words, bounded_batches, chunks, column_bytes
 from tickerloom.scratch import materialize
 
 RIDGE = 2e-3
@@ -105,7 +105,7 @@ def features(docs: DataFrame) -> DataFrame:
             offsets = np.arange(len(rows) + 1, dtype=np.int32) * rows.shape[1]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(rows.ravel()))], names=["d", "x"])
 
-    return docs.selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL").mapInArrow(run, "d long, x array<double>")
+    return bounded_batches(docs).selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL").mapInArrow(run, "d long, x array<double>")
 
 
 def _matrix(column: pa.Array) -> np.ndarray:

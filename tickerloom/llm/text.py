@@ -11,8 +11,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
+#: Texts per Arrow batch; a batch and its copies as Python objects stay in memory together.
+BATCH_ROWS = 2000
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -24,6 +27,15 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 
 
+def bounded_batches(docs: DataFrame) -> DataFrame:
+    """``docs``, with Arrow batches of its session limited to ``BATCH_ROWS`` rows."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    most = int(docs.sparkSession.conf.get(name))
+    if not 0 < most <= BATCH_ROWS:
+        docs.sparkSession.conf.set(name, BATCH_ROWS)
+    return docs
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

@@ -39,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.llm.text import column_bytes
+from tickerloom.llm.text import bounded_batches, column_bytes
 
 LABELLED = 50_000
 BUCKETS = 1 << 18
@@ -49,7 +49,7 @@ WORD_PRIOR = 15.0
 DRIFT = 1.2
 SCORE_LIMIT = 6.0
 SIGNIFICANT = 0.01
-_CACHE = 400_000
+_CACHE = 150_000
 #: Bytes that end a word: ASCII white space, control and punctuation characters.
 _SEPARATE = bytes(32 if i < 128 and not chr(i).isalnum() else i for i in range(256))
 
@@ -188,7 +188,7 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def fit(docs: DataFrame, labels: DataFrame, fold: str, label: str = "toxic", most: int = LABELLED) -> Model | None:
     """The model of the rows that ``fold`` (an SQL condition on the id ``d``) lets in; None without both labels."""
-    rows = labelled_texts(docs, labels, label, fold, most)
+    rows = labelled_texts(bounded_batches(docs), labels, label, fold, most)
     counts = _count(rows).toArrow()  # at most three times BUCKETS rows and one
     at, t, c = (counts.column(i).to_numpy() for i in range(3))
     size = (len(STEMS) + 1) * BUCKETS
@@ -252,7 +252,7 @@ def score(docs: DataFrame, model: Model | None) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(values, pa.float64()), pa.array(passages, pa.list_(passage))], names=["doc_id", "score", "passages"])
 
-    return docs.selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL").mapInArrow(run, schema)
+    return bounded_batches(docs).selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL").mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, model: Model | None, least: float = 0.5) -> DataFrame:
@@ -269,4 +269,4 @@ def without_toxic(docs: DataFrame, model: Model | None, least: float = 0.5) -> D
                 batch = batch.filter(pa.array(keep, pa.bool_()))
             yield batch
 
-    return docs.mapInArrow(run, docs.schema)
+    return bounded_batches(docs).mapInArrow(run, docs.schema)
