@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions import scalars as S
 from tickerloom.operators import alpha as A
 from tickerloom.operators import cleaning as C
+from tickerloom.operators import contract as CT
 from tickerloom.operators import factors as FA
 from tickerloom.operators import indicators as I
 from tickerloom.operators import labels as L
@@ -219,6 +220,69 @@ def b2_tdx_pool(spark, sf):
     return pool.select("symbol", "date", "selection_strategy", "b1_date", "b1_lag_trade_days", "b1_tdx_signal", *CONFIRM_MAP)
 
 
+@query("entry_gap", O.pool_query(f"SELECT symbol, date, CASE WHEN close > 0 THEN {O.r4(O.chg('t1_open', 'close'))} END AS t1_open_gap_pct FROM b1v0"))
+def entry_gap(spark, sf):
+    return P.entry_gap(b1_pool(spark, sf)).select("symbol", "date", "t1_open_gap_pct")
+
+
+@query("rehydrate", O.pool_query(O.rounded("symbol date ma5~ ma20~ volume_ratio_ma5~", "b1v0")))
+def rehydrate(spark, sf):
+    """Columns that a pool has dropped come back from the indicator table."""
+    pool = b1_pool(spark, sf).select("symbol", "date")
+    table = I.indicator_table(X.bars(spark, sf, "narrow"), extra={})
+    return P.rehydrate(pool, table, ["ma5", "ma20", "volume_ratio_ma5"])
+
+
+@query("fill_missing_kline", O.query(O.rounded("symbol date amplitude_pct~ body_pct~ is_red_k is_green_k is_flat_k ma5~ volume_ratio_prev1~", "tab"), chain=True, price="narrow"))
+def fill_missing_kline(spark, sf):
+    """A cache without most candle columns and with wrong colours gets both right."""
+    table = I.indicator_table(X.bars(spark, sf, "narrow"), extra={}).withColumn("is_red_k", F.lit(7))
+    stale = table.select("symbol", "file", "date", "open", "high", "low", "close", "volume", "amount", "ma5", "is_red_k", "amplitude_pct")
+    out = I.fill_missing_kline(stale)
+    return out.select("symbol", "date", "amplitude_pct", "body_pct", "is_red_k", "is_green_k", "is_flat_k", "ma5", "volume_ratio_prev1")
+
+
+@query("canonical_kline", O.query(O.rounded("symbol date amplitude_pct~ body_pct~ upper_shadow_pct~ volume_ratio_prev1~", "tab"), chain=True, price="narrow"))
+def canonical_kline(spark, sf):
+    """Wrong candle columns are computed anew."""
+    stale = X.bars(spark, sf, "narrow").withColumns({"amplitude_pct": F.lit(-1.0), "body_pct": F.lit(-1.0)})
+    return I.canonical_kline(stale).select("symbol", "date", "amplitude_pct", "body_pct", "upper_shadow_pct", "volume_ratio_prev1")
+
+
+@query("selected_rows", O.pool_query("SELECT symbol, date FROM b1v0 WHERE day(date) % 3 = 1"))
+def selected_rows(spark, sf):
+    pool = b1_pool(spark, sf).select("symbol", "date", F.expr("CAST(day(date) % 3 AS STRING)").alias("selected"))
+    return C.selected_rows(pool).select("symbol", "date")
+
+
+@query("pool_contract", O.pool_query("SELECT count(*) AS row_count, 1 AS has_factors FROM b1v0"))
+def pool_contract(spark, sf):
+    report = CT.validate_pool(b1_pool(spark, sf), ST.B1_V0)
+    return spark.createDataFrame([(report.row_count, int("kdj_j" in report.factor_columns))], "row_count long, has_factors int")
+
+
+@query("build_window", O.pool_query(
+    "SELECT max(date) - 45 AS first_day, (SELECT max(date) FROM bars) AS last_day, count(*) AS old_rows FROM b1v0"))
+def build_window(spark, sf):
+    window = P.resolve_window(X.bars(spark, sf, "narrow"), b1_pool(spark, sf).select("symbol", "date"), incremental=True)
+    return spark.createDataFrame([(window.start, window.end, window.old_pool_rows)], "first_day date, last_day date, old_rows long")
+
+
+@query("text_values", """
+SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS compact, CAST(o_orderdate AS DATE) AS day_first,
+  floor(o_totalprice) AS price, o_orderstatus = 'F' AS done, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS code FROM orders""")
+def text_values(spark, sf):
+    """Dates, grouped numbers, truth words and codes written as text and read again."""
+    orders = X.table(spark, sf, "orders")
+    text = orders.select(
+        "o_orderkey", F.date_format("o_orderdate", "yyyy/M/d").alias("a"), F.date_format("o_orderdate", "yyyyMMdd").alias("b"),
+        F.date_format("o_orderdate", "dd/MM/yyyy").alias("c"), F.format_number(F.floor("o_totalprice"), 0).alias("p"),
+        F.when(F.col("o_orderstatus") == "F", "Yes").otherwise("false").alias("f"), F.concat(F.lit("SH#"), F.col("o_custkey").cast("string")).alias("s"))
+    return text.select(
+        "o_orderkey", S.parse_date("a").alias("iso"), S.parse_date("b").alias("compact"), S.parse_date_day_first("c").alias("day_first"),
+        S.parse_number("p").alias("price"), S.parse_boolean("f").alias("done"), S.normalize_symbol("s").alias("code"))
+
+
 FROM_POOL_OUT = "symbol date b1_date daily_return_pct~ volume_ratio_prev1~ volume_ratio_ma5~ kdj_k~ kdj_d~ kdj_j~ upper_shadow_pct~ t1_high~ t1_low~ t20_high~ fwd_return_pct_T1~ fwd_return_pct_T20~"
 FROM_POOL_FLAGS = {
     "b1_lag_trade_days": "CAST(bar - b1_bar AS BIGINT)", "b2_no_long_upper_shadow": O.bit("upper_shadow_pct <= 2"),
