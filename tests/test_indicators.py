@@ -86,7 +86,20 @@ def test_audit_finds_every_breach(bars):
         .withColumn("wild", F.lit(float("inf"))).drop("amount")
     )
     text = " ".join(AU.audit(bars, bad).errors)
-    for word in ("row count", "modified", "close_to_x", "boolean", "non-numeric", "all missing", "infinities", "deleted", "missing after"):
+    for word in ("rows became", "changed in", "close_to_x", "truth values", "no numbers", "without a value", "infinite", "are gone", "a bar needs"):
         assert word in text
     with pytest.raises(ValueError, match="failed its audit"):
         AU.apply_audited(bars, {"broken": lambda d: d.withColumn("up", F.lit(True))})
+
+
+def test_plug_ins_are_audited_and_get_named_settings(bars):
+    def wide(df, ma_windows):
+        return df.withColumn("widest", F.lit(max(ma_windows)) + F.col("close"))
+
+    def after(df):
+        return df.withColumn("twice", F.col("widest") * 2)
+
+    row = I.indicator_table(bars, ma_windows=(5, 9), extra={"wide": wide, "after": after}).first()
+    assert row["widest"] == row["close"] + 9 and row["twice"] == 2 * row["widest"]
+    with pytest.raises(ValueError, match="changed in"):
+        I.indicator_table(bars, extra={"bad": lambda df: df.withColumn("close", F.col("close") * 2)})

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -9,6 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tickerloom.scratch import materialize
+
 # Words and names that belong to strategies, not to indicators.
 FORBIDDEN_WORDS = (
     "selected", "score", "rank", "signal", "xg", "buy", "sell", "position", "strategy", "pool", "market_regime",
@@ -44,33 +47,33 @@ def audit(before: DataFrame, after: DataFrame) -> Audit:
     errors, warnings = [], []
     if len(set(after.columns)) != len(after.columns):
         twice = sorted({c for c in after.columns if after.columns.count(c) > 1})
-        return Audit([f"duplicate columns found: {twice}"], [], added, [])
+        return Audit([f"column names occur twice: {twice}"], [], added, [])
     deleted = [c for c in before.columns if c not in after.columns]
     if deleted:
-        errors.append(f"deleted existing columns: {deleted}")
+        errors.append(f"columns of the input are gone: {deleted}")
     missing = [c for c in BASE if c not in after.columns]
     if missing:
-        errors.append(f"required base columns missing after indicator: {missing}")
+        errors.append(f"a bar needs {missing}")
     named = [c for c in added if c.lower() in FORBIDDEN_NAMES or any(w in c.lower() for w in FORBIDDEN_WORDS)]
     if named:
-        errors.append(f"added strategy/judgement-like columns: {named}")
+        errors.append(f"new columns named like a judgement: {named}")
     kinds = {f.name: f.dataType for f in after.schema.fields}
     flags = [c for c in added if isinstance(kinds[c], T.BooleanType)]
     other = [c for c in added if c not in flags and not isinstance(kinds[c], T.NumericType)]
     if flags:
-        errors.append(f"added boolean columns: {flags}")
+        errors.append(f"new columns hold truth values: {flags}")
     if other:
-        errors.append(f"added non-numeric columns: {other}")
+        errors.append(f"new columns hold no numbers: {other}")
 
     shared = [c for c in before.columns if c in after.columns]
     modified: list[str] = []
     if {"symbol", "date"} <= set(shared):
         old, new = _fingerprints(before, shared), _fingerprints(after, shared)
         if old["_rows"] != new["_rows"]:
-            errors.append(f"row count changed: before={old['_rows']}, after={new['_rows']}")
+            errors.append(f"{old['_rows']} rows became {new['_rows']}")
         modified = [c for c in shared if old[c] != new[c]]
         if modified:
-            errors.append(f"modified existing columns: {modified}")
+            errors.append(f"values of the input changed in {modified}")
     numeric = [c for c in added if c not in flags and c not in other]
     if numeric:
         seen = after.agg(F.count(F.lit(1)).alias("_rows"), *[
@@ -82,18 +85,25 @@ def audit(before: DataFrame, after: DataFrame) -> Audit:
         infinite = [c for c in numeric if seen[c]["inf"] > 0]
         sparse = [c for c in numeric if rows and 1 - seen[c]["n"] / rows > SPARSE_SHARE]
         if empty:
-            errors.append(f"added columns are all missing: {empty}")
+            errors.append(f"new columns without a value: {empty}")
         if infinite:
-            errors.append(f"added columns contain infinities: {infinite}")
+            errors.append(f"infinite values in new columns: {infinite}")
         if sparse:
-            warnings.append(f"added columns are mostly missing: {sparse}")
+            warnings.append(f"new columns with few values: {sparse}")
     return Audit(errors, warnings, added, modified)
 
 
-def apply_audited(df: DataFrame, indicators: dict[str, Callable[[DataFrame], DataFrame]]) -> DataFrame:
-    """Run user indicators one after another; the first that breaks the contract raises."""
+def apply_audited(df: DataFrame, indicators: dict[str, Callable[..., DataFrame]], options: dict | None = None) -> DataFrame:
+    """Run user indicators one after another; the first that breaks the contract raises.
+
+    An indicator gets those of ``options`` that its signature names.  Each result is
+    stored once, so an audit reads tables and never repeats earlier indicators.
+    """
+    if indicators:
+        df = materialize(df, "indicators")
     for name, fn in indicators.items():
-        after = df.transform(fn)
+        wanted = inspect.signature(fn).parameters
+        after = materialize(fn(df, **{k: v for k, v in (options or {}).items() if k in wanted}), f"indicator-{len(df.columns)}")
         result = audit(df, after)
         if not result.ok:
             raise ValueError(f"indicator {name} failed its audit:\n" + "\n".join(f"- {e}" for e in result.errors))

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions import rolling as R
 from tickerloom.functions.recursive import Mix, Previous, add_recursive, ema, weighted
 from tickerloom.functions.scalars import as_flag, change_pct, extend, project, ratio, ratio_or
+from tickerloom.operators.audit import apply_audited
 
 MA_WINDOWS = (5, 10, 20, 60)
 VOLUME_WINDOWS = (5, 10)
@@ -350,13 +351,14 @@ def indicator_table(
 ) -> DataFrame:
     """All reusable indicators in a fixed column order.
 
+    User indicators are audited and get those of the settings that they name.
     The end date cuts bars before the windows run; the start date cuts rows
     afterwards so that early rows still see their full history.
     """
     df = bars if end_date is None else bars.filter(F.col("date") <= F.lit(end_date).cast("date"))
     df = run(R.by_symbol(df), indicator_block(ma_windows, volume_windows, macd_params, brick))
-    for fn in (INDICATORS if extra is None else extra).values():
-        df = df.transform(fn)
+    options = {"ma_windows": ma_windows, "volume_windows": volume_windows, "macd_params": macd_params, "brick": brick}
+    df = apply_audited(df, INDICATORS if extra is None else extra, options)
     if start_date is not None:
         df = df.filter(F.col("date") >= F.lit(start_date).cast("date"))
     return df.select(*indicator_order(df.columns, ma_windows, volume_windows))
