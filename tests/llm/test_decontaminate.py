@@ -63,6 +63,20 @@ def test_blocks_reach_the_radius():
         assert any((difference >> (16 * b)) & 65535 in near for b in range(4))
 
 
+def test_items_cut_to_the_threshold_are_found(spark, sentence):
+    """Items of 40 words quoted without 4 of them, similarity 0.8 and more: about one in 30 is missed with a radius of 11."""
+    items = [(i, sentence(9000 + i, 40)) for i in range(400)]
+    docs = []
+    for i, text in items:
+        words, own = text.split(), sentence(20000 + i, 30).split()
+        own[15:15] = words[:-4] if i % 2 else words[4:]
+        docs.append((i, " ".join(own)))
+    due = {(d, d) for d, text in docs if any(similarity(text.encode().split()[p:p + 40], items[d][1].encode().split()) >= 0.8 for p in range(27))}
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    assert len(due) > 150
+    assert {(r["doc_id"], r["item_id"]) for r in benchmark_matches(d, i).collect()} == due
+
+
 def test_empty_tables(spark):
     docs, items = spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "item_id long, text string")
     full = spark.createDataFrame([(1, "a b c d e f g")], "doc_id long, text string")
