@@ -132,7 +132,9 @@ def _regions(docs: DataFrame, bitmap: np.ndarray, sizes: list[int], percent: int
                 words = Words(texts[a:b])
                 values, at = words.shingles(SHINGLE)
                 hits = bits[_slots(values)]
-                weight = words.end[at + SHINGLE - 1] - words.start[at] if len(at) else at
+                # A shingle weighs its words and one blank between each two, however wide the gaps of the text are.
+                sums = np.concatenate(([0], np.cumsum(words.end - words.start)))
+                weight = sums[at + SHINGLE] - sums[at] + SHINGLE - 1
                 cut = np.searchsorted(at, words.first)
                 for i in np.unique(words.text[at[hits > 0]]).tolist():
                     first, count = words.first[i], int(words.first[i + 1] - words.first[i])
