@@ -1,4 +1,6 @@
-from tickerloom.llm.paragraph_dedup import repeated_paragraphs, tuned, without_repeats
+from tickerloom.llm.paragraph_dedup import LEAST_WORDS, repeated_paragraphs, tuned, without_repeats
+from tickerloom.llm.text import Words
+from tickerloom.llm.text import paragraphs as cuts
 
 
 def paragraphs(text):
@@ -83,3 +85,26 @@ def test_tuned_bands_reach_the_recall():
         bands, rows = tuned(percent)
         assert 1 - (1 - (percent / 100) ** rows) ** bands >= 0.99
         assert bands == 1 or 1 - (1 - percent / 100) ** (bands - 1) < 0.99
+
+
+def test_passages_of_short_lines_and_of_unpunctuated_words_stay_once(spark, sentence):
+    """60 words in lines of 1 to 5 words, or in one piece, between different neighbours, at a sentence's start and deep in one."""
+    for size in (1, 3, 5, 60):
+        words = sentence(600 + size, 60).split()
+        passage = "\n".join(" ".join(words[i:i + size]) for i in range(0, 60, size))
+        rows = []
+        for i in range(8):
+            if size < 60:
+                before = "\n".join(sentence(8000 + 100 * i + j, 4) for j in range(i)) or f"{sentence(8000 + i, 20)}."
+                rows.append((i, f"{before}\n{passage}\n{sentence(9000 + i, 20)}. {sentence(9500 + i, 20)}."))
+            else:
+                rows.append((i, f"{sentence(8000 + i, 15 * i) + ' ' if i else ''}{passage} {sentence(9000 + i, 30)}."))
+        out = without_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+        left = [sum(w in set((r["text"] or "").split()) for w in set(words)) / len(set(words)) for r in out if r["doc_id"]]
+        assert len(left) == 7 and sum(left) / 7 < 0.45 and max(left) < 0.75, (size, left)
+
+
+def test_equal_short_lines_are_cut(sentence):
+    for text in (b"one two three\n" * 500, b"x " * 900):
+        last = cuts(Words([text]), LEAST_WORDS)
+        assert max(b - a for a, b in zip([-1, *last[:-1]], last, strict=True)) <= 60

@@ -147,14 +147,45 @@ def shingle_sets(texts: list[bytes], n: int) -> Iterator[np.ndarray]:
                 yield np.zeros(0, dtype=np.uint64)
 
 
+#: Sentences of more words are cut inside; runs without a content-chosen cut are cut after so many words.
+LONG_WORDS = 40
+#: Hash cuts in long sentences are at least this many words apart, 17 on average.
+CUT_REACH = 8
+
+
+def _local_minima(values: np.ndarray, place: np.ndarray, group: np.ndarray, reach: int) -> np.ndarray:
+    """Marks values below all others of their group within ``reach`` places; the first of equals counts."""
+    out = np.ones(len(values), dtype=bool)
+    for step in range(1, min(reach, len(values) - 1) + 1):
+        near = (place[step:] - place[:-step] <= reach) & (group[step:] == group[:-step])
+        out[step:] &= ~near | (values[step:] < values[:-step])
+        out[:-step] &= ~near | (values[:-step] <= values[step:])
+    return out
+
+
+def _capped(place: np.ndarray, cut: np.ndarray, start: int, least: int) -> list[int]:
+    """Places to cut besides ``cut``, so that no piece from ``start`` goes on for LONG_WORDS words past which a place follows."""
+    more = []
+    for p, chosen in zip(place.tolist(), cut.tolist(), strict=True):
+        if chosen:
+            start = p + 1
+        elif p + 1 - start >= max(LONG_WORDS, least):
+            more.append(p)
+            start = p + 1
+    return more
+
+
 def paragraphs(words: Words, least: int) -> np.ndarray:
     """Numbers of the last words of content-defined paragraphs.
 
     A sentence ends with ``.``, ``!`` or ``?``, before a line break or with its
-    text.  A paragraph ends with each sentence of at least ``least`` words, so
-    shorter ones join what follows; sentences of over 40 words are also cut where
-    a word's hash says so.  Text around a repeated passage can thus change its
-    first and last paragraph only.
+    text.  A paragraph ends with each sentence of at least ``least`` words.  A run
+    of shorter ones ends paragraphs where a sentence's hash is the least within
+    ``least`` words, and with its last sentence, if ``least`` words stand before; what is left
+    joins the sentence that follows.  Sentences of over LONG_WORDS words are also cut
+    where a word's hash is the least within CUT_REACH words, from their first word on.
+    Where hashes repeat and give no cut, one follows after LONG_WORDS words.
+    Text around a repeated passage can thus change its first and last paragraphs only.
     """
     n = len(words.hash)
     if not n:
@@ -163,9 +194,51 @@ def paragraphs(words: Words, least: int) -> np.ndarray:
     over = np.append(words.start[1:], len(words.buffer) - 1)
     final = np.append(words.text[1:] != words.text[:-1], True)
     stop = np.isin(words.buffer[words.end - 1], np.frombuffer(b".!?", dtype=np.uint8)) | (lines[over - 1] > lines[words.end - 1]) | final
-    begin = np.concatenate(([0], np.flatnonzero(stop)[:-1] + 1))
-    place = np.arange(n) - np.repeat(begin, np.diff(np.append(begin, n)))
-    cut = (stop & (place + 1 >= least)) | final | ((place >= 40) & (words.hash % np.uint64(16) == 0))
+    last = np.flatnonzero(stop)
+    begin = np.concatenate(([0], last[:-1] + 1))
+    size = last + 1 - begin
+    cut = final.copy()
+    cut[last[size >= least]] = True
+
+    # Runs of short sentences; a run ends with its text.
+    short = size < least
+    if short.any():
+        fresh = short & ~np.concatenate(([False], short[:-1] & (words.text[last[1:]] == words.text[last[:-1]])))
+        run = np.cumsum(fresh)[short]
+        ends, firsts = last[short], begin[short]
+        run_start = firsts[np.flatnonzero(fresh[short])]
+        run_last = np.append(ends[np.flatnonzero(fresh[short])[1:] - 1], ends[-1])
+        if (run_last - run_start + 1 >= least).any():
+            place = np.arange(n) - np.repeat(begin, size)
+            value = np.add.reduceat(mix(words.hash, 7) * powers(int(size.max()))[place], begin)[short]
+            room = ends + 1 - run_start[run - 1] >= least
+            chosen = _local_minima(mix(value, 8), ends, run, least - 1) & room
+            cut[ends[chosen]] = True
+            bounds = np.searchsorted(run, np.arange(1, len(run_start) + 2))
+            for r in np.flatnonzero(run_last - run_start + 1 >= least).tolist():
+                x, y = bounds[r], bounds[r + 1]
+                if run_last[r] - run_start[r] >= LONG_WORDS:
+                    cut[_capped(ends[x:y], chosen[x:y], int(run_start[r]), least)] = True
+                before = np.flatnonzero(cut[run_start[r]:run_last[r]])
+                since = run_last[r] - run_start[r] - (int(before[-1]) if len(before) else -1)
+                if since >= least:
+                    cut[run_last[r]] = True
+
+    # Long sentences.
+    long = np.flatnonzero(size > LONG_WORDS)
+    if len(long):
+        inside = np.concatenate([np.arange(begin[s], last[s] + 1) for s in long.tolist()])
+        owner = np.repeat(np.arange(len(long)), size[long])
+        chosen = _local_minima(words.hash[inside], inside, owner, CUT_REACH)
+        chosen &= (inside + 1 - begin[long][owner] >= least) & (last[long][owner] - inside >= least)
+        cut[inside[chosen]] = True
+        edge = np.concatenate(([0], np.cumsum(size[long])))
+        for k, s in enumerate(long.tolist()):
+            piece = chosen[edge[k]:edge[k + 1]]
+            marks = np.concatenate(([-1], np.flatnonzero(piece), [len(piece) - 1]))
+            if (np.diff(marks) > LONG_WORDS + least).any():
+                room = slice(edge[k], edge[k + 1] - least)
+                cut[_capped(inside[room], chosen[room], int(begin[s]), least)] = True
     return np.flatnonzero(cut)
 
 
