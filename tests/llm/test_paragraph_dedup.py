@@ -75,6 +75,16 @@ def test_passage_stays_once_and_clean_texts_are_untouched(spark, sentence):
     assert all(r["n_chars"] == len(r["text"]) for r in out.values() if r["text"] and r["doc_id"] is not None and r["doc_id"] < 90)
 
 
+def test_pairs_at_the_threshold_are_found(spark, sentence):
+    """1,000 pairs of similarity 16 / 20; three bands of one row miss about 8."""
+    rows = []
+    for i in range(1000):
+        words = sentence(50000 + i, 24).split()
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(words[:20]))]
+    got = repeated_paragraphs(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert {(r["kept_doc_id"], r["doc_id"]) for r in got} >= {(2 * i, 2 * i + 1) for i in range(1000)}
+
+
 def test_empty_table(spark):
     df = spark.createDataFrame([], "doc_id long, text string")
     assert repeated_paragraphs(df).count() == 0 and without_repeats(df).count() == 0

@@ -33,6 +33,8 @@ from tickerloom.scratch import materialize
 
 LEAST_WORDS = 6
 SHINGLE = 5
+#: Wanted chance that two paragraphs at the threshold become candidates.
+RECALL = 0.99999
 
 
 def tuned(percent: int, recall: float = 0.99, most: int = 40) -> tuple[int, int]:
@@ -102,7 +104,7 @@ def _bands(docs: DataFrame, percent: int) -> DataFrame:
     The odd sketch has one bit flipped per shingle, so two differ in no more bits
     than their sets in elements.
     """
-    bands, rows = tuned(percent)
+    bands, rows = tuned(percent, RECALL, 400)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
