@@ -1,7 +1,8 @@
 import re
 
 from tickerloom.llm.graph import components
-from tickerloom.llm.near_dedup import near_duplicates, prefix_length
+from tickerloom.llm.near_dedup import SKETCH, near_duplicates, prefix_length
+from tickerloom.llm.text import shingle_sets
 
 
 def shingle_set(text, n):
@@ -49,6 +50,20 @@ def test_borderline_pairs(spark):
     assert got == brute_force(list(enumerate(texts)), 2, 80)
 
 
+def test_appended_copies_meet(spark, sentence):
+    """Texts of 400 shingles with 100 appended, those pairs whose sketches share fewer than 42 values."""
+    rows = []
+    for i in range(4000):
+        words = sentence(70000 + i, 504).split()
+        pair = [" ".join(words), " ".join(words[:404])]
+        whole, part = (set(s[:SKETCH].tolist()) for s in shingle_sets([t.encode() for t in pair], 5))
+        if len(whole & part) < 42:
+            rows += [(2 * i, pair[0]), (2 * i + 1, pair[1])]
+    assert rows
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {d: 2 * (d // 2) for d, _ in rows}
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string"
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -7,8 +7,8 @@ similarity of each candidate pair, and the full sets confirm it.
 
 Lossless narrowing
     Two sets of the threshold similarity share at least ``LEAST_SHARED`` of 64
-    retained values (expected 55, standard deviation 3; for sets that fit into
-    the sketch the bound is exact).  So each text enters only the lists of its
+    retained values (expected 51 where one contains the other, standard deviation 3.2,
+    and more otherwise; for sets that fit into the sketch the bound is exact).  So each text enters only the lists of its
     ``len - LEAST_SHARED + 1`` rarest retained values: two similar texts still
     meet in one.  Rarity comes from counts in ``RARITY_BUCKETS`` hashed
     buckets over all texts, an array of fixed size; it orders the work and
@@ -43,13 +43,13 @@ from tickerloom.llm.text import bounded_batches, column_bytes, mix, positive, sh
 from tickerloom.scratch import materialize
 
 SKETCH = 64
-LEAST_SHARED = 42
+LEAST_SHARED = 35
 RARITY_BUCKETS = 1 << 20
 HUB_ROUNDS = 1
 #: Of 128 one-bit bins, sets of similarity 0.8 differ in 12.8 on average (standard deviation 3.4), unrelated ones in 64.
-DIGEST_BITS = 28
-#: The union sketch must show at least this share: the threshold less four standard deviations.
-ESTIMATE_SLACK = 0.2
+DIGEST_BITS = 32
+#: The union sketch must show at least this share: the threshold less five standard deviations.
+ESTIMATE_SLACK = 0.25
 
 
 def digest_of(values: np.ndarray) -> np.ndarray:
