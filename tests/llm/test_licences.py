@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import duckdb
 
@@ -48,3 +49,25 @@ def test_tables_are_consistent():
         assert all(x in SENTENCES for x in rule)
         for _, later in RULES[:i]:
             assert "/".join(later) not in "/".join(rule) or len(later) >= len(rule)
+
+
+BASIS = """Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, \
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."""
+SEE = "See the License for the specific language governing permissions and limitations under the License."
+
+
+def test_every_width_and_comments(spark):
+    grant, notice = (" ".join(p.split()) for p in MIT.split("\n\n"))
+    apache = " ".join(APACHE.split()) + " http://www.apache.org/licenses/LICENSE-2.0"
+    first, copy = apache.split(" You may obtain")
+    apache = [first, "You may obtain" + copy.split(" http")[0], "http" + copy.split(" http")[1], f"{BASIS} {SEE}"]
+    rows, due = [], set()
+    for width in range(40, 81):
+        for k, (mark, end) in enumerate((("", ""), (" * ", " */"), ("# ", ""), ("// ", ""))):
+            for j, (name, parts) in enumerate((("MIT", [grant, notice]), ("Apache-2.0", apache))):
+                lines = "\n\n".join(textwrap.fill(p, width, break_long_words=False, break_on_hyphens=False) for p in parts).split("\n")
+                d = 100 * width + 10 * k + j
+                rows.append((d, ("/*\n" if end else "") + "\n".join((mark + x).rstrip() for x in lines) + "\n" + end))
+                due.add((d, name, 1, 5 if j else 2))
+    got = {tuple(r) for r in licences(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == due

@@ -1,8 +1,9 @@
 """Licence recognition by sentence rules, in DataFrame and SQL functions only.
 
-A text is unwrapped, cut into sentences and each sentence is normalised to lower-case
-letters and digits with single blanks.  Known sentences become their numbers,
-others vanish, which leaves a number sequence per text.  Ordered rules are sequences
+A text loses the comment marks of its lines, is unwrapped and normalised to lower-case
+letters and digits with single blanks and two marks: ends of sentences and of
+paragraphs, and other line breaks, which can end a sentence or stand inside one.
+Known sentences become their numbers, longest first, the rest vanishes, which leaves a number sequence per text.  Ordered rules are sequences
 of numbers: the first rule takes all its occurrences, later rules see what is left, so a
 full licence text is not reported again by its parts.
 
@@ -46,7 +47,8 @@ SENTENCES = {
     "mpl2": "this source code form is subject to the terms of the mozilla public license v 2 0",
     "all-rights": "all rights reserved no licence is granted",
 }
-ANCHORS = ("licen", "warrant", "redistribut", "copyright notice", "free software", "without specific prior", "hereby granted")
+# Single words, as line breaks can stand between two.
+ANCHORS = ("licen", "warrant", "redistribut", "copyright", "software", "hereby")
 #: Ordered: longer sequences before their parts.
 RULES = (
     ("Apache-2.0", ("apache-grant", "apache-use", "apache-copy", "apache-basis", "apache-see")),
@@ -72,6 +74,7 @@ RULES = (
 _NAMES = list(SENTENCES)
 UNWRAP = r"([^.!?:;\s])[ \t\r]*\n[ \t]*([a-z(])"
 BREAK = r"([.!?:;])\s"
+COMMENT = r"(?m)^[ \t]*(?:(?:/\*+|\*+/?|//+|#+|;+|--+|%+|>+|<!--)[ \t]*)+"
 
 
 def _sequence(rule: tuple[str, ...]) -> str:
@@ -83,10 +86,14 @@ def licences(docs: DataFrame) -> DataFrame:
     """(doc_id, licence, occurrences, n_sentences): per document and licence the matches, and its known sentences."""
     source = docs.selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL AND t IS NOT NULL")
     source = source.where(" OR ".join(f"contains(lower(t), '{a}')" for a in ANCHORS))
-    pieces = F.split(F.regexp_replace(F.regexp_replace("t", UNWRAP, "$1 $2"), BREAK, "$1\n"), "\n")
-    known = F.array(*[F.lit(s) for s in SENTENCES.values()])
-    numbers = F.transform(pieces, lambda s: F.array_position(known, F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " "))))
-    rows = source.select("d", F.filter(numbers, lambda i: i > 0).alias("i")).where("size(i) > 0")
+    # \x01 ends a sentence or paragraph, \x02 is a line break that may.
+    text = F.regexp_replace(F.regexp_replace(F.regexp_replace("t", COMMENT, ""), UNWRAP, "$1 $2"), r"[.!?:;]\s+|\n[ \t\r]*\n\s*", "\x01")
+    text = F.regexp_replace(F.lower(F.regexp_replace(text, "\n", "\x02")), "[^a-z0-9\x01\x02]+", " ")
+    text = F.regexp_replace(F.trim(text), " ?([\x01\x02]) ?", "$1")
+    for number, sentence in sorted(enumerate(SENTENCES.values(), 1), key=lambda x: -len(x[1])):
+        text = F.regexp_replace(text, f"(?<=^|[\x01\x02]){sentence.replace(' ', '[ \x02]')}(?=$|[\x01\x02])", f"<{number}>")
+    numbers = F.regexp_extract_all(text, F.lit("<([0-9]+)>"), 1)
+    rows = source.select("d", numbers.alias("i")).where("size(i) > 0")
     rows = rows.select("d", F.size("i").alias("n"), F.concat(F.lit("<"), F.array_join("i", "><"), F.lit(">")).alias("s0"))
     found = []
     for k, (name, rule) in enumerate(RULES):
