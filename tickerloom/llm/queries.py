@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickerloom.llm import chat, licences, neighbours, quality, toxicity
+from tickerloom.llm import chat, chat_repair, licences, line_dedup, neighbours, quality, toxicity
+from tickerloom.llm.alignment import aligned_documents
 from tickerloom.llm.decontaminate import benchmark_matches
 from tickerloom.llm.near_dedup import near_duplicates
 from tickerloom.llm.packing import packed_documents
@@ -17,6 +18,7 @@ from tickerloom.llm.suffix_dedup import repeated_bytes
 TOXIC_FOLD = "crc32(CAST(d AS string)) % 5 <> 0"
 QUALITY_FOLD = "crc32(CAST(d AS string)) % 4 <> 2"
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -71,8 +73,21 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), words=2, percent=80)
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_repair.repair_digest(chat_repair.damaged(_table(spark, sf_dir, "conversations")))
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_digest(_table(spark, sf_dir, "documents"))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_documents(_table(spark, sf_dir, "documents"), RANKS, PIECES)
+
+
 QUERIES = {f.__name__: f for f in (
     op1_license_scan, op2_toxic_passages, op3_multiprobe_neighbours, op4_best_fit_packing, op5_quality_classifier, op6_paragraph_dedup,
     op7_chat_formatting, op8_benchmark_decontamination, op9_suffix_array_dedup, op10_minhash_near_dedup,
+    op11_conversation_repair, op12_line_dedup, op13_token_alignment,
 )}
-ORACLES = {"op1_license_scan": licences.licences_sql(), "op7_chat_formatting": chat.CHAT_SQL}
+ORACLES = {"op1_license_scan": licences.licences_sql(), "op7_chat_formatting": chat.CHAT_SQL, "op12_line_dedup": line_dedup.LINES_SQL}

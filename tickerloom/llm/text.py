@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 CHUNK_BYTES = 1 << 19
 #: Texts per Arrow batch; a batch and its copies as Python objects stay in memory together.
 BATCH_ROWS = 2000
+BATCH_BYTES = 16 << 20
 
 _RNG = np.random.default_rng(20240607)
 _BYTE = _RNG.integers(1, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -36,6 +37,13 @@ def bounded_batches(docs: DataFrame) -> DataFrame:
     return docs
 
 
+def small_batches(rows: DataFrame) -> DataFrame:
+    """``rows``, with Arrow batches of its session limited to ``BATCH_BYTES``; for rows of very different sizes."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    rows.sparkSession.conf.set(name, min(int(rows.sparkSession.conf.get(name).rstrip("b")), BATCH_BYTES))
+    return rows
+
+
 def column_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column, null as empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
