@@ -9,7 +9,7 @@ from tickerloom.operators import labels as L
 from tickerloom.operators import pool as P
 from tickerloom.operators import reports as RP
 from tickerloom.operators import strategies as ST
-from tickerloom.sources import sinks
+from tickerloom.sources import releases, sinks
 from tickerloom.streaming.daily import first_affected_day, merge_months, start_daily_refresh
 
 
@@ -64,9 +64,9 @@ def test_windows_and_calendar_errors(bars, pool):
     w = P.resolve_window(bars, pool, incremental=True)
     assert w.mode == "incremental_refresh_window" and w.start == w.old_pool_max - dt.timedelta(days=45)
     assert P.resolve_window(bars, incremental=True).mode == "incremental_no_existing_pool_full_build"
-    with pytest.raises(RuntimeError, match="stale"):
+    with pytest.raises(RuntimeError, match="too early"):
         P.resolve_window(bars, end_date="2030-01-01")
-    with pytest.raises(RuntimeError, match="nearest_before"):
+    with pytest.raises(RuntimeError, match="no trading day"):
         P.resolve_window(bars.filter("date != '2022-02-02'"), end_date="2022-02-02")
     with pytest.raises(RuntimeError, match="lacks"):
         P.preflight(bars, bars, w, ST.B1_V0)
@@ -85,13 +85,100 @@ def test_strategies_are_registered_once(bars):
 
 def test_stored_pool_is_refreshed_in_place(spark, bars, tmp_path):
     path = str(tmp_path / "pool")
-    sinks.write_pool(P.build_pool(bars, ST.B1_V0, end_date="2022-06-30", validate=False), path, ST.B1_V0)
-    before = spark.read.parquet(path).count()
-    window = P.resolve_window(bars, spark.read.parquet(path), incremental=True)
+    sinks.write_pool(P.build_pool(bars, ST.B1_V0, end_date="2022-06-30", validate=False), path, ST.B1_V0, csv=True, note="first")
+    before = sinks.read_pool(spark, path)
+    rows = before.count()
+    window = P.resolve_window(bars, before, incremental=True)
     sinks.refresh_pool(P.build_pool(bars, ST.B1_V0, start_date=window.start, validate=False), path, ST.B1_V0, window)
     full = P.build_pool(bars, ST.B1_V0, validate=False)
-    assert spark.read.parquet(path).count() == full.count() > before
-    assert spark.read.json(f"{path}.meta").first()["strategy_name"] == ST.B1_V0
+    assert sinks.read_pool(spark, path).count() == full.count() > rows == before.count()
+    facts = releases.current(spark, path).facts
+    assert (facts["strategy_name"], facts["rows"], facts["note"]) == (ST.B1_V0, full.count(), "first")
+    assert releases.read(spark, path, "csv").count() == full.count()
+    # Old months stay readable until they are cleared; then only folders of the newest release are left.
+    assert releases.vacuum(spark, path, keep=1) >= 1
+    assert sinks.read_pool(spark, path).count() == full.count()
+
+
+def test_emptied_months_leave_the_stored_pool(spark, bars, pool, tmp_path):
+    path = str(tmp_path / "pool")
+    sinks.write_pool(pool, path, ST.B1_V0)
+    window = P.resolve_window(bars, start_date="2022-05-01", end_date="2022-06-30", incremental=True)
+    new = pool.filter("date BETWEEN '2022-05-01' AND '2022-05-31'")
+    counts = {r["src"]: r["rows_in_window"] for r in sinks.refresh_pool(new, path, ST.B1_V0, window).collect()}
+    want = pool.filter("date NOT BETWEEN '2022-06-01' AND '2022-06-30'")
+    keys = lambda df: sorted(map(tuple, df.select("symbol", "date").collect()))
+    assert keys(sinks.read_pool(spark, path)) == keys(want) and want.count() < pool.count()
+    assert "2022-06" not in releases.current(spark, path).tables["pool"].parts
+    assert counts["final"] == new.count() < counts["old"]
+
+
+def test_a_broken_pool_or_a_crash_leaves_the_old_release(spark, bars, pool, tmp_path, monkeypatch):
+    path = str(tmp_path / "pool")
+    sinks.write_pool(pool, path, ST.B1_V0)
+    keys = lambda: sorted(map(tuple, sinks.read_pool(spark, path).select("symbol", "date").collect()))
+    exact = keys()
+    bad = pool.filter("date > '2022-06-01'").withColumn("selection_strategy", F.lit("other"))
+    with pytest.raises(ValueError, match="other strategies"):
+        sinks.write_pool(bad, path, ST.B1_V0)
+    with pytest.raises(ValueError, match="other strategies"):
+        sinks.refresh_pool(bad, path, ST.B1_V0, P.resolve_window(bars, start_date="2022-06-02", incremental=True))
+    assert keys() == exact
+    # The crash comes between the tables of a release: pool and csv are written, the manifest is not.
+    monkeypatch.setattr(releases, "commit", lambda *a: (_ for _ in ()).throw(RuntimeError("crash")))
+    with pytest.raises(RuntimeError, match="crash"):
+        sinks.write_pool(pool.filter("date > '2022-06-01'"), path, ST.B1_V0, csv=True)
+    assert keys() == exact
+    monkeypatch.undo()
+    late = releases.current(spark, path)
+    releases.commit(spark, path, late, late.tables, late.facts)
+    with pytest.raises(RuntimeError, match="another writer"):
+        releases.commit(spark, path, late, late.tables, late.facts)
+
+
+def test_empty_pool_is_a_release(spark, pool, tmp_path):
+    path = str(tmp_path / "pool")
+    sinks.write_pool(pool.filter("date > '2100-01-01'"), path, ST.B1_V0)
+    assert sinks.read_pool(spark, path).collect() == [] and releases.current(spark, path).facts["rows"] == 0
+
+
+def test_six_alpha_tables_switch_together(spark, tmp_path, monkeypatch):
+    def tables(n):
+        one = spark.createDataFrame([(dt.date(2022, 1, 3), "000001", n)], "date date, symbol string, alpha_rank int")
+        return {"top": one, "daily": one, "monthly": one, "summary": one, "rank_ic": one, "feature_ic": one}
+
+    path = str(tmp_path / "alpha")
+    seen = lambda: {n: [r["alpha_rank"] for r in releases.read(spark, path, n).collect()] for n in releases.current(spark, path).tables}
+    sinks.write_alpha(path, **tables(1))
+    first = seen()
+    assert len(first) == 6 and set(map(tuple, first.values())) == {(1,)}
+    stage, calls = releases.stage, []
+
+    def failing(*a, **k):
+        calls.append(a)
+        if len(calls) == 4:
+            raise OSError("crash between tables")
+        return stage(*a, **k)
+
+    monkeypatch.setattr(releases, "stage", failing)
+    with pytest.raises(OSError):
+        sinks.write_alpha(path, **tables(2))
+    assert seen() == first
+    monkeypatch.undo()
+    sinks.write_alpha(path, **tables(3))
+    assert set(map(tuple, seen().values())) == {(3,)}
+
+
+def test_direction_and_indicator_releases(spark, bars, tmp_path):
+    path = str(tmp_path / "direction")
+    summary = spark.createDataFrame([("a", "neutral", 1.5), ("b", "cap_high_values", 2.5), ("c", "neutral", 0.5)], "factor string, action_hint string, x double")
+    sinks.write_direction(summary, summary.drop("action_hint"), path, summary)
+    assert {r["factor"] for r in releases.read(spark, path, "indicator_factors", ["neutral"]).collect()} == {"a", "c"}
+    assert sorted(r["x"] for r in releases.read(spark, path, "indicator_summary").collect()) == [0.5, 1.5, 2.5]
+    table = str(tmp_path / "indicators")
+    sinks.write_indicators(bars, table, lookback=5)
+    facts = releases.current(spark, table).facts
+    assert (facts["rows"], facts["symbols"], facts["lookback"]) == (bars.count(), 3, 5)
 
 
 def test_stream_lands_bars_and_refreshes(spark, bars, tmp_path):
@@ -102,7 +189,7 @@ def test_stream_lands_bars_and_refreshes(spark, bars, tmp_path):
     late.write.parquet(paths["landing"])
     start_daily_refresh(spark, paths["landing"], paths["bars"], paths["pool"], ST.B1_V0, paths["ckpt"]).awaitTermination()
     full = P.build_pool(bars, ST.B1_V0, validate=False).select("symbol", "date", "forward_data_status")
-    got = spark.read.parquet(paths["pool"]).select("symbol", "date", "forward_data_status")
+    got = sinks.read_pool(spark, paths["pool"]).select("symbol", "date", "forward_data_status")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, full.collect()))
 
 

@@ -79,3 +79,55 @@ def test_infinite_factor_values_are_missing(spark):
     df = spark.createDataFrame([(float("inf"), 1.0), (float("nan"), 1.0), (2.0, 1.0), (3.0, 2.0)], "f double, t double")
     assert FA.factor_target_rows(df, ["f"], ["t"]).count() == 2
     assert FA.factor_columns(df, ["t"]) == ["f"]
+
+
+def test_ranks_in_place_carry_ties_over_slices(spark):
+    rng = np.random.default_rng(2)
+    n = 900
+    pdf = pd.DataFrame({
+        "g": rng.choice(["hot", "b"], n, p=[0.9, 0.1]), "x": rng.choice([0.0, 1.0, 1.0, 1.0, 1.0, 2.5, -3.0], n), "id": np.arange(n), "a": rng.integers(0, 2, n), "b": rng.integers(0, 2, n)})
+    got = RK.ranks_in_place(spark.createDataFrame(pdf), ["g"], "x", "id", ["1", "a", "b"], {"name": ["'one'", "'a'", "concat('b', id)"]}, keep=["id"]).collect()
+    assert len(got) == n
+    whole = pdf.set_index("id")
+    for r in got:
+        mine = whole[whole.g == r.g]
+        for i, w in enumerate((np.ones(len(mine), dtype=int), mine.a, mine.b)):
+            s = r.ranks[i]
+            assert (s.before, s.ties, s.total) == (w[mine.x < r.x].sum(), w[mine.x == r.x].sum(), w.sum())
+        assert [s.name for s in r.ranks] == ["one", "a", f"b{r.id}"] and r.ranks[1].w == whole.a[r.id]
+
+
+def test_ranks_in_place_without_keys_and_rows(spark):
+    rows = spark.createDataFrame([(x, i) for i, x in enumerate([5.0, 5.0, 1.0])], "x double, id long")
+    got = RK.ranks_in_place(rows, [], "x", "id", ["1"]).collect()
+    assert sorted((r.x, r.ranks[0].before, r.ranks[0].ties, r.ranks[0].total) for r in got) == [(1.0, 0, 1, 3), (5.0, 1, 2, 3), (5.0, 1, 2, 3)]
+    assert RK.ranks_in_place(rows.where("x > 9"), [], "x", "id", ["1"]).collect() == []
+
+
+def test_correlation_grid_equals_pandas(spark):
+    rng = np.random.default_rng(3)
+    n = 600
+    pdf = pd.DataFrame({"g": rng.choice(["hot", "b", None], n, p=[0.8, 0.15, 0.05]), "x1": np.round(rng.normal(size=n), 1), "x2": rng.integers(0, 3, n).astype(float), "x3": 7.0, "y1": np.round(rng.normal(size=n), 2)})
+    pdf["y2"] = pdf.y1 + pdf.x1
+    for c, share in (("x1", 0.2), ("x2", 0.1), ("y1", 0.05), ("y2", 0.4)):
+        pdf.loc[rng.random(n) < share, c] = np.nan
+    frame_ = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, x1 double, x2 double, x3 double, y1 double, y2 double")
+    got = {(r.g, r.factor, r.target_col): r for r in RK.correlation_grid(frame_, ["g"], ["x1", "x2", "x3"], ["y1", "y2"], cuts=4).collect()}
+    assert len(got) == 18
+    for (g, x, y), r in got.items():
+        mine = pdf[pdf.g.isna() if g is None else pdf.g == g].dropna(subset=[x, y])
+        assert (r.n, r.distinct_count) == (len(mine), mine[x].nunique())
+        if x == "x3":
+            assert r.spearman_ic is None and r.pearson_ic is None
+        else:
+            np.testing.assert_allclose([r.spearman_ic, r.pearson_ic], [mine[x].rank().corr(mine[y].rank()), mine[x].corr(mine[y])], rtol=1e-9)
+        np.testing.assert_allclose(r.edges, np.unique(mine[x].quantile([0, 0.25, 0.5, 0.75, 1])), rtol=1e-12)
+    assert RK.correlation_grid(frame_.where("g = 'none'"), ["g"], ["x1"], ["y1"]).collect() == []
+
+
+def test_no_join_on_a_value(spark):
+    rows = spark.createDataFrame(frame(spark))
+    grid = RK.correlation_grid(rows, ["g"], ["x"], ["y"])
+    plan = grid._jdf.queryExecution().executedPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line]
+    assert joins and not any(f"[{c}#" in line or f" {c}#" in line.split("],")[0] for line in joins for c in ("x", "y", "_x", "_y"))

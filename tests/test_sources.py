@@ -81,7 +81,7 @@ def test_parquet_bars_aliases_and_file_symbols(spark, tmp_path):
     df.coalesce(1).write.parquet(str(tmp_path / "m"))
     row = TB.read_bars(spark, str(tmp_path / "m")).first()
     assert row["date"] == dt.date(2024, 1, 2) and row["volume"] == 5.0 and row["symbol"]
-    with pytest.raises(ValueError, match="Missing required"):
+    with pytest.raises(ValueError, match="Missing required source"):
         TB.resolve_columns(df.drop("最高"))
 
 

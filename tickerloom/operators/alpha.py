@@ -17,7 +17,7 @@ from tickerloom.functions.scalars import change_pct, extend, first_code, ratio,
 from tickerloom.operators import indicators as I
 from tickerloom.operators.cleaning import date_range, enough_history, selected_rows
 from tickerloom.operators.labels import close_labels
-from tickerloom.operators.ranking import average_ranks, correlations, medians, positions, value_positions
+from tickerloom.operators.ranking import correlation_grid, medians, positions, ranks_in_place, value_positions
 from tickerloom.scratch import materialize
 
 # Score features (raw expression, weight), then ranks that are only probed.
@@ -100,13 +100,13 @@ def merge_indicators(panel: DataFrame, cache: DataFrame) -> DataFrame:
 def daily_pct_rank(df: DataFrame, features: dict[str, str]) -> DataFrame:
     """Percentile rank within each date for several columns; ``features`` maps output to input.
 
-    Ranks are computed once per distinct (date, feature, value) and joined back.
+    Rows are ranked where they are sorted; nothing is joined on a value.
     """
     names = list(features)
     pairs = ", ".join(f"struct({i} AS _f, CAST({features[n]} AS DOUBLE) AS _v)" for i, n in enumerate(names))
     long = df.select("date", "symbol", F.expr(f"inline(array({pairs}))")).filter("_v IS NOT NULL")
-    ranks = average_ranks(long, ["date", "_f"], "_v", "_rank").withColumn("_pct", F.col("_rank") / F.col("_total"))
-    placed = long.join(ranks.select("date", "_f", "_v", "_pct"), ["date", "_f", "_v"])
+    ranked = ranks_in_place(long, ["date", "_f"], "_v", "symbol", ["1"], keep=["symbol"])
+    placed = ranked.selectExpr("date", "symbol", "_f", "(ranks[0].before + (ranks[0].ties + 1) / 2.0D) / ranks[0].total AS _pct")
     wide = placed.groupBy("date", "symbol").agg(*[
         F.expr(f"max(CASE WHEN _f = {i} THEN _pct END) AS {n}") for i, n in enumerate(names)
     ])
@@ -287,18 +287,15 @@ def monthly_stats(daily: DataFrame) -> DataFrame:
 def rank_ic(scored: DataFrame, horizons: Sequence[int] = (1, 2, 3), least: int = 100) -> tuple[DataFrame, DataFrame]:
     """(daily IC of the score, daily IC of every feature) as Spearman correlations.
 
-    A date below ``least`` rows gets a row without IC and no feature rows.
+    A date below ``least`` rows gets a row without IC and no feature rows.  Each return is sorted once
+    for all features and each feature once for all returns.
     """
-    features = ["alpha_score", *RANKS]
+    features, returns = ["alpha_score", *RANKS], {f"ret_T{h}": f"T{h}" for h in horizons}
     keys = ["date", "horizon"]
-    rows = horizon_rows(scored.filter("alpha_score IS NOT NULL"), horizons, features)
-    pairs = ", ".join(f"struct('{f}' AS feature, {f} AS x)" for f in features)
-    long = materialize(rows.select(*keys, "ret", F.expr(f"inline(array({pairs}))")).filter("x IS NOT NULL"), "features")
-    sizes = long.groupBy(*keys, "feature").agg(F.count(F.lit(1)).alias("count"))
-    ics = correlations(long, [*keys, "feature"], "x", "ret", least=max(2, least))
-    every = materialize(sizes.join(ics, [*keys, "feature"], "left").select(
-        "date", F.date_format("date", "yyyy-MM").alias("month"), "horizon", "feature", "count", F.col("spearman_ic").alias("rank_ic")
-    ), "ics")
+    ics = correlation_grid(scored.filter("alpha_score IS NOT NULL"), ["date"], features, list(returns), least=max(2, least))
+    horizon = "CASE target_col " + " ".join(f"WHEN '{c}' THEN '{h}'" for c, h in returns.items()) + " END AS horizon"
+    every = materialize(ics.selectExpr(
+        "date", "date_format(date, 'yyyy-MM') AS month", horizon, "factor AS feature", "n AS count", "spearman_ic AS rank_ic"), "ics")
     grid = scored.select("date").distinct().select(
         "date", F.date_format("date", "yyyy-MM").alias("month"), F.explode(F.array(*[F.lit(f"T{h}") for h in horizons])).alias("horizon"))
     score = grid.join(every.filter("feature = 'alpha_score'").drop("feature", "month"), keys, "left").fillna(0, ["count"])

@@ -1,9 +1,10 @@
 """Factor detection and factor-by-target bucket analysis.
 
-All factors and all targets go through one job: the pool is unpivoted to
-(factor, target, x, y) rows, exact cut points come from distributed ranks, and
-everything after that is a two-level aggregate.  Tables with one row per
-(factor, target) are bounded by the number of pool columns and are broadcast.
+A scan of all factors and targets sorts each factor once for all targets and each target once
+for all factors (``correlation_grid``), which gives correlations and exact cut
+points.  Everything after that is aggregates over (factor, target, x, y) rows that
+are never shuffled themselves.  Tables with a fixed number of rows per (factor,
+target) are bounded by the number of pool columns and are broadcast.
 """
 
 from __future__ import annotations
@@ -11,18 +12,19 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions.scalars import extend, parse_boolean, to_number
 from tickerloom.operators.contract import FUTURE_BAR
 from tickerloom.operators.ranking import (
-    correlations,
+    correlation_grid,
     medians,
     positions,
     quantile,
     rank_bucket,
+    ranks_in_place,
     value_positions,
 )
 from tickerloom.scratch import materialize
@@ -254,11 +256,13 @@ def bucket_members(pool: DataFrame, factors: Sequence[str], targets: Sequence[st
     )
 
 
-def interval_view(detail: DataFrame) -> DataFrame:
+def interval_view(detail: DataFrame, digits: int = 6) -> DataFrame:
     """Bucket table with a printable ``[low, high]`` interval."""
+    scale = 10.0 ** digits
+    ends = [F.floor(F.col(c) * scale + 0.5).cast("double") / scale for c in ("min_factor", "max_factor")]
     shown = F.when(
         F.col("min_factor").isNotNull() & F.col("max_factor").isNotNull(),
-        F.format_string("[%.6f, %.6f]", F.col("min_factor"), F.col("max_factor")),
+        F.format_string(f"[%.{digits}f, %.{digits}f]", *ends),
     ).otherwise("")
     return detail.withColumn("factor_interval", shown).select(
         *KEYS, "bucket", "factor_interval", "min_factor", "max_factor", "mean_factor", "sample_count", "mean_return",
@@ -390,13 +394,94 @@ def summarize_direction(detail: DataFrame, ics: DataFrame, cuts: DataFrame) -> D
     return classify(df).select("target_col", *SUMMARY_COLUMNS)
 
 
-def order_summary(summary: DataFrame) -> DataFrame:
-    """Report order: pattern priority, then spread, votes and rank correlation."""
+def _report_order() -> list[Column]:
+    """Pattern priority, then spread, votes and rank correlation."""
     rank = F.array_position(F.array(*[F.lit(p) for p in PATTERN_ORDER]), F.col("bucket_pattern"))
-    return summary.orderBy(
+    return [
         rank, F.desc_nulls_last("best_minus_worst_return"), F.desc(F.abs("monotonic_votes")),
-        F.desc_nulls_last(F.abs("spearman_ic")), "factor", "target_col",
-    )
+        F.desc_nulls_last(F.abs("spearman_ic")), F.col("factor"), F.col("target_col"),
+    ]
+
+
+def order_summary(summary: DataFrame) -> DataFrame:
+    return summary.orderBy(*_report_order())
+
+
+def report_places(summary: DataFrame) -> DataFrame:
+    """The summary with each row's ``place`` in the report; one row per pair of pool columns, so one task ranks them."""
+    return summary.withColumn("place", F.row_number().over(Window.orderBy(*_report_order())))
+
+
+#: Targets are told apart in so many cells when medians are looked for; any number gives the same medians.
+CELLS = 64
+
+
+def _check_targets(pool: DataFrame, targets: Sequence[str]) -> None:
+    for t in targets:
+        if t not in pool.columns:
+            raise ValueError(f"the pool has no target {t}")
+        if t.startswith(("fwd_close_T", "fwd_up_T")):
+            raise ValueError(f"{t} is no return: targets are fwd_return_pct_T1 to fwd_return_pct_T20")
+
+
+def scan_cuts(data: DataFrame, factors: Sequence[str], targets: Sequence[str], buckets: int, least: int) -> DataFrame:
+    """Per (factor, target): sample size, correlations, and the ``edges`` or ``levels`` of its buckets.
+
+    Pairs below ``least`` rows or with one value are dropped.  Correlations use every row.
+    """
+    grid = correlation_grid(data, [], factors, targets, cuts=buckets).withColumnRenamed("n", "sample_count")
+    grid = materialize(grid.filter((F.col("sample_count") >= least) & (F.col("distinct_count") >= 2)), "grid")
+    few = grid.filter(F.col("distinct_count") <= buckets).select(*KEYS)
+    # At most one name per pool column, and at most ``buckets`` values per pair.
+    names = [r[0] for r in few.select("factor").distinct().collect()]
+    if not names:
+        return grid.withColumn("levels", F.lit(None).cast("array<double>"))
+    rows = factor_target_rows(data, sorted(names), targets).join(F.broadcast(few), KEYS)
+    levels = rows.groupBy(*KEYS).agg(F.array_sort(F.collect_set("x")).alias("levels"))
+    out = grid.join(F.broadcast(levels), KEYS, "left")
+    return out.withColumn("edges", F.when(F.col("levels").isNull(), F.col("edges")))
+
+
+def _scanned(data: DataFrame, factors: Sequence[str], targets: Sequence[str], cuts: DataFrame, buckets: int, marks: dict[str, list[float]]) -> DataFrame:
+    """(factor, target_col, x, y, cell, bucket): all rows of all pairs, without a shuffle."""
+    def cell(t: str) -> str:
+        edges = ", ".join(f"{m!r}D" for m in sorted(set(marks[t] or [])))
+        return f"size(filter(array({edges}), e -> e < `{t}`))" if edges else "0"
+
+    ys = ", ".join(f"struct('{t}' AS target_col, `{t}` AS y, {cell(t)} AS cell)" for t in targets)
+    xs = ", ".join(f"struct('{f}' AS factor, `{f}` AS x)" for f in factors)
+    tall = data.selectExpr(f"filter(array({ys}), s -> s.y IS NOT NULL) AS _ys", *[f"`{f}`" for f in factors])
+    tall = tall.selectExpr("_ys", f"inline(array({xs}))").where("x IS NOT NULL").selectExpr("factor", "x", "inline(_ys)")
+    bounds = cuts.selectExpr(*KEYS, "levels IS NOT NULL AS few", *[f"get(coalesce(levels, edges), {i}) AS c{i}" for i in range(buckets + 1)])
+    passed = " + ".join(f"IF(c{i} < x OR (few AND c{i} = x), 1, 0)" for i in range(buckets + 1))
+    return tall.join(F.broadcast(bounds), KEYS).selectExpr("factor", "target_col", "x", "y", "cell", f"greatest(1, {passed}) AS bucket")
+
+
+def scan_detail(data: DataFrame, factors: Sequence[str], targets: Sequence[str], cuts: DataFrame, buckets: int) -> DataFrame:
+    """:func:`bucket_detail` of all pairs.
+
+    One aggregate counts rows per bucket and cell of the target; cells are cut at approximate quantiles of it.  A
+    bucket's median lies in one or two cells, whose rows alone are ranked.
+    """
+    points = ", ".join(f"{k / CELLS}D" for k in range(1, CELLS))
+    marks = data.agg(*[F.expr(f"percentile_approx(`{t}`, array({points}), 1000) AS `{t}`") for t in targets]).first().asDict()
+    rows = _scanned(data, factors, targets, cuts, buckets, marks)
+    keys = [*KEYS, "bucket"]
+    cells = materialize(rows.groupBy(*keys, "cell").agg(
+        F.count(F.lit(1)).alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"), F.sum("x").alias("sx"), F.sum("y").alias("sy"), F.expr("count_if(y > 0) AS wins")), "cells")
+    stats = cells.groupBy(*keys).agg(
+        F.sum("n").alias("sample_count"), F.min("lo").alias("min_factor"), F.max("hi").alias("max_factor"),
+        (F.sum("sx") / F.sum("n")).alias("mean_factor"), (F.sum("sy") / F.sum("n")).alias("mean_return"),
+        (F.sum("wins") / F.sum("n")).alias("up_ratio"), F.sum("wins").alias("win_count"), (F.sum("n") - F.sum("wins")).alias("loss_count"))
+    of = Window.partitionBy(*keys)
+    placed = cells.select(*keys, "cell", "n", F.coalesce(F.sum("n").over(of.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("ahead"), F.sum("n").over(of).alias("size"))
+    # At most two cells per bucket: bounded by columns times buckets.
+    middle = placed.where("ahead <= size div 2 AND (size - 1) div 2 < ahead + n").select(*keys, "cell", "ahead", "size")
+    spots = value_positions(rows.join(F.broadcast(middle), [*keys, "cell"]).select(*keys, "ahead", "size", "y"), [*keys, "ahead", "size"], "y")
+    at = "max(CASE WHEN ahead + _before <= {0} AND {0} < ahead + _before + _n THEN y END)"
+    low, high = at.format("(size - 1) div 2"), at.format("size div 2")
+    medians_of = spots.groupBy(*keys).agg(F.expr(f"{low} + ({high} - {low}) * 0.5D AS median_return"))
+    return stats.join(F.broadcast(medians_of), keys).select(*DETAIL_COLUMNS)
 
 
 def analyze_direction(
@@ -406,24 +491,18 @@ def analyze_direction(
     buckets: int = 10,
     least: int = 1000,
 ) -> tuple[DataFrame, DataFrame]:
-    """(summary, bucket detail) for every factor against every target, in one job.
-
-    Correlations use every row; nothing is sampled.
-    """
-    for t in targets:
-        if t not in pool.columns:
-            raise ValueError(f"target_col not found: {t}")
-        if t.startswith(("fwd_close_T", "fwd_up_T")):
-            raise ValueError(f"Invalid target_col: {t}; use fwd_return_pct_T1 to fwd_return_pct_T20")
+    """(summary, bucket detail) for every factor, by default all that are detected, against every target."""
+    _check_targets(pool, targets)
     names = factor_columns(pool, targets, factors)
-    rows = materialize(factor_target_rows(pool, names, targets), "factor-rows")
-    cuts = materialize(
-        cut_points(rows, KEYS, buckets).filter((F.col("sample_count") >= least) & (F.col("distinct_count") >= 2)), "cuts"
-    )
-    bucketed = rows.join(F.broadcast(cuts.select(*KEYS, "edges", "levels")), KEYS).withColumn("bucket", bucket_of())
-    detail = materialize(bucket_detail(bucketed), "bucket-detail")
-    ics = correlations(rows.join(F.broadcast(cuts.select(*KEYS)), KEYS), KEYS, "x", "y")
-    return summarize_direction(detail, ics, cuts), detail
+    kinds = {f.name: f.dataType for f in pool.schema.fields}
+    if not names:
+        empty = pool.sparkSession.createDataFrame([], ", ".join(f"{c} {'string' if c in KEYS else 'bigint' if c.endswith('count') else 'int' if c == 'bucket' else 'double'}" for c in DETAIL_COLUMNS))
+        cuts = empty.selectExpr(*KEYS, "sample_count", "0L AS distinct_count", "0.0D AS spearman_ic", "0.0D AS pearson_ic")
+        return summarize_direction(empty, cuts, cuts), empty
+    data = materialize(pool.selectExpr(*[f"{number_sql(c, kinds[c])} AS `{c}`" for c in (*names, *targets)]), "analysis")
+    cuts = materialize(scan_cuts(data, names, targets, buckets, least), "cuts")
+    detail = materialize(scan_detail(data, names, targets, cuts, buckets), "bucket-detail")
+    return summarize_direction(detail, cuts, cuts), detail
 
 
 # --------------------------------------------------------------------------
@@ -432,27 +511,35 @@ def analyze_direction(
 
 def refine_extremes(
     pool: DataFrame,
-    factor: str,
+    factors: Sequence[str] | str,
     targets: Sequence[str],
     buckets: int = 10,
     sub_buckets: int = 5,
     least: int = 10000,
     sides: Sequence[str] = ("lowest", "highest"),
 ) -> tuple[DataFrame, DataFrame]:
-    """(summary, detail): the outermost rank buckets of one factor, split again.
+    """(summary, detail): the outermost rank buckets of each factor, split again.
 
-    Ties are placed in (date, symbol) order.
+    Ties are placed in (date, symbol) order.  Each factor is sorted once for all targets; a row's place
+    inside its bucket is its place in the factor less that of the bucket's first row.
     """
-    rows = factor_target_rows(pool, [factor], targets, ["date", "symbol"])
-    placed = rank_buckets(rows, KEYS, buckets, ["date", "symbol"], "source_bucket")
-    top = placed.groupBy(*KEYS).agg(F.max("source_bucket").alias("_top"))
-    side = F.expr("CASE WHEN source_bucket = 1 THEN 'lowest' WHEN source_bucket = _top THEN 'highest' END")
-    ends = placed.join(F.broadcast(top), KEYS).withColumn("source_bucket_type", side).filter(
-        F.col("source_bucket_type").isin(*sides)
-    ).drop("_top")
-    ends = materialize(ends, "extremes")
+    names = [factors] if isinstance(factors, str) else list(factors)
+    kinds = {f.name: f.dataType for f in pool.schema.fields}
+    xs = ", ".join(f"struct('{f}' AS factor, {number_sql(f, kinds[f])} AS x)" for f in names)
+    tall = pool.selectExpr("date", "symbol", *[f"{number_sql(t, kinds[t])} AS _y{i}" for i, t in enumerate(targets)], f"inline(array({xs}))")
+    tall = tall.where("x IS NOT NULL").withColumn("place", F.struct("x", "date", "symbol"))
+    ranked = ranks_in_place(tall, ["factor"], "place", "place", [f"IF(_y{i} IS NULL, 0, 1)" for i in range(len(targets))], {
+        "target_col": [f"'{t}'" for t in targets], "y": [f"_y{i}" for i in range(len(targets))]})
+    rows = ranked.selectExpr("factor", "place.x AS x", "inline(ranks)").where("w > 0").drop("w", "ties")
+    rows = rows.withColumn("source_bucket", rank_bucket(F.col("before") + 1, F.col("total"), buckets))
+    last = rank_bucket(F.col("total"), F.col("total"), buckets)
+    rows = rows.withColumn("source_bucket_type", F.when(F.col("source_bucket") == 1, "lowest").when(F.col("source_bucket") == last, "highest"))
+    ends = materialize(rows.filter(F.col("source_bucket_type").isin(*sides)), "extremes")
     source_keys = [*KEYS, "source_bucket_type", "source_bucket"]
-    parts = rank_buckets(ends, source_keys, sub_buckets, ["date", "symbol"], "sub_bucket")
+    # One row per factor, target and side.
+    starts = ends.groupBy(*source_keys).agg(F.min("before").alias("_start"), F.count(F.lit(1)).alias("_size"))
+    parts = ends.join(F.broadcast(starts), source_keys).withColumn(
+        "sub_bucket", rank_bucket(F.col("before") - F.col("_start") + 1, F.col("_size"), sub_buckets)).drop("_start", "_size")
 
     def describe(df: DataFrame, keys: list[str], interval: str, metric: str) -> DataFrame:
         stats = df.groupBy(*keys).agg(
@@ -473,32 +560,49 @@ def refine_extremes(
     return extend(summary, sizes), extend(detail, sizes)
 
 
-def extreme_samples(pool: DataFrame, detail: DataFrame, factor: str, target: str) -> DataFrame:
-    """For each bucket boundary the first pool row at that value, or the nearest one.
+#: What a sample row shows besides its value, where the pool has it.
+SAMPLE_COLUMNS = ["file", "selection_strategy", "open", "high", "low", "close", "volume", "amount"]
 
-    "First" is (date, symbol) order.  The boundaries of one factor and target are
-    two per bucket, so they become literals of one aggregate over the pool: no
-    join, and each boundary keeps a single best row per task.
+
+def extreme_samples(pool: DataFrame, detail: DataFrame) -> DataFrame:
+    """For each bucket boundary of ``detail`` the first pool row at that value, or the nearest one.
+
+    "First" is (date, symbol) order; a row is at a boundary if it differs by at most its 1e-9th part or 1e-10.  All factors
+    and targets of ``detail`` go together.  The boundaries of a pair cut the line into gaps.  One aggregate finds
+    the least and greatest value in each gap; the greatest of the last gap with rows before a boundary and the
+    least of the first one after it are its neighbours.  A second pass takes the rows at the values so
+    chosen.  Boundaries are two per bucket, hence bounded by columns times buckets, and broadcast; rows are not shuffled.
     """
-    ends = detail.filter((F.col("factor") == factor) & (F.col("target_col") == target)).select(
-        "bucket", "min_factor", "max_factor").orderBy("bucket").collect()
-    bounds = [(int(r["bucket"]), side, float(r[f"{side}_factor"])) for r in ends for side in ("min", "max")]
-    if not bounds:
-        raise ValueError(f"no buckets for {factor} and {target}")
-    rows = factor_target_rows(pool, [factor], [target], ["date", "symbol"])
-
-    def best(bucket: int, side: str, bound: float) -> str:
-        away = f"abs(x - {bound!r}D)"
-        tolerance = max(abs(bound) * 1e-9, 1e-10)
-        miss = f"{away} > {tolerance!r}D"
-        row = f"struct({bucket} AS bucket, '{side}' AS side, {bound!r}D AS bound, NOT {miss} AS exact, x, y, date, symbol)"
-        return f"min_by({row}, struct({miss}, CASE WHEN {miss} THEN {away} ELSE 0.0D END, date, symbol)) AS b{bucket}_{side}"
-
-    wide = rows.agg(*[F.expr(best(*b)) for b in bounds])
-    long = wide.selectExpr(f"inline(array({', '.join(f'b{b}_{side}' for b, side, _ in bounds)}))")
-    return long.select(
-        F.lit(target).alias("target_col"), F.lit(factor).alias("factor"), "bucket", F.col("side").alias("extreme_side"),
-        F.col("bound").alias("bucket_extreme_value"), F.col("x").alias("sample_factor_value"),
-        F.when(F.col("exact"), "exact").otherwise("nearest").alias("match_type"),
-        "symbol", "date", F.col("y").alias("target_value"),
-    )
+    kinds = {f.name: f.dataType for f in pool.schema.fields}
+    names, targets = ([r[0] for r in detail.select(c).distinct().orderBy(c).collect()] for c in KEYS)
+    if not names:
+        raise ValueError("there are no buckets to look up")
+    bounds = detail.selectExpr(*KEYS, "bucket", "inline(array(struct('min' AS side, CAST(min_factor AS DOUBLE) AS bound), struct('max' AS side, CAST(max_factor AS DOUBLE) AS bound)))").where("bound IS NOT NULL")
+    values = materialize(bounds.groupBy(*KEYS).agg(F.array_sort(F.collect_set("bound")).alias("values")), "bounds")
+    rows = factor_target_rows(pool, names, targets, ["date", "symbol"]).join(F.broadcast(values), KEYS)
+    # The gap of a value is the number of boundaries up to it.
+    rows = rows.withColumn("gap", F.expr("aggregate(values, 0, (a, v) -> a + IF(v <= x, 1, 0))")).drop("values")
+    gaps = rows.groupBy(*KEYS, "gap").agg(F.min("x").alias("lo"), F.max("x").alias("hi"))
+    marks = values.selectExpr(*KEYS, "posexplode(values) AS (i, bound)").selectExpr(*KEYS, "i + 1 AS gap", "bound")
+    every = values.selectExpr(*KEYS, "explode(sequence(0, size(values))) AS gap").join(gaps, [*KEYS, "gap"], "left")
+    of = Window.partitionBy(*KEYS).orderBy("gap")
+    # At a boundary: the nearest values before it and from it on, with their gaps.
+    beside = every.withColumns({
+        "below": F.last(F.when(F.col("hi").isNotNull(), F.struct("hi", "gap")), ignorenulls=True).over(of.rowsBetween(Window.unboundedPreceding, -1)),
+        "above": F.first(F.when(F.col("lo").isNotNull(), F.struct("lo", "gap")), ignorenulls=True).over(of.rowsBetween(Window.currentRow, Window.unboundedFollowing)),
+    }).select(*KEYS, "gap", "below", "above")
+    near = marks.join(beside, [*KEYS, "gap"]).selectExpr(
+        *KEYS, "bound", "gap", "greatest(abs(bound) * 1e-9D, 1e-10D) AS margin", "below", "above", "bound - below.hi AS down", "above.lo - bound AS up")
+    near = near.withColumn("exact", F.expr("coalesce(down <= margin, false) OR coalesce(up <= margin, false)"))
+    # Rows to take: around an exact boundary on both sides, else the nearer neighbour, both if equally near.
+    wanted = near.selectExpr(*KEYS, "bound", "exact", """inline(filter(array(
+        struct(below.gap AS gap, IF(exact, bound - margin, below.hi) AS from, below.hi AS to, IF(exact, 0.0D, down) AS away, IF(exact, down <= margin, up IS NULL OR down <= up) AS ok),
+        struct(above.gap AS gap, above.lo AS from, IF(exact, bound + margin, above.lo) AS to, IF(exact, 0.0D, up) AS away, IF(exact, up <= margin, down IS NULL OR up <= down) AS ok)), s -> s.ok AND s.gap IS NOT NULL))""").drop("ok")
+    wanted = materialize(wanted, "wanted")
+    hits = rows.join(F.broadcast(wanted), [*KEYS, "gap"]).where("x BETWEEN from AND to")
+    first = hits.groupBy(*KEYS, "bound", "exact").agg(F.min_by(F.struct("x", "y", "date", "symbol"), F.struct("date", "symbol")).alias("s"))
+    found = bounds.join(F.broadcast(first), [*KEYS, "bound"]).selectExpr(
+        "target_col", "factor", "bucket", "side AS extreme_side", "bound AS bucket_extreme_value", "s.x AS sample_factor_value",
+        "IF(exact, 'exact', 'nearest') AS match_type", "s.symbol AS symbol", "s.date AS date", "s.y AS target_value")
+    shown = [c for c in (*SAMPLE_COLUMNS, *(f"fwd_return_pct_T{h}" for h in range(1, 21))) if c in kinds]
+    return F.broadcast(found).join(pool.select("date", "symbol", *shown), ["date", "symbol"])

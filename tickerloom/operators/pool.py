@@ -15,10 +15,11 @@ from tickerloom.functions import rolling as R
 from tickerloom.functions.scalars import change_pct, extend, first_code, normalize_symbol, safe_div, to_number
 from tickerloom.operators import indicators as I
 from tickerloom.operators.cleaning import clean_bars, date_range, keep_last
-from tickerloom.operators.contract import FORBIDDEN, validate_pool
+from tickerloom.operators.contract import FORBIDDEN, pool_checks
 from tickerloom.operators.labels import forward_columns, label_columns, next_bars
 from tickerloom.operators.ranking import quantiles
 from tickerloom.operators.strategies import B2_FROM_B1, get_strategy
+from tickerloom.scratch import materialize_checked
 
 # Column order of a saved pool.
 CORE_COLUMNS = ["symbol", "file", "date", "selection_strategy"]
@@ -158,7 +159,7 @@ def build_pool(
     Symbols become six-digit codes and invalid bars go.  ``order`` names the columns
     that say which of several bars of one symbol and day came last; without it
     bars must be unique.  Labels and strategies see complete history; the
-    window is cut at the end.
+    window is cut at the end.  With ``validate`` the rows are stored once, checked on the way.
     """
     rule = get_strategy(strategy_name)
     coded = bars.withColumn("symbol", F.coalesce(F.nullif(first_code("symbol"), F.lit("")), F.col("symbol")))
@@ -173,9 +174,15 @@ def build_pool(
     df = label_columns(rule.finish(df, **params), with_range=with_range)
     df = date_range(df, start_date)
     df = normalize_schema(attach_identity(trend_distance(df), strategy_name))
-    if validate and not with_range:
-        validate_pool(df, strategy_name)
-    return df
+    return checked_pool(df, strategy_name) if validate and not with_range else df
+
+
+def checked_pool(pool: DataFrame, strategy_name: str) -> DataFrame:
+    """The pool, stored; the contract is checked by the job that stores it."""
+    checks = pool_checks(pool, strategy_name)
+    stored, seen = materialize_checked(pool, "pool", checks.metrics)
+    checks.judge(seen)
+    return stored
 
 
 # --------------------------------------------------------------------------
@@ -189,6 +196,7 @@ def calendar(bars: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class BuildWindow:
+    #: full_build, incremental_explicit_start, incremental_refresh_window, incremental_no_existing_pool_full_build.
     mode: str
     start: dt.date | None
     end: dt.date
@@ -215,11 +223,11 @@ def _end_date_problem(dates: DataFrame, wanted: dt.date, table: str) -> str | No
         F.count(F.when(F.col("date") == day, 1)).alias("hit"),
     ).first()
     if row["latest"] is None:
-        return f"{table} has no valid dates."
+        return f"no usable date in {table}"
     if wanted > row["latest"]:
-        return f"{table} is stale: it does not reach {wanted}; latest={row['latest']}"
+        return f"{table} ends on {row['latest']}, too early for {wanted}"
     if not row["hit"]:
-        return f"{table} does not contain {wanted}; nearest_before={row['before']}, nearest_after={row['after']}"
+        return f"{wanted} is no trading day of {table}; the days beside it are {row['before']} and {row['after']}"
     return None
 
 
@@ -239,7 +247,7 @@ def resolve_window(
         raise RuntimeError("the bar table holds no trading day to build from")
     start, end = _day(start_date), _day(end_date) or market["hi"]
     if end_date is not None:
-        problem = _end_date_problem(dates, end, "Market cache")
+        problem = _end_date_problem(dates, end, "the bar table")
         if problem:
             raise RuntimeError(problem)
     old = None
@@ -270,7 +278,7 @@ def preflight(bars: DataFrame, indicators: DataFrame, window: BuildWindow, strat
     missing = [c for c in need if c not in indicators.columns]
     if missing:
         raise RuntimeError(f"the indicator table lacks {missing}")
-    for table, df in (("Market cache", bars), ("Indicator cache", indicators)):
+    for table, df in (("the bar table", bars), ("the indicator table", indicators)):
         problem = _end_date_problem(calendar(df), window.end, table)
         if problem:
             raise RuntimeError(problem)

@@ -217,6 +217,18 @@ def factor_rows(factors, targets, source: str = "b1v0") -> str:
     return f"fr AS ({xs})"
 
 
+def detected_rows(candidates, targets, source: str = "b1g") -> str:
+    """``fr`` over the candidates that are factors: enough numbers and at least two values."""
+    def listed(names, key: str, value: str) -> str:
+        return "[" + ", ".join(f"{{'{key}': '{c}', '{value}': CAST({c} AS DOUBLE)}}" for c in names) + "]"
+
+    return f"""b1g AS (SELECT *, CASE WHEN close > 0 THEN {chg('t1_open', 'close')} END AS t1_open_gap_pct FROM b1v0),
+fl AS (SELECT symbol, date, {listed(targets, 'target_col', 'y')} AS ys, unnest({listed(candidates, 'factor', 'x')}) AS f FROM {source}),
+seen AS (SELECT f.factor AS factor FROM fl GROUP BY 1 HAVING count(f.x) >= 0.3 * count(*) AND min(f.x) < max(f.x)),
+ft AS (SELECT f.factor AS factor, f.x AS x, date, symbol, unnest(ys) AS t FROM fl WHERE f.x IS NOT NULL AND f.factor IN (SELECT factor FROM seen)),
+fr AS (SELECT factor, t.target_col AS target_col, x, t.y AS y, date, symbol FROM ft WHERE t.y IS NOT NULL)"""
+
+
 def quantile_at(k: int, q: int, x: str = "x", no: str = "no", n: str = "n") -> str:
     low = f"((({n}) - 1) * {k}) // {q}"
     rest = f"((({n}) - 1) * {k}) % {q}"
@@ -270,35 +282,47 @@ s1 AS (
 s2 AS (
   SELECT s1.*, c.sample_count, c.distinct_count, ic.spearman_ic, ic.pearson_ic,
          top_mean_return - bottom_mean_return AS top_minus_bottom_return, top_up_ratio - bottom_up_ratio AS top_minus_bottom_up_ratio,
-         top_mean_return - middle_mean_return AS tvm, top_up_ratio - middle_up_ratio AS tvmu,
-         bottom_mean_return - middle_mean_return AS bvm, bottom_up_ratio - middle_up_ratio AS bvmu,
-         best_bucket_mean_return - worst_bucket_mean_return AS best_minus_worst_return
+         top_mean_return - middle_mean_return AS top_vs_middle_return, top_up_ratio - middle_up_ratio AS top_vs_middle_up_ratio,
+         bottom_mean_return - middle_mean_return AS bottom_vs_middle_return, bottom_up_ratio - middle_up_ratio AS bottom_vs_middle_up_ratio,
+         best_bucket_mean_return - worst_bucket_mean_return AS best_minus_worst_return, best_bucket_up_ratio - worst_bucket_up_ratio AS best_minus_worst_up_ratio
   FROM s1 JOIN cuts c USING (factor, target_col) LEFT JOIN ic USING (factor, target_col)),
 s3 AS (
-  SELECT *, CASE WHEN spearman_ic > 0.005 THEN 1 WHEN spearman_ic < -0.005 THEN -1 ELSE 0 END
-          + CASE WHEN pearson_ic > 0.005 THEN 1 WHEN pearson_ic < -0.005 THEN -1 ELSE 0 END
-          + CASE WHEN top_minus_bottom_return > 0.05 THEN 1 WHEN top_minus_bottom_return < -0.05 THEN -1 ELSE 0 END
-          + CASE WHEN top_minus_bottom_up_ratio > 0.005 THEN 1 WHEN top_minus_bottom_up_ratio < -0.005 THEN -1 ELSE 0 END AS monotonic_votes,
-         (tvm < -0.05 OR tvmu < -0.005 OR worst_bucket = bucket_count_actual) AS top_bad,
-         (bvm < -0.05 OR bvmu < -0.005 OR worst_bucket = 1) AS bottom_bad,
+  SELECT *, CASE WHEN spearman_ic > 0.005 THEN 1 WHEN spearman_ic < -0.005 THEN -1 ELSE 0 END AS vote_spearman,
+         CASE WHEN pearson_ic > 0.005 THEN 1 WHEN pearson_ic < -0.005 THEN -1 ELSE 0 END AS vote_pearson,
+         CASE WHEN top_minus_bottom_return > 0.05 THEN 1 WHEN top_minus_bottom_return < -0.05 THEN -1 ELSE 0 END AS vote_tail_return,
+         CASE WHEN top_minus_bottom_up_ratio > 0.005 THEN 1 WHEN top_minus_bottom_up_ratio < -0.005 THEN -1 ELSE 0 END AS vote_tail_up_ratio,
+         vote_spearman + vote_pearson + vote_tail_return + vote_tail_up_ratio AS monotonic_votes,
+         (top_vs_middle_return < -0.05 OR top_vs_middle_up_ratio < -0.005 OR worst_bucket = bucket_count_actual) AS top_bad,
+         (bottom_vs_middle_return < -0.05 OR bottom_vs_middle_up_ratio < -0.005 OR worst_bucket = 1) AS bottom_bad,
          best_minus_worst_return > 0.05 AS spread, best_bucket > 1 AND best_bucket < bucket_count_actual AS mid FROM s2),
 s4 AS (
-  SELECT *, CASE
+  SELECT *, CASE WHEN monotonic_votes >= 3 THEN 'higher_better' WHEN monotonic_votes <= -3 THEN 'lower_better' ELSE 'mixed_or_weak' END AS monotonic_bias, CASE
     WHEN distinct_count = 2 AND ((top_minus_bottom_return > 0.05 AND NOT top_minus_bottom_up_ratio < -0.005) OR (top_minus_bottom_up_ratio > 0.005 AND NOT top_minus_bottom_return < -0.05)) THEN 'binary_true_better'
     WHEN distinct_count = 2 AND ((top_minus_bottom_return < -0.05 AND NOT top_minus_bottom_up_ratio > 0.005) OR (top_minus_bottom_up_ratio < -0.005 AND NOT top_minus_bottom_return > 0.05)) THEN 'binary_false_better'
     WHEN distinct_count = 2 THEN 'binary_no_clear_edge'
     WHEN monotonic_votes >= 3 AND NOT top_bad THEN 'higher_better'
     WHEN monotonic_votes <= -3 AND NOT bottom_bad THEN 'lower_better'
-    WHEN spread AND mid AND top_bad AND bottom_bad THEN 'middle_range_best'
+    WHEN spread AND mid AND top_bad AND bottom_bad THEN 'middle_both'
     WHEN spread AND top_bad THEN 'high_extreme_risk'
     WHEN spread AND bottom_bad THEN 'low_extreme_risk'
-    WHEN spread AND mid THEN 'middle_range_best'
-    ELSE 'weak_or_unclear' END AS bucket_pattern FROM s3)"""
+    WHEN spread AND mid THEN 'middle_plain'
+    ELSE 'weak_or_unclear' END AS shape FROM s3)"""
+
+
+def described(shapes: dict[str, tuple[str, str, str]], order: list[str], columns: str) -> str:
+    """Rounded summary rows with pattern, hint, side and reason of each shape, and the place in the report."""
+    def pick(i: int) -> str:
+        return "CASE shape " + " ".join(f"WHEN '{k}' THEN '{v[i]}'" for k, v in shapes.items()) + " END"
+
+    rank = "CASE bucket_pattern " + " ".join(f"WHEN '{p}' THEN {i}" for i, p in enumerate(order)) + " END"
+    return f"""s5 AS (SELECT * REPLACE (CASE WHEN shape LIKE 'middle%' THEN 'middle_range_best' ELSE shape END AS shape), shape AS bucket_pattern_raw, {pick(0)} AS action_hint, {pick(1)} AS risk_side, {pick(2)} AS pattern_reason FROM s4),
+s6 AS ({rounded(columns, "(SELECT *, shape AS bucket_pattern FROM s5)")}),
+s7 AS (SELECT *, row_number() OVER (ORDER BY {rank}, best_minus_worst_return DESC NULLS LAST, abs(monotonic_votes) DESC, abs(spearman_ic) DESC NULLS LAST, factor, target_col) AS place FROM s6)"""
 
 
-def analysis(final: str, factors, targets, q: int, least: int, *more: str) -> str:
+def analysis(final: str, candidates, targets, q: int, least: int, *more: str) -> str:
     keys = "factor, target_col"
-    return pool_query(final, factor_rows(factors, targets), cuts(keys, q), BUCKETED.format(q=q, keys=keys, least=least), DETAIL, *more)
+    return pool_query(final, detected_rows(candidates, targets), cuts(keys, q), BUCKETED.format(q=q, keys=keys, least=least), DETAIL, *more)
 
 
 def rank_bucket(no: str, n: str, q: str) -> str:

@@ -15,6 +15,7 @@ from tickerloom.operators import factors as FA
 from tickerloom.operators import indicators as I
 from tickerloom.operators import labels as L
 from tickerloom.operators import pool as P
+from tickerloom.operators import ranking as RK
 from tickerloom.operators import reports as RP
 from tickerloom.operators import strategies as ST
 from tickerloom.plans import fixtures as X
@@ -26,7 +27,15 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 
-FACTORS = ["kdj_j", "amplitude_pct", "is_range_low", "renko_value", "volume_ratio_ma5"]
+#: Numeric columns of the stage-low pool whose names qualify as factors; which of them are factors is decided by their values.
+CANDIDATES = [
+    "prev_close", "prev_volume", "daily_return_pct", "intraday_return_pct", "amplitude_pct", "upper_shadow_pct", "lower_shadow_pct", "body_pct",
+    "body_abs_pct", "is_red_k", "is_green_k", "is_flat_k", "volume_ratio_ma5", "volume_ratio_ma10", "volume_ratio_prev1", "macd_dif", "macd_dea",
+    "macd_hist", "kdj_k", "kdj_d", "kdj_j", "previous_20d_low", "close_to_previous_20d_low_pct", "low_to_previous_20d_low_pct", "range_60d_high",
+    "range_60d_low", "range_60d_pct", "close_position_60d_pct", "b1_tminus1_j", "renko_value", "close_to_ma20_pct", "close_to_ma60_pct", "b1_j_low",
+    "b1_not_break_previous_20d_low", "is_uptrend_pullback", "is_range_low", "b1_stage_low_valid", "t0_close_to_z_short_trend_line_pct",
+    "t0_close_to_z_long_trend_line_pct", "z_short_trend_above_z_long_trend_line", "t1_open_gap_pct",
+]
 TARGETS = ["fwd_return_pct_T1", "fwd_return_pct_T2"]
 ALL_TARGETS = [f"fwd_return_pct_T{h}" for h in range(1, 21)]
 BUCKETS, LEAST, TOP_N, TRIALS, LEAST_IC = 10, 50, 5, 200, 10
@@ -175,13 +184,14 @@ POOL_OUT = (
     " t1_date t1_open~ t1_close~ t20_date t20_open~ t20_close~ fwd_return_pct_T1~ fwd_return_pct_T5~ fwd_return_pct_T20~ fwd_up_T1 fwd_up_T20 forward_data_status")
 
 
-def b1_pool(spark, sf, name=ST.B1_V0, price="narrow") -> DataFrame:
-    return P.build_pool(X.bars(spark, sf, price), name, validate=False)
+def b1_pool(spark, sf, name=ST.B1_V0, price="narrow", validate=False) -> DataFrame:
+    """A pool; with ``validate`` stored, and checked against its contract while it is stored."""
+    return P.build_pool(X.bars(spark, sf, price), name, validate=validate)
 
 
 @query("b1_v0_pool", O.pool_query(O.rounded(POOL_OUT, "b1v0")))
 def b1_v0_pool(spark, sf):
-    return b1_pool(spark, sf).select(*names(POOL_OUT))
+    return b1_pool(spark, sf, validate=True).select(*names(POOL_OUT))
 
 
 @query("pool_dirty_bars", O.pool_query(O.rounded(POOL_OUT, "b1v0")))
@@ -191,12 +201,12 @@ def pool_dirty_bars(spark, sf):
     older = bars.withColumns({"close": F.col("close") * 2.0, "age": F.lit(0)})
     broken = bars.withColumns({"close": F.lit(None).cast("double"), "age": F.lit(2)})
     dirty = bars.unionByName(older).unionByName(broken).withColumn("symbol", F.concat(F.lit("SH#"), "symbol"))
-    return P.build_pool(dirty, ST.B1_V0, validate=False, order=["age"]).select(*names(POOL_OUT))
+    return P.build_pool(dirty, ST.B1_V0, order=["age"]).select(*names(POOL_OUT))
 
 
 @query("b1_v1_pool", O.pool_query(O.rounded(POOL_OUT + " b1_structure_downtrend_20", "b1v1"), price="wide"))
 def b1_v1_pool(spark, sf):
-    return b1_pool(spark, sf, ST.B1_V1, "wide").select(*names(POOL_OUT), "b1_structure_downtrend_20")
+    return b1_pool(spark, sf, ST.B1_V1, "wide", validate=True).select(*names(POOL_OUT), "b1_structure_downtrend_20")
 
 
 CONFIRM_MAP = {
@@ -216,7 +226,7 @@ CONFIRM_SQL = (
 
 @query("b2_tdx_pool", O.query(CONFIRM_SQL, O.CONFIRM, chain=True, labels=True))
 def b2_tdx_pool(spark, sf):
-    pool = P.build_pool(X.bars(spark, sf), ST.B2_INLINE, validate=False)
+    pool = P.build_pool(X.bars(spark, sf), ST.B2_INLINE)
     return pool.select("symbol", "date", "selection_strategy", "b1_date", "b1_lag_trade_days", "b1_tdx_signal", *CONFIRM_MAP)
 
 
@@ -377,97 +387,118 @@ def forward_curve(spark, sf):
 # --------------------------------------------------------------------------
 
 def analysis_pool(spark, sf) -> DataFrame:
-    cols = ["symbol", "date", "close", "selection_strategy", "daily_return_pct", *FACTORS, *TARGETS, "t1_open"]
-    return materialize(b1_pool(spark, sf).select(*dict.fromkeys(cols)), "analysis-pool")
+    """The whole stage-low pool with its entry gap, stored."""
+    return P.entry_gap(b1_pool(spark, sf, validate=True))
 
 
-@query("qcut_buckets", O.analysis(O.rounded("factor target_col symbol date x~ y~ bucket", "bucketed"), FACTORS, TARGETS, BUCKETS, LEAST))
+def factor_rows(spark, sf, keep: list[str]) -> DataFrame:
+    """All detected factors against T+1 and T+2, row by row."""
+    pool = analysis_pool(spark, sf)
+    return FA.factor_target_rows(pool, FA.factor_columns(pool, ALL_TARGETS), TARGETS, keep)
+
+
+@query("qcut_buckets", O.analysis(O.rounded("factor target_col symbol date x~ y~ bucket", "bucketed"), CANDIDATES, TARGETS, BUCKETS, LEAST))
 def qcut_buckets(spark, sf):
-    rows = FA.factor_target_rows(analysis_pool(spark, sf), FACTORS, TARGETS, ["symbol", "date"])
+    rows = factor_rows(spark, sf, ["symbol", "date"])
     return FA.value_buckets(rows, FA.KEYS, BUCKETS, LEAST).select("factor", "target_col", "symbol", "date", "x", "y", "bucket")
 
 
 @query("rank_buckets", O.pool_query(
     f"SELECT factor, target_col, symbol, date, {O.r4('x')} AS x, {O.rank_bucket('no', 'n', '10')} AS bucket FROM (SELECT *, row_number() OVER (PARTITION BY factor, target_col ORDER BY x, date, symbol) AS no, count(*) OVER (PARTITION BY factor, target_col) AS n FROM fr)",
-    O.factor_rows(FACTORS, TARGETS)))
+    O.detected_rows(CANDIDATES, TARGETS)))
 def rank_buckets(spark, sf):
-    rows = FA.factor_target_rows(analysis_pool(spark, sf), FACTORS, TARGETS, ["symbol", "date"])
+    rows = factor_rows(spark, sf, ["symbol", "date"])
     return FA.rank_buckets(rows, FA.KEYS, BUCKETS, ["date", "symbol"]).select("factor", "target_col", "symbol", "date", "x", "bucket")
 
 
 DETAIL_OUT = "factor target_col bucket sample_count min_factor~ max_factor~ mean_factor~ mean_return~ median_return~ up_ratio~ win_count loss_count"
 
 
-@query("bucket_detail", O.analysis(O.rounded(DETAIL_OUT, "detail"), FACTORS, TARGETS, BUCKETS, LEAST))
+@query("bucket_detail", O.analysis(O.rounded(DETAIL_OUT, "detail"), CANDIDATES, ALL_TARGETS, BUCKETS, LEAST))
 def bucket_detail(spark, sf):
-    rows = FA.factor_target_rows(analysis_pool(spark, sf), FACTORS, TARGETS)
-    return FA.bucket_detail(FA.value_buckets(rows, FA.KEYS, BUCKETS, LEAST))
+    return FA.analyze_direction(analysis_pool(spark, sf), ALL_TARGETS, None, BUCKETS, LEAST)[1]
 
 
 @query("bucket_members", O.analysis(
-    f"SELECT factor, target_col, symbol, date, bucket, {O.r4('x')} AS factor_value, {O.r4('y')} AS target_value FROM bucketed", FACTORS, TARGETS, BUCKETS, LEAST))
+    f"SELECT factor, target_col, symbol, date, bucket, {O.r4('x')} AS factor_value, {O.r4('y')} AS target_value FROM bucketed", CANDIDATES, TARGETS, BUCKETS, LEAST))
 def bucket_members(spark, sf):
-    out = FA.bucket_members(analysis_pool(spark, sf), FACTORS, TARGETS, BUCKETS, LEAST)
+    pool = analysis_pool(spark, sf)
+    out = FA.bucket_members(pool, FA.factor_columns(pool, ALL_TARGETS), TARGETS, BUCKETS, LEAST)
     return out.select("factor", "target_col", "symbol", "date", "bucket", "factor_value", "target_value")
 
 
 @query("bucket_intervals", O.analysis(
-    f"SELECT factor, target_col, bucket, sample_count, {O.r4('mean_return')} AS mean_return, printf('[%.6f, %.6f]', min_factor, max_factor) AS factor_interval FROM detail WHERE factor = 'amplitude_pct'",
-    FACTORS, TARGETS, BUCKETS, LEAST))
+    f"SELECT factor, target_col, bucket, sample_count, {O.r4('mean_return')} AS mean_return, printf('[%.2f, %.2f]', floor(min_factor * 100.0 + 0.5) / 100.0, floor(max_factor * 100.0 + 0.5) / 100.0) AS factor_interval FROM detail",
+    CANDIDATES, TARGETS, BUCKETS, LEAST))
 def bucket_intervals(spark, sf):
-    rows = FA.factor_target_rows(analysis_pool(spark, sf), ["amplitude_pct"], TARGETS)
-    detail = FA.bucket_detail(FA.value_buckets(rows, FA.KEYS, BUCKETS, LEAST))
-    return FA.interval_view(detail).select("factor", "target_col", "bucket", "sample_count", "mean_return", "factor_interval")
+    detail = FA.bucket_detail(FA.value_buckets(factor_rows(spark, sf, []), FA.KEYS, BUCKETS, LEAST))
+    return FA.interval_view(detail, 2).select("factor", "target_col", "bucket", "sample_count", "mean_return", "factor_interval")
 
 
-@query("ic", O.pool_query(O.rounded("factor target_col n spearman_ic~ pearson_ic~", "ic"), O.factor_rows(FACTORS, TARGETS), O.IC))
+@query("ic", O.pool_query(O.rounded("factor target_col n spearman_ic~ pearson_ic~", "ic"), O.detected_rows(CANDIDATES, ALL_TARGETS), O.IC))
 def ic(spark, sf):
-    rows = FA.factor_target_rows(analysis_pool(spark, sf), FACTORS, TARGETS)
-    return FA.correlations(rows, FA.KEYS, "x", "y").withColumnRenamed("_rows", "n")
+    pool = analysis_pool(spark, sf)
+    return RK.correlation_grid(pool, [], FA.factor_columns(pool, ALL_TARGETS), ALL_TARGETS)
 
 
 SUMMARY_OUT = (
-    "factor target_col bucket_pattern monotonic_votes sample_count bucket_count_actual spearman_ic~ pearson_ic~ bottom_bucket top_bucket bottom_mean_return~"
-    " middle_mean_return~ top_mean_return~ bottom_up_ratio~ middle_up_ratio~ top_up_ratio~ top_minus_bottom_return~ top_minus_bottom_up_ratio~"
-    " best_bucket worst_bucket best_bucket_mean_return~ worst_bucket_mean_return~ best_minus_worst_return~ best_bucket_up_ratio~ worst_bucket_up_ratio~")
+    "target_col schema_version factor bucket_pattern action_hint risk_side pattern_reason monotonic_bias monotonic_votes vote_spearman vote_pearson vote_tail_return"
+    " vote_tail_up_ratio sample_count bucket_count_actual spearman_ic~ pearson_ic~ bottom_bucket top_bucket bottom_mean_return~"
+    " middle_mean_return~ top_mean_return~ top_minus_bottom_return~ top_vs_middle_return~ bottom_vs_middle_return~ bottom_up_ratio~ middle_up_ratio~ top_up_ratio~"
+    " top_minus_bottom_up_ratio~ top_vs_middle_up_ratio~ bottom_vs_middle_up_ratio~ best_bucket worst_bucket best_bucket_mean_return~ worst_bucket_mean_return~"
+    " best_minus_worst_return~ best_bucket_up_ratio~ worst_bucket_up_ratio~ best_minus_worst_up_ratio~")
 
 
-@query("direction_summary", O.analysis(O.rounded(SUMMARY_OUT, "s4"), FACTORS, TARGETS, BUCKETS, LEAST, O.IC, O.SHAPE))
+@query("direction_summary", O.analysis(
+    f"SELECT *, '{FA.SCHEMA_VERSION}' AS schema_version FROM s7", CANDIDATES, ALL_TARGETS, BUCKETS, LEAST, O.IC, O.SHAPE,
+    O.described(FA.SHAPES, FA.PATTERN_ORDER, SUMMARY_OUT.replace(" schema_version", ""))))
 def direction_summary(spark, sf):
-    summary, _ = FA.analyze_direction(analysis_pool(spark, sf), TARGETS, FACTORS, BUCKETS, LEAST)
-    return FA.order_summary(summary).select(*names(SUMMARY_OUT))
+    summary, _ = FA.analyze_direction(analysis_pool(spark, sf), ALL_TARGETS, None, BUCKETS, LEAST)
+    # Places go by the rounded figures, so that equal ones stay equal in any engine.
+    return FA.report_places(X.tidy(summary))
 
 
-REFINE = f"""q1 AS (SELECT *, {O.rank_bucket('no', 'n', '10')} AS source_bucket FROM (SELECT *, row_number() OVER (PARTITION BY target_col ORDER BY x, date, symbol) AS no, count(*) OVER (PARTITION BY target_col) AS n FROM fr)),
+REFINE = f"""q1 AS (SELECT *, {O.rank_bucket('no', 'n', '10')} AS source_bucket, {O.rank_bucket('n', 'n', '10')} AS last_bucket FROM (SELECT *, row_number() OVER (PARTITION BY factor, target_col ORDER BY x, date, symbol) AS no, count(*) OVER (PARTITION BY factor, target_col) AS n FROM fr)),
 q2 AS (SELECT factor, target_col, x, y, date, symbol, source_bucket, CASE WHEN source_bucket = 1 THEN 'lowest' ELSE 'highest' END AS source_bucket_type FROM q1
-  WHERE source_bucket = 1 OR source_bucket = (SELECT max(source_bucket) FROM q1 z WHERE z.target_col = q1.target_col)),
-q3 AS (SELECT *, {O.rank_bucket('no', 'n', '5')} AS sub_bucket FROM (SELECT *, row_number() OVER (PARTITION BY target_col, source_bucket ORDER BY x, date, symbol) AS no,
-  count(*) OVER (PARTITION BY target_col, source_bucket) AS n, avg(y) OVER (PARTITION BY target_col, source_bucket) AS source_mean FROM q2))"""
+  WHERE source_bucket = 1 OR source_bucket = last_bucket),
+q3 AS (SELECT *, {O.rank_bucket('no', 'n', '5')} AS sub_bucket FROM (SELECT *, row_number() OVER (PARTITION BY factor, target_col, source_bucket ORDER BY x, date, symbol) AS no,
+  count(*) OVER (PARTITION BY factor, target_col, source_bucket) AS n, avg(y) OVER (PARTITION BY factor, target_col, source_bucket) AS source_mean FROM q2))"""
 
 
 @query("extreme_refinement", O.pool_query(
     f"SELECT factor, target_col, source_bucket_type, source_bucket, sub_bucket, count(*) AS sample_count, {O.r4('min(x)')} AS sub_min_factor, {O.r4('max(x)')} AS sub_max_factor, {O.r4('median(x)')} AS sub_median_factor,"
     f" {O.r4('avg(y)')} AS mean_return, {O.r4('median(y)')} AS median_return, {O.r4('avg(y) - max(source_mean)')} AS mean_return_vs_source, count(*) >= 20 AS sample_ok FROM q3 GROUP BY 1, 2, 3, 4, 5",
-    O.factor_rows(["kdj_j"], TARGETS), REFINE))
+    O.detected_rows(CANDIDATES, TARGETS), REFINE))
 def extreme_refinement(spark, sf):
-    _, detail = FA.refine_extremes(analysis_pool(spark, sf), "kdj_j", TARGETS, least=20)
+    pool = analysis_pool(spark, sf)
+    names_ = FA.factor_columns(pool, ALL_TARGETS, FA.refinement_factors(pool.columns))
+    _, detail = FA.refine_extremes(pool, names_, TARGETS, least=20)
     return detail.select(
         "factor", "target_col", "source_bucket_type", "source_bucket", "sub_bucket", "sample_count", "sub_min_factor", "sub_max_factor",
         "sub_median_factor", "mean_return", "median_return", "mean_return_vs_source", "sample_ok")
 
 
+SAMPLE_OUT = "symbol date file selection_strategy open~ high~ low~ close~ volume~ amount~ " + " ".join(f"{t}~" for t in ALL_TARGETS)
+SAMPLES = f"""bd AS (SELECT factor, target_col, bucket, unnest([{{'side': 'min', 'b': floor(min_factor * 10.0 + 0.5) / 10.0}}, {{'side': 'max', 'b': floor(max_factor * 10.0 + 0.5) / 10.0}}]) AS e FROM detail),
+bv AS (SELECT DISTINCT factor, target_col, e.b AS bound FROM bd),
+lo AS (SELECT v.factor, v.target_col, v.bound, max(r.x) AS below FROM bv v JOIN fr r ON r.factor = v.factor AND r.target_col = v.target_col AND r.x < v.bound GROUP BY ALL),
+hi AS (SELECT v.factor, v.target_col, v.bound, min(r.x) AS above FROM bv v JOIN fr r ON r.factor = v.factor AND r.target_col = v.target_col AND r.x >= v.bound GROUP BY ALL),
+nv AS (SELECT bv.*, below, above, greatest(abs(bound) * 1e-9, 1e-10) AS margin, least(coalesce(bound - below, 'inf'), coalesce(above - bound, 'inf')) AS away
+  FROM bv LEFT JOIN lo USING (factor, target_col, bound) LEFT JOIN hi USING (factor, target_col, bound)),
+ht AS (SELECT n.factor, n.target_col, n.bound, n.away <= n.margin AS exact, arg_min(row(r.symbol, r.date, r.x, r.y), row(r.date, r.symbol)) AS s FROM nv n JOIN fr r ON r.factor = n.factor AND r.target_col = n.target_col
+  AND ((n.away <= n.margin AND abs(r.x - n.bound) <= n.margin) OR (n.away > n.margin AND ((r.x = n.below AND n.bound - n.below <= n.away) OR (r.x = n.above AND n.above - n.bound <= n.away)))) GROUP BY ALL)"""
+
+
 @query("extreme_samples", O.analysis(
-    f"SELECT b.target_col, b.factor, b.bucket, b.side AS extreme_side, 'exact' AS match_type, {O.r4('b.bound')} AS bucket_extreme_value, arg_min(r.symbol, row(r.date, r.symbol)) AS symbol, min(r.date) AS date"
-    " FROM (SELECT factor, target_col, bucket, 'min' AS side, min_factor AS bound FROM detail UNION ALL SELECT factor, target_col, bucket, 'max', max_factor FROM detail) b"
-    " JOIN fr r ON r.factor = b.factor AND r.target_col = b.target_col AND abs(r.x - b.bound) <= greatest(abs(b.bound) * 1e-9, 1e-10)"
-    " WHERE b.factor = 'amplitude_pct' AND b.target_col = 'fwd_return_pct_T1' GROUP BY b.target_col, b.factor, b.bucket, b.side, b.bound",
-    FACTORS, TARGETS, BUCKETS, LEAST))
+    f"SELECT bd.target_col, bd.factor, bd.bucket, e.side AS extreme_side, e.b AS bucket_extreme_value, {O.r4('s[3]')} AS sample_factor_value, CASE WHEN exact THEN 'exact' ELSE 'nearest' END AS match_type, {O.r4('s[4]')} AS target_value, p.*"
+    f" FROM bd JOIN ht ON ht.factor = bd.factor AND ht.target_col = bd.target_col AND ht.bound = bd.e.b JOIN ({O.rounded(SAMPLE_OUT, 'b1v0')}) p ON p.symbol = s[1] AND p.date = s[2]",
+    CANDIDATES, TARGETS, BUCKETS, LEAST, SAMPLES))
 def extreme_samples(spark, sf):
+    """Bounds as a report with one decimal shows them, so that most of them fall between rows."""
     pool = analysis_pool(spark, sf)
-    rows = FA.factor_target_rows(pool, ["amplitude_pct"], TARGETS[:1])
-    detail = FA.bucket_detail(FA.value_buckets(rows, FA.KEYS, BUCKETS, LEAST))
-    out = FA.extreme_samples(pool, detail, "amplitude_pct", TARGETS[0])
-    return out.select("target_col", "factor", "bucket", "extreme_side", "match_type", "bucket_extreme_value", "symbol", "date")
+    detail = FA.analyze_direction(pool, TARGETS, FA.factor_columns(pool, ALL_TARGETS), BUCKETS, LEAST)[1]
+    shown = detail.withColumns({c: F.floor(F.col(c) * 10.0 + 0.5).cast("double") / 10.0 for c in ("min_factor", "max_factor")})
+    return FA.extreme_samples(pool, shown)
 
 
 CHOSEN = {"kdj_j": [1, 2, 3, 4], "amplitude_pct": [4, 5, 6, 7]}

@@ -11,8 +11,9 @@ from __future__ import annotations
 
 import gc
 import uuid
+from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -35,6 +36,19 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return stored
 
 
+def observed(df: DataFrame, metrics: Sequence[Column]) -> tuple[DataFrame, Observation]:
+    """``df`` with aggregates that its next job computes on the way."""
+    seen = Observation()
+    return df.observe(seen, *metrics), seen
+
+
+def materialize_checked(df: DataFrame, label: str, metrics: Sequence[Column]) -> tuple[DataFrame, dict]:
+    """:func:`materialize`, and the values of ``metrics`` over the rows, from the same job."""
+    df, seen = observed(df, metrics)
+    stored = materialize(df, label)
+    return stored, seen.get
+
+
 def _delete(spark: SparkSession, path: str) -> None:
     place = spark._jvm.org.apache.hadoop.fs.Path(path)
     place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
