@@ -3,6 +3,7 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tickerloom.operators import factors as FA
+from tickerloom.operators import grid as G
 from tickerloom.operators import ranking as RK
 
 
@@ -112,7 +113,7 @@ def test_correlation_grid_equals_pandas(spark):
     for c, share in (("x1", 0.2), ("x2", 0.1), ("y1", 0.05), ("y2", 0.4)):
         pdf.loc[rng.random(n) < share, c] = np.nan
     frame_ = spark.createDataFrame(pdf.astype(object).where(pdf.notna(), None), "g string, x1 double, x2 double, x3 double, y1 double, y2 double")
-    got = {(r.g, r.factor, r.target_col): r for r in RK.correlation_grid(frame_, ["g"], ["x1", "x2", "x3"], ["y1", "y2"], cuts=4).collect()}
+    got = {(r.g, r.factor, r.target_col): r for r in G.correlation_grid(frame_, ["g"], ["x1", "x2", "x3"], ["y1", "y2"], cuts=4).collect()}
     assert len(got) == 18
     for (g, x, y), r in got.items():
         mine = pdf[pdf.g.isna() if g is None else pdf.g == g].dropna(subset=[x, y])
@@ -122,12 +123,12 @@ def test_correlation_grid_equals_pandas(spark):
         else:
             np.testing.assert_allclose([r.spearman_ic, r.pearson_ic], [mine[x].rank().corr(mine[y].rank()), mine[x].corr(mine[y])], rtol=1e-9)
         np.testing.assert_allclose(r.edges, np.unique(mine[x].quantile([0, 0.25, 0.5, 0.75, 1])), rtol=1e-12)
-    assert RK.correlation_grid(frame_.where("g = 'none'"), ["g"], ["x1"], ["y1"]).collect() == []
+    assert G.correlation_grid(frame_.where("g = 'none'"), ["g"], ["x1"], ["y1"]).collect() == []
 
 
 def test_no_join_on_a_value(spark):
     rows = spark.createDataFrame(frame(spark))
-    grid = RK.correlation_grid(rows, ["g"], ["x"], ["y"])
-    plan = grid._jdf.queryExecution().executedPlan().toString()
-    joins = [line for line in plan.splitlines() if "Join" in line]
-    assert joins and not any(f"[{c}#" in line or f" {c}#" in line.split("],")[0] for line in joins for c in ("x", "y", "_x", "_y"))
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan(G.correlation_grid(rows, ["g"], ["x"], ["y"]))
+    joins = [line for line in plan(RK.ranks_in_place(rows, ["g"], "x", "id", ["1"])).splitlines() if "Join" in line]
+    assert len(joins) == 1 and "_slice" in joins[0] and not any(f"{c}#" in joins[0] for c in ("x", "y"))

@@ -17,7 +17,8 @@ from tickerloom.functions.scalars import change_pct, extend, first_code, ratio,
 from tickerloom.operators import indicators as I
 from tickerloom.operators.cleaning import date_range, enough_history, selected_rows
 from tickerloom.operators.labels import close_labels
-from tickerloom.operators.ranking import correlation_grid, medians, positions, ranks_in_place, value_positions
+from tickerloom.operators.grid import correlation_grid
+from tickerloom.operators.ranking import medians, positions, ranks_in_place, value_positions
 from tickerloom.scratch import materialize
 
 # Score features (raw expression, weight), then ranks that are only probed.

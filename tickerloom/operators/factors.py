@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 
 from tickerloom.functions.scalars import extend, parse_boolean, to_number
 from tickerloom.operators.contract import FUTURE_BAR
+from tickerloom.operators.grid import correlation_grid
 from tickerloom.operators.ranking import (
-    correlation_grid,
     medians,
     positions,
     quantile,

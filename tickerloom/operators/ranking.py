@@ -122,56 +122,6 @@ def ranks_in_place(df: DataFrame, keys: Sequence[str], value: str, tie: str, wei
     return stored.join(offsets, matched).selectExpr(*keys, value, *[c for c in keep if c != value], ranks)
 
 
-def correlation_grid(df: DataFrame, keys: Sequence[str], xs: Sequence[str], ys: Sequence[str], least: int = 3, cuts: int | None = None) -> DataFrame:
-    """Spearman and Pearson correlation of every x with every y in each group, over the rows that have both.
-
-    One row per (group, ``factor``, ``target_col``) that has rows, with their number ``n``;
-    correlations are NULL below ``least`` rows and for constant values.  With ``cuts`` also ``distinct_count`` of
-    the x values and ``edges``, their quantiles k / ``cuts``.
-
-    Each y is sorted once for all x and each x once for all y, with one weight per way in
-    which the other side can be missing; a row meets its ranks of y by its number.
-    """
-    base = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in (*xs, *ys)])
-    base = materialize(base.withColumn("_id", F.monotonically_increasing_id()), "grid")
-    # Factors that are missing in the same rows share their ranks of y: a count and two hashes of the row numbers tell.
-    missing = base.agg(*[F.expr(f"struct(count_if(`{x}` IS NULL), bit_xor(IF(`{x}` IS NULL, xxhash64(_id), 0L)), sum(CAST(IF(`{x}` IS NULL, hash(_id), 0) AS long))) AS `{x}`") for x in xs]).first()
-    patterns = list(dict.fromkeys(tuple(missing[x]) for x in xs))
-    pattern_of = {x: patterns.index(tuple(missing[x])) for x in xs}
-    shown = [next(x for x in xs if pattern_of[x] == m) for m in range(len(patterns))]
-
-    tall = base.selectExpr(*keys, "_id", *[f"IF(`{x}` IS NULL, 0, 1) AS _m{m}" for m, x in enumerate(shown)],
-                           "inline(array(" + ", ".join(f"struct({t} AS _t, `{y}` AS _y)" for t, y in enumerate(ys)) + "))").where("_y IS NOT NULL")
-    ranked = ranks_in_place(tall, [*keys, "_t"], "_y", "_id", [f"_m{m}" for m in range(len(shown))], keep=["_id"])
-    by_row = ranked.groupBy(F.col("_id").alias("_row")).agg(F.expr(
-        "map_from_entries(collect_list(struct(_t, transform(ranks, r -> r.before + (r.ties + 1) / 2.0D)))) AS _ry"))
-
-    wide = base.join(by_row, F.col("_id") == F.col("_row"))
-    of = range(len(ys))
-    wide = wide.selectExpr(*keys, "_id", *[f"`{x}`" for x in xs], *[f"`{y}` AS _y{t}" for t, y in enumerate(ys)], *[f"_ry[{t}] AS _r{t}" for t in of])
-    long = wide.selectExpr(*keys, "_id", *[f"_y{t}" for t in of], *[f"_r{t}" for t in of], "inline(array(" + ", ".join(
-        f"struct('{x}' AS factor, {pattern_of[x]} AS _p, `{x}` AS _x)" for x in xs) + "))").where("_x IS NOT NULL")
-    ranked = ranks_in_place(long, [*keys, "factor"], "_x", "_id", [f"IF(_y{t} IS NULL, 0, 1)" for t in of], {
-        "t": [str(t) for t in of], "y": [f"_y{t}" for t in of], "ry": [f"_r{t}[_p]" for t in of]})
-    pairs = ranked.selectExpr(*keys, "factor", "_x AS x", "inline(ranks)").where("w > 0").withColumn("rx", F.expr("before + (ties + 1) / 2.0D"))
-
-    def related(a: str, b: str) -> str:
-        return f"CASE WHEN count(1) >= {int(least)} AND min(rx) < max(rx) AND min(ry) < max(ry) THEN try_divide(covar_pop({a}, {b}), stddev_pop({a}) * stddev_pop({b})) END"
-
-    figures = [F.count(F.lit(1)).alias("n"), F.expr(related("rx", "ry")).alias("spearman_ic"), F.expr(related("x", "y")).alias("pearson_ic")]
-    if cuts:
-        # Equal values add up to one.  The k-th quantile lies between the rows at two ranks.
-        figures.append(F.expr("CAST(round(sum(1.0D / ties)) AS long) AS distinct_count"))
-        for k in range(cuts + 1):
-            low, high = f"((total - 1) * {k}) div {cuts}", f"((total - 1) * {k} + {cuts - 1}) div {cuts}"
-            at = "max(CASE WHEN before <= {0} AND {0} < before + ties THEN x END)"
-            figures.append(F.expr(f"{at.format(low)} + ({at.format(high)} - {at.format(low)}) * (max(((total - 1) * {k}) % {cuts}) / {float(cuts)}D) AS _q{k}"))
-    out = pairs.groupBy(*keys, "factor", "t").agg(*figures)
-    names = F.expr("CASE t " + " ".join(f"WHEN {t} THEN '{y}'" for t, y in enumerate(ys)) + " END").alias("target_col")
-    extra = [F.col("distinct_count"), F.array_distinct(F.array(*[F.col(f"_q{k}") for k in range(cuts + 1)])).alias("edges")] if cuts else []
-    return out.select(*keys, "factor", names, "n", "spearman_ic", "pearson_ic", *extra)
-
-
 def value_positions(df: DataFrame, keys: Sequence[str], value: str, weight: Column | None = None) -> DataFrame:
     """Distinct values of each group with ``_n``, ``_before``, ``_dense``, ``_total``, ``_distinct``."""
     return positions(value_counts(df, keys, value, weight), keys, [value], "_n")

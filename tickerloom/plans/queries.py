@@ -12,10 +12,10 @@ from tickerloom.operators import alpha as A
 from tickerloom.operators import cleaning as C
 from tickerloom.operators import contract as CT
 from tickerloom.operators import factors as FA
+from tickerloom.operators import grid as G
 from tickerloom.operators import indicators as I
 from tickerloom.operators import labels as L
 from tickerloom.operators import pool as P
-from tickerloom.operators import ranking as RK
 from tickerloom.operators import reports as RP
 from tickerloom.operators import strategies as ST
 from tickerloom.plans import fixtures as X
@@ -438,7 +438,7 @@ def bucket_intervals(spark, sf):
 @query("ic", O.pool_query(O.rounded("factor target_col n spearman_ic~ pearson_ic~", "ic"), O.detected_rows(CANDIDATES, ALL_TARGETS), O.IC))
 def ic(spark, sf):
     pool = analysis_pool(spark, sf)
-    return RK.correlation_grid(pool, [], FA.factor_columns(pool, ALL_TARGETS), ALL_TARGETS)
+    return G.correlation_grid(pool, [], FA.factor_columns(pool, ALL_TARGETS), ALL_TARGETS)
 
 
 SUMMARY_OUT = (
