@@ -1,6 +1,6 @@
 import numpy as np
 
-from tickerloom.llm.decontaminate import RADIUS, _near_blocks, benchmark_matches, decontaminated, similarity
+from tickerloom.llm.decontaminate import BLOCKS, RADIUS, _block_rows, benchmark_matches, decontaminated, similarity
 
 
 def brute_force(docs, items):
@@ -53,14 +53,20 @@ def test_matches_equal_all_windows(spark, sentence):
     assert sorted(x for x in ids if x is not None) == sorted({a for a, _ in docs if a is not None} - {a for a, _ in exact}) and None in ids
 
 
-def test_blocks_reach_the_radius():
-    near = set(_near_blocks())
+def test_blocks_reach_the_radius(spark):
+    """Fingerprints up to the radius apart share a block row; the blocks cover all bits once."""
+    assert sorted(x for start, width in BLOCKS for x in range(start, start + width)) == list(range(64))
     rng = np.random.default_rng(2)
-    for _ in range(2000):
-        difference = 0
-        for b in rng.choice(64, rng.integers(0, RADIUS + 1), replace=False).tolist():
-            difference |= 1 << b
-        assert any((difference >> (16 * b)) & 65535 in near for b in range(4))
+    rows = []
+    for i in range(2000):
+        f = int(rng.integers(-(1 << 63), 1 << 63))
+        difference = sum(1 << b for b in rng.choice(64, RADIUS if i % 2 else rng.integers(0, RADIUS + 1), replace=False).tolist())
+        rows.append((i, f, int((np.array([f]).view(np.uint64) ^ np.uint64(difference)).view(np.int64)[0])))
+    pairs = spark.createDataFrame(rows, "i long, f long, g long")
+    near = pairs.selectExpr("i", f"inline({_block_rows(True)})")
+    own = pairs.selectExpr("i", "g AS f").selectExpr("i", f"inline({_block_rows(False)})")
+    assert near.join(own, ["i", "b", "v"]).select("i").distinct().count() == len(rows)
+    assert near.where("i = 0").count() == sum(width + 1 for _, width in BLOCKS) == 74
 
 
 def test_items_cut_to_the_threshold_are_found(spark, sentence):

@@ -8,16 +8,16 @@ whole text, if shorter) resembles it.  The steps are
    item (a hashed bitmap of fixed size; a window of the threshold similarity always
    passes).  Overlapping windows form regions, only they are kept;
 2. fingerprints: 64-bit SimHash of a window's words;
-3. search: fingerprints are cut into four blocks of 16 bits.  If two differ in at
-   most ``RADIUS`` bits, one block differs in at most RADIUS // 4, so items are
-   indexed under every block value within that distance and windows under their
+3. search: fingerprints are cut into ten blocks of 6 or 7 bits.  If two differ in at
+   most ``RADIUS`` bits, one block differs in at most one, so items are
+   indexed under every block value within that distance (74 rows an item) and windows under their
    own: a join on (length, block, value) misses no fingerprint within the radius.
    Windows at exactly 0.8 differ in 8 to 9 bits on average, so RADIUS has a wide margin;
 4. check: the exact weighted Jaccard similarity of the shingle multisets, where a
    shingle weighs its number of bytes, must reach the threshold.
 
-Items are joined, not broadcast; what is broadcast is the bitmap and the list of
-distinct item lengths.
+The item index is stored before it is joined, so Spark sees its real size when it chooses the
+join; what is always broadcast is the bitmap and the list of distinct item lengths.
 
 Defined cases: rows without id, null and empty texts and items of fewer than five
 words take no part; rows that share an id are one document; repeated items match
@@ -28,7 +28,6 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -42,6 +41,9 @@ SHINGLE = 5
 PERCENT = 80
 RADIUS = 19
 BITMAP = 1 << 24
+#: (first bit, number of bits) of the blocks of a fingerprint; more than RADIUS / 2 blocks, so one of them differs in one bit at most.
+BLOCKS = [(7 * i, 7) for i in range(4)] + [(28 + 6 * i, 6) for i in range(6)]
+_SLICE = 1 << 13
 
 
 def _slots(values: np.ndarray) -> np.ndarray:
@@ -94,15 +96,25 @@ def _item_table(items: DataFrame) -> DataFrame:
 
 
 def _bitmap(items: DataFrame) -> np.ndarray:
+    """Packed bits of the items' shingles; tasks send the slices of it that they have set, which are OR-ed slice by slice."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(BITMAP, dtype=bool)
         for batch in batches:
-            values = np.unique(_slots(Words(column_bytes(batch.column(0))).shingles(SHINGLE)[0]))
-            yield pa.RecordBatch.from_arrays([pa.array(values)], names=["b"])
+            bits[_slots(Words(column_bytes(batch.column(0))).shingles(SHINGLE)[0])] = True
+        packed = np.packbits(bits).reshape(-1, _SLICE // 8)
+        used = np.flatnonzero(packed.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array([packed[s].tobytes() for s in used], pa.binary())], names=["s", "bits"])
+
+    def united(table: pa.Table) -> pa.Table:
+        rows = [np.frombuffer(x, dtype=np.uint8) for x in table.column("bits").to_pylist()]
+        return pa.table({"s": table.column("s").slice(0, 1), "bits": pa.array([np.bitwise_or.reduce(rows).tobytes()], pa.binary())})
 
-    out = np.zeros(BITMAP, dtype=bool)
-    for part in items.select("w").mapInArrow(run, "b long").distinct().toArrow().column(0).chunks:  # at most BITMAP rows
-        out[part.to_numpy()] = True
-    return np.packbits(out)
+    out = np.zeros((BITMAP // _SLICE, _SLICE // 8), dtype=np.uint8)
+    # At most BITMAP / _SLICE rows, 2 MB in all.
+    for row in items.select("w").mapInArrow(run, "s long, bits binary").groupBy("s").applyInArrow(united, "s long, bits binary").collect():
+        out[row["s"]] = np.frombuffer(row["bits"], dtype=np.uint8)
+    return out.ravel()
 
 
 def _covered(weight: np.ndarray, hit: np.ndarray, size: int, percent: int) -> np.ndarray:
@@ -181,9 +193,13 @@ def _windows(regions: DataFrame, bitmap: np.ndarray, sizes: list[int], percent:
     return regions.mapInArrow(run, "d long, a long, p long, s long, m long, f long")
 
 
-def _near_blocks() -> list[int]:
-    """Bit patterns of 16 bits with at most RADIUS // 4 ones."""
-    return [sum(1 << b for b in chosen) for k in range(RADIUS // 4 + 1) for chosen in combinations(range(16), k)]
+def _block_rows(near: bool) -> str:
+    """SQL array of (block number, value) structs of the fingerprint f; with ``near`` also of the values that differ in one bit."""
+    out = []
+    for b, (start, width) in enumerate(BLOCKS):
+        own = f"(shiftrightunsigned(f, {start}) & {(1 << width) - 1}L)"
+        out += [f"struct({b} AS b, ({own} ^ {mask}L) AS v)" for mask in ([0] + [1 << i for i in range(width)] if near else [0])]
+    return f"array({', '.join(out)})"
 
 
 def benchmark_matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -193,16 +209,8 @@ def benchmark_matches(docs: DataFrame, items: DataFrame, percent: int = PERCENT)
     bitmap = _bitmap(table)
     regions = materialize(_regions(docs, bitmap, sizes, percent), "regions")
 
-    def blocks(variants: bool) -> str:
-        """SQL array of (block number, value) structs of the fingerprint f."""
-        own = "struct(b AS b, (shiftrightunsigned(f, 16 * b) & 65535L) AS v)"
-        if not variants:
-            return f"transform(sequence(0, 3), b -> {own})"
-        masks = ", ".join(f"{x}L" for x in _near_blocks())
-        return f"flatten(transform(sequence(0, 3), b -> transform(array({masks}), x -> struct(b AS b, ((shiftrightunsigned(f, 16 * b) & 65535L) ^ x) AS v))))"
-
-    index = table.selectExpr("i", "m", "f AS g", f"inline({blocks(True)})")
-    asked = _windows(regions, bitmap, sizes, percent).selectExpr("d", "a", "p", "s", "m", "f", f"inline({blocks(False)})")
+    index = materialize(table.selectExpr("i", "m", "f AS g", f"inline({_block_rows(True)})"), "index")
+    asked = _windows(regions, bitmap, sizes, percent).selectExpr("d", "a", "p", "s", "m", "f", f"inline({_block_rows(False)})")
     near = asked.join(index, ["m", "b", "v"]).where(f"bit_count(f ^ g) <= {RADIUS}").select("d", "a", "p", "s", "i").distinct()
     both = near.join(regions.select("d", "a", F.col("w").alias("rw")).distinct(), ["d", "a"]).join(table.select("i", F.col("w").alias("iw")).distinct(), "i")
 
