@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as S
 from tickerloom.operators import cleaning as C
+from tickerloom.operators import pool as P
 from tickerloom.sources import bar_text as B
 from tickerloom.sources import sinks
 from tickerloom.sources import tables as TB
@@ -114,3 +115,21 @@ def test_indicator_subset_keeps_the_last_row_and_known_columns(spark, tmp_path):
     spark.createDataFrame(rows, "date string, symbol string, daily_return_pct double, other int").coalesce(1).write.parquet(str(tmp_path / "i"))
     got = [tuple(r) for r in TB.read_indicator_subset(spark, str(tmp_path / "i")).collect()]
     assert got == [(dt.date(2024, 1, 2), "600000", 2.0)]
+
+
+def test_span_of_a_stored_table_comes_from_footers(spark, bars, tmp_path):
+    path = str(tmp_path / "bars")
+    sinks.write_bars(bars, path)
+    span = TB.date_span(spark, path)
+    row = bars.agg(F.min("date"), F.max("date"), F.count("date")).first()
+    assert (span.first, span.last, span.rows) == tuple(row)
+    with TB._settings(spark, parquet__aggregatePushdown="true", sources__useV1SourceList=""):
+        plan = TB.span_query(spark, path)._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(date), MAX(date), COUNT(date)]" in plan
+    assert spark.conf.get("spark.sql.parquet.aggregatePushdown") == "false"
+    empty = str(tmp_path / "none")
+    bars.where("false").write.parquet(empty)
+    with pytest.raises(RuntimeError, match="no trading day"):
+        P.resolve_window(spark.read.parquet(empty), market=TB.date_span(spark, empty))
+    with pytest.raises(RuntimeError, match="no trading day between"):
+        P.resolve_window(bars.where("date < DATE '2022-03-01'"), start_date="2022-05-01", market=span)

@@ -72,33 +72,78 @@ def weighted(name: str, source: str, n: int, m: int = 1, gaps: str = "decay") ->
     return Average(name, source, float(m) / float(n), gaps)
 
 
-def evaluate(steps, columns: dict[str, pd.Series]) -> dict[str, pd.Series]:
-    """Run the steps over one symbol's date-ordered columns."""
+#: What a step must know of earlier rows: its last value, and how many missing rows followed the last one it saw.
+Memory = dict[str, tuple[float, int]]
+
+
+def _average(s: Average, x: pd.Series, known: tuple[float, int] | None) -> pd.Series:
+    """An average over ``x``, going on from ``known``.
+
+    The earlier value stands in for all rows before it; with decay, the missing rows since
+    then follow it, so that its weight is what it would be in one pass over everything.
+    """
+    if s.gaps == "hold":
+        seen = x.dropna()
+        if known:
+            seen = pd.concat([pd.Series([known[0]], index=[-1]), seen])
+        y = seen.ewm(alpha=s.alpha, adjust=False).mean()
+        return y.reindex([-1, *x.index] if known else x.index).ffill().reindex(x.index)
+    if not known:
+        return x.ewm(alpha=s.alpha, adjust=False).mean()
+    before = pd.Series([known[0], *[np.nan] * known[1]])
+    y = pd.concat([before, x], ignore_index=True).ewm(alpha=s.alpha, adjust=False).mean()
+    return y.iloc[len(before):].reset_index(drop=True)
+
+
+def evaluate(steps, columns: dict[str, pd.Series], memory: Memory | None = None) -> dict[str, pd.Series]:
+    """Run the steps over one symbol's date-ordered columns; with ``memory`` they go on from earlier rows."""
     done = dict(columns)
+    memory = memory or {}
     for s in steps:
         if isinstance(s, Mix):
             done[s.name] = s.a * done[s.left] + s.b * done[s.right]
         elif isinstance(s, Previous):
             done[s.name] = done[s.source].shift(1)
-        elif s.gaps == "hold":
-            x = done[s.source]
-            done[s.name] = x.dropna().ewm(alpha=s.alpha, adjust=False).mean().reindex(x.index).ffill()
+            if s.name in memory and len(done[s.name]):
+                done[s.name].iloc[0] = memory[s.name][0]
         else:
-            done[s.name] = done[s.source].ewm(alpha=s.alpha, adjust=False).mean()
+            done[s.name] = _average(s, done[s.source], memory.get(s.name))
     return done
 
 
-def add_recursive(df: DataFrame, steps, drop: set[str] = frozenset()) -> DataFrame:
+def remembered(steps, done: dict[str, pd.Series], memory: Memory | None = None) -> Memory:
+    """The memory after the rows of ``done``."""
+    out = dict(memory or {})
+    for s in steps:
+        if isinstance(s, Mix) or not len(done[s.name]):
+            continue
+        if isinstance(s, Previous):
+            out[s.name] = (float(done[s.source].iloc[-1]), 0)
+            continue
+        last, seen = float(done[s.name].iloc[-1]), done[s.source].notna().to_numpy()
+        gap = len(seen) - 1 - int(np.flatnonzero(seen)[-1]) if seen.any() else out.get(s.name, (0.0, 0))[1] + len(seen)
+        if not np.isnan(last):
+            out[s.name] = (last, gap)
+    return out
+
+
+MEMORY_TYPE = T.MapType(T.StringType(), T.StructType([T.StructField("value", T.DoubleType()), T.StructField("gap", T.IntegerType())]))
+
+
+def add_recursive(df: DataFrame, steps, drop: set[str] = frozenset(), memory: str | None = None) -> DataFrame:
     """Append the result of every step whose name is not internal.
 
-    Columns in ``drop`` are inputs of the steps that nothing needs afterwards.
+    Columns in ``drop`` are inputs of the steps that nothing needs afterwards.  ``memory`` names a column with what the
+    steps know of a symbol's earlier rows; it comes back with what they know after the last row, on that row alone.
     """
     made = {s.name for s in steps}
     emitted = [s.name for s in steps if not s.name.startswith(INTERNAL)]
     read = sorted({n for s in steps for n in ([s.left, s.right] if isinstance(s, Mix) else [s.source]) if n not in made})
-    passed = [f for f in df.schema.fields if f.name not in drop and f.name not in emitted]
+    passed = [f for f in df.schema.fields if f.name not in drop and f.name not in emitted and f.name != memory]
     names = [f.name for f in passed]
     schema = T.StructType([*passed, *[T.StructField(n, T.DoubleType()) for n in emitted]])
+    if memory:
+        schema = schema.add(df.schema[memory])
     steps = tuple(steps)
 
     def per_symbol(bars: pa.Table) -> pa.Table:
@@ -106,10 +151,14 @@ def add_recursive(df: DataFrame, steps, drop: set[str] = frozenset()) -> DataFra
         if np.any(days[1:] < days[:-1]):
             bars = bars.sort_by("date")
         inputs = {n: pd.Series(bars[n].to_numpy().astype("float64")) for n in read}
-        done = evaluate(steps, inputs)
+        known = {k: (v["value"], v["gap"]) for k, v in (bars[memory][0].as_py() or [])} if memory else None
+        done = evaluate(steps, inputs, known)
         out = bars.select(names)
         for n in emitted:
             out = out.append_column(n, pa.array(done[n].to_numpy(), type=pa.float64(), from_pandas=True))
+        if memory:
+            after = [(k, {"value": v, "gap": g}) for k, (v, g) in remembered(steps, done, known).items()]
+            out = out.append_column(memory, pa.array([None] * (len(out) - 1) + [after], type=bars.schema.field(memory).type))
         return out
 
     return df.groupBy("symbol").applyInArrow(per_symbol, schema)

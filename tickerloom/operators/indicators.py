@@ -13,11 +13,13 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tickerloom.functions import rolling as R
-from tickerloom.functions.recursive import Mix, Previous, add_recursive, ema, weighted
+from tickerloom.functions.recursive import MEMORY_TYPE, Mix, Previous, add_recursive, ema, weighted
 from tickerloom.functions.scalars import as_flag, change_pct, extend, project, ratio, ratio_or
 from tickerloom.operators.audit import apply_audited
+from tickerloom.scratch import materialize
 
 MA_WINDOWS = (5, 10, 20, 60)
 VOLUME_WINDOWS = (5, 10)
@@ -338,6 +340,58 @@ def indicator_order(columns: Iterable[str], ma_windows=MA_WINDOWS, volume_window
     return ordered + [c for c in columns if c not in ordered]
 
 
+def state_schema(bars: DataFrame) -> T.StructType:
+    """Schema of the state of :func:`resume_indicators` for such bars."""
+    tail = T.ArrayType(T.StructType([T.StructField("day", T.DateType()), T.StructField("bar", bars.schema)]))
+    head = T.StructType([T.StructField("symbol", T.StringType()), T.StructField("seen", T.LongType()), T.StructField("last", T.DateType())])
+    return head.add("tail", tail).add("memory", MEMORY_TYPE)
+
+
+def _lookback(block: Block) -> int:
+    """How many earlier bars the windows of a block look at."""
+    return max([n.size + n.shift for n in block.windows], default=1)
+
+
+def resume_indicators(state: DataFrame | None, fresh: DataFrame, block: Block | None = None) -> tuple[DataFrame, DataFrame]:
+    """(indicators of ``fresh`` bars, state after them): goes on where ``state`` ends, without reading older bars.
+
+    A state has one row per symbol: how many bars it has seen, the last ones (as many as the widest window needs), and
+    the last values of the recursive averages.  Work and reads are those of the fresh bars and the state, so a
+    day costs a day however long the history is; steps of any size give what one pass over all bars gives.
+    Without a state all bars are fresh.  Bars must be unique per symbol and day and later than what the state has
+    seen; bars that change the past need a rebuild, and raise here.  ``fresh`` must have the same columns each time.
+
+    Both results are stored tables.
+    """
+    block = block or indicator_block()
+    fresh = materialize(fresh, "fresh-bars")
+    if state is None:
+        state = fresh.sparkSession.createDataFrame([], state_schema(fresh))
+    symbols = fresh.select("symbol").distinct()
+    known = state.join(symbols, "symbol", "left_semi")
+    old = known.selectExpr("inline(tail)").select("bar.*")
+    before = known.selectExpr("symbol", "seen - size(tail) AS _base", "last AS _last", "memory AS _memory")
+    bars = fresh.withColumn("_old", F.lit(False)).unionByName(old.withColumn("_old", F.lit(True))).join(before, "symbol", "left")
+    bars = materialize(bars, "resumed-bars")
+    late = bars.where("NOT _old AND date <= _last").select("symbol", "date").take(1)
+    if late:
+        raise ValueError(f"the bar of {late[0]['symbol']} on {late[0]['date']} is not later than the state; rebuild the table")
+    parted = R.by_symbol(bars).withColumn(R.BAR, F.expr(f"row_number() OVER ({R.BY_SYMBOL_SQL}) + coalesce(_base, 0L)"))
+    wide = R.detach(extend(R.attach(parted, block.windows), {**block.columns, **block.inputs}))
+    wide = wide.where("NOT _old").drop("_old", "_base", "_last")
+    wide = add_recursive(wide, block.steps, drop=set(block.inputs), memory="_memory")
+    rows = materialize(extend(wide, block.after).drop(*block.scratch), "indicators")
+
+    # A group is a symbol's tail and its fresh bars, both bounded by the calendar.
+    tails = bars.groupBy("symbol").agg(
+        F.expr("coalesce(max(_base), 0L) + count(1) AS seen"), F.max("date").alias("last"),
+        F.expr(f"slice(sort_array(collect_list(struct(date AS day, struct({', '.join(f'`{c}`' for c in fresh.columns)}) AS bar)), false), 1, {_lookback(block)}) AS tail"))
+    memories = rows.where("_memory IS NOT NULL").select("symbol", F.col("_memory").alias("memory"))
+    moved = tails.join(memories, "symbol", "left").select("symbol", "seen", "last", "tail", "memory")
+    after = state.join(symbols, "symbol", "left_anti").union(moved)
+    return rows.drop("_memory"), materialize(after, "indicator-state")
+
+
 def indicator_table(
     bars: DataFrame,
     *,
@@ -348,15 +402,17 @@ def indicator_table(
     macd_params=(12, 26, 9),
     brick=(4, 6),
     extra: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    bucketed: bool = False,
 ) -> DataFrame:
     """All reusable indicators in a fixed column order.
 
     User indicators are audited and get those of the settings that they name.
     The end date cuts bars before the windows run; the start date cuts rows
-    afterwards so that early rows still see their full history.
+    afterwards so that early rows still see their full history.  ``bucketed`` bars come from a table in buckets of
+    symbols, which all steps read as it lies, without an exchange.
     """
     df = bars if end_date is None else bars.filter(F.col("date") <= F.lit(end_date).cast("date"))
-    df = run(R.by_symbol(df), indicator_block(ma_windows, volume_windows, macd_params, brick))
+    df = run(df if bucketed else R.by_symbol(df), indicator_block(ma_windows, volume_windows, macd_params, brick))
     options = {"ma_windows": ma_windows, "volume_windows": volume_windows, "macd_params": macd_params, "brick": brick}
     df = apply_audited(df, INDICATORS if extra is None else extra, options)
     if start_date is not None:

@@ -194,6 +194,20 @@ def calendar(bars: DataFrame) -> DataFrame:
     return bars.select(F.col("date").cast("date").alias("date")).filter("date is not null").distinct()
 
 
+@dataclass(frozen=True)
+class DateSpan:
+    """First and last date of a table, and its number of rows with a date."""
+
+    first: dt.date | None
+    last: dt.date | None
+    rows: int
+
+
+def _span(df: DataFrame) -> DateSpan:
+    row = df.agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count("date").alias("n")).first()
+    return DateSpan(_day(row["lo"]), _day(row["hi"]), row["n"])
+
+
 @dataclass(frozen=True)
 class BuildWindow:
     #: full_build, incremental_explicit_start, incremental_refresh_window, incremental_no_existing_pool_full_build.
@@ -239,37 +253,39 @@ def resolve_window(
     end_date=None,
     incremental: bool = False,
     refresh_days: int = REFRESH_DAYS,
+    market: DateSpan | None = None,
+    old: DateSpan | None = None,
 ) -> BuildWindow:
-    """Which dates a build covers, checked against the trading calendar."""
+    """Which dates a build covers, checked against the trading calendar.
+
+    ``market`` and ``old`` are the spans of the bars and the old pool where they are known, say from file footers;
+    else one aggregate finds each.  The calendar inside the window is read in any case.
+    """
     dates = calendar(bars)
-    market = dates.agg(F.min("date").alias("lo"), F.max("date").alias("hi")).first()
-    if market["hi"] is None:
+    market = market or _span(dates)
+    if market.last is None:
         raise RuntimeError("the bar table holds no trading day to build from")
-    start, end = _day(start_date), _day(end_date) or market["hi"]
+    start, end = _day(start_date), _day(end_date) or market.last
     if end_date is not None:
         problem = _end_date_problem(dates, end, "the bar table")
         if problem:
             raise RuntimeError(problem)
-    old = None
-    if old_pool is not None:
-        old = old_pool.agg(F.min("date").alias("lo"), F.max("date").alias("hi"), F.count("date").alias("n")).first()
-    old_max = _day(old["hi"]) if old else None
+    if old is None and old_pool is not None:
+        old = _span(old_pool)
+    old = old or DateSpan(None, None, 0)
     mode = "full_build"
     if incremental and start is not None:
         mode = "incremental_explicit_start"
-    elif incremental and old_max is not None:
-        mode, start = "incremental_refresh_window", old_max - dt.timedelta(days=int(refresh_days))
+    elif incremental and old.last is not None:
+        mode, start = "incremental_refresh_window", old.last - dt.timedelta(days=int(refresh_days))
     elif incremental:
-        mode, start = "incremental_no_existing_pool_full_build", market["lo"]
+        mode, start = "incremental_no_existing_pool_full_build", market.first
     if start is not None and start > end:
         raise RuntimeError(f"the window starts after its end: {start} > {end}")
     inside = date_range(dates, start, end).count()
     if inside == 0:
         raise RuntimeError(f"no trading day between {start} and {end}")
-    return BuildWindow(
-        mode, start, end, market["lo"], market["hi"], _day(old["lo"]) if old else None, old_max,
-        old["n"] if old else 0, inside,
-    )
+    return BuildWindow(mode, start, end, market.first, market.last, old.first, old.last, old.rows, inside)
 
 
 def preflight(bars: DataFrame, indicators: DataFrame, window: BuildWindow, strategy_name: str) -> None:

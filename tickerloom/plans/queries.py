@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,8 +21,10 @@ from tickerloom.operators import reports as RP
 from tickerloom.operators import strategies as ST
 from tickerloom.plans import fixtures as X
 from tickerloom.plans import oracle as O
-from tickerloom.scratch import materialize
-from tickerloom.sources.tables import code_list, full_market, index_series
+from tickerloom.scratch import materialize, scratch_path
+from tickerloom.sources import releases, sinks
+from tickerloom.sources.tables import code_list, date_span, full_market, index_series
+from tickerloom.streaming import events as EV
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -38,6 +41,7 @@ CANDIDATES = [
 ]
 TARGETS = ["fwd_return_pct_T1", "fwd_return_pct_T2"]
 ALL_TARGETS = [f"fwd_return_pct_T{h}" for h in range(1, 21)]
+REFRESH_FROM = "1999-01-01"
 BUCKETS, LEAST, TOP_N, TRIALS, LEAST_IC = 10, 50, 5, 200, 10
 
 
@@ -154,6 +158,58 @@ def indicator_table(spark, sf):
     return I.indicator_table(X.bars(spark, sf, "narrow"), extra={}).select(*names(TABLE_OUT))
 
 
+@query("indicator_store", O.query(O.rounded(TABLE_OUT, "tab"), chain=True, price="narrow"))
+def indicator_store(spark, sf):
+    """Bars stored once in buckets of symbols; the indicators over them need no exchange and are stored as a release."""
+    stored = sinks.save_by_symbol(X.bars(spark, sf, "narrow"), f"bar_store_{uuid.uuid4().hex}", buckets=8)
+    table = I.indicator_table(stored, extra={}, bucketed=True)
+    path = scratch_path(spark, "indicator-store")
+    sinks.write_indicators(table, path, ma_windows=list(I.MA_WINDOWS))
+    return releases.read(spark, path, "indicators").select(*names(TABLE_OUT))
+
+
+@query("indicator_resume", O.query(O.rounded(TABLE_OUT, "tab"), chain=True, price="narrow"))
+def indicator_resume(spark, sf):
+    """The table in three steps of time, each from the state the one before left."""
+    bars = materialize(X.bars(spark, sf, "narrow"), "bars")
+    cuts = ["0001-01-01", "1995-06-30", "1998-03-02", "9999-12-31"]
+    state, parts = None, []
+    for low, high in zip(cuts[:-1], cuts[1:], strict=True):
+        rows, state = I.resume_indicators(state, bars.where(f"date > DATE '{low}' AND date <= DATE '{high}'"))
+        parts.append(rows.select(*names(TABLE_OUT)))
+    return parts[0].union(parts[1]).union(parts[2])
+
+
+EVENT_BARS = """
+WITH e AS (SELECT event_id, ts, event_type, value, date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) // 7 AS w FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
+f AS (SELECT *, least(w + CASE WHEN event_id % 97 = 0 THEN 2 ELSE 0 END, (SELECT max(w) + 1 FROM e)) AS k FROM e),
+l AS (SELECT * FROM f UNION ALL SELECT * REPLACE (least(k + 1, (SELECT max(w) + 1 FROM e)) AS k) FROM f WHERE event_id % 50 = 0),
+m AS (SELECT k, date_trunc('millisecond', max(max(ts)) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)) - INTERVAL 6 HOUR AS mark FROM l GROUP BY k),
+once AS (SELECT DISTINCT event_id, ts, event_type, value FROM l JOIN m USING (k) WHERE mark IS NULL OR ts > mark),
+b AS (SELECT event_type, date_trunc('hour', ts) AS s, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, sum(value) AS volume, count(*) AS events FROM once GROUP BY 1, 2)
+"""
+
+
+@query("event_bars", EVENT_BARS + "SELECT event_type, strftime(s, '%Y-%m-%d %H:%M') AS start, " + ", ".join(f"{O.r4(c)} AS {c}" for c in ("open", "high", "low", "close", "volume"))
+       + ", events FROM b WHERE s + INTERVAL 1 HOUR <= (SELECT date_trunc('millisecond', max(ts)) FROM l) - INTERVAL 6 HOUR")
+def event_bars(spark, sf):
+    """Hourly bars of an event stream that lands by weeks; some events land two weeks late, some land twice."""
+    known = X.table(spark, sf, "events").selectExpr("event_id", "CAST(ts AS timestamp) AS ts", "user_id", "event_type", "CAST(value AS double) AS value")
+    first, latest = known.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    if first is None:
+        return EV.windowed_bars(known).withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+    weeks = known.withColumn("w", F.floor(F.date_diff("ts", F.lit(first)) / 7))
+    last = (latest - first).days // 7
+    landed = weeks.withColumn("k", F.least(F.col("w") + F.when(F.col("event_id") % 97 == 0, 2).otherwise(0), F.lit(last + 1)))
+    again = landed.where("event_id % 50 = 0").withColumn("k", F.least(F.col("k") + 1, F.lit(last + 1)))
+    landed = materialize(landed.union(again).drop("w"), "landings")
+    folder = scratch_path(spark, "event-stream")
+    for k in range(last + 2):
+        landed.where(F.col("k") == k).drop("k").write.mode("append").parquet(f"{folder}/in")
+        EV.take_landed(spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress")
+    return spark.read.parquet(f"{folder}/out").withColumn("start", F.date_format("start", "yyyy-MM-dd HH:mm"))
+
+
 # --------------------------------------------------------------------------
 # labels and pools
 # --------------------------------------------------------------------------
@@ -278,6 +334,115 @@ def build_window(spark, sf):
     return spark.createDataFrame([(window.start, window.end, window.old_pool_rows)], "first_day date, last_day date, old_rows long")
 
 
+@query("stored_window", O.pool_query(
+    "SELECT 'incremental_refresh_window' AS mode, max(date) - 45 AS first_day, (SELECT max(date) FROM bars) AS last_day, (SELECT min(date) FROM bars) AS market_min, min(date) AS old_min, max(date) AS old_max, count(*) AS old_rows,"
+    " (SELECT count(DISTINCT date) FROM bars WHERE date >= (SELECT max(date) - 45 FROM b1v0)) AS trading_dates FROM b1v0"))
+def stored_window(spark, sf):
+    """The build window of a stored pool over stored bars, from the footers of both."""
+    root = scratch_path(spark, "stored-window")
+    sinks.write_bars(X.bars(spark, sf, "narrow"), f"{root}/bars")
+    sinks.write_pool(b1_pool(spark, sf), f"{root}/pool", ST.B1_V0)
+    parts = releases.current(spark, f"{root}/pool").tables["pool"].parts.values()
+    w = P.resolve_window(
+        spark.read.parquet(f"{root}/bars"), incremental=True, market=date_span(spark, f"{root}/bars"),
+        old=date_span(spark, *[f"{root}/pool/{p}" for p in parts]))
+    return spark.createDataFrame(
+        [(w.mode, w.start, w.end, w.market_min, w.old_pool_min, w.old_pool_max, w.old_pool_rows, w.trading_dates)],
+        "mode string, first_day date, last_day date, market_min date, old_min date, old_max date, old_rows long, trading_dates long")
+
+
+@query("merge_report", O.pool_query(
+    f"SELECT 'incremental_merge' AS mode, CAST('{REFRESH_FROM}' AS DATE) AS replace_start, DATE '2100-01-01' AS replace_end, count(*) FILTER (WHERE date <= DATE '2000-06-05') AS old_rows,"
+    f" count(*) FILTER (WHERE date BETWEEN DATE '{REFRESH_FROM}' AND DATE '2000-06-05') AS removed_old_rows, count(*) FILTER (WHERE date >= DATE '{REFRESH_FROM}') AS new_rows, 0 AS dropped_duplicate_rows, count(*) AS final_rows FROM b1v0"))
+def merge_report(spark, sf):
+    bars = X.bars(spark, sf, "narrow")
+    old = materialize(P.build_pool(bars, ST.B1_V0, end_date="2000-06-05", validate=False), "old")
+    new = materialize(P.build_pool(bars, ST.B1_V0, start_date=REFRESH_FROM, validate=False), "new")
+    return P.merge_report(old, new, P.merge_window(old, new, REFRESH_FROM, "2100-01-01"), REFRESH_FROM, "2100-01-01")
+
+
+@query("pool_release", O.pool_query(
+    "SELECT symbol, date, forward_data_status FROM b1v0 WHERE strftime(date, '%Y-%m') <> '1996-06'"))
+def pool_release(spark, sf):
+    """A stored pool whose window is refreshed without the rows of one month, which are gone afterwards."""
+    pool, path = b1_pool(spark, sf, validate=True), scratch_path(spark, "pool-release")
+    sinks.write_pool(pool, path, ST.B1_V0)
+    window = P.resolve_window(X.bars(spark, sf, "narrow"), start_date="1996-05-15", end_date=pool.agg(F.max("date")).first()[0], incremental=True)
+    sinks.refresh_pool(pool.where("date >= '1996-05-15' AND date_format(date, 'yyyy-MM') <> '1996-06'"), path, ST.B1_V0, window)
+    return sinks.read_pool(spark, path).select("symbol", "date", "forward_data_status")
+
+
+@query("schema_normalize", O.pool_query(O.rounded("symbol date body_pct~ volume~ kdj_j~", "b1v0")))
+def schema_normalize(spark, sf):
+    """Versioned columns fill the gaps of plain ones, numbers come back from text, scores and codes with exchanges go."""
+    pool = b1_pool(spark, sf).select("symbol", "date", "selection_strategy", "is_red_k", "body_pct", "volume", "kdj_j")
+    old = pool.withColumns({
+        "b2v1_body_pct": F.col("body_pct"), "body_pct": F.when(F.col("is_red_k") == 0, F.col("body_pct")), "b2v3_kdj_j": F.col("kdj_j"),
+        "volume": F.col("volume").cast("string"), "b2v2_score_total": F.lit(1.0), "score": F.lit(3), "symbol": F.concat(F.lit("SZ#"), "symbol"),
+        "date": F.col("date").cast("string")}).drop("kdj_j")
+    out = P.normalize_schema(old)
+    if set(out.columns) != {"symbol", "date", "selection_strategy", "is_red_k", "body_pct", "volume", "kdj_j"}:
+        raise ValueError(f"columns after normalising: {out.columns}")
+    return out.select("symbol", "date", "body_pct", "volume", "kdj_j")
+
+
+@query("pool_view", O.pool_query(
+    f"SELECT row_number() OVER (ORDER BY volume DESC, date, symbol) AS place, symbol, date, {O.r4('volume')} AS volume, {O.r4('kdj_j')} AS kdj_j FROM b1v0 WHERE contains(symbol, '60') AND forward_data_status = 'ok' QUALIFY place <= 200"))
+def pool_view(spark, sf):
+    """The first 200 rows of a pool page: symbols with 60, complete labels, most volume first, in that order."""
+    page = C.view(b1_pool(spark, sf), symbol_contains="60", label=("forward_data_status", "ok"), sort_by="volume", columns=["symbol", "date", "volume", "kdj_j"])
+    return page.limit(200).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+@query("recent_days", O.pool_query("SELECT row_number() OVER (ORDER BY date DESC) AS place, date, count(*) AS pool_count FROM b1v0 GROUP BY date QUALIFY place <= 30"))
+def recent_days(spark, sf):
+    return P.daily_counts(b1_pool(spark, sf).select("date"), last=30).withColumn("place", F.monotonically_increasing_id() + 1)
+
+
+VIEWED = [*(c for c in CANDIDATES if c != "t1_open_gap_pct"), "ma5", "ma10", "ma20", "ma60", "volume_ma5", "volume_ma10", *(f"t{h}_{c}" for h in range(5, 21) for c in ("open", "close"))]
+
+
+@query("factor_kinds", O.pool_query(
+    "SELECT c.name AS factor, CASE WHEN count(c.x) FILTER (WHERE c.x IN (0, 1)) > 0 AND count(c.x) FILTER (WHERE c.x IN (0, 1)) >= greatest(1, floor(count(c.x) * 0.9)) THEN 'boolean' ELSE 'numeric' END AS kind FROM (SELECT unnest(["
+    + ", ".join(f"{{'name': '{c}', 'x': CAST({c} AS DOUBLE)}}" for c in VIEWED) + "]) AS c FROM b1v0) GROUP BY 1 HAVING count(c.x) > 0"))
+def factor_kinds(spark, sf):
+    """Which columns of the pool the single-factor view treats as flags and which as numbers."""
+    return spark.createDataFrame(list(FA.factor_kinds(b1_pool(spark, sf, validate=True)).items()), "factor string, kind string")
+
+
+@query("strategy_rows", O.pool_query(
+    f"SELECT '{ST.B1_V0}' AS strategy, count(*) AS rows FROM b1v0 UNION ALL SELECT '{ST.B1_V1}', count(*) FROM b1v1 UNION ALL SELECT '{ST.B2_INLINE}', count(*) FROM ({ORACLES['b2_tdx_pool']})", price="wide"))
+def strategy_rows(spark, sf):
+    """Every registered rule that needs nothing but bars, by its name."""
+    bars, out = X.bars(spark, sf, "wide"), None
+    for name in ST.strategy_names():
+        if name != ST.B2_FROM_B1:
+            rows = P.build_pool(bars, name, validate=False).groupBy(F.lit(name).alias("strategy")).agg(F.count(F.lit(1)).alias("rows"))
+            out = rows if out is None else out.union(rows)
+    return out
+
+
+@query("formal_pools", O.pool_query("SELECT date, symbol, 'b1_v0' AS formal_pool_name FROM b1v0 UNION SELECT date, symbol, 'b1_v1' FROM b1v1 WHERE day(date) % 2 = 0", price="wide"))
+def formal_pools(spark, sf):
+    """Two pools, one with exchange codes, a selection mark and repeated rows."""
+    first = b1_pool(spark, sf, ST.B1_V0, "wide").select("symbol", "date")
+    second = b1_pool(spark, sf, ST.B1_V1, "wide").select(F.concat(F.lit("SH#"), "symbol").alias("code"), "date", F.expr("1 - day(date) % 2 AS selected"))
+    return A.formal_union({"b1_v0_pool": first, "b1_v1_pool": second.union(second)})
+
+
+@query("file_codes", """
+WITH n AS (SELECT c_custkey, c_custkey % 5 AS kind, lpad(CAST(c_custkey AS VARCHAR), 3, '0') AS tail, regexp_replace(c_name, '[^0-9]', '', 'g') AS digits FROM customer)
+SELECT c_custkey, CASE kind WHEN 0 THEN 'SH#600' || right(tail, 3) WHEN 1 THEN 'SZ#000' || right(tail, 3) WHEN 2 THEN '430' || right(tail, 3) WHEN 3 THEN 'BJ#830' || right(tail, 3) END AS exchange,
+  CASE kind WHEN 4 THEN right(digits, 6) ELSE CASE kind WHEN 0 THEN '600' WHEN 1 THEN '000' WHEN 2 THEN '430' ELSE '830' END || right(tail, 3) END AS code FROM n""")
+def file_codes(spark, sf):
+    """Exchange symbols and codes from file names of five kinds."""
+    tail = "right(lpad(CAST(c_custkey AS STRING), greatest(3, length(CAST(c_custkey AS STRING))), '0'), 3)"
+    names_ = X.table(spark, sf, "customer").select("c_custkey", F.expr(
+        f"CASE c_custkey % 5 WHEN 0 THEN concat('daily/sh#600', {tail}, '.txt') WHEN 1 THEN concat('000', {tail}, '.TXT') WHEN 2 THEN concat('a/b/430', {tail}, '.csv') WHEN 3 THEN concat('BJ#x830', {tail}, '.txt') ELSE concat('no code ', c_name) END AS name"))
+    part = F.when(F.col("c_custkey") % 5 == 4, F.col("name")).otherwise(F.regexp_replace(F.element_at(F.split("name", "/"), -1), "#x?", "."))
+    return names_.select("c_custkey", F.when(F.col("c_custkey") % 5 != 4, S.exchange_symbol("name")).alias("exchange"), S.code_in_parts(part).alias("code"))
+
+
 @query("text_values", """
 SELECT o_orderkey, CAST(o_orderdate AS DATE) AS iso, CAST(o_orderdate AS DATE) AS compact, CAST(o_orderdate AS DATE) AS day_first,
   floor(o_totalprice) AS price, o_orderstatus = 'F' AS done, lpad(CAST(o_custkey AS VARCHAR), 6, '0') AS code FROM orders""")
@@ -312,7 +477,6 @@ def b2_from_b1_pool(spark, sf):
     return pool.select(*names(FROM_POOL_OUT), *FROM_POOL_FLAGS)
 
 
-REFRESH_FROM = "1999-01-01"
 
 
 @query("incremental_merge", O.pool_query(O.rounded("symbol date selection_strategy close~ kdj_j~ fwd_return_pct_T20~ forward_data_status", "b1v0")))

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalars import change_pct, extend, normalize_code, normalize_symbol, parse_date, parse_number
 from tickerloom.operators.cleaning import clean_bars, date_range, keep_last
+from tickerloom.operators.pool import DateSpan
 
 BAR_FIELDS = ["date", "open", "high", "low", "close", "volume", "amount"]
 
@@ -150,3 +152,29 @@ def code_list(df: DataFrame, column: str = "code", *, order: str) -> DataFrame:
     codes = df.select(normalize_code(column).alias("code"), seen.alias("_seen")).filter("code != ''")
     firsts = codes.groupBy("code").agg(F.min("_seen").alias("_seen"))
     return positions(firsts.withColumn("_all", F.lit(1)), ["_all"], ["_seen", "code"]).select("code", F.col("_dense").alias("pos"))
+
+
+@contextmanager
+def _settings(spark: SparkSession, **values):
+    """Session settings for one statement."""
+    names = {k: "spark.sql." + k.replace("__", ".") for k in values}
+    before = {k: spark.conf.get(n, None) for k, n in names.items()}
+    try:
+        for k, n in names.items():
+            spark.conf.set(n, values[k])
+        yield
+    finally:
+        for k, n in names.items():
+            spark.conf.unset(n) if before[k] is None else spark.conf.set(n, before[k])
+
+
+def date_span(spark: SparkSession, *paths: str) -> DateSpan:
+    """The span of parquet tables of one schema with a ``date`` column, from the files' footers; no row is read."""
+    with _settings(spark, parquet__aggregatePushdown="true", sources__useV1SourceList=""):
+        row = span_query(spark, *paths).first()
+    return DateSpan(row["first"], row["last"], row["rows"])
+
+
+def span_query(spark: SparkSession, *paths: str) -> DataFrame:
+    """The aggregate of :func:`date_span`; the scan answers it itself under the settings used there."""
+    return spark.read.parquet(*paths).agg(F.min("date").alias("first"), F.max("date").alias("last"), F.count("date").alias("rows"))
