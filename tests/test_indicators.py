@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tickerloom.functions.recursive import Average, Mix, evaluate
 from tickerloom.operators import audit as AU
 from tickerloom.operators import indicators as I
+from tickerloom.sources import releases, sinks
 
 
 def by_hand(df):
@@ -103,3 +104,43 @@ def test_plug_ins_are_audited_and_get_named_settings(bars):
     assert row["widest"] == row["close"] + 9 and row["twice"] == 2 * row["widest"]
     with pytest.raises(ValueError, match="changed in"):
         I.indicator_table(bars, extra={"bad": lambda df: df.withColumn("close", F.col("close") * 2)})
+
+
+def _kernels():
+    def mean(a):
+        return {"mid_price": (a["high"] + a["low"]) / 2}
+
+    def on_top(a):
+        return {"mid_lag": np.concatenate(([np.nan], a["mid_price"][:-1])), "k_turn": np.diff(a["kdj_like"], prepend=np.nan) if "kdj_like" in a else a["macd_dif"] * 2}
+
+    return [I.Kernel("mid", ("high", "low"), ("mid_price",), mean), I.Kernel("top", ("mid_price", "macd_dif"), ("mid_lag", "k_turn"), on_top)]
+
+
+def test_kernels_share_the_pass(spark, bars):
+    plain, more = I.indicator_table(bars, extra={}, kernels=[]), I.indicator_table(bars, extra={}, kernels=_kernels())
+    count = lambda df, word: df._jdf.queryExecution().executedPlan().toString().count(word)
+    assert count(plain, "Exchange") == count(more, "Exchange") > 0 and count(more, "FlatMapGroupsInArrow") == 1
+    assert more.columns == [*plain.columns, "mid_price", "mid_lag", "k_turn"]
+    rows = more.where("symbol = '600002'").orderBy("date").collect()
+    assert all(abs(r["mid_price"] - (r["high"] + r["low"]) / 2) < 1e-12 for r in rows)
+    assert rows[0]["mid_lag"] is None and all(b["mid_lag"] == a["mid_price"] and b["k_turn"] == b["macd_dif"] * 2 for a, b in zip(rows[:-1], rows[1:], strict=True))
+
+
+def test_kernels_are_audited(spark, bars, tmp_path):
+    def make(fn, *columns):
+        return [I.Kernel("user", ("close",), columns, fn)]
+
+    with pytest.raises(ValueError, match="would replace"):
+        I.indicator_table(bars, extra={}, kernels=make(lambda a: {"ma5": a["close"]}, "ma5"))
+    with pytest.raises(ValueError, match="like a judgement"):
+        I.indicator_table(bars, extra={}, kernels=make(lambda a: {"buy_x": a["close"]}, "buy_x"))
+    for broken, message in ((lambda a: {"x": a["close"][1:]}, "has shape"), (lambda a: {"x": a["close"] / 0.0}, "infinite"), (lambda a: {"y": a["close"]}, "returned")):
+        with pytest.raises(Exception, match=message):
+            I.indicator_table(bars, extra={}, kernels=make(broken, "x")).collect()
+    path = str(tmp_path / "i")
+    sinks.write_indicators(I.indicator_table(bars, extra={}, kernels=make(lambda a: {"x": a["close"]}, "x")), path, ["x"])
+    with pytest.raises(ValueError, match="without a value"):
+        sinks.write_indicators(I.indicator_table(bars, extra={}, kernels=make(lambda a: {"x": a["close"] * np.nan}, "x")), path, ["x"])
+    assert releases.current(spark, path).number == 1 and releases.read(spark, path, "indicators").where("x = close").count() == bars.count()
+    changed = make(lambda a: (a["close"].fill(0.0), {"x": a["close"]})[1], "x")
+    assert I.indicator_table(bars, extra={}, kernels=changed).where("close = 0").count() == 0

@@ -19,6 +19,7 @@ Two rules for missing inputs:
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -63,6 +64,44 @@ class Previous:
     source: str
 
 
+@dataclass(frozen=True)
+class Kernel:
+    """User columns: ``fn`` gets one symbol's ``sources`` as arrays by date and returns an array per column, of the same length.
+
+    It runs inside the one pass over a symbol, after the steps before it, and sees copies, so it can
+    change nothing but its own columns.  Missing numbers are NaN both ways; infinite ones are an error.
+    """
+
+    name: str
+    sources: tuple[str, ...]
+    columns: tuple[str, ...]
+    fn: Callable[[dict[str, np.ndarray]], dict[str, np.ndarray]]
+
+    def run(self, done: dict[str, pd.Series]) -> dict[str, pd.Series]:
+        arrays = {c: done[c].to_numpy(dtype=np.float64, copy=True) for c in self.sources}
+        size = len(done[self.sources[0]])
+        made = self.fn(arrays)
+        if set(made) != set(self.columns):
+            raise ValueError(f"kernel {self.name} returned {sorted(made)}, not {sorted(self.columns)}")
+        out = {}
+        for c in self.columns:
+            values = np.asarray(made[c], dtype=np.float64)
+            if values.shape != (size,):
+                raise ValueError(f"kernel {self.name}: {c} has shape {values.shape} for {size} bars")
+            if np.isinf(values).any():
+                raise ValueError(f"kernel {self.name}: infinite values in {c}")
+            out[c] = pd.Series(values)
+        return out
+
+
+def outputs(s) -> tuple[str, ...]:
+    return s.columns if isinstance(s, Kernel) else (s.name,)
+
+
+def inputs_of(s) -> tuple[str, ...]:
+    return s.sources if isinstance(s, Kernel) else (s.left, s.right) if isinstance(s, Mix) else (s.source,)
+
+
 def ema(name: str, source: str, n: int) -> Average:
     return Average(name, source, 2.0 / (float(n) + 1.0))
 
@@ -100,7 +139,9 @@ def evaluate(steps, columns: dict[str, pd.Series], memory: Memory | None = None)
     done = dict(columns)
     memory = memory or {}
     for s in steps:
-        if isinstance(s, Mix):
+        if isinstance(s, Kernel):
+            done.update(s.run(done))
+        elif isinstance(s, Mix):
             done[s.name] = s.a * done[s.left] + s.b * done[s.right]
         elif isinstance(s, Previous):
             done[s.name] = done[s.source].shift(1)
@@ -136,9 +177,11 @@ def add_recursive(df: DataFrame, steps, drop: set[str] = frozenset(), memory: st
     Columns in ``drop`` are inputs of the steps that nothing needs afterwards.  ``memory`` names a column with what the
     steps know of a symbol's earlier rows; it comes back with what they know after the last row, on that row alone.
     """
-    made = {s.name for s in steps}
-    emitted = [s.name for s in steps if not s.name.startswith(INTERNAL)]
-    read = sorted({n for s in steps for n in ([s.left, s.right] if isinstance(s, Mix) else [s.source]) if n not in made})
+    made = {c for s in steps for c in outputs(s)}
+    emitted = [c for s in steps for c in outputs(s) if not c.startswith(INTERNAL)]
+    read = sorted({n for s in steps for n in inputs_of(s) if n not in made})
+    if memory and any(isinstance(s, Kernel) for s in steps):
+        raise ValueError("kernels see whole histories and cannot go on from a state")
     passed = [f for f in df.schema.fields if f.name not in drop and f.name not in emitted and f.name != memory]
     names = [f.name for f in passed]
     schema = T.StructType([*passed, *[T.StructField(n, T.DoubleType()) for n in emitted]])

@@ -6,7 +6,7 @@ import inspect
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -34,6 +34,42 @@ class Audit:
         return not self.errors
 
 
+def named_like_judgements(columns) -> list[str]:
+    return [c for c in columns if c.lower() in FORBIDDEN_NAMES or any(w in c.lower() for w in FORBIDDEN_WORDS)]
+
+
+def value_metrics(columns) -> list[Column]:
+    """Aggregates over new numeric columns, for :func:`value_problems`; any job may compute them."""
+    return [F.count(F.lit(1)).alias("rows"), *[F.expr(
+        f"struct(count_if(`{c}` IS NOT NULL AND NOT isnan(CAST(`{c}` AS DOUBLE))) AS n, count_if(abs(CAST(`{c}` AS DOUBLE)) = double('inf')) AS inf) AS `value:{c}`") for c in columns]]
+
+
+def value_problems(columns, seen: dict) -> tuple[list[str], list[str]]:
+    """(errors, warnings) about the values of new columns."""
+    rows = seen.get("rows") or 0
+    if not rows:
+        return [], []
+    empty = [c for c in columns if seen[f"value:{c}"]["n"] == 0]
+    infinite = [c for c in columns if seen[f"value:{c}"]["inf"] > 0]
+    sparse = [c for c in columns if 1 - seen[f"value:{c}"]["n"] / rows > SPARSE_SHARE]
+    errors = [f"new columns without a value: {empty}"] * bool(empty) + [f"infinite values in new columns: {infinite}"] * bool(infinite)
+    return errors, [f"new columns with few values: {sparse}"] * bool(sparse)
+
+
+def check_kernels(kernels, columns) -> None:
+    """Names of user kernels: none may shadow a column, another kernel's, or read like a judgement."""
+    errors, taken = [], set(columns)
+    for k in kernels:
+        twice = [c for c in k.columns if c in taken]
+        if twice:
+            errors.append(f"{k.name} would replace {twice}")
+        if named := named_like_judgements(k.columns):
+            errors.append(f"{k.name} names columns like a judgement: {named}")
+        taken |= set(k.columns)
+    if errors:
+        raise ValueError("user indicators failed their audit:\n" + "\n".join(f"- {e}" for e in errors))
+
+
 def _fingerprints(df: DataFrame, columns: list[str]):
     """Row count and an order-free checksum per column, tied to its (symbol, date)."""
     return df.agg(F.count(F.lit(1)).alias("_rows"), *[
@@ -54,7 +90,7 @@ def audit(before: DataFrame, after: DataFrame) -> Audit:
     missing = [c for c in BASE if c not in after.columns]
     if missing:
         errors.append(f"a bar needs {missing}")
-    named = [c for c in added if c.lower() in FORBIDDEN_NAMES or any(w in c.lower() for w in FORBIDDEN_WORDS)]
+    named = named_like_judgements(added)
     if named:
         errors.append(f"new columns named like a judgement: {named}")
     kinds = {f.name: f.dataType for f in after.schema.fields}
@@ -76,20 +112,8 @@ def audit(before: DataFrame, after: DataFrame) -> Audit:
             errors.append(f"values of the input changed in {modified}")
     numeric = [c for c in added if c not in flags and c not in other]
     if numeric:
-        seen = after.agg(F.count(F.lit(1)).alias("_rows"), *[
-            F.expr(f"struct(count_if(`{c}` IS NOT NULL AND NOT isnan(CAST(`{c}` AS DOUBLE))) AS n,"
-                   f" count_if(abs(CAST(`{c}` AS DOUBLE)) = double('inf')) AS inf) AS `{c}`") for c in numeric
-        ]).first()
-        rows = seen["_rows"]
-        empty = [c for c in numeric if seen[c]["n"] == 0]
-        infinite = [c for c in numeric if seen[c]["inf"] > 0]
-        sparse = [c for c in numeric if rows and 1 - seen[c]["n"] / rows > SPARSE_SHARE]
-        if empty:
-            errors.append(f"new columns without a value: {empty}")
-        if infinite:
-            errors.append(f"infinite values in new columns: {infinite}")
-        if sparse:
-            warnings.append(f"new columns with few values: {sparse}")
+        found, warnings = value_problems(numeric, after.agg(*value_metrics(numeric)).first().asDict())
+        errors += found
     return Audit(errors, warnings, added, modified)
 
 

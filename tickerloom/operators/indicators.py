@@ -16,9 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions import rolling as R
-from tickerloom.functions.recursive import MEMORY_TYPE, Mix, Previous, add_recursive, ema, weighted
+from tickerloom.functions.recursive import MEMORY_TYPE, Kernel, Mix, Previous, add_recursive, ema, weighted
 from tickerloom.functions.scalars import as_flag, change_pct, extend, project, ratio, ratio_or
-from tickerloom.operators.audit import apply_audited
+from tickerloom.operators.audit import apply_audited, check_kernels
 from tickerloom.scratch import materialize
 
 MA_WINDOWS = (5, 10, 20, 60)
@@ -306,6 +306,19 @@ def low_volume_count(df: DataFrame, window: int = 20, name: str = "low_volume_co
 # --------------------------------------------------------------------------
 
 INDICATORS: dict[str, Callable[[DataFrame], DataFrame]] = {}
+KERNELS: dict[str, Kernel] = {}
+
+
+def kernel(name: str, sources: Iterable[str], columns: Iterable[str]):
+    """Register a user indicator over one symbol's arrays; it runs in the pass that computes the recursive averages."""
+
+    def add(fn):
+        if name in KERNELS:
+            raise ValueError(f"kernel already registered: {name}")
+        KERNELS[name] = Kernel(name, tuple(sources), tuple(columns), fn)
+        return fn
+
+    return add
 
 
 def indicator(name: str):
@@ -402,17 +415,22 @@ def indicator_table(
     macd_params=(12, 26, 9),
     brick=(4, 6),
     extra: dict[str, Callable[[DataFrame], DataFrame]] | None = None,
+    kernels: Iterable[Kernel] | None = None,
     bucketed: bool = False,
 ) -> DataFrame:
     """All reusable indicators in a fixed column order.
 
-    User indicators are audited and get those of the settings that they name.
+    User indicators are audited and get those of the settings that they name.  Kernels, by default the registered
+    ones, share the pass over each symbol: their names are checked here and their values in the pass.
     The end date cuts bars before the windows run; the start date cuts rows
     afterwards so that early rows still see their full history.  ``bucketed`` bars come from a table in buckets of
     symbols, which all steps read as it lies, without an exchange.
     """
     df = bars if end_date is None else bars.filter(F.col("date") <= F.lit(end_date).cast("date"))
-    df = run(df if bucketed else R.by_symbol(df), indicator_block(ma_windows, volume_windows, macd_params, brick))
+    kernels = list(KERNELS.values() if kernels is None else kernels)
+    block = indicator_block(ma_windows, volume_windows, macd_params, brick)
+    check_kernels(kernels, [*bars.columns, *block.columns, *block.after, *(s.name for s in block.steps)])
+    df = run(df if bucketed else R.by_symbol(df), block + Block(steps=kernels))
     options = {"ma_windows": ma_windows, "volume_windows": volume_windows, "macd_params": macd_params, "brick": brick}
     df = apply_audited(df, INDICATORS if extra is None else extra, options)
     if start_date is not None:

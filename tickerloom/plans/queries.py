@@ -5,10 +5,12 @@ from __future__ import annotations
 import uuid
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.functions import scalars as S
+from tickerloom.functions.recursive import Kernel
 from tickerloom.operators import alpha as A
 from tickerloom.operators import cleaning as C
 from tickerloom.operators import contract as CT
@@ -180,6 +182,37 @@ def indicator_resume(spark, sf):
     return parts[0].union(parts[1]).union(parts[2])
 
 
+def _streak(a: dict) -> dict:
+    up = np.diff(a["close"], prepend=np.nan) > 0
+    place = np.arange(len(up))
+    return {"up_streak": place - np.maximum.accumulate(np.where(up, -1, place))}
+
+
+def _drawdown(a: dict) -> dict:
+    return {"drawdown_pct": (a["close"] / np.maximum.accumulate(a["close"]) - 1.0) * 100.0}
+
+
+def _macd_swing(a: dict) -> dict:
+    return {"macd_turn": np.concatenate(([np.nan], np.diff(a["macd_hist"])))[:len(a["macd_hist"])]}
+
+
+KERNELS = [
+    Kernel("streak", ("close",), ("up_streak",), _streak), Kernel("drawdown", ("close",), ("drawdown_pct",), _drawdown),
+    Kernel("swing", ("macd_hist",), ("macd_turn",), _macd_swing),
+]
+
+
+@query("user_kernels", O.query(
+    f"SELECT symbol, date, {O.r4('up_streak')} AS up_streak, {O.r4('drawdown_pct')} AS drawdown_pct, {O.r4('macd_turn')} AS macd_turn FROM k2",
+    f"k1 AS (SELECT *, CAST(bar - max(CASE WHEN up THEN -1 ELSE bar END) OVER ({O.BY}) AS DOUBLE) AS up_streak FROM (SELECT *, coalesce(close > lag(close) OVER ({O.BY}), false) AS up FROM tab)),"
+    f"k2 AS (SELECT *, {O.chg('close', f'max(close) OVER ({O.BY})')} AS drawdown_pct, macd_hist - lag(macd_hist) OVER ({O.BY}) AS macd_turn FROM k1)", chain=True, price="narrow"))
+def user_kernels(spark, sf):
+    """Three user indicators inside the pass over each symbol, written and audited in one job."""
+    path, added = scratch_path(spark, "user-indicators"), [c for k in KERNELS for c in k.columns]
+    sinks.write_indicators(I.indicator_table(X.bars(spark, sf, "narrow"), extra={}, kernels=KERNELS), path, added)
+    return releases.read(spark, path, "indicators").select("symbol", "date", *added)
+
+
 EVENT_BARS = """
 WITH e AS (SELECT event_id, ts, event_type, value, date_diff('day', (SELECT min(CAST(ts AS DATE)) FROM events), CAST(ts AS DATE)) // 7 AS w FROM events WHERE event_id IS NOT NULL AND ts IS NOT NULL AND value IS NOT NULL),
 f AS (SELECT *, least(w + CASE WHEN event_id % 97 = 0 THEN 2 ELSE 0 END, (SELECT max(w) + 1 FROM e)) AS k FROM e),

@@ -7,10 +7,13 @@ that writes them, before the step.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickerloom.operators.alpha import TOP_COLUMNS
+from tickerloom.operators.audit import value_metrics, value_problems
 from tickerloom.operators.contract import SCHEMA_VERSION, pool_checks
 from tickerloom.operators.labels import HORIZON_MAX
 from tickerloom.operators.pool import BuildWindow, merge_window
@@ -50,12 +53,19 @@ def _described(rows: DataFrame) -> dict:
     return row.asDict() | {"columns": rows.columns}
 
 
-def write_indicators(table: DataFrame, path: str, **params) -> releases.Release:
-    """Indicator table and its description, clustered by symbol."""
+def write_indicators(table: DataFrame, path: str, added: Sequence[str] = (), **params) -> releases.Release:
+    """Indicator table and its description, clustered by symbol.
+
+    Values of the ``added`` user columns are audited by the job that writes them; a breach leaves the old release.
+    """
     spark = table.sparkSession
     before = releases.current(spark, path)
-    clustered = table.repartition("symbol").sortWithinPartitions("symbol", "date")
-    staged = {"indicators": releases.stage(clustered, path, "indicators")}
+    rows, seen = observed(table.repartition("symbol").sortWithinPartitions("symbol", "date"), value_metrics(added))
+    staged = {"indicators": releases.stage(rows, path, "indicators")}
+    errors, warnings = value_problems(added, seen.get)
+    if errors:
+        raise ValueError("user indicators failed their audit:\n" + "\n".join(f"- {e}" for e in errors))
+    params = params | {"audit_warnings": warnings} if added else params
     facts = _described(releases.read(spark, path, "indicators", release=releases.Release(0, staged)))
     return releases.commit(spark, path, before, staged, facts | params)
 
