@@ -54,3 +54,18 @@ def test_odd_vectors_and_few_rows(spark):
     assert got == [(0, 1, 1, 0.0), (0, 2, 2, 5**0.5)]
     single = spark.createDataFrame([(0, [1.0])], schema)
     assert neighbours.nearest(single, single).count() == 0
+
+
+def test_components_of_any_finite_size(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, (rng.normal(size=6) * scale).tolist()) for i, scale in enumerate(rng.choice([1.0, 1e200, 1.7e307, 1e-200, 5e-320], 300))]
+    rows += [(900, [1.7e308] * 6), (901, [-1.7e308] * 6), (902, [5e-324] + [0.0] * 5)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = neighbours.nearest(table, table.where("vec_id % 100 = 0"), k=5).collect()
+    assert {r["query_id"] for r in got} == {0, 100, 200, 900}
+    vectors = {i: np.array(v, dtype=np.longdouble) for i, v in rows}
+    for r in got:
+        exact = float(np.sqrt(((vectors[r["query_id"]] - vectors[r["vec_id"]]) ** 2).sum()))
+        assert r["score"] == exact or abs(r["score"] - exact) <= 1e-12 * exact
+    for r in neighbours.nearest(table.where("vec_id < 3"), table.where("vec_id = 0"), k=5).collect():
+        assert r["score"] > 0

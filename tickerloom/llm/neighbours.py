@@ -18,6 +18,7 @@ probing queries meet in groups of bounded size: large buckets are split by hash,
 both on the vectors' and on the queries' side, and each group returns at most k
 rows per query, so no candidate list is ever shuffled.
 
+Components of any finite size are handled; a distance beyond the range of doubles is infinite.
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part, neither do rows without id.  Rows that share
 an id are one vector (the first by value).  Equal distances go to the smaller id.
@@ -58,12 +59,29 @@ def _stack(column: pa.Array) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
 
 
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows of ``x`` to ``y``; squares that would leave the range of doubles are scaled first."""
+    with np.errstate(over="ignore"):
+        out = np.sqrt(((x - y) ** 2).sum(axis=1))
+        half = x / 2 - y / 2
+        most = np.abs(half).max(axis=1)
+        odd = (most > 1e140) | ((most < 1e-140) & (most > 0))
+        if odd.any():
+            half, most = half[odd], most[odd]
+            out[odd] = most * np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)) * 2
+    return out
+
+
 class Hashing:
-    """Random projections and the data's scale."""
+    """Random projections and the data's scale.
+
+    Vectors are multiplied by ``scale``, a power of two that brings the largest component to about 1, so that
+    neither projections nor the data's moments leave the range of doubles.
+    """
 
-    def __init__(self, mean: np.ndarray, spread: float):
+    def __init__(self, mean: np.ndarray, spread: float, scale: float = 1.0):
         rng = np.random.default_rng(11)
-        self.mean, self.width = mean, max(spread, 1e-300)
+        self.mean, self.width, self.scale = mean, max(spread, 1e-300), scale
         self.directions = rng.normal(size=(TABLES, FUNCTIONS, len(mean)))
         self.shift = rng.uniform(0, 1, size=(TABLES, FUNCTIONS))
         self.weights = SLOTS ** np.arange(FUNCTIONS)
@@ -71,7 +89,7 @@ class Hashing:
 
     def projected(self, x: np.ndarray) -> np.ndarray:
         """(rows, tables, functions): projections around the mean, in slot widths."""
-        return np.einsum("nd,tfd->ntf", (x - self.mean) / self.width, self.directions)
+        return np.einsum("nd,tfd->ntf", (x * self.scale - self.mean) / self.width, self.directions)
 
     def buckets(self, x: np.ndarray) -> np.ndarray:
         slots = np.clip(np.floor(self.projected(x) + self.shift + SLOTS / 2 - 0.5), 0, SLOTS - 1).astype(np.int64)
@@ -102,14 +120,18 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
     length = F.size("x") == (common["w"] if common else 0)
     vectors, asked = stored.where(length), usable(queries, id_col, vector_col).where(length)
     out = "query_id long, rank int, vec_id long, score double"
-    parts = vectors.select(F.posexplode("x").alias("i", "v")).groupBy("i").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s")).collect()  # one row per dimension
+    largest = vectors.agg(F.max(F.expr("aggregate(x, 0.0D, (a, v) -> greatest(a, abs(v)))"))).first()[0]
+    # Vectors of usual size are left as they are.
+    power = -math.frexp(largest)[1] if largest and not 1e-100 < largest < 1e100 else 0
+    scale = math.ldexp(1.0, max(min(power, 1000), -1000))
+    parts = vectors.select(F.posexplode("x").alias("i", "v")).withColumn("v", F.col("v") * F.lit(scale)).groupBy("i").agg(F.avg("v").alias("m"), F.var_pop("v").alias("s")).collect()  # one row per dimension
     if not parts:
         return spark.createDataFrame([], out)
     mean = np.zeros(len(parts))
     for r in parts:
         mean[r["i"]] = r["m"]
     spread = math.sqrt(sum(r["s"] for r in parts))
-    hashing = spark.sparkContext.broadcast(Hashing(mean, spread))
+    hashing = spark.sparkContext.broadcast(Hashing(mean, spread, scale))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -171,7 +193,7 @@ def nearest(table: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
             ids, x = rows["id"].to_numpy(), np.stack(rows["x"].to_numpy())
             asking = groups[b]
             for query, y in zip(asking["id"].to_numpy(), asking["x"], strict=True):
-                distance = np.sqrt(((x - y) ** 2).sum(axis=1))
+                distance = distances(x, y)
                 other = np.flatnonzero(ids != query)
                 best = other[np.lexsort((ids[other], distance[other]))[:k]]
                 parts.append((np.full(len(best), query), ids[best], distance[best]))
