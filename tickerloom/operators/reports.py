@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -55,13 +56,14 @@ def combination_rows(
     spots = materialize(value_positions(pool.select(F.expr(f"inline(array({xs}))")).filter("x IS NOT NULL"), ["factor"], "x"), "combination")
     # One row per factor.
     distinct = {r["factor"]: r["d"] for r in spots.groupBy("factor").agg(F.max("_distinct").alias("d")).collect()}
+    flat = [f for f in chosen if distinct.get(f, 0) < 2]
+    if flat:
+        raise ValueError(f"factors with fewer than two values to cut: {flat}")
+    each = [cuts_of(spots.filter(F.col("factor") == f), ["factor"], min(max(2, count(f)), distinct[f]), few_values=2) for f in chosen]
+    cuts = {r["factor"]: r for r in reduce(DataFrame.unionByName, each).collect()}
     out = pool
     for f, picked in chosen.items():
-        if distinct.get(f, 0) < 2:
-            raise ValueError(f"factor {f} has fewer than two values to cut")
-        q = min(max(2, count(f)), distinct[f])
-        cuts = cuts_of(spots.filter(F.col("factor") == f), ["factor"], q, few_values=2).first()
-        edges, levels = cuts["edges"], cuts["levels"]
+        edges, levels = cuts[f]["edges"], cuts[f]["levels"]
         value = f"_x_{f}"
         out = out.withColumn(value, F.expr(number_sql(f, kinds[f])))
         # The cut points land in the plan as two short literal arrays.
@@ -120,19 +122,20 @@ def match_market(pool: DataFrame, market: DataFrame) -> DataFrame:
 def factor_groups(df: DataFrame, kinds: dict[str, str], buckets: int = 10) -> DataFrame:
     """Bucket label per factor (``Q1``.. or True/False) and the combined group label."""
     out = df
-    labels = []
+    labels = [(f, f"{f}__bucket") for f in kinds]
     types = {f.name: f.dataType for f in df.schema.fields}
-    for factor, kind in kinds.items():
-        label = f"{factor}__bucket"
-        labels.append((factor, label))
-        if kind == "boolean":
+    numeric = [f for f, kind in kinds.items() if kind != "boolean"]
+    for factor, label in labels:
+        if factor not in numeric:
             flag = parse_boolean(factor)
             out = out.withColumn(label, F.when(flag, "True").when(~flag, "False"))
-            continue
-        rows = df.select("date", "symbol", F.expr(number_sql(factor, types[factor])).alias("x")).filter("x IS NOT NULL")
-        placed = rank_buckets(rows.withColumn("factor", F.lit(factor)), ["factor"], buckets, ["date", "symbol"], label, by_distinct=True)
-        placed = placed.select("date", "symbol", F.concat(F.lit("Q"), F.col(label)).alias(label))
-        out = out.join(placed, ["date", "symbol"], "left")
+    if numeric:
+        # All factors are ranked in one pass and come back by one join.
+        xs = ", ".join(f"struct('{f}' AS factor, {number_sql(f, types[f])} AS x)" for f in numeric)
+        rows = df.select("date", "symbol", F.expr(f"inline(array({xs}))")).filter("x IS NOT NULL")
+        placed = rank_buckets(rows, ["factor"], buckets, ["date", "symbol"], "bucket", by_distinct=True)
+        wide = placed.groupBy("date", "symbol").agg(*[F.max(F.when(F.col("factor") == f, F.concat(F.lit("Q"), F.col("bucket")))).alias(f"{f}__bucket") for f in numeric])
+        out = out.join(wide, ["date", "symbol"], "left")
     group = F.concat_ws(" | ", *[F.concat(F.lit(f"{f}="), F.col(c)) for f, c in labels])
     return out.withColumn("bucket_group", F.when(group != "", group))
 

@@ -751,6 +751,19 @@ def bucket_group_metrics(spark, sf):
     return RP.group_metrics(view_rows(spark, sf)[0])
 
 
+WIDE_KINDS = {"kdj_j": "numeric", "amplitude_pct": "numeric", "close_to_ma20_pct": "numeric", "renko_value": "numeric", "is_range_low": "boolean"}
+_Q = {f: f"'Q' || ({O.rank_bucket(f'no_{f}', f'n_{f}', f'least(5, lv_{f})')})" for f in ("kdj_j", "amplitude_pct", "close_to_ma20_pct", "renko_value")}
+
+
+@query("factor_group_rows", O.pool_query(
+    "SELECT symbol, date, " + ", ".join(f"CASE WHEN {f} IS NOT NULL THEN {q} END AS {f}__bucket" for f, q in _Q.items()) + ", CASE WHEN is_range_low = 1 THEN 'True' ELSE 'False' END AS is_range_low__bucket FROM (SELECT *, "
+    + ", ".join(f"row_number() OVER (ORDER BY {f} NULLS LAST, date, symbol) AS no_{f}, count({f}) OVER () AS n_{f}, (SELECT count(DISTINCT {f}) FROM b1v0) AS lv_{f}" for f in _Q) + " FROM b1v0)"))
+def factor_group_rows(spark, sf):
+    """Buckets of four factors from one rank pass, and of one flag."""
+    pool = materialize(b1_pool(spark, sf).select("symbol", "date", *WIDE_KINDS), "grouped-pool")
+    return RP.factor_groups(pool, WIDE_KINDS, 5).select("symbol", "date", *(f"{f}__bucket" for f in WIDE_KINDS))
+
+
 @query("bucket_ranges", O.pool_query(
     f"SELECT 'kdj_j' AS factor, 'numeric' AS factor_type, kb AS bucket, {O.r4('min(kdj_j)')} AS factor_min, {O.r4('max(kdj_j)')} AS factor_max, {O.r4('median(kdj_j)')} AS factor_median, count(*) AS sample_count, count(DISTINCT date) AS date_count, {metrics()} FROM gr GROUP BY kb"
     f" UNION ALL SELECT 'is_range_low', 'boolean', rb, NULL, NULL, NULL, count(*), count(DISTINCT date), {metrics()} FROM gr GROUP BY rb", VIEW))
