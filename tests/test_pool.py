@@ -226,6 +226,14 @@ def test_exchange_symbols_confirm_and_enrich(spark, bars, pool):
     assert P.enrich_downtrend(b1, marked).columns == [*b1.columns, flag]
 
 
+def test_inline_confirmation_needs_one_exchange(bars):
+    plan = P.build_pool(bars, ST.B2_INLINE, validate=False)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(symbol") == 1 and plan.count("FlatMapGroupsInArrow") == 1
+    loose = {"return_min_pct": -50.0, "j_max": 1e9, "upper_shadow_max": 1e9, "position_max": 0.9, "j_low_max": 60.0, "quiet_ratio_max": 9.0, "signal_window": 3}
+    got = P.build_pool(bars, ST.B2_INLINE, validate=False, **loose).collect()
+    assert got and all(1 <= r["b1_lag_trade_days"] <= 3 and r["b1_date"] == r["date"] - dt.timedelta(days=r["b1_lag_trade_days"]) for r in got)
+
+
 def test_selected_text_without_numbers_is_read_by_truth(spark):
     rows = [("1", 1), ("0", 2), ("", 3), (None, 4)]
     df = spark.createDataFrame(rows, "selected string, id int")

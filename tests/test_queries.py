@@ -8,7 +8,8 @@ from tickerloom.plans.queries import ORACLES, QUERIES
 SF = "/root/testdata/sf0.001"
 PICKED = [
     "bars_weekly", "indicator_table", "forward_labels", "b1_v1_pool", "b2_tdx_pool", "b2_from_b1_pool", "incremental_merge",
-    "direction_summary", "extreme_refinement", "daily_comparison", "alpha_daily", "feature_ic", "code_export",
+    "direction_summary", "extreme_refinement", "extreme_samples", "daily_comparison", "alpha_daily", "feature_ic", "code_export",
+    "indicator_resume", "indicator_store", "user_kernels", "event_bars", "stored_window", "pool_release", "factor_group_rows",
 ]
 
 
@@ -19,7 +20,7 @@ def test_every_query_has_sql():
 @pytest.mark.parametrize("name", PICKED)
 def test_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("lineitem", "orders", "customer"):
+    for t in ("lineitem", "orders", "customer", "events"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     got = QUERIES[name](spark, SF)
     cols = sorted(got.columns)

@@ -94,12 +94,61 @@ class Kernel:
         return out
 
 
+@dataclass(frozen=True)
+class Away:
+    """``|price - line| / line``; ``when_zero`` where the line is zero."""
+
+    name: str
+    price: str
+    line: str
+    when_zero: float = 999.0
+
+    def run(self, done: dict[str, pd.Series]) -> dict[str, pd.Series]:
+        line = done[self.line]
+        return {self.name: ((done[self.price] - line).abs() / line.where(line != 0)).mask(line == 0, self.when_zero)}
+
+
+@dataclass(frozen=True)
+class LastEvent:
+    """Bars since the last event strictly before each bar (``since``), and the day number of that event (``when``).
+
+    An event is a bar where every one of ``every`` and at least one of ``some`` holds; each is
+    (column, "at least" or "at most", limit), and a missing value never holds.
+    """
+
+    since: str
+    when: str
+    day: str
+    every: tuple[tuple[str, str, float], ...]
+    some: tuple[tuple[str, str, float], ...]
+
+    def run(self, done: dict[str, pd.Series]) -> dict[str, pd.Series]:
+        def holds(test: tuple[str, str, float]) -> np.ndarray:
+            column, side, limit = test
+            x = done[column].to_numpy()
+            return x >= limit if side == "at least" else x <= limit
+
+        event = np.logical_and.reduce([holds(t) for t in self.every]) & np.logical_or.reduce([holds(t) for t in self.some])
+        place = np.arange(len(event))
+        last = np.concatenate(([-1], np.maximum.accumulate(np.where(event, place, -1))[:-1])) if len(event) else place
+        days = done[self.day].to_numpy()
+        return {self.since: pd.Series(np.where(last >= 0, place - last, np.nan)), self.when: pd.Series(np.where(last >= 0, days[last], np.nan))}
+
+
+#: Steps that see a whole history through their own ``run``.
+WHOLE = (Kernel, LastEvent)
+
+
 def outputs(s) -> tuple[str, ...]:
-    return s.columns if isinstance(s, Kernel) else (s.name,)
+    return s.columns if isinstance(s, Kernel) else (s.since, s.when) if isinstance(s, LastEvent) else (s.name,)
 
 
 def inputs_of(s) -> tuple[str, ...]:
-    return s.sources if isinstance(s, Kernel) else (s.left, s.right) if isinstance(s, Mix) else (s.source,)
+    if isinstance(s, Kernel):
+        return s.sources
+    if isinstance(s, LastEvent):
+        return (s.day, *(t[0] for t in (*s.every, *s.some)))
+    return (s.price, s.line) if isinstance(s, Away) else (s.left, s.right) if isinstance(s, Mix) else (s.source,)
 
 
 def ema(name: str, source: str, n: int) -> Average:
@@ -139,7 +188,7 @@ def evaluate(steps, columns: dict[str, pd.Series], memory: Memory | None = None)
     done = dict(columns)
     memory = memory or {}
     for s in steps:
-        if isinstance(s, Kernel):
+        if isinstance(s, (Away, *WHOLE)):
             done.update(s.run(done))
         elif isinstance(s, Mix):
             done[s.name] = s.a * done[s.left] + s.b * done[s.right]
@@ -156,7 +205,7 @@ def remembered(steps, done: dict[str, pd.Series], memory: Memory | None = None)
     """The memory after the rows of ``done``."""
     out = dict(memory or {})
     for s in steps:
-        if isinstance(s, Mix) or not len(done[s.name]):
+        if isinstance(s, (Mix, Away)) or not len(done[s.name]):
             continue
         if isinstance(s, Previous):
             out[s.name] = (float(done[s.source].iloc[-1]), 0)
@@ -180,8 +229,8 @@ def add_recursive(df: DataFrame, steps, drop: set[str] = frozenset(), memory: st
     made = {c for s in steps for c in outputs(s)}
     emitted = [c for s in steps for c in outputs(s) if not c.startswith(INTERNAL)]
     read = sorted({n for s in steps for n in inputs_of(s) if n not in made})
-    if memory and any(isinstance(s, Kernel) for s in steps):
-        raise ValueError("kernels see whole histories and cannot go on from a state")
+    if memory and any(isinstance(s, WHOLE) for s in steps):
+        raise ValueError("kernels and events see whole histories and cannot go on from a state")
     passed = [f for f in df.schema.fields if f.name not in drop and f.name not in emitted and f.name != memory]
     names = [f.name for f in passed]
     schema = T.StructType([*passed, *[T.StructField(n, T.DoubleType()) for n in emitted]])

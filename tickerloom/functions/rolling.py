@@ -119,9 +119,3 @@ def total(x: str, size: int, at_least: int | None = None) -> str:
 
 def deviation(x: str, size: int, at_least: int | None = None) -> str:
     return _gated("stddev_samp", x, size, at_least)
-
-
-def seen_within(condition: str, first: int, last: int) -> str:
-    """True when ``condition`` held between ``first`` and ``last`` rows ago."""
-    rows = f"ROWS BETWEEN {int(last)} PRECEDING AND {int(first)} PRECEDING"
-    return f"coalesce(max(CAST({condition} AS INT)) OVER ({BY_SYMBOL_SQL} {rows}) = 1, false)"

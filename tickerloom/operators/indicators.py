@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions import rolling as R
-from tickerloom.functions.recursive import MEMORY_TYPE, Kernel, Mix, Previous, add_recursive, ema, weighted
+from tickerloom.functions.recursive import MEMORY_TYPE, Kernel, Mix, Previous, add_recursive, ema, outputs, weighted
 from tickerloom.functions.scalars import as_flag, change_pct, extend, project, ratio, ratio_or
 from tickerloom.operators.audit import apply_audited, check_kernels
 from tickerloom.scratch import materialize
@@ -134,12 +134,12 @@ class Block:
 
     def __add__(self, other: "Block") -> "Block":
         """Both blocks; on equal names the right-hand definition wins."""
-        renamed = {s.name for s in other.steps}
+        renamed = {c for s in other.steps for c in outputs(s)}
         return Block(
             [*self.windows, *other.windows],
             {**{k: v for k, v in self.columns.items() if k not in other.after}, **other.columns},
             {**self.inputs, **other.inputs},
-            [*[s for s in self.steps if s.name not in renamed], *other.steps],
+            [*[s for s in self.steps if not renamed & set(outputs(s))], *other.steps],
             {**{k: v for k, v in self.after.items() if k not in other.columns}, **other.after},
             self.scratch | other.scratch,
         )
@@ -429,7 +429,7 @@ def indicator_table(
     df = bars if end_date is None else bars.filter(F.col("date") <= F.lit(end_date).cast("date"))
     kernels = list(KERNELS.values() if kernels is None else kernels)
     block = indicator_block(ma_windows, volume_windows, macd_params, brick)
-    check_kernels(kernels, [*bars.columns, *block.columns, *block.after, *(s.name for s in block.steps)])
+    check_kernels(kernels, [*bars.columns, *block.columns, *block.after, *(c for s in block.steps for c in outputs(s))])
     df = run(df if bucketed else R.by_symbol(df), block + Block(steps=kernels))
     options = {"ma_windows": ma_windows, "volume_windows": volume_windows, "macd_params": macd_params, "brick": brick}
     df = apply_audited(df, INDICATORS if extra is None else extra, options)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions import rolling as R
+from tickerloom.functions.recursive import outputs
 from tickerloom.functions.scalars import change_pct, extend, first_code, normalize_symbol, safe_div, to_number
 from tickerloom.operators import indicators as I
 from tickerloom.operators.cleaning import clean_bars, date_range, keep_last
@@ -169,7 +170,7 @@ def build_pool(
     block = I.Block(columns=next_bars(with_range=with_range))
     if strategy_name != B2_FROM_B1:
         block = block + I.indicator_block()
-    known = set(df.columns) | set(block.columns) | {s.name for s in block.steps}
+    known = set(df.columns) | set(block.columns) | {c for s in block.steps for c in outputs(s)}
     df = I.run(df, block + rule.block(known, **params))
     df = label_columns(rule.finish(df, **params), with_range=with_range)
     df = date_range(df, start_date)

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickerloom.functions import rolling as R
-from tickerloom.functions.recursive import Previous, ema
+from tickerloom.functions.recursive import Away, LastEvent, Previous, ema
 from tickerloom.functions.scalars import as_flag, change_pct, extend, first_code, is_true, ratio, ratio_or
 from tickerloom.operators import indicators as I
 from tickerloom.operators.cleaning import selected_rows
@@ -148,8 +148,45 @@ stage_low_v1 = register(Strategy(
 # B2: confirmation, with the B1 condition evaluated inline
 # --------------------------------------------------------------------------
 
-def confirm_block(columns=(), **_) -> I.Block:
-    """Full-window averages (replacing cached ones), strict KDJ, doubled MACD bar, 20-bar context."""
+# Limits of the inline rule.
+CONFIRM = {
+    "position_max": 0.25, "near_low_max": 0.02, "j_low_max": 14.0, "quiet_days_min": 16.0, "quiet_ratio_max": 0.70, "low_tolerance": 0.98,
+    "signal_window": 5, "return_min_pct": 4.0, "j_max": 55.0, "upper_shadow_max": 0.25,
+}
+
+
+def _event_block(full, bbi: str, **params) -> I.Block:
+    """The last B1 signal before each bar, found in the pass that computes the averages it depends on.
+
+    What rests on windows alone comes in as two numbers; J and the distance to the EMA line join it there, so bars
+    need no further exchange by symbol afterwards.
+    """
+    p = CONFIRM | {k: v for k, v in params.items() if k in CONFIRM}
+    top, bottom, floor = R.highest("high", 20), R.lowest("low", 20), R.lowest("low", 20, shift=1)
+    ratio5 = I.volume_columns((5, 10), full)["volume_ratio_ma5"]
+
+    def near(line: str) -> str:
+        return is_true(f"{ratio_or(f'abs(close - {line})', line, 999.0)} <= {p['near_low_max']}D")
+
+    low = is_true(f"{ratio_or(f'(close - {bottom})', f'({top} - {bottom})', 999.0)} <= {p['position_max']}D")
+    old = is_true(f"abs({ratio_or(f'(close - {floor})', floor, 999.0)}) <= {p['near_low_max']}D")
+    quiet = f"({is_true(f'({I.low_volume_column(20)}) >= {p["quiet_days_min"]}D')} OR {is_true(f'({ratio5}) <= {p["quiet_ratio_max"]}D')})"
+    held = is_true(f"low >= {floor} * {p['low_tolerance']}D AND close >= {floor}")
+    return I.Block(
+        inputs={
+            "_place": f"CAST({low} OR {old} OR {near(R.mean('close', 20))} OR {near(f'({bbi})')} AS DOUBLE)", "_ready": f"CAST({quiet} AND {held} AS DOUBLE)",
+            "_day": "CAST(datediff(date, DATE '1970-01-01') AS DOUBLE)",
+        },
+        steps=[
+            Away("_i_zsl_away", "close", "b1_tdx_zsl_ema21"),
+            LastEvent("_event_since", "_event_day", "_day", (("_ready", "at least", 1.0), ("kdj_j", "at most", p["j_low_max"])),
+                      (("_place", "at least", 1.0), ("_i_zsl_away", "at most", p["near_low_max"]))),
+        ],
+    )
+
+
+def confirm_block(columns=(), **params) -> I.Block:
+    """Full-window averages (replacing cached ones), strict KDJ, doubled MACD bar, 20-bar context, last B1 signal."""
     full = int
     bbi = f"({' + '.join(R.mean('close', w) for w in (3, 6, 12, 24))}) / 4.0D"
     facts = I.Block(
@@ -170,24 +207,13 @@ def confirm_block(columns=(), **_) -> I.Block:
         },
         steps=[ema("b1_tdx_zsl_ema21", "close", 21)],
     )
-    return facts + I.kdj_strict() + I.macd(bar_scale=2.0)
+    return facts + I.kdj_strict() + I.macd(bar_scale=2.0) + _event_block(full, bbi, **params)
 
 
-def confirm_flags(
-    df: DataFrame,
-    *,
-    position_max: float = 0.25,
-    near_low_max: float = 0.02,
-    j_low_max: float = 14.0,
-    quiet_days_min: float = 16.0,
-    quiet_ratio_max: float = 0.70,
-    low_tolerance: float = 0.98,
-    signal_window: int = 5,
-    return_min_pct: float = 4.0,
-    j_max: float = 55.0,
-    upper_shadow_max: float = 0.25,
-) -> DataFrame:
+def confirm_flags(df: DataFrame, **params) -> DataFrame:
     """All B1/B2 conditions as columns, plus ``_selected``."""
+    p = CONFIRM | {k: v for k, v in params.items() if k in CONFIRM}
+    position_max, near_low_max, low_tolerance = p["position_max"], p["near_low_max"], p["low_tolerance"]
     top, bottom, floor = (f"b1_tdx_{x}" for x in ("range_high_20", "range_low_20", "previous_20d_low"))
 
     def away(line: str) -> str:
@@ -211,23 +237,26 @@ def confirm_flags(
         "b1_tdx_bottom_zone": as_flag(
             f"b1_tdx_range_width_20 <= {position_max}D AND {low_position} AND close >= {bottom} * {low_tolerance}D"),
         "b1_tdx_ma_support": as_flag(support),
-        "b1_tdx_j_ok": as_flag(f"kdj_j <= {j_low_max}D"),
+        "b1_tdx_j_ok": as_flag(f"kdj_j <= {p['j_low_max']}D"),
         "b1_tdx_low_volume": as_flag(
-            f"{is_true(f'b1_tdx_low_volume_count_20 >= {quiet_days_min}D')}"
-            f" OR {is_true(f'volume_ratio_ma5 <= {quiet_ratio_max}D')}"),
+            f"{is_true(f'b1_tdx_low_volume_count_20 >= {p['quiet_days_min']}D')}"
+            f" OR {is_true(f'volume_ratio_ma5 <= {p['quiet_ratio_max']}D')}"),
         "b1_tdx_not_break_previous_low": as_flag(f"low >= {floor} * {low_tolerance}D AND close >= {floor}"),
-        "b2_tdx_return_gt_4": as_flag(f"daily_return_pct > {return_min_pct}D"),
+        "b2_tdx_return_gt_4": as_flag(f"daily_return_pct > {p['return_min_pct']}D"),
         "b2_tdx_bullish_candle": as_flag("close > open"),
         "b2_tdx_volume_gt_prev": as_flag("volume > prev_volume"),
-        "b2_tdx_j_below_55": as_flag(f"kdj_j < {j_max}D"),
-        "b2_tdx_upper_shadow_ok": as_flag(f"b2_tdx_upper_shadow_ratio <= {upper_shadow_max}D"),
+        "b2_tdx_j_below_55": as_flag(f"kdj_j < {p['j_max']}D"),
+        "b2_tdx_upper_shadow_ok": as_flag(f"b2_tdx_upper_shadow_ratio <= {p['upper_shadow_max']}D"),
     })
     where_ok = " + ".join(f"b1_tdx_{x}" for x in ("low_position", "near_previous_low", "bottom_zone", "ma_support"))
     df = extend(df, {"b1_tdx_position_ok": as_flag(f"{where_ok} > 0")})
     df = extend(df, {"b1_tdx_signal": as_flag(
         "b1_tdx_position_ok = 1 AND b1_tdx_j_ok = 1 AND b1_tdx_low_volume = 1 AND b1_tdx_not_break_previous_low = 1")})
-    df = extend(df, {"b1_tdx_recent_1_to_5": as_flag(R.seen_within("b1_tdx_signal = 1", 1, signal_window))})
-    df = with_last_event(df, "b1_tdx_signal = 1")
+    # The pass over each symbol has found the last signal before each bar.
+    df = extend(df, {
+        "b1_tdx_recent_1_to_5": as_flag(f"_event_since <= {int(p['signal_window'])}"), "b1_lag_trade_days": "CAST(_event_since AS INT)",
+        "b1_date": "date_add(DATE '1970-01-01', CAST(_event_day AS INT))",
+    }).drop("_event_since", "_event_day")
     chosen = " AND ".join(f"{x} = 1" for x in (
         "b1_tdx_recent_1_to_5", "b2_tdx_return_gt_4", "b2_tdx_bullish_candle", "b2_tdx_volume_gt_prev",
         "b2_tdx_j_below_55", "b2_tdx_upper_shadow_ok"))
