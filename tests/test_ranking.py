@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pytest
 from pyspark.sql import functions as F
 
 from tickerloom.operators import factors as FA
@@ -105,7 +106,17 @@ def test_ranks_in_place_without_keys_and_rows(spark):
     assert RK.ranks_in_place(rows.where("x > 9"), [], "x", "id", ["1"]).collect() == []
 
 
-def test_correlation_grid_equals_pandas(spark):
+@pytest.mark.parametrize("batch", ["10000", "7"])
+def test_correlation_grid_equals_pandas(spark, batch):
+    """Runs of equal values also go over many batches."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        _grid_equals_pandas(spark)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def _grid_equals_pandas(spark):
     rng = np.random.default_rng(3)
     n = 600
     pdf = pd.DataFrame({"g": rng.choice(["hot", "b", None], n, p=[0.8, 0.15, 0.05]), "x1": np.round(rng.normal(size=n), 1), "x2": rng.integers(0, 3, n).astype(float), "x3": 7.0, "y1": np.round(rng.normal(size=n), 2)})

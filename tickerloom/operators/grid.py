@@ -1,12 +1,13 @@
 """Rank and value correlations, and exact quantiles, of every factor with every target at once.
 
 Each target is sorted once for all factors, which gives its ranks, and each factor once for all targets.
-The sorted rows of a factor are summed up in chunks that never cut a run of equal
-values inside a slice: counts, means and co-moments of ranks and values, per target, from one numpy
+The sorted rows of a factor are summed up in chunks, one per Arrow batch and group: counts, means and
+co-moments of ranks and values, per target, from one numpy
 pass.  A rank inside a chunk lacks only the number of rows ahead of the chunk, which is
-added to the chunk's mean afterwards; the first and last run of a chunk, which may go on in the neighbouring
-slices, are kept apart and get their place from all of their parts.  So a pair's
-figures come from a few small rows, and neither rows nor ranks of a factor are shuffled again.
+added to the chunk's mean afterwards; the first and last run of equal values in a chunk, which may go on in
+the neighbouring ones, are kept apart and get their place from all of their parts.  So a pair's
+figures come from a few small rows per chunk, a value that most rows share is never held in memory, and neither
+rows nor ranks of a factor are shuffled again.
 """
 
 from __future__ import annotations
@@ -66,22 +67,21 @@ def _chunks(rows: DataFrame, keys: Sequence[str], targets: int) -> DataFrame:
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, seq, held = TaskContext.get().partitionId(), 0, None
+        place, seq = TaskContext.get().partitionId(), 0
 
-        def ends_of(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-            """Where groups begin, and the rows' values."""
-            new = np.zeros(table.num_rows, dtype=bool)
+        def begins_of(batch: pa.RecordBatch) -> np.ndarray:
+            """Where groups begin."""
+            new = np.zeros(batch.num_rows, dtype=bool)
             new[0] = True
             for k in range(width):
-                codes = table.column(k).combine_chunks().dictionary_encode()
-                indices = codes.indices.fill_null(-1).to_numpy(zero_copy_only=False)
+                indices = batch.column(k).dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
                 new[1:] |= indices[1:] != indices[:-1]
-            return np.flatnonzero(new), table.column(width).to_numpy()
+            return np.flatnonzero(new)
 
-        def summed(table: pa.Table) -> pa.RecordBatch:
+        def summed(batch: pa.RecordBatch) -> pa.RecordBatch:
             nonlocal seq
-            begins, x = ends_of(table)
-            matrix = np.column_stack([table.column(width + 1 + i).to_numpy() for i in range(2 * targets)]).astype(np.float64)
+            begins, x = begins_of(batch), batch.column(width).to_numpy()
+            matrix = np.column_stack([batch.column(width + 1 + i).to_numpy(zero_copy_only=False) for i in range(2 * targets)]).astype(np.float64)
             at, found = [], []
             for low, high in zip(begins, np.append(begins[1:], len(x)), strict=True):
                 values, y = x[low:high], matrix[low:high, :targets]
@@ -95,22 +95,11 @@ def _chunks(rows: DataFrame, keys: Sequence[str], targets: int) -> DataFrame:
             arrays += [pa.array([c.tolist() for c in columns[i]], pa.list_(pa.int64() if i < 6 else pa.float64())) for i in range(4, 11)]
             arrays += [pa.array(columns[i], pa.binary()) for i in (11, 12)]
             names = [*keys, *[c.split()[0] for c in _PARTS.split(", ")]]
-            return pa.RecordBatch.from_arrays([*(table.column(k).take(pa.array(at)).combine_chunks() for k in range(width)), *arrays], names=names)
+            return pa.RecordBatch.from_arrays([*(batch.column(k).take(pa.array(at)) for k in range(width)), *arrays], names=names)
 
         for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if held is not None:
-                table = pa.concat_tables([held, table])
-            if not table.num_rows:
-                continue
-            begins, x = ends_of(table)
-            # The last run may go on in the next batch.
-            cut = max(int(begins[-1]), int(np.flatnonzero(x != x[-1])[-1]) + 1 if (x != x[-1]).any() else 0)
-            held = table.slice(cut)
-            if cut:
-                yield summed(table.slice(0, cut))
-        if held is not None and held.num_rows:
-            yield summed(held)
+            if batch.num_rows:
+                yield summed(batch)
 
     return rows.mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in keys) + ", " + _PARTS)
 
