@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.graph import components
 from tickerloom.llm.near_dedup import link_lists, measured
 from tickerloom.llm.text import Words, bounded_batches, chunks, column_bytes, mix, paragraphs, positive, powers
-from tickerloom.scratch import materialize
+from tickerloom.scratch import discard, materialize
 
 LEAST_WORDS = 6
 SHINGLE = 5
@@ -71,14 +71,6 @@ class Cut:
         return values[inside], unit[at[inside]]
 
 
-def _first_of_each(values: np.ndarray, unit: np.ndarray) -> np.ndarray:
-    """Marks one of equal values in each unit."""
-    order = np.lexsort((values, unit))
-    out = np.ones(len(values), dtype=bool)
-    out[order[1:]] = (values[order[1:]] != values[order[:-1]]) | (unit[order[1:]] != unit[order[:-1]])
-    return out
-
-
 def _source(docs: DataFrame) -> DataFrame:
     return bounded_batches(docs).selectExpr("CAST(doc_id AS long) AS d", "CAST(text AS string) AS t").where("d IS NOT NULL AND t IS NOT NULL")
 
@@ -99,42 +91,44 @@ def _occurrences(docs: DataFrame) -> DataFrame:
 
 
 def _bands(docs: DataFrame, percent: int) -> DataFrame:
-    """(v, d, n, x, y): band key, class, number of shingles and odd sketch; each once per batch.
-
-    The odd sketch has one bit flipped per shingle, so two differ in no more bits
-    than their sets in elements.
-    """
+    """(v, d): band key and class, each pair once per batch."""
     bands, rows = tuned(percent, RECALL, 400)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, parts = column_bytes(batch.column(1)), []
+            texts, keys, classes = column_bytes(batch.column(1)), [], []
             for a, b in chunks(texts):
                 cut = Cut(texts[a:b])
                 values, unit = cut.shingles()
                 if not len(unit):
                     continue
                 begin = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
-                own = unit[begin]
-                fresh = _first_of_each(values, unit)
-                flip = np.where(fresh, np.uint64(1) << (values & np.uint64(63)), np.uint64(0))
-                upper = (values & np.uint64(64)) > 0
-                odd = [np.bitwise_xor.reduceat(np.where(side, flip, np.uint64(0)), begin).view(np.int64) for side in (upper, ~upper)]
-                number = np.add.reduceat(fresh.astype(np.int64), begin)
+                own = cut.key[unit[begin]]
                 for band in range(bands):
                     key = np.full(len(own), band, dtype=np.uint64)
                     for row in range(rows):
                         key = mix(key ^ np.minimum.reduceat(mix(values, 20 + band * rows + row), begin))
-                    parts.append(np.column_stack((positive(key), cut.key[own], number, *odd)))
-            if parts:
-                found = np.unique(np.concatenate(parts), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(found[:, i]) for i in range(5)], names=["v", "d", "n", "x", "y"])
+                    keys.append(positive(key))
+                    classes.append(own)
+            if keys:
+                v, d = np.concatenate(keys), np.concatenate(classes)
+                order = np.lexsort((d, v))
+                v, d = v[order], d[order]
+                new = np.concatenate(([True], (v[1:] != v[:-1]) | (d[1:] != d[:-1])))
+                yield pa.RecordBatch.from_arrays([pa.array(v[new]), pa.array(d[new])], names=["v", "d"])
+
+    return _source(docs).mapInArrow(run, "v long, d long")
+
 
-    return _source(docs).mapInArrow(run, "v long, d long, n long, x long, y long")
+def odd_sketch(values: np.ndarray) -> tuple[int, int]:
+    """128 bits, one flipped per value: two sketches differ in no more bits than their sets in elements."""
+    flips = np.uint64(1) << (values.view(np.uint64) & np.uint64(63))
+    upper = (values & 64) > 0
+    return tuple(int(np.bitwise_xor.reduce(flips[side]).view(np.int64)) if side.any() else 0 for side in (upper, ~upper))
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(k, s): the shingle set of each class in ``wanted`` (d, k: a document that has it)."""
+    """(k, s, x, y): shingle set and odd sketch of each class in ``wanted`` (d, k: a document that has it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -149,10 +143,11 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                         left.discard(int(cut.key[u]))
                         keys.append(int(cut.key[u]))
                         sets.append(positive(np.unique(values[unit == u])))
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], names=["k", "s"])
+            marks = np.array([odd_sketch(x) for x in sets], dtype=np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=["k", "s", "x", "y"])
 
     named = wanted.groupBy("d").agg(F.collect_set("k").alias("c"))  # classes of one document
-    return _source(docs).join(named, "d").select("d", "t", "c").mapInArrow(run, "k long, s array<bigint>").dropDuplicates(["k"])
+    return _source(docs).join(named, "d").select("d", "t", "c").mapInArrow(run, "k long, s array<bigint>, x long, y long").dropDuplicates(["k"])
 
 
 def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
@@ -160,10 +155,13 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
     units = materialize(_occurrences(docs), "paragraphs")
     by_key = Window.partitionBy("v")
     met = _bands(docs, percent).withColumns({"lo": F.min("d").over(by_key), "hi": F.max("d").over(by_key)}).where("lo <> hi")
-    lists = materialize(met.select("v", "d", "n", F.struct("x", "y").alias("g")).distinct(), "lists")
-    colliding = lists.select(F.col("d").alias("k")).distinct()
+    met = materialize(met.select("v", "d").distinct(), "met")
+    colliding = met.select(F.col("d").alias("k")).distinct()
     wanted = units.join(colliding, "k").groupBy("k").agg(F.min("d").alias("d"))
     sets = materialize(_shingle_sets(docs, wanted), "shingle-sets")
+    # Sizes and sketches join only the keys that different classes share.
+    lists = materialize(met.join(sets.selectExpr("k AS d", "CAST(size(s) AS long) AS n", "struct(x, y) AS g"), "d").select("v", "d", "n", "g"), "lists")
+    discard(met)
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.selectExpr("k AS a", "s AS s1"), "a").join(sets.selectExpr("k AS b", "s AS s2"), "b")
