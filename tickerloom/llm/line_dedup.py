@@ -7,7 +7,7 @@ those of the smallest document id.  What is left is put together by position.
 
 Everything is DataFrame functions.  Keys are counted with a map-side combine, so a
 line that a third of all rows hold is one row per task.  The repeated keys are
-stored and meet the lines again in two ways: a key with over ``1 / HOT`` of all
+stored and meet the lines again in one pass: a key with over ``1 / HOT`` of all
 repeated lines is one of fewer than ``HOT`` such keys, which are broadcast; the others
 are joined by shuffle, each with at most that share of the rows.  Only numbers travel
 with the lines; texts are shuffled once, as the rows of their documents.
@@ -61,11 +61,12 @@ def repeated_lines(docs: DataFrame, least_docs: int = LEAST_DOCS, least_chars: i
 def _dropped(rows: DataFrame, repeated: DataFrame, least_chars: int) -> DataFrame:
     """(d, h, gone): places of the lines to drop, per row that has any."""
     bound = (repeated.agg(F.sum("n")).first()[0] or 0) / HOT
-    lines = _keys(rows, least_chars)
-    hot = repeated.where(F.col("n") > bound).select("x", "y", "first")
-    by_broadcast = lines.join(F.broadcast(hot), ["x", "y"])
-    by_shuffle = lines.join(F.broadcast(hot.select("x", "y")), ["x", "y"], "left_anti").join(repeated.where(F.col("n") <= bound).select("x", "y", "first"), ["x", "y"])
-    found = by_broadcast.union(by_shuffle).where("d > first")
+    hot = repeated.where(F.col("n") > bound).select("x", "y", F.col("first").alias("now"))
+    cold = repeated.where(F.col("n") <= bound).select("x", "y", F.col("first").alias("later"), F.lit(False).alias("settled"))
+    lines = _keys(rows, least_chars).join(F.broadcast(hot), ["x", "y"], "left")
+    # Lines of hot keys have their answer and go through the shuffle spread by place, where they meet nothing.
+    routed = lines.selectExpr("d", "h", "place", "now", "IF(now IS NULL, x, xxhash64(d, h, place)) AS x", "y", "now IS NOT NULL AS settled")
+    found = routed.join(cold, ["x", "y", "settled"], "left").where("d > coalesce(now, later)")
     return found.groupBy("d", "h").agg(F.collect_set("place").alias("gone"))
 
 
