@@ -62,12 +62,12 @@ def _stack(column: pa.Array) -> np.ndarray:
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     """Euclidean distances of the rows of ``x`` to ``y``; squares that would leave the range of doubles are scaled first."""
     with np.errstate(over="ignore"):
-        out = np.sqrt(((x - y) ** 2).sum(axis=1))
-        half = x / 2 - y / 2
-        most = np.abs(half).max(axis=1)
-        odd = (most > 1e140) | ((most < 1e-140) & (most > 0))
-        if odd.any():
-            half, most = half[odd], most[odd]
+        squares = ((x - y) ** 2).sum(axis=1)
+        out = np.sqrt(squares)
+        odd = np.flatnonzero(~((squares > 1e-280) & (squares < 1e280)))
+        if len(odd):
+            half = x[odd] / 2 - y / 2
+            most = np.maximum(np.abs(half).max(axis=1), 5e-324)
             out[odd] = most * np.sqrt(((half / most[:, None]) ** 2).sum(axis=1)) * 2
     return out
 
