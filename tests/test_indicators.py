@@ -3,9 +3,12 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tickerloom.functions.recursive import Average, Mix, evaluate
+from tickerloom.functions.recursive import Average, Kernel, Mix, evaluate
 from tickerloom.operators import audit as AU
+from tickerloom.operators import cleaning as C
 from tickerloom.operators import indicators as I
+from tickerloom.operators import pool as P
+from tickerloom.operators import strategies as ST
 from tickerloom.sources import releases, sinks
 
 
@@ -144,3 +147,28 @@ def test_kernels_are_audited(spark, bars, tmp_path):
     assert releases.current(spark, path).number == 1 and releases.read(spark, path, "indicators").where("x = close").count() == bars.count()
     changed = make(lambda a: (a["close"].fill(0.0), {"x": a["close"]})[1], "x")
     assert I.indicator_table(bars, extra={}, kernels=changed).where("close = 0").count() == 0
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_only_what_is_asked_goes_through_the_pass(spark, bars):
+    pool = P.build_pool(bars, ST.B1_V0, validate=False)
+    assert "lead(" in plan_of(pool.select("symbol", "t20_close"))
+    narrow = plan_of(pool.select("symbol", "date"))
+    assert "lead(" not in narrow and "60 PRECEDING" not in narrow and "59 PRECEDING" not in narrow
+    # Marks written as text are looked at twice; the pool behind them is built once.
+    assert "FlatMapGroupsInArrow" not in plan_of(C.selected_rows(pool.withColumn("selected", F.lit("1"))))
+
+
+def test_a_step_reads_the_new_value_of_a_column_the_bars_have_too(bars):
+    copy = Kernel("copy", ("ma5",), ("ma5_seen",), lambda a: {"ma5_seen": a["ma5"]})
+    block = I.Block(windows=I.average_needs((5,)), columns=I.moving_average_columns((5,))) + I.macd() + I.Block(steps=[copy])
+    stale = bars.withColumn("ma5", F.lit(-1.0)).withColumn("macd_dif", F.lit(-2.0))
+    out = I.run(stale, block)
+    assert out.columns == [*bars.columns, "ma5", "macd_dif", "macd_dea", "macd_hist", "ma5_seen"]
+    got, plain = by_hand(out), by_hand(I.run(bars, block))
+    close_to(got.ma5_seen, plain.ma5)
+    close_to(got.ma5, plain.ma5)
+    close_to(got.macd_dif, plain.macd_dif)

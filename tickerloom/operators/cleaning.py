@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.functions.scalars import extend, first_code, to_number
+from tickerloom.scratch import materialize
 
 PRICES = ["open", "high", "low", "close"]
 NUMBERS = [*PRICES, "volume", "amount"]
@@ -83,6 +84,8 @@ def selected_rows(df: DataFrame, positive: bool = False) -> DataFrame:
     if positive:
         return df.filter(number > 0)
     if kind == "string":
+        # Read twice, and a whole pool build may stand behind it.
+        df = materialize(df, "marked")
         any_number = df.agg((F.count(number) > 0).alias("any")).scalar()
         keep = F.when(any_number, number.cast("int") == 1).otherwise(F.length("selected") > 0)
         return df.filter(F.coalesce(keep, F.lit(False)))

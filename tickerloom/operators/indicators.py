@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tickerloom.functions import rolling as R
-from tickerloom.functions.recursive import MEMORY_TYPE, Kernel, Mix, Previous, add_recursive, ema, outputs, weighted
+from tickerloom.functions.recursive import INTERNAL, MEMORY_TYPE, Kernel, Mix, Previous, add_recursive, ema, inputs_of, outputs, weighted
 from tickerloom.functions.scalars import as_flag, change_pct, extend, project, ratio, ratio_or
 from tickerloom.operators.audit import apply_audited, check_kernels
 from tickerloom.scratch import materialize
@@ -145,13 +145,32 @@ class Block:
         )
 
 
-def run(df: DataFrame, block: Block) -> DataFrame:
-    """Evaluate a block over bars, appending its columns."""
-    original = df
-    df = extend(R.attach(df, block.windows), {**block.columns, **block.inputs})
-    df = R.detach(df, like=original)
-    if block.steps:
-        df = add_recursive(df, block.steps, drop=set(block.inputs))
+def run(df: DataFrame, block: Block, carry: bool = False) -> DataFrame:
+    """Evaluate a block over bars, appending its columns.
+
+    Only bars and the inputs of the recursive steps go through the pass over each symbol.  All other windows
+    are computed after it, so nothing travels that is not asked for, and windows whose result is not used are not computed;
+    where they are used they need one more exchange.  With ``carry`` all columns travel through the pass instead, and bars that
+    are already together by symbol need no exchange.
+    """
+    original, emitted = df, [c for s in block.steps for c in outputs(s) if not c.startswith(INTERNAL)]
+    columns = {k: v for k, v in block.columns.items() if k not in emitted}
+    made = {c for s in block.steps for c in outputs(s)}
+    read = {n for s in block.steps for n in inputs_of(s)} - made
+    if carry and block.steps:
+        df = extend(R.attach(df, block.windows), {**block.columns, **block.inputs})
+        df = add_recursive(R.detach(df, like=original), block.steps, drop=set(block.inputs))
+    else:
+        if block.steps:
+            feeds = {k: v for k, v in {**block.columns, **block.inputs}.items() if k in read}
+            # An input that hides a column of the bars gives it back after the pass.
+            hidden = [c for c in original.columns if c in feeds]
+            fed = extend(R.attach(df, block.windows).withColumns({f"_own_{c}": F.col(c) for c in hidden}), feeds)
+            fed = fed.select(*original.columns, *[c for c in feeds if c not in hidden], *[f"_own_{c}" for c in hidden])
+            df = add_recursive(fed, block.steps, drop=set(feeds)).withColumnsRenamed({f"_own_{c}": c for c in hidden})
+        df = R.detach(extend(R.attach(df, block.windows), columns), like=original)
+        replaced = {*columns, *block.inputs, *emitted}
+        df = df.select(*[c for c in original.columns if c not in replaced], *columns, *emitted)
     if block.after:
         df = extend(df, block.after)
     return df.drop(*block.scratch) if block.scratch else df
@@ -430,7 +449,7 @@ def indicator_table(
     kernels = list(KERNELS.values() if kernels is None else kernels)
     block = indicator_block(ma_windows, volume_windows, macd_params, brick)
     check_kernels(kernels, [*bars.columns, *block.columns, *block.after, *(c for s in block.steps for c in outputs(s))])
-    df = run(df if bucketed else R.by_symbol(df), block + Block(steps=kernels))
+    df = run(df if bucketed else R.by_symbol(df), block + Block(steps=kernels), carry=bucketed)
     options = {"ma_windows": ma_windows, "volume_windows": volume_windows, "macd_params": macd_params, "brick": brick}
     df = apply_audited(df, INDICATORS if extra is None else extra, options)
     if start_date is not None:

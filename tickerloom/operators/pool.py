@@ -19,7 +19,7 @@ from tickerloom.operators.cleaning import clean_bars, date_range, keep_last
 from tickerloom.operators.contract import FORBIDDEN, pool_checks
 from tickerloom.operators.labels import forward_columns, label_columns, next_bars
 from tickerloom.operators.ranking import quantiles
-from tickerloom.operators.strategies import B2_FROM_B1, get_strategy
+from tickerloom.operators.strategies import B2_FROM_B1, B2_INLINE, get_strategy
 from tickerloom.scratch import materialize_checked
 
 # Column order of a saved pool.
@@ -171,7 +171,8 @@ def build_pool(
     if strategy_name != B2_FROM_B1:
         block = block + I.indicator_block()
     known = set(df.columns) | set(block.columns) | {c for s in block.steps for c in outputs(s)}
-    df = I.run(df, block + rule.block(known, **params))
+    # The inline rule filters on most of its windows, so they travel with the bars in the one exchange.
+    df = I.run(df, block + rule.block(known, **params), carry=strategy_name == B2_INLINE)
     df = label_columns(rule.finish(df, **params), with_range=with_range)
     df = date_range(df, start_date)
     df = normalize_schema(attach_identity(trend_distance(df), strategy_name))
