@@ -26,3 +26,8 @@ def test_matches_sql(spark, name):
     cols = sorted(got.columns)
     exp = con.execute(f"SELECT {', '.join(cols)} FROM ({ORACLES[name]})").fetchall()
     assert sorted((tuple(r[c] for c in cols) for r in got.collect()), key=repr) == sorted(exp, key=repr)
+
+
+@pytest.mark.parametrize("name", ["rehydrate", "pool_dirty_bars", "daily_pool_count", "enrich_downtrend", "daily_comparison"])
+def test_trades_are_read_once(spark, name):
+    assert not any("lineitem" in f for f in QUERIES[name](spark, SF).inputFiles())
