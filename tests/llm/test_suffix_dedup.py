@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tickerloom.llm.suffix_dedup import MATCH, SuffixLevels, _array, repeated_bytes
+from tickerloom.llm.suffix_dedup import MATCH, SuffixLevels, _array, in_order, repeated_bytes
 from tickerloom.scratch import materialize
 
 
@@ -73,3 +73,32 @@ def test_odd_tables(spark):
     rows = [(None, "q" * 80), (1, "q" * 80), (1, "q" * 80), (2, "q" * 60)]
     got = sorted((r["doc_id"], r["n_removed"]) for r in repeated_bytes(spark.createDataFrame(rows, schema)).collect())
     assert got == [(1, 0), (2, 60)]
+
+
+def test_levels_are_slices_in_the_order_of_suffix_bytes(spark, sentence):
+    family, texts = SuffixLevels(), [sentence(i, 300) + " é" * 20 for i in range(4)]
+    for i, text in enumerate(texts):
+        family.add(materialize(in_order(_array(spark.createDataFrame([(i, text)], "h long, t string"))), "array"))
+    (size, level), = family.levels
+    rows = [tuple(r) for r in level.withColumn("p", F.input_file_name()).orderBy("p", F.monotonically_increasing_id()).select("x", "y", "run").collect()]
+    heads = [b"".join((v + (1 << 63)).to_bytes(8, "big") for v in r[:2]) for r in rows]
+    assert size == 4 and rows == sorted(rows) and heads == sorted(heads)
+    assert all(any(h in t.encode() for t in texts) for h in heads)
+
+
+def test_query_builds_scans_and_merges_levels(spark, sentence, monkeypatch):
+    sizes, add = [], SuffixLevels.add
+    monkeypatch.setattr(SuffixLevels, "add", lambda self, array, size=1: (add(self, array, size), sizes.append([s for s, _ in self.levels])))
+    rows = documents(sentence)
+    got = {r[0]: tuple(r)[1:] for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_force(rows)
+    assert sizes == [[1], [2], [2, 1], [4], [4, 1], [4, 2], [4, 2, 1]]
+
+
+def test_a_row_of_a_level_is_returned_by_one_scan(spark, sentence):
+    family, seen = SuffixLevels(), []
+    for i, text in enumerate((1, 1, 2, 1, 2)):
+        array = materialize(_array(spark.createDataFrame([(i, sentence(text, 40))], "h long, t string")), "array")
+        seen.append({r["h"] for r in family.scan(array, again=False).collect()})
+        family.add(array)
+    assert seen == [set(), {0, 1}, set(), {3}, {2, 4}]

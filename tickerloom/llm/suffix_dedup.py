@@ -8,11 +8,11 @@ Which suffixes
     shares all its windows.
 
 Index family
-    A batch's array holds (head, run, text) sorted by head and run; hashes of 64 bits stand
-    for the head's bytes and the run's string.  A new batch is scanned together with
-    the levels in one merge by head: a head that occurs in different texts is a long
-    match to look at.  Then the batch becomes a level, and equal-sized levels merge,
-    so n batches leave at most log2(n) + 1 levels.
+    A batch's array holds suffixes in the order of their bytes, each as (x, y, run, text): the head's
+    ``GRAM`` bytes as two longs of the same order, hashes of 64 bits for the run's string and the text.
+    A new batch is scanned together with the levels in one merge in that order: a head that
+    occurs in different texts is a long match to look at.  Then the batch becomes a level, in slices of the
+    order, and equal-sized levels merge, so n batches leave at most log2(n) + 1 levels.
 
 Exact removals
     Equal texts are one class, represented by its smallest id.  A run that an earlier
@@ -39,14 +39,25 @@ from tickerloom.llm.text import bounded_batches, byte_hashes, chunks, column_byt
 from tickerloom.scratch import discard, materialize, release_shuffles
 
 MATCH = 50
-GRAM = 20
+GRAM = 16
 #: Shares of the documents, in the order of their ids, that come as batches.
-BATCHES = (0.1, 0.9)
+BATCHES = (1,) * 8
 _PLACE_BITS = 28
 
 
+def ordered_longs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ``GRAM`` bytes at each place as two longs that sort as the bytes do."""
+    out = []
+    for first in (0, 8):
+        value = np.zeros(len(at), dtype=np.uint64)
+        for k in range(first, first + 8):
+            value = value << np.uint64(8) | raw[at + k].astype(np.uint64)
+        out.append((value ^ np.uint64(1 << 63)).view(np.int64))
+    return out[0], out[1]
+
+
 class Runs:
-    """Runs of some texts: ``start``, ``number`` of windows, ``text``, ``head`` and ``key`` per run; ``window`` per byte."""
+    """Runs of some texts: ``start``, ``number`` of windows, ``text``, head (``x``, ``y``) and ``key`` per run; ``window`` per byte."""
 
     def __init__(self, texts: list[bytes]):
         raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
@@ -58,7 +69,7 @@ class Runs:
         inside = np.arange(max(count, 0)) + MATCH <= ends[text]
         valid = np.flatnonzero(inside)
         if not len(valid):
-            self.start = self.number = self.text = self.head = self.key = np.zeros(0, dtype=np.int64)
+            self.start = self.number = self.text = self.x = self.y = self.key = np.zeros(0, dtype=np.int64)
             self.window = np.zeros(max(count, 0), dtype=np.int64)
             return
         grams, windows = byte_hashes(raw, (GRAM, MATCH))
@@ -76,7 +87,7 @@ class Runs:
         first = np.searchsorted(valid, self.start)
         self.number = np.diff(np.append(first, len(valid)))
         self.text = text[self.start]
-        self.head = positive(grams[place[self.start]])
+        self.x, self.y = ordered_longs(raw, place[self.start])
         step = np.arange(len(valid)) - np.repeat(first, self.number)
         self.key = positive(mix(np.add.reduceat(windows[valid] * powers(MATCH)[step], first), 3))
         self.window = positive(windows)
@@ -88,7 +99,7 @@ def _source(docs: DataFrame) -> DataFrame:
 
 
 def _array(rows: DataFrame) -> DataFrame:
-    """(head, run, h) of (h, t) rows: the sparse suffixes of each text, once per batch of rows."""
+    """(x, y, run, h) of (h, t) rows: the sparse suffixes of each text, once per batch of rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -102,9 +113,14 @@ def _array(rows: DataFrame) -> DataFrame:
                     new = np.ones(len(order), dtype=bool)
                     new[1:] = (key[1:] != key[:-1]) | (text[1:] != text[:-1])
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array(runs.head[order][new]), pa.array(key[new]), pa.array(hashes[a:b][text[new]])], names=["head", "run", "h"])
+                        [pa.array(runs.x[order][new]), pa.array(runs.y[order][new]), pa.array(key[new]), pa.array(hashes[a:b][text[new]])], names=["x", "y", "run", "h"])
+
+    return rows.where("length(t) > 0").select("h", "t").mapInArrow(run, "x long, y long, run long, h long")
 
-    return rows.where("length(t) > 0").select("h", "t").mapInArrow(run, "head long, run long, h long")
+
+def in_order(array: DataFrame) -> DataFrame:
+    """Suffixes in the order of their bytes, in slices of that order."""
+    return array.repartitionByRange("x", "y", "run").sortWithinPartitions("x", "y", "run")
 
 
 class SuffixLevels:
@@ -113,20 +129,25 @@ class SuffixLevels:
     def __init__(self) -> None:
         self.levels: list[tuple[int, DataFrame]] = []
 
-    def scan(self, array: DataFrame) -> DataFrame:
-        """Rows (head, run, h) of ``array`` and of all levels whose head several texts have."""
+    def scan(self, array: DataFrame, again: bool = True) -> DataFrame:
+        """Rows (x, y, run, h) of ``array`` and of all levels whose head several texts have.
+
+        Without ``again`` rows of levels whose head several texts had before are left out: the scan that first found them has returned them.
+        """
+        rows = array.withColumn("new", F.lit(True))
         for _, level in self.levels:
-            array = array.union(level)
-        by_head = Window.partitionBy("head")
-        return array.withColumns({"lo": F.min("h").over(by_head), "hi": F.max("h").over(by_head)}).where("lo <> hi").select("head", "run", "h")
+            rows = rows.union(level.withColumn("new", F.lit(False)))
+        by_head = Window.partitionBy("x", "y")
+        known = F.expr("CASE WHEN NOT new THEN h END")
+        rows = rows.withColumns({"lo": F.min("h").over(by_head), "hi": F.max("h").over(by_head), "lo0": F.min(known).over(by_head), "hi0": F.max(known).over(by_head)})
+        return rows.where("lo <> hi" if again else "lo <> hi AND (new OR lo0 = hi0)").select("x", "y", "run", "h")
 
     def add(self, array: DataFrame, size: int = 1) -> None:
         """Make a stored ``array`` a level and merge levels of equal size."""
         self.levels.append((size, array))
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, one), (_, two) = self.levels.pop(), self.levels.pop()
-            merged = one.union(two).repartition("head").sortWithinPartitions("head", "run")
-            self.levels.append((2 * size, materialize(merged, "level")))
+            self.levels.append((2 * size, materialize(in_order(one.union(two)), "level")))
             discard(one)
             discard(two)
 
@@ -218,11 +239,11 @@ def repeated_bytes(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
         condition = " AND ".join(["true"] + ([f"d > {low}"] if low is not None else []) + ([f"d <= {high}"] if high is not None else []))
         array = _array(texts.where(condition).selectExpr("xxhash64(t) AS h", "t"))
         if high is None:
-            scanned.append(materialize(family.scan(array), "matches"))
+            scanned.append(materialize(family.scan(array, again=False), "matches"))
         else:
             # The last batch is not kept: nothing comes after it.
-            array = materialize(array, "array")
-            scanned.append(materialize(family.scan(array), "matches"))
+            array = materialize(in_order(array), "array")
+            scanned.append(materialize(family.scan(array, again=False), "matches"))
             family.add(array)
         release_shuffles(docs.sparkSession)
     family.drop()
@@ -231,7 +252,7 @@ def repeated_bytes(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
         matches = matches.union(part)
 
     firsts = classes.groupBy("h").agg(F.min("c").alias("d"))
-    rows = materialize(matches.join(firsts, "h").select("head", "run", "d"), "runs")
+    rows = materialize(matches.join(firsts, "h").select("x", "y", "run", "d"), "runs")
     for part in scanned:
         discard(part)
     release_shuffles(docs.sparkSession)
@@ -242,8 +263,8 @@ def repeated_bytes(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     whole = known.where("d > first").select("d", F.col("run").alias("k"))
     # Heads with runs of different strings: the first class of each string is looked at window by window.
     leaders = known.where("d = first")
-    mixed = leaders.groupBy("head").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo <> hi").select("head")
-    open_runs = leaders.join(mixed, "head", "left_semi").select("d", F.col("run").alias("k"))
+    mixed = leaders.groupBy("x", "y").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo <> hi").select("x", "y")
+    open_runs = leaders.join(mixed, ["x", "y"], "left_semi").select("d", F.col("run").alias("k"))
     by_window = Window.partitionBy("w")
     seen = _windows(_of_documents(texts, open_runs, "k").select("d", "t", "k")).withColumn("first", F.min("d").over(by_window))
     single = materialize(seen.where("d > first").select("d", F.col("w").alias("k")), "windows")
