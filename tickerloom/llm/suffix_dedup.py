@@ -43,6 +43,8 @@ GRAM = 16
 #: Shares of the documents, in the order of their ids, that come as batches.
 BATCHES = (1,) * 8
 _PLACE_BITS = 28
+#: Bits, of 64 a row, that say which heads a batch may hold; the table has this size at most, whatever the batch.
+_HEAD_BITS = 1 << 25
 
 
 def ordered_longs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -123,6 +125,17 @@ def in_order(array: DataFrame) -> DataFrame:
     return array.repartitionByRange("x", "y", "run").sortWithinPartitions("x", "y", "run")
 
 
+def may_hold(level: DataFrame, array: DataFrame) -> DataFrame:
+    """Rows of ``level`` without most of those whose head is not in ``array``; none whose head is there is lost.
+
+    A scan shuffles its rows, and most heads of the levels are in no later batch.
+    """
+    slot = f"xxhash64(x, y) & {_HEAD_BITS - 1}L"
+    bit = f"shiftleft(1L, CAST({slot} & 63 AS INT))"
+    words = array.groupBy(F.expr(f"shiftright({slot}, 6)").alias("word")).agg(F.expr(f"bit_or({bit}) AS bits"))
+    return level.withColumn("word", F.expr(f"shiftright({slot}, 6)")).join(F.broadcast(words), "word").where(f"(bits & {bit}) <> 0").select("x", "y", "run", "h")
+
+
 class SuffixLevels:
     """The index family; levels are stored tables, largest first."""
 
@@ -132,11 +145,12 @@ class SuffixLevels:
     def scan(self, array: DataFrame, again: bool = True) -> DataFrame:
         """Rows (x, y, run, h) of ``array`` and of all levels whose head several texts have.
 
-        Without ``again`` rows of levels whose head several texts had before are left out: the scan that first found them has returned them.
+        Without ``again`` rows of levels whose head several texts had before are left out, because the scan that first found them
+        has returned them, and so are heads of levels that ``array`` does not have.
         """
         rows = array.withColumn("new", F.lit(True))
         for _, level in self.levels:
-            rows = rows.union(level.withColumn("new", F.lit(False)))
+            rows = rows.union((level if again else may_hold(level, array)).withColumn("new", F.lit(False)))
         by_head = Window.partitionBy("x", "y")
         known = F.expr("CASE WHEN NOT new THEN h END")
         rows = rows.withColumns({"lo": F.min("h").over(by_head), "hi": F.max("h").over(by_head), "lo0": F.min(known).over(by_head), "hi0": F.max(known).over(by_head)})
@@ -237,13 +251,12 @@ def repeated_bytes(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     bounds = [None, *sorted(set(cuts))[: len(ends)], None]
     for low, high in zip(bounds[:-1], bounds[1:], strict=True):
         condition = " AND ".join(["true"] + ([f"d > {low}"] if low is not None else []) + ([f"d <= {high}"] if high is not None else []))
-        array = _array(texts.where(condition).selectExpr("xxhash64(t) AS h", "t"))
+        array = materialize(in_order(_array(texts.where(condition).selectExpr("xxhash64(t) AS h", "t"))), "array")
+        scanned.append(materialize(family.scan(array, again=False), "matches"))
         if high is None:
-            scanned.append(materialize(family.scan(array, again=False), "matches"))
+            # The last batch is no level: nothing comes after it.
+            discard(array)
         else:
-            # The last batch is not kept: nothing comes after it.
-            array = materialize(in_order(array), "array")
-            scanned.append(materialize(family.scan(array, again=False), "matches"))
             family.add(array)
         release_shuffles(docs.sparkSession)
     family.drop()
