@@ -1,5 +1,7 @@
-from tickerloom.llm.paragraph_dedup import LEAST_WORDS, repeated_paragraphs, tuned, without_repeats
-from tickerloom.llm.text import Words
+import numpy as np
+
+from tickerloom.llm.paragraph_dedup import LEAST_WORDS, Cut, odd_sketches, repeated_paragraphs, tuned, wanted_sets, without_repeats
+from tickerloom.llm.text import Words, positive
 from tickerloom.llm.text import paragraphs as cuts
 
 
@@ -118,3 +120,25 @@ def test_equal_short_lines_are_cut(sentence):
     for text in (b"one two three\n" * 500, b"x " * 900):
         last = cuts(Words([text]), LEAST_WORDS)
         assert max(b - a for a, b in zip([-1, *last[:-1]], last, strict=True)) <= 60
+
+
+def test_sets_of_many_texts_equal_those_of_single_ones(sentence):
+    """Wanted classes of a chunk, some of them in several texts, from one cut of all texts; an odd sketch counts values modulo two."""
+    texts = [(t or "").encode() for _, t in documents(sentence)]
+    expected = {}
+    for text in texts:
+        cut = Cut([text])
+        values, unit = cut.shingles()
+        expected |= {int(cut.key[u]): np.unique(values[unit == u]) for u in np.unique(unit).tolist()}
+    picked = sorted(expected)[::3]
+    keys, begin, values = wanted_sets(Cut(texts), np.array([*picked, 17], dtype=np.int64))
+    assert keys.tolist() == picked
+    marks = odd_sketches(values, begin)
+    for i, (k, own) in enumerate(zip(picked, np.split(values, begin[1:]), strict=True)):
+        assert own.tolist() == positive(expected[k]).tolist()
+        bits = [0, 0]
+        for v in own.tolist():
+            bits[0 if v & 64 else 1] ^= 1 << (v & 63)
+        assert [int(m[i]) % (1 << 64) for m in marks] == bits
+    assert [len(x) for x in wanted_sets(Cut(texts), np.array([17], dtype=np.int64))] == [0, 0, 0]
+    assert [len(x) for x in wanted_sets(Cut([b""]), np.array(picked, dtype=np.int64))] == [0, 0, 0]

@@ -120,11 +120,27 @@ def _bands(docs: DataFrame, percent: int) -> DataFrame:
     return _source(docs).mapInArrow(run, "v long, d long")
 
 
-def odd_sketch(values: np.ndarray) -> tuple[int, int]:
-    """128 bits, one flipped per value: two sketches differ in no more bits than their sets in elements."""
+def odd_sketches(values: np.ndarray, begin: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits per run of ``values``, one flipped per value: two sketches differ in no more bits than their sets in elements."""
     flips = np.uint64(1) << (values.view(np.uint64) & np.uint64(63))
     upper = (values & 64) > 0
-    return tuple(int(np.bitwise_xor.reduce(flips[side]).view(np.int64)) if side.any() else 0 for side in (upper, ~upper))
+    return tuple(np.bitwise_xor.reduceat(np.where(side, flips, np.uint64(0)), begin).view(np.int64) for side in (upper, ~upper))
+
+
+def wanted_sets(cut: Cut, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(classes, begin, values): each class of ``wanted`` that stands in ``cut`` once, with its sorted shingles from ``begin`` on."""
+    values, unit = cut.shingles()
+    classes, first = np.unique(cut.key[cut.eligible], return_index=True)
+    mine = np.full(len(cut.key), -1)
+    mine[np.flatnonzero(cut.eligible)[first]] = np.where(np.isin(classes, wanted), np.arange(len(classes)), -1)
+    of = mine[unit]
+    values, of = values[of >= 0], of[of >= 0]
+    order = np.lexsort((values, of))
+    values, of = values[order], of[order]
+    new = np.concatenate(([True], (of[1:] != of[:-1]) | (values[1:] != values[:-1])))[: len(of)]
+    values, of = values[new], of[new]
+    begin = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1]))[: len(of)])
+    return classes[of[begin]], begin, positive(values)
 
 
 def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -132,19 +148,14 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = column_bytes(batch.column(1))
-            keys, sets = [], []
-            for i, (text, classes) in enumerate(zip(texts, batch.column(2).to_pylist(), strict=True)):
-                cut = Cut([text])
-                values, unit = cut.shingles()
-                left = set(classes)
-                for u in np.unique(unit).tolist():
-                    if int(cut.key[u]) in left:
-                        left.discard(int(cut.key[u]))
-                        keys.append(int(cut.key[u]))
-                        sets.append(positive(np.unique(values[unit == u])))
-            marks = np.array([odd_sketch(x) for x in sets], dtype=np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(sets, pa.list_(pa.int64())), pa.array(marks[:, 0]), pa.array(marks[:, 1])], names=["k", "s", "x", "y"])
+            texts, asked = column_bytes(batch.column(1)), batch.column(2)
+            for a, b in chunks(texts):
+                # Equal classes have equal sets, whichever text of the chunk they are taken from.
+                keys, begin, values = wanted_sets(Cut(texts[a:b]), asked.slice(a, b - a).flatten().to_numpy(zero_copy_only=False))
+                if not len(keys):
+                    continue
+                sets = pa.ListArray.from_arrays(pa.array(np.append(begin, len(values)).astype(np.int32)), pa.array(values))
+                yield pa.RecordBatch.from_arrays([pa.array(keys), sets, *map(pa.array, odd_sketches(values, begin))], names=["k", "s", "x", "y"])
 
     named = wanted.groupBy("d").agg(F.collect_set("k").alias("c"))  # classes of one document
     return _source(docs).join(named, "d").select("d", "t", "c").mapInArrow(run, "k long, s array<bigint>, x long, y long").dropDuplicates(["k"])
