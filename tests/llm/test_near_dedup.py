@@ -1,5 +1,7 @@
+import random
 import re
 
+from tickerloom.llm import near_dedup
 from tickerloom.llm.graph import components
 from tickerloom.llm.near_dedup import SKETCH, near_duplicates, prefix_length
 from tickerloom.llm.text import shingle_sets
@@ -64,6 +66,42 @@ def test_appended_copies_meet(spark, sentence):
     assert got == {d: 2 * (d // 2) for d, _ in rows}
 
 
+def test_pairs_of_a_group_grow_with_its_members(spark, sentence, monkeypatch):
+    """Copies of one text with a sixth of their words changed: alike, hardly linked, no pair of all of them is looked at."""
+    r, base, rows = random.Random(3), sentence(5, 150).split(), []
+    for i in range(200):
+        words = [f"c{i}x{j}" if r.random() < 0.16 else w for j, w in enumerate(base)]
+        rows.append((2 * i, " ".join(words)))
+        if i % 10 == 0:  # its own near copy, and one at exactly the threshold's border
+            rows.append((2 * i + 1, " ".join([*words, f"end{i}"] if i % 20 else words[:-30])))
+    seen = []
+
+    def counted(pairs, sets):
+        seen.append(pairs.count())
+        return estimated(pairs, sets)
+
+    estimated = near_dedup.estimated
+    monkeypatch.setattr(near_dedup, "estimated", counted)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), words=2).collect()}
+    assert got == brute_force(rows, 2, 80)
+    assert sum(seen) < 10 * len(rows)
+
+
+def test_prefix_pairs_hold_every_similar_pair(spark):
+    """Sets of all sizes around the threshold, within and across components."""
+    r, rows = random.Random(11), []
+    for group in range(12):
+        base = [r.randrange(1 << 60) for _ in range(r.randint(1, 60))]
+        for _ in range(14):
+            kept = [x for x in base if r.random() > r.choice((0, 0.05, 0.1, 0.2))] or base[:1]
+            rows.append((len(rows), group if r.random() < 0.2 else len(rows) + 100, (0, 0), kept + [r.randrange(1 << 60) for _ in range(r.randint(0, len(base) // 8))]))
+    table = spark.createDataFrame(rows, "d long, c long, g struct<x: long, y: long>, s array<bigint>")
+    got = {(x["a"], x["b"]) for x in near_dedup.prefix_pairs(table, 80, "true").collect()}
+    sets = {d: (c, set(s)) for d, c, _, s in rows}
+    wanted = {(a, b) for a in sets for b in sets if a < b and sets[a][0] != sets[b][0] and 100 * len(sets[a][1] & sets[b][1]) >= 80 * len(sets[a][1] | sets[b][1])}
+    assert len(wanted) > 100 and wanted <= got
+
+
 def test_odd_rows(spark):
     schema = "doc_id long, text string"
     assert near_duplicates(spark.createDataFrame([], schema)).count() == 0

@@ -21,7 +21,10 @@ Hot lists
     other hubs in every list.  The pairs of a list that are left are those of
     members in different components whose distances to the list's first hub leave
     similarity possible, so a list of a third of all rows that hangs together
-    costs a few comparisons per row.  No list, bucket or partner count is capped.
+    costs a few comparisons per row.  If over ``LONG_REST`` members are outside,
+    the list's members meet by their full sets instead: similar sets have their first common
+    element, rarest first, so early in both that copies of one text, each changed
+    in its own places, do not meet at what they share.  No list, bucket or partner count is capped.
 
 Defined cases: rows without id are left out; rows that share an id are one
 document; null, empty and blank texts have no shingle and are linked with
@@ -35,17 +38,20 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tickerloom.llm.graph import components
-from tickerloom.llm.text import bounded_batches, column_bytes, mix, positive, shingle_sets
+from tickerloom.llm.text import bounded_batches, column_bytes, mix, positive, shingle_sets, small_batches
 from tickerloom.scratch import materialize
 
 SKETCH = 64
 LEAST_SHARED = 35
 RARITY_BUCKETS = 1 << 20
 HUB_ROUNDS = 1
+#: Lists with more members outside their largest component are compared by prefixes of full sets.
+LONG_REST = 8
 #: Of 128 one-bit bins, sets of similarity 0.8 differ in 12.8 on average (standard deviation 3.4), unrelated ones in 64.
 DIGEST_BITS = 32
 #: The union sketch must show at least this share: the threshold less five standard deviations.
@@ -91,13 +97,18 @@ def prefix_length(size: int, percent: int) -> int:
     return kept - shared + 1
 
 
-def _postings(sets: DataFrame, percent: int) -> DataFrame:
-    """(v, d, n, g): the lists each class enters."""
+def _rarity(sets: DataFrame) -> Broadcast:
+    """How many values of ``s`` fall into each of RARITY_BUCKETS hashed buckets."""
     rarity = np.zeros(RARITY_BUCKETS, dtype=np.int32)
     buckets = sets.select(F.explode("s").alias("v")).groupBy(F.expr(f"v & {RARITY_BUCKETS - 1}").alias("b")).count()
     counts = buckets.toArrow()  # at most RARITY_BUCKETS rows, whatever the table
     rarity[counts.column(0).to_numpy()] = np.minimum(counts.column(1).to_numpy(), np.iinfo(np.int32).max)
-    shared = sets.sparkSession.sparkContext.broadcast(rarity)
+    return sets.sparkSession.sparkContext.broadcast(rarity)
+
+
+def _postings(sets: DataFrame, percent: int) -> DataFrame:
+    """(v, d, n, g): the lists each class enters."""
+    shared = _rarity(sets)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rarity = shared.value
@@ -162,14 +173,65 @@ def measured(rows: DataFrame, percent: int) -> DataFrame:
     return rows.selectExpr("a", "b", "1 - common / greatest(total, 1) AS lo", "1 - common / greatest(total, 1) AS hi", f"common > 0 AND 100 * common >= {percent} * total AS ok")
 
 
-def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame], bits: int = DIGEST_BITS) -> DataFrame:
+def full_sets(wanted: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int) -> DataFrame:
+    """``wanted`` (d, c, g) with the full shingle set ``s`` of each document d."""
+    texts = docs.select(F.col(id_col).cast("long").alias("d"), F.col(text_col).cast("string").alias("t"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [positive(values) for values in shingle_sets(column_bytes(batch.column(3)), words)]
+            if sets:
+                ends = np.cumsum([0, *map(len, sets)]).astype(np.int32)
+                yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(sets)))], names=["d", "c", "g", "s"])
+
+    return texts.join(wanted, "d").select("d", "c", "g", "t").mapInArrow(run, "d long, c long, g struct<x: long, y: long>, s array<bigint>").dropDuplicates(["d"])
+
+
+def prefix_pairs(sets: DataFrame, percent: int, alike: str) -> DataFrame:
+    """(a, b): all similar pairs of different c in the stored table (d, c, g, s), and those that share an element as early.
+
+    Similar sets of x and y elements share percent (x + y) / (100 + percent).  In one order of all
+    elements their first common one has at most the rest before it; in the
+    smaller set that is fewer than in the larger, where sizes may differ by the threshold.
+    """
+    shared = _rarity(sets)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rarity = shared.value
+        for batch in batches:
+            column = batch.column(3)
+            flat, at = column.flatten().to_numpy(zero_copy_only=False), column.offsets.to_numpy()
+            at = at - at[0]
+            values, owners, places, sizes = [], [], [], np.diff(at)
+            for i, size in enumerate(sizes.tolist()):
+                own = flat[at[i]:at[i + 1]]
+                order = np.lexsort((own, rarity[own & (RARITY_BUCKETS - 1)]))[: size - -(-percent * size // 100) + 1]
+                values.append(own[order])
+                owners.append(np.full(len(order), i))
+                places.append(np.arange(len(order)))
+            if not values:
+                continue
+            owner = np.concatenate(owners)
+            mine = [batch.column(j).take(pa.array(owner)) for j in range(3)]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(values)), *mine, pa.array(sizes[owner].astype(np.int64)), pa.array(np.concatenate(places))], names=["v", "d", "c", "g", "n", "at"])
+
+    offers = small_batches(sets).select("d", "c", "g", "s").mapInArrow(run, "v long, d long, c long, g struct<x: long, y: long>, n long, at long")
+    offers = materialize(offers, "prefixes")
+    larger = offers.select("v", *[F.col(x).alias(f"{x}2") for x in ("d", "c", "g", "n", "at")])
+    # Of sets that are no larger than their partner, only these places can hold the first common element.
+    smaller = offers.where(f"{2 * percent} * n <= {100 + percent} * (n - at)")
+    met = smaller.join(larger, "v").where("c <> c2 AND (n < n2 OR n = n2 AND d < d2)").where(f"{percent} * (n + n2) <= {100 + percent} * least(n - at, n2 - at2)")
+    return met.where(alike).selectExpr("least(d, d2) AS a", "greatest(d, d2) AS b")
+
+
+def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame], DataFrame], sets: Callable[[DataFrame], DataFrame], bits: int = DIGEST_BITS) -> DataFrame:
     """Links (a, b) that connect what the pairs of each list connect.
 
     ``postings`` (v, d, n, g) is a stored table of lists v of members d with
     set size n and digest g, which differs in no more bits than the sets in
     elements and for similar sets in no more than ``bits``; ``confirm`` gives, for
     distinct pairs (a, b), bounds ``lo`` and ``hi`` of their Jaccard distance and ``ok`` where
-    they are similar.
+    they are similar; ``sets`` adds to rows (d, c, g) the full set of d as an array ``s``.
     """
     lists = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "n", "g")).alias("h")).where("c > 1")
     shared = materialize(postings.join(lists.selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg"), "v"), "shared")
@@ -205,10 +267,15 @@ def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame],
         met = rest.join(hubs, "v").where("c <> c2").where(_alike("n", "n2", "g", "g2", percent, bits))
         found = found.union(linked(links(met.selectExpr("least(d2, d) AS a", "greatest(d2, d) AS b"), f"hubs-{turn}")))
     members, rest = placed(found)
-    left = rest.select("v", *[F.col(x).alias(f"{x}2") for x in ("d", "n", "g", "c", "lo", "hi")])
+    long = materialize(rest.groupBy("v").count().where(f"count > {LONG_REST}").select("v"), "long")
+    left = rest.join(long, "v", "left_anti").select("v", *[F.col(x).alias(f"{x}2") for x in ("d", "n", "g", "c", "lo", "hi")])
     # Of two members outside the main component, only the smaller meets the larger.
-    last = members.join(left, "v").where("c <> c2 AND (c = main OR d < d2)").where(near_hub).where(_alike("n", "n2", "g", "g2", percent, bits))
-    return found.union(linked(links(last.selectExpr("least(d, d2) AS a", "greatest(d, d2) AS b"), "rest")))
+    alike = _alike("n", "n2", "g", "g2", percent, bits)
+    last = members.join(left, "v").where("c <> c2 AND (c = main OR d < d2)").where(near_hub).where(alike)
+    last = last.selectExpr("least(d, d2) AS a", "greatest(d, d2) AS b")
+    wanted = members.join(long, "v", "left_semi").select("d", "c", "g").dropDuplicates(["d"])
+    early = prefix_pairs(materialize(sets(materialize(wanted, "wanted")), "full-sets"), percent, alike)
+    return found.union(linked(links(last.union(early), "rest")))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
@@ -226,7 +293,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         far = guess.where(f"e < {percent / 100 - ESTIMATE_SLACK}").selectExpr("a", "b", "greatest(1 - e - 0.3125D, 0D) AS lo", "1D AS hi", "false AS ok")
         return measured(similarities(close, docs, id_col, text_col, words).distinct(), percent).union(far)
 
-    found = link_lists(postings, percent, confirm)
+    found = link_lists(postings, percent, confirm, lambda wanted: full_sets(wanted, docs, id_col, text_col, words))
     owner = classes.join(components(found).withColumnRenamed("node", "r"), "r", "left").selectExpr("f", "n", "coalesce(component, r) AS c")
     named = table.select("d", "n", "f").join(owner, ["f", "n"], "left")
     return (

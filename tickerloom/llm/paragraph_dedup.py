@@ -179,7 +179,10 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
         sizes = both.selectExpr("a", "b", "size(s1) + size(s2) AS n", "size(array_intersect(s1, s2)) AS common")
         return measured(sizes.selectExpr("a", "b", "common", "n - common AS total"), percent)
 
-    linked = components(link_lists(lists, percent, confirm, bits=128)).selectExpr("node AS k", "component AS c")
+    def full(wanted: DataFrame) -> DataFrame:
+        return wanted.join(sets.selectExpr("k AS d", "s"), "d").select("d", "c", "g", "s")
+
+    linked = components(link_lists(lists, percent, confirm, full, bits=128)).selectExpr("node AS k", "component AS c")
     placed = units.join(linked, "k", "left").selectExpr("d", "p", "k", "coalesce(c, k) AS c")
     first = placed.groupBy("c").agg(F.min(F.struct("d", "p")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
     return placed.join(first, "c").where("d <> f.d OR p <> f.p").selectExpr(
