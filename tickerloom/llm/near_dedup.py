@@ -51,7 +51,7 @@ LEAST_SHARED = 35
 RARITY_BUCKETS = 1 << 20
 HUB_ROUNDS = 1
 #: Lists with more members outside their largest component are compared by prefixes of full sets.
-LONG_REST = 8
+LONG_REST = 32
 #: Of 128 one-bit bins, sets of similarity 0.8 differ in 12.8 on average (standard deviation 3.4), unrelated ones in 64.
 DIGEST_BITS = 32
 #: The union sketch must show at least this share: the threshold less five standard deviations.
