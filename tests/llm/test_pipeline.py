@@ -1,10 +1,14 @@
+import os
+
 import corpus_pipeline
 from pyspark.sql import functions as F
 from tests.llm.test_decontaminate import brute_force as benchmark_pairs
 from tests.llm.test_near_dedup import brute_force as near_components
 from tests.llm.test_paragraph_dedup import brute_force as repeated
 
-from tickerloom.llm.paragraph_dedup import cut_out
+from tickerloom.llm.near_dedup import one_of_each
+from tickerloom.llm.paragraph_dedup import cut_out, without_repeats
+from tickerloom.scratch import materialize, scratch_root, temporary
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -71,3 +75,29 @@ def test_stages_take_odd_rows_and_empty_tables(spark, tmp_path):
 
 def test_cut_out_keeps_bytes_around():
     assert cut_out(b"  A b c.\n", {(9, 9)}) == b"  A b c.\n"
+
+
+def test_stages_leave_only_what_their_results_read(spark, corpus):
+    docs = corpus.selectExpr("doc_id", "concat(text, '.') AS text")
+
+    def stored():
+        made = os.path.join(scratch_root(spark).removeprefix("file:"), "tickerloom", spark.sparkContext.applicationId)
+        return {x.rsplit("-", 1)[0]: x for x in os.listdir(made)} if os.path.isdir(made) else {}
+
+    for stage, names in ((one_of_each, {"dropped", "repeated"}), (without_repeats, {"removed"})):
+        before = set(stored().values())
+        assert stage(docs).count() > 0
+        assert {n for n, x in stored().items() if x not in before} == names
+
+
+def test_temporary_tables_go_at_the_end_of_their_scope(spark):
+    paths = {}
+    with temporary(spark) as outer:
+        with temporary(spark) as inner:
+            paths = {n: materialize(spark.range(3), n) for n in ("a", "b", "c")}
+            inner(paths["b"])
+            inner(paths["c"])
+        assert [os.path.isdir(paths[n]._scratch_path) for n in "abc"] == [False, True, True]
+        outer(paths["c"])
+    assert [os.path.isdir(paths[n]._scratch_path) for n in "abc"] == [False, False, True]
+    assert paths["c"].count() == 3

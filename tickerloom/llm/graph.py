@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tickerloom.scratch import materialize
+from tickerloom.scratch import discard, materialize, release_shuffles
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -39,7 +39,10 @@ def components(links: DataFrame) -> DataFrame:
     edges = links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
     edges, mark = _stored(edges)
     while True:
-        edges, now = _stored(_small_star(_large_star(edges).where("u <> v")))
+        before = edges
+        edges, now = _stored(_small_star(_large_star(before).where("u <> v")))
+        discard(before)
+        release_shuffles(edges.sparkSession)
         if now == mark:
             break
         mark = now

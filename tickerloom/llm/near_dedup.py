@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 
 from tickerloom.llm.graph import components
 from tickerloom.llm.text import bounded_batches, column_bytes, mix, positive, shingle_sets, small_batches
-from tickerloom.scratch import materialize
+from tickerloom.scratch import materialize, temporary
 
 SKETCH = 64
 LEAST_SHARED = 35
@@ -232,22 +232,26 @@ def link_lists(postings: DataFrame, percent: int, confirm: Callable[[DataFrame],
     elements and for similar sets in no more than ``bits``; ``confirm`` gives, for
     distinct pairs (a, b), bounds ``lo`` and ``hi`` of their Jaccard distance and ``ok`` where
     they are similar; ``sets`` adds to rows (d, c, g) the full set of d as an array ``s``.
+    Candidates, and what ``confirm`` stores, go as soon as their links are stored.
     """
+    spark = postings.sparkSession
     lists = postings.groupBy("v").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("d", "n", "g")).alias("h")).where("c > 1")
     shared = materialize(postings.join(lists.selectExpr("v", "h.d AS hd", "h.n AS hn", "h.g AS hg"), "v"), "shared")
 
     def links(pairs: DataFrame, label: str) -> DataFrame:
-        return materialize(confirm(materialize(pairs.distinct(), f"candidates-{label}")), f"links-{label}")
+        with temporary(spark) as leave:
+            return leave(materialize(confirm(materialize(pairs.distinct(), f"candidates-{label}")), f"links-{label}"))
 
     def linked(rows: DataFrame) -> DataFrame:
         return rows.where("ok").select("a", "b")
 
     def placed(found: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members of each list with their component so far; those outside the list's largest component."""
-        named = bounded.join(components(found).withColumnRenamed("node", "d"), "d", "left").drop("hd")
-        named = named.withColumn("c", F.expr("coalesce(component, d)")).drop("component")
-        main = named.groupBy("v", "c").count().groupBy("v").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("k"))
-        named = materialize(named.join(main.where("k > 1"), "v"), "placed")
+        with temporary(spark) as leave:
+            named = bounded.join(components(found).withColumnRenamed("node", "d"), "d", "left").drop("hd")
+            named = named.withColumn("c", F.expr("coalesce(component, d)")).drop("component")
+            main = named.groupBy("v", "c").count().groupBy("v").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count(F.lit(1)).alias("k"))
+            named = leave(materialize(named.join(main.where("k > 1"), "v"), "placed"))
         return named, named.where("c <> main")
 
     star = links(shared.where("d <> hd").where(_alike("n", "hn", "g", "hg", percent, bits)).selectExpr("hd AS a", "d AS b"), "star")
@@ -282,6 +286,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """(doc_id, n_shingles, component_id, kept): one row per document."""
     table = materialize(sketch_table(docs, id_col, text_col, words), "sketches")
     classes = table.where("n > 0").groupBy("f", "n").agg(F.min("d").alias("r"))
+    with temporary(docs.sparkSession) as leave:
+        linked = leave(materialize(_linked_classes(table, classes, docs, id_col, text_col, words, percent), "components"))
+    owner = classes.join(linked.withColumnRenamed("node", "r"), "r", "left").selectExpr("f", "n", "coalesce(component, r) AS c")
+    named = table.select("d", "n", "f").join(owner, ["f", "n"], "left")
+    return (
+        named.groupBy("d").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("c", "d")).alias("component_id"))
+        .selectExpr("d AS doc_id", "n_shingles", "component_id", "d = component_id AS kept")
+    )
+
+
+def _linked_classes(table: DataFrame, classes: DataFrame, docs: DataFrame, id_col: str, text_col: str, words: int, percent: int) -> DataFrame:
+    """(node, component) of the classes (f, n, r: smallest id) of the stored sketches that are linked with others."""
     reps = materialize(table.where("n > 0").join(classes, ["f", "n"]).where("d = r").select("d", "n", "g", "s").dropDuplicates(["d"]), "classes")
 
     postings = materialize(_postings(reps, percent), "postings")
@@ -293,20 +309,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         far = guess.where(f"e < {percent / 100 - ESTIMATE_SLACK}").selectExpr("a", "b", "greatest(1 - e - 0.3125D, 0D) AS lo", "1D AS hi", "false AS ok")
         return measured(similarities(close, docs, id_col, text_col, words).distinct(), percent).union(far)
 
-    found = link_lists(postings, percent, confirm, lambda wanted: full_sets(wanted, docs, id_col, text_col, words))
-    owner = classes.join(components(found).withColumnRenamed("node", "r"), "r", "left").selectExpr("f", "n", "coalesce(component, r) AS c")
-    named = table.select("d", "n", "f").join(owner, ["f", "n"], "left")
-    return (
-        named.groupBy("d").agg(F.max("n").alias("n_shingles"), F.min(F.coalesce("c", "d")).alias("component_id"))
-        .selectExpr("d AS doc_id", "n_shingles", "component_id", "d = component_id AS kept")
-    )
+    return components(link_lists(postings, percent, confirm, lambda wanted: full_sets(wanted, docs, id_col, text_col, words)))
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, percent: int = 80) -> DataFrame:
     """``docs`` with one document of each group, that with the smallest id; rows without id stay."""
-    dropped = near_duplicates(docs, id_col, text_col, words, percent).where("NOT kept").select(F.col("doc_id").alias("_d"))
+    with temporary(docs.sparkSession) as leave:
+        dropped = near_duplicates(docs, id_col, text_col, words, percent).where("NOT kept").select(F.col("doc_id").alias("_d"))
+        dropped = leave(materialize(dropped, "dropped"))
     key = F.col(id_col).cast("long")
-    kept = docs.join(materialize(dropped, "dropped"), key == F.col("_d"), "left_anti")
+    kept = docs.join(dropped, key == F.col("_d"), "left_anti")
     repeated = materialize(docs.groupBy(key.alias("_d")).count().where("_d IS NOT NULL AND count > 1").select("_d"), "repeated")
     once = kept.join(repeated, key == F.col("_d"), "left_semi").dropDuplicates([id_col])
     return kept.join(repeated, key == F.col("_d"), "left_anti").union(once)

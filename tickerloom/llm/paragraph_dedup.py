@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from tickerloom.llm.graph import components
 from tickerloom.llm.near_dedup import link_lists, measured
 from tickerloom.llm.text import Words, bounded_batches, chunks, column_bytes, mix, paragraphs, positive, powers
-from tickerloom.scratch import discard, materialize
+from tickerloom.scratch import materialize, temporary
 
 LEAST_WORDS = 6
 SHINGLE = 5
@@ -164,15 +164,25 @@ def _shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
     """(doc_id, paragraph, component_id, kept_doc_id, kept_paragraph, class): the paragraphs to remove."""
     units = materialize(_occurrences(docs), "paragraphs")
+    with temporary(docs.sparkSession) as leave:
+        linked = leave(materialize(_linked_classes(docs, units, percent), "components")).selectExpr("node AS k", "component AS c")
+    placed = units.join(linked, "k", "left").selectExpr("d", "p", "k", "coalesce(c, k) AS c")
+    first = placed.groupBy("c").agg(F.min(F.struct("d", "p")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    return placed.join(first, "c").where("d <> f.d OR p <> f.p").selectExpr(
+        "d AS doc_id", "p AS paragraph", "c AS component_id", "f.d AS kept_doc_id", "f.p AS kept_paragraph", "k AS class")
+
+
+def _linked_classes(docs: DataFrame, units: DataFrame, percent: int) -> DataFrame:
+    """(node, component) of the classes of ``units`` (d, p, k) that are linked with others."""
     by_key = Window.partitionBy("v")
-    met = _bands(docs, percent).withColumns({"lo": F.min("d").over(by_key), "hi": F.max("d").over(by_key)}).where("lo <> hi")
-    met = materialize(met.select("v", "d").distinct(), "met")
-    colliding = met.select(F.col("d").alias("k")).distinct()
-    wanted = units.join(colliding, "k").groupBy("k").agg(F.min("d").alias("d"))
-    sets = materialize(_shingle_sets(docs, wanted), "shingle-sets")
-    # Sizes and sketches join only the keys that different classes share.
-    lists = materialize(met.join(sets.selectExpr("k AS d", "CAST(size(s) AS long) AS n", "struct(x, y) AS g"), "d").select("v", "d", "n", "g"), "lists")
-    discard(met)
+    with temporary(docs.sparkSession) as leave:
+        met = _bands(docs, percent).withColumns({"lo": F.min("d").over(by_key), "hi": F.max("d").over(by_key)}).where("lo <> hi")
+        met = materialize(met.select("v", "d").distinct(), "met")
+        colliding = met.select(F.col("d").alias("k")).distinct()
+        wanted = units.join(colliding, "k").groupBy("k").agg(F.min("d").alias("d"))
+        sets = leave(materialize(_shingle_sets(docs, wanted), "shingle-sets"))
+        # Sizes and sketches join only the keys that different classes share.
+        lists = leave(materialize(met.join(sets.selectExpr("k AS d", "CAST(size(s) AS long) AS n", "struct(x, y) AS g"), "d").select("v", "d", "n", "g"), "lists"))
 
     def confirm(pairs: DataFrame) -> DataFrame:
         both = pairs.join(sets.selectExpr("k AS a", "s AS s1"), "a").join(sets.selectExpr("k AS b", "s AS s2"), "b")
@@ -182,11 +192,7 @@ def repeated_paragraphs(docs: DataFrame, percent: int = 80) -> DataFrame:
     def full(wanted: DataFrame) -> DataFrame:
         return wanted.join(sets.selectExpr("k AS d", "s"), "d").select("d", "c", "g", "s")
 
-    linked = components(link_lists(lists, percent, confirm, full, bits=128)).selectExpr("node AS k", "component AS c")
-    placed = units.join(linked, "k", "left").selectExpr("d", "p", "k", "coalesce(c, k) AS c")
-    first = placed.groupBy("c").agg(F.min(F.struct("d", "p")).alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    return placed.join(first, "c").where("d <> f.d OR p <> f.p").selectExpr(
-        "d AS doc_id", "p AS paragraph", "c AS component_id", "f.d AS kept_doc_id", "f.p AS kept_paragraph", "k AS class")
+    return components(link_lists(lists, percent, confirm, full, bits=128))
 
 
 def cut_out(text: bytes, gone: set[tuple[int, int]]) -> bytes:
@@ -203,7 +209,8 @@ def cut_out(text: bytes, gone: set[tuple[int, int]]) -> bytes:
 
 def without_repeats(docs: DataFrame, percent: int = 80) -> DataFrame:
     """``docs`` with repeated paragraphs cut out of ``text`` and ``n_chars`` counted anew; documents left empty by that go."""
-    removed = materialize(repeated_paragraphs(docs, percent), "removed")
+    with temporary(docs.sparkSession) as leave:
+        removed = leave(materialize(repeated_paragraphs(docs, percent), "removed"))
     gone = removed.groupBy("doc_id").agg(F.collect_set(F.struct("paragraph", "class")).alias("_gone")).withColumnRenamed("doc_id", "_of")
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("_of"), "left").drop("_of")
     schema, names = docs.schema, docs.columns

@@ -11,11 +11,17 @@ from __future__ import annotations
 
 import gc
 import uuid
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 
+#: Paths of the tables stored within the innermost :func:`temporary`.
+_made: ContextVar[list[str] | None] = ContextVar("made", default=None)
+
+
 def scratch_root(spark: SparkSession) -> str:
     configured = spark.conf.get("spark.checkpoint.dir", None)
     return (configured or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch").rstrip("/")
@@ -33,6 +39,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.mode("errorifexists").option("compression", "lz4").parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._scratch_path = path
+    if (made := _made.get()) is not None:
+        made.append(path)
     return stored
 
 
@@ -69,6 +77,32 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Delete at its end the tables stored within, and the shuffle files of the steps.
+
+    It gives a function that returns the stored table it gets and leaves it to the
+    code around. What a lazy result still reads must be left so. After an error all tables stay.
+    """
+    around, made, left = _made.get(), [], []
+
+    def leave(stored: DataFrame) -> DataFrame:
+        left.append(stored._scratch_path)
+        return stored
+
+    token = _made.set(made)
+    try:
+        yield leave
+    finally:
+        _made.reset(token)
+    for path in made:
+        if path not in left:
+            _delete(spark, path)
+    if around is not None:
+        around.extend(left)
+    release_shuffles(spark)
+
+
 def clear_scratch(spark: SparkSession) -> None:
     """Delete what this application has stored; for the end of a session, when no result is read any more."""
     _delete(spark, f"{scratch_root(spark)}/tickerloom/{spark.sparkContext.applicationId}")
