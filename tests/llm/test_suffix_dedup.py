@@ -3,7 +3,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tickerloom.llm.suffix_dedup import MATCH, SuffixLevels, _array, in_order, repeated_bytes
+from tickerloom.llm.suffix_dedup import MATCH, SIDE, Runs, SuffixLevels, _array, in_order, meeting, repeated_bytes
 from tickerloom.scratch import materialize
 
 
@@ -102,3 +102,26 @@ def test_a_row_of_a_level_is_returned_by_one_scan(spark, sentence):
         seen.append({r["h"] for r in family.scan(array, again=False).collect()})
         family.add(array)
     assert seen == [set(), {0, 1}, set(), {3}, {2, 4}]
+
+
+def test_only_runs_with_common_bytes_beside_the_head_are_looked_at_window_by_window(spark, sentence):
+    letters = random.Random(5)
+    common = [sentence(i, 40)[7 * i:][:SIDE - 4] for i in range(40)]
+    rows = [(d, " ".join("".join(letters.choice("abcdefgh") for _ in range(60)) + c for c in common)) for d in range(12)]
+    rows += [(20 + d, rows[d][1][100 + d:100 + d + 49 + d]) for d in range(12)]
+    texts = spark.createDataFrame(rows, "d long, t string")
+    open_runs, sharing, holders = set(), set(), {}
+    for d, t in rows:
+        runs = Runs([t.encode()])
+        for r, (key, start, number) in enumerate(zip(runs.key.tolist(), runs.start.tolist(), runs.number.tolist(), strict=True)):
+            open_runs.add((d, key))
+            for w in range(start, start + number):
+                holders.setdefault(t[w:w + MATCH], set()).add((key, d))
+    for held in holders.values():
+        if len({k for k, _ in held}) > 1:
+            sharing |= {(d, k) for k, d in held}
+    met = {tuple(r) for r in meeting(texts, spark.createDataFrame(sorted(open_runs), "d long, k long")).collect()}
+    assert sharing and sharing <= met and 2 * len(met) < len(open_runs)
+    exact = brute_force(rows)
+    got = {r[0]: tuple(r)[1:] for r in repeated_bytes(texts.withColumnRenamed("d", "doc_id").withColumnRenamed("t", "text")).collect()}
+    assert got == exact

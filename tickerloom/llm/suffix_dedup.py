@@ -16,7 +16,9 @@ Index family
 
 Exact removals
     Equal texts are one class, represented by its smallest id.  A run that an earlier
-    class has too goes as a whole.  Of the other runs with a shared head all windows are
+    class has too goes as a whole.  An equal window of other runs with a shared head holds, beside the
+    head, half of its other bytes on one side at least, so the first class of each string meets others by
+    ``SIDE`` bytes to the left or right.  Of runs that so meet another string all windows are
     compared: a window goes if an earlier class has it.  Minima per run and window
     decide, no group is gathered; hot heads are counted once per text and batch of rows.
 
@@ -40,6 +42,8 @@ from tickerloom.scratch import discard, materialize, release_shuffles
 
 MATCH = 50
 GRAM = 16
+#: Bytes that a window has from its head's start to its end, or from its start to its head's end, one of them at least.
+SIDE = (MATCH + GRAM) // 2
 #: Shares of the documents, in the order of their ids, that come as batches.
 BATCHES = (1,) * 8
 _PLACE_BITS = 28
@@ -59,9 +63,12 @@ def ordered_longs(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarr
 
 
 class Runs:
-    """Runs of some texts: ``start``, ``number`` of windows, ``text``, head (``x``, ``y``) and ``key`` per run; ``window`` per byte."""
+    """Runs of some texts: ``start``, ``number`` of windows, ``text``, head (``x``, ``y``) and ``key`` per run; ``window`` per byte.
 
-    def __init__(self, texts: list[bytes]):
+    With ``sides`` also ``left`` and ``right`` per run: the hash of the ``SIDE`` bytes that end or start with the head, -1 where no window of the run holds them.
+    """
+
+    def __init__(self, texts: list[bytes], sides: bool = False):
         raw = np.frombuffer(b"".join(texts), dtype=np.uint8)
         lengths = np.fromiter(map(len, texts), dtype=np.int64, count=len(texts))
         ends = np.cumsum(lengths)
@@ -71,7 +78,7 @@ class Runs:
         inside = np.arange(max(count, 0)) + MATCH <= ends[text]
         valid = np.flatnonzero(inside)
         if not len(valid):
-            self.start = self.number = self.text = self.x = self.y = self.key = np.zeros(0, dtype=np.int64)
+            self.start = self.number = self.text = self.x = self.y = self.key = self.left = self.right = np.zeros(0, dtype=np.int64)
             self.window = np.zeros(max(count, 0), dtype=np.int64)
             return
         grams, windows = byte_hashes(raw, (GRAM, MATCH))
@@ -93,6 +100,14 @@ class Runs:
         step = np.arange(len(valid)) - np.repeat(first, self.number)
         self.key = positive(mix(np.add.reduceat(windows[valid] * powers(MATCH)[step], first), 3))
         self.window = positive(windows)
+        if sides:
+            spans = byte_hashes(raw, (SIDE,))[0]
+            head, reach = place[self.start], SIDE - GRAM
+            last = self.start + self.number - 1
+            left, right = head - reach >= self.start, head - (MATCH - SIDE) <= last
+            self.left, self.right = np.full(len(head), -1), np.full(len(head), -1)
+            self.left[left] = positive(mix(spans[head[left] - reach], 4))
+            self.right[right] = positive(mix(spans[head[right]], 5))
 
 
 def _source(docs: DataFrame) -> DataFrame:
@@ -177,6 +192,35 @@ def _of_documents(texts: DataFrame, wanted: DataFrame, name: str) -> DataFrame:
     return texts.join(wanted.groupBy("d").agg(F.collect_set("k").alias(name)), "d")
 
 
+def _sides(rows: DataFrame) -> DataFrame:
+    """(v, k, d): left and right ``SIDE`` bytes of the runs k of (d, t, k)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, texts, keys = batch.column(0).to_numpy(), column_bytes(batch.column(1)), batch.column(2)
+            for a, b in chunks(texts):
+                runs = Runs(texts[a:b], sides=True)
+                cut = np.searchsorted(runs.text, np.arange(b - a + 1))
+                chosen = np.zeros(len(runs.key), dtype=bool)
+                for i in range(b - a):
+                    chosen[cut[i]:cut[i + 1]] = np.isin(runs.key[cut[i]:cut[i + 1]], keys[a + i].values.to_numpy())
+                for side in (runs.left, runs.right):
+                    at = np.flatnonzero(chosen & (side >= 0))
+                    yield pa.RecordBatch.from_arrays([pa.array(side[at]), pa.array(runs.key[at]), pa.array(ids[a:b][runs.text[at]])], names=["v", "k", "d"])
+
+    return rows.mapInArrow(run, "v long, k long, d long")
+
+
+def meeting(texts: DataFrame, open_runs: DataFrame) -> DataFrame:
+    """Those of ``open_runs`` (d, k) that have ``SIDE`` bytes around their head in common with a run of another string, as a stored table."""
+    sides = materialize(_sides(_of_documents(texts, open_runs, "k").select("d", "t", "k")), "sides")
+    common = sides.groupBy("v").agg(F.min("k").alias("lo"), F.max("k").alias("hi")).where("lo <> hi").select("v")
+    met = materialize(sides.join(common, "v", "left_semi").select("d", "k").distinct(), "meeting")
+    discard(sides)
+    release_shuffles(texts.sparkSession)
+    return met
+
+
 def _windows(rows: DataFrame) -> DataFrame:
     """(w, d): the distinct windows of the runs k of (d, t, k)."""
 
@@ -274,17 +318,21 @@ def repeated_bytes(docs: DataFrame, batches: tuple[float, ...] = BATCHES) -> Dat
     discard(rows)
     release_shuffles(docs.sparkSession)
     whole = known.where("d > first").select("d", F.col("run").alias("k"))
-    # Heads with runs of different strings: the first class of each string is looked at window by window.
+    # Heads with runs of different strings: the first class of each string is looked at window by window, if bytes beside the head are shared too.
     leaders = known.where("d = first")
     mixed = leaders.groupBy("x", "y").agg(F.min("run").alias("lo"), F.max("run").alias("hi")).where("lo <> hi").select("x", "y")
     open_runs = leaders.join(mixed, ["x", "y"], "left_semi").select("d", F.col("run").alias("k"))
     by_window = Window.partitionBy("w")
-    seen = _windows(_of_documents(texts, open_runs, "k").select("d", "t", "k")).withColumn("first", F.min("d").over(by_window))
+    met = meeting(texts, open_runs)
+    seen = _windows(_of_documents(texts, met, "k").select("d", "t", "k")).withColumn("first", F.min("d").over(by_window))
     single = materialize(seen.where("d > first").select("d", F.col("w").alias("k")), "windows")
 
+    discard(met)
     release_shuffles(docs.sparkSession)
     found = whole.groupBy("d").agg(F.collect_set("k").alias("runs")).join(single.groupBy("d").agg(F.collect_set("k").alias("windows")), "d", "full")
     touched = materialize(_digest(texts.join(found, "d").select("d", "t", "runs", "windows")), "touched")
+    discard(known)
+    discard(single)
     release_shuffles(docs.sparkSession)
     # Copies of a whole text lose everything if it is long enough; untouched texts keep everything.
     copies = ids.join(classes, ["h", "g", "n"])
