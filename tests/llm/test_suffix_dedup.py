@@ -1,9 +1,11 @@
 import hashlib
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
-from tickerloom.llm.suffix_dedup import MATCH, SIDE, Runs, SuffixLevels, _array, in_order, meeting, repeated_bytes
+from tickerloom.llm import suffix_dedup
+from tickerloom.llm.suffix_dedup import MATCH, SIDE, Runs, SuffixLevels, _array, in_order, meeting, ordered, repeated_bytes, slice_numbers
 from tickerloom.scratch import materialize
 
 
@@ -125,3 +127,80 @@ def test_only_runs_with_common_bytes_beside_the_head_are_looked_at_window_by_win
     exact = brute_force(rows)
     got = {r[0]: tuple(r)[1:] for r in repeated_bytes(texts.withColumnRenamed("d", "doc_id").withColumnRenamed("t", "text")).collect()}
     assert got == exact
+
+
+def test_a_text_is_taken_apart_once_besides_the_sample(spark, sentence, monkeypatch):
+    seen, suffixes = spark.sparkContext.accumulator(0), suffix_dedup._suffixes
+
+    def counted(batches):
+        def each():
+            for batch in batches:
+                seen.add(batch.num_rows)
+                yield batch
+
+        return suffixes(each())
+
+    monkeypatch.setattr(suffix_dedup, "_suffixes", counted)
+    rows = [(d, sentence(d % 300, 12)) for d in range(400)]
+    got = {r[0]: tuple(r)[1:] for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), (1, 1, 1)).collect()}
+    assert got == brute_force(rows)
+    assert 300 <= seen.value < 400
+
+
+def test_a_frequent_head_goes_over_many_slices(spark, sentence, monkeypatch):
+    cuts, bounds_of = [], suffix_dedup.order_bounds
+    monkeypatch.setattr(suffix_dedup, "order_bounds", lambda array, slices: cuts.append(bounds_of(array, slices)) or cuts[-1])
+    line = sentence(501, 8)
+    rows = [(d, line[d % 3:] + " " + sentence(900 + d % 2, 3)[:5 + d % 7] + " " + line + chr(97 + d % 11) * 3) for d in range(90)]
+    rows += [(200 + d, sentence(d, 30) + line[:30 + d]) for d in range(20)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 24)
+    try:
+        got = {r[0]: tuple(r)[1:] for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), (1, 1)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    heads = [tuple(c) for c in cuts[0][:2].T.tolist()]
+    assert len(set(heads)) < len(heads) == 23
+    assert got == brute_force(rows)
+
+
+def test_scans_and_merges_sort_no_rows_in_spark(spark, sentence):
+    family = SuffixLevels()
+    for i in range(2):
+        family.add(materialize(_array(spark.createDataFrame([(i, sentence(1, 40))], "h long, t string")), "array"))
+    scan = family.scan(materialize(_array(spark.createDataFrame([(5, sentence(1, 40))], "h long, t string")), "array"), again=False)
+    plan = scan._jdf.queryExecution().executedPlan().toString()
+    assert {r["h"] for r in scan.collect()} == {5}
+    assert "Window" not in plan and "Sort" not in plan and "Join" not in plan
+
+
+def test_columns_are_ordered_and_sliced_as_longs(spark):
+    r = np.random.default_rng(3)
+    for n in (0, 1, 7, 500):
+        rows = np.stack([r.integers(-2, 3, n) << int(k) for k in (61, 40, 0, 20)])
+        for by in (2, 4):
+            got = [tuple(c) for c in ordered(rows, by).T.tolist()]
+            assert [c[:by] for c in got] == sorted(c[:by] for c in got) and sorted(got) == sorted(map(tuple, rows.T.tolist()))
+        bounds = ordered(rows)[:, ::60]
+        assert slice_numbers(bounds, rows).tolist() == [sum(b <= c for b in bounds.T.tolist()) for c in rows.T.tolist()]
+
+
+def test_slices_grow_in_number_with_the_texts(spark, sentence, monkeypatch):
+    cuts, bounds_of = [], suffix_dedup.order_bounds
+    monkeypatch.setattr(suffix_dedup, "order_bounds", lambda array, slices: cuts.append(slices) or bounds_of(array, slices))
+    monkeypatch.setattr(suffix_dedup, "SLICE_BYTES", 2000)
+    rows = [(d, sentence(d % 25, 60)) for d in range(30)]
+    got = {r[0]: tuple(r)[1:] for r in repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), (1, 1)).collect()}
+    assert got == brute_force(rows)
+    assert cuts == [-(-sum(len(t) for _, t in rows) // 2000)]
+
+
+def test_steps_leave_no_shuffle_files(spark, sentence):
+    kept = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses()
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, setting = kept.size(), spark.conf.get(name, None)
+    rows = [(d, sentence(d % 7, 30)) for d in range(12)]
+    result = repeated_bytes(spark.createDataFrame(rows, "doc_id long, text string"), (1, 1))
+    assert kept.size() <= before and spark.conf.get(name, None) == setting
+    assert sorted(result.collect()) == sorted(result.collect())
+    assert {r[0]: tuple(r)[1:] for r in result.collect()} == brute_force(rows)

@@ -49,18 +49,32 @@ def column_bytes(column: pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def powers(n: int) -> np.ndarray:
+def powers(n: int, base: int = _BASE) -> np.ndarray:
     """base^0 .. base^(n-1) modulo 2^64, by doubling."""
     out = np.ones(max(n, 1), dtype=np.uint64)
     done = 1
     while done < n:
-        step = np.uint64(pow(_BASE, done, 1 << 64))
+        step = np.uint64(pow(base, done, 1 << 64))
         take = min(done, n - done)
         out[done:done + take] = out[:take] * step
         done += take
     return out
 
 
+#: Of the base and of its inverse, for texts up to a chunk.
+_POWERS: dict[bool, np.ndarray] = {}
+
+
+def _powers_for(n: int, back: bool = False) -> np.ndarray:
+    """At least ``n`` powers of the base, or of its inverse; made once for all chunks."""
+    base = pow(_BASE, -1, 1 << 64) if back else _BASE
+    if n > CHUNK_BYTES + 1:
+        return powers(n, base)[:n]
+    if back not in _POWERS:
+        _POWERS[back] = powers(CHUNK_BYTES + 1, base)
+    return _POWERS[back][:n]
+
+
 def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     """A bijective finaliser: every input bit reaches every output bit."""
     x = x + np.uint64((0x9E3779B97F4A7C15 * (seed + 1)) & _MASK)
@@ -250,20 +264,20 @@ def paragraphs(words: Words, least: int) -> np.ndarray:
     return np.flatnonzero(cut)
 
 
-def byte_hashes(raw: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
-    """For each size the hash of every window of so many bytes, by doubling."""
-    sums, width = {1: _BYTE[raw]}, 1
-    while width * 2 <= max(sizes):
-        step = np.uint64(pow(_BASE, width, 1 << 64))
-        sums[width * 2] = sums[width][:-width] + step * sums[width][width:]
-        width *= 2
-    out = []
-    for size in sizes:
-        count = max(len(raw) - size + 1, 0)
-        total, at = np.zeros(count, dtype=np.uint64), 0
-        for width in sorted(sums, reverse=True):
-            if size - at >= width:
-                total += np.uint64(pow(_BASE, at, 1 << 64)) * sums[width][at:at + count]
-                at += width
-        out.append(mix(total, size))
-    return out
+class ByteSums:
+    """Hashes of any strings of some bytes, from one running sum: equal strings have equal hashes wherever they stand."""
+
+    def __init__(self, raw: np.ndarray):
+        self.back = _powers_for(len(raw) + 1, back=True)
+        self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
+        np.cumsum(_BYTE[raw] * _powers_for(len(raw)), out=self.sums[1:])
+
+    def all(self, size: int) -> np.ndarray:
+        """Of every string of ``size`` bytes, before mixing: only the upper bits depend on all of it."""
+        out = self.sums[size:] - self.sums[:max(len(self.sums) - size, 0)]
+        out *= self.back[:len(out)]
+        return out
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of the bytes from each ``start`` to before its ``end``, before mixing."""
+        return (self.sums[end] - self.sums[start]) * self.back[start]

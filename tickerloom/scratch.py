@@ -32,11 +32,11 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tickerloom/{app}/{label}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` once and return a scan of the written table."""
+def materialize(df: DataFrame, label: str, options: dict[str, str] | None = None) -> DataFrame:
+    """Write ``df`` once, with ``options`` of the writer, and return a scan of the written table."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.mode("errorifexists").option("compression", "lz4").parquet(path)
+    df.write.mode("errorifexists").options(**{"compression": "lz4"} | (options or {})).parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._scratch_path = path
     if (made := _made.get()) is not None:
@@ -77,6 +77,24 @@ def release_shuffles(spark: SparkSession) -> None:
     spark._jvm.System.gc()
 
 
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Let Spark delete the shuffle files of each query made and run within as soon as it ends.
+
+    Data frames made within must not be run twice after it, so lazy results are made outside.
+    """
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 @contextmanager
 def temporary(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Delete at its end the tables stored within, and the shuffle files of the steps.
